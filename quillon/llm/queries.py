@@ -8,10 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontaminate, mixing, quality, sharding, simhash, sql
+from quillon.llm import decontaminate, fingerprints, mixing, quality, secrets, sharding, simhash, sql
 from quillon.llm._common import table
 
 
+def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.RULES
+    found = secrets.found_spans(table(spark, sf_dir, "documents"), rules)
+    base = F.filter("spans", lambda s: s["rule"].isin([i for i, r in enumerate(rules) if r.base]))
+
+    def count(kind: str):
+        number = [r.kind for r in rules].index(kind)
+        return F.size(F.filter("spans", lambda s: s["rule"] == number)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+        secrets.digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.size("hits").cast("bigint")
@@ -42,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_quality, op7_simhash, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op3_secret_scan, op4_decontaminate, op5_quality, op7_simhash, op8_mixing, op10_sharding)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
