@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontaminate, fingerprints, mixing, quality, secrets, sharding, simhash, sql
+from quillon.llm import decontaminate, extract, fingerprints, language, mixing, quality, secrets, sharding, simhash, sql
 from quillon.llm._common import table
 
 
@@ -44,6 +44,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -53,6 +57,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -61,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op3_secret_scan, op4_decontaminate, op5_quality, op7_simhash, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op3_secret_scan, op4_decontaminate, op5_quality, op6_html_extract, op7_simhash, op8_mixing, op9_language_id, op10_sharding)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
