@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontaminate, extract, fingerprints, language, mixing, quality, secrets, sharding, simhash, sql
+from quillon.llm import chat, decontaminate, extract, fingerprints, language, mixing, quality, secrets, sharding, simhash, sql
 from quillon.llm._common import table
 
 
@@ -16,6 +16,14 @@ def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.prefix_targets(turns))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secrets.RULES
     found = secrets.found_spans(table(spark, sf_dir, "documents"), rules)
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op3_secret_scan, op4_decontaminate, op5_quality, op6_html_extract, op7_simhash, op8_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_chat_prefix_targets, op3_secret_scan, op4_decontaminate, op5_quality, op6_html_extract, op7_simhash, op8_mixing, op9_language_id, op10_sharding)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,3 +29,24 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+SQL["op2_chat_prefix_targets"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, row_number() OVER w AS i, role = 'assistant' AS reply,
+    33 + length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?SYS>|/?INST\])', '\1\2\\\3', 'g'))
+       + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?SYS>|/?INST\])', '\1\2\\\3', 'g')) AS n
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto,
+    max(CASE WHEN reply THEN i ELSE 0 END) OVER (PARTITION BY conv_id) AS last_reply FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE reply), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE reply), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN reply THEN upto WHEN i > last_reply THEN n ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
