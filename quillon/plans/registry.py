@@ -22,7 +22,7 @@ class Registered:
 
 
 REGISTRY: dict[str, Registered] = {}
-MODULES = ["search", "ranking"]
+MODULES = ["search", "ranking", "evaluation"]
 
 
 def query(*operators: str, sql: str | None = None) -> Callable[[Query], Query]:

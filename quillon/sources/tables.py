@@ -49,14 +49,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged and unjudged answers: question_id, capability (the language), verdict, abstained, tokens and slice (the source)."""
+    """Judged and unjudged answers: question_id, capability (the language; Spanish stands for out_of_corpus), verdict, abstained, tokens and slice (the source)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     verdict = (
         F.when(F.col("quality").isNull(), "unjudged").when((F.col("quality") == 1) & (F.col("toxic") == 0), "correct")
         .when(F.col("quality") == 1, "partial").otherwise("incorrect")
     )
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("question_id"), F.col("lang").alias("capability"), F.col("source").alias("slice"), verdict.alias("verdict"),
-        (F.col("doc_id") % 7 == 0).alias("abstained"), "n_chars", F.col("text"),
+        F.col("doc_id").alias("question_id"), F.when(F.col("lang") == "es", "out_of_corpus").otherwise(F.col("lang")).alias("capability"), F.col("source").alias("slice"), verdict.alias("verdict"),
+        (F.col("doc_id") % 7 == 0).alias("abstained"), "n_chars", F.col("text"), "quality", "toxic",
         F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 + 1).alias("hit_rank"),
     )
