@@ -22,7 +22,7 @@ class Registered:
 
 
 REGISTRY: dict[str, Registered] = {}
-MODULES = ["search", "ranking", "evaluation", "runs"]
+MODULES = ["search", "ranking", "evaluation", "runs", "traces", "catalogue"]
 
 
 def query(*operators: str, sql: str | None = None) -> Callable[[Query], Query]:
