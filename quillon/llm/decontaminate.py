@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, met by each document's windows.
 
 Every benchmark item gives its windows of `n` consecutive words (an item with fewer words, but not none, is one
-window). Window hashes form a small table whose size is checked before it is broadcast; beyond the bound the same join
-runs shuffled. Documents are turned into hashes of all their windows by doubling (1, 2, 4, ... words), each document's
-windows meet the set, and every hit is verified word by word before it counts.
+window). The hash set holds, for every window, the hashes of all its blocks of half its length; its size is checked before it is
+broadcast, and beyond the bound the same join runs shuffled. A document is cut into blocks of that length: a window that occurs
+in it, wherever it starts, covers one of these whole, so no occurrence is missed at a tenth of the hashing that all windows
+would take. Each block that meets the set is verified word by word, over the whole window it stands in, before it counts.
 
 The pass over the documents has one join and one aggregation by row; only windows that hit travel.
 
@@ -20,86 +21,93 @@ from pyspark.sql import functions as F
 from quillon.llm._common import checkpointed
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing, and what stands between them.
+#: What words are made of, and what stands between them.
 INSIDE, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark windows that may be broadcast (about 100 MB); more of them are joined by a shuffle.
+#: Blocks of benchmark windows that may be broadcast (about 100 MB); more of them are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words as they stand; lower-casing A-Z changes no boundary."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"{INSIDE}+"), F.lit(0))
 
 
-def window_hashes(single: Column, n: int) -> Column:
-    """Hashes of all runs of `n` words from the hashes of the words: runs of 2, 4, 8, ... are built by pairing."""
-    def paired(left: Column, right: Column, ahead: int) -> Column:
-        size = F.greatest(F.size(right) - ahead, F.lit(0))
-        return F.zip_with(F.slice(left, 1, size), F.slice(right, F.lit(ahead + 1), size), lambda a, b: F.xxhash64(a, b))
+def word_hashes(words: Column) -> Column:
+    """Hashes that are equal where words are equal but for case; the verification looks at A-Z alone."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
-    length, runs, done = 1, single, None
-    covered = 0
-    while True:
-        if n & length:
-            done = runs if done is None else paired(done, runs, covered)
-            covered += length
-        length *= 2
-        if length > n:
-            return done
-        runs = paired(runs, runs, length // 2)
+
+def exact(words: Column) -> Column:
+    return F.translate(F.array_join(words, " "), UPPER, LOWER)
+
+
+def block_hash(single: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), *[F.get(single, at + k) for k in range(size)])
+
+
+def half(n: int) -> int:
+    """The longest block length of which every run of `n` words holds a whole block, wherever blocks are laid."""
+    return (n + 1) // 2
+
+
+def aligned_blocks(single: Column, size: int) -> Column:
+    """hash and at of the blocks of `size` words that a text is cut into."""
+    last = F.floor(F.size(single) / size).cast("int") - 1
+    numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda i: F.struct(block_hash(single, i * size, size).alias("hash"), (i * size).alias("at")))
 
 
 def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """item_id, len, hash and words of every distinct window of each benchmark item."""
+    """item_id, len and run (its words) of every window of each benchmark item."""
     own = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
-    run = F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, n))
-    cut = own.select("item_id", F.explode(run).alias("run")).distinct()
-    hashed = cut.select("item_id", "run", F.size("run").alias("len"), F.transform("run", lambda w: F.xxhash64(w)).alias("h"))
-    value = F.lit(None).cast("bigint")
-    for k in range(n, 0, -1):
-        value = F.when(F.col("len") == k, window_hashes(F.col("h"), k)[0]).otherwise(value)
-    return hashed.select("item_id", "len", F.xxhash64(F.col("len"), value).alias("hash"), "run")
-
+    cut = own.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, n))).alias("run"))
+    return cut.select("item_id", F.size("run").alias("len"), "run")
 
-def _windows(single: Column, lengths: list[int]) -> Column:
-    """An array of (hash, at, len) of all windows of the given lengths, after one entry that stands for the row itself."""
-    row = F.array(F.struct(F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("at"), F.lit(0).alias("len")))
-    def placed(k: int) -> Column:
-        return F.transform(window_hashes(single, k), lambda h, i: F.struct(F.xxhash64(F.lit(k), h).alias("hash"), i.alias("at"), F.lit(k).alias("len")))
 
-    return F.concat(row, *[placed(k) for k in lengths])
+def hash_set(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """hash and owners: for each block of each window, the windows it stands in, with its place there."""
+    places = F.lit(None).cast("array<struct<hash:bigint,inside:int>>")
+    for k in lengths:
+        own = F.array(*[
+            F.struct(block_hash(F.col("single"), F.lit(q), half(k)).alias("hash"), F.lit(q).alias("inside")) for q in range(k - half(k) + 1)
+        ])
+        places = F.when(F.col("len") == k, own).otherwise(places)
+    blocks = windows.withColumn("single", word_hashes(F.col("run"))).select("item_id", "len", exact(F.col("run")).alias("run"), F.inline(places)).distinct()
+    return blocks.groupBy("hash").agg(F.collect_list(F.struct("len", "run", "inside", "item_id")).alias("owners"))
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per row of `docs`: doc_id, row_key, n_words, hits (the word numbers hit, sorted) and items (their ids, sorted as strings)."""
     windows = checkpointed(item_windows(items, n))
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # n values at most
-    listed = windows.groupBy("hash", "len").agg(F.collect_list(F.struct("item_id", "run")).alias("owners"))
-    row = windows.sparkSession.range(1).select(
-        F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("len"), F.lit(None).cast(listed.schema["owners"].dataType).alias("owners")
-    )
-    listed = checkpointed(listed.select("hash", "len", "owners").union(row))
+    listed = hash_set(windows, lengths)
+    # Hash 0 stands for the row itself, so that each row of `docs` comes through the join once whatever it holds.
+    row = windows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast(listed.schema["owners"].dataType).alias("owners"))
+    listed = checkpointed(listed.where("hash <> 0").union(row))
     if listed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         listed = F.broadcast(listed)
     parsed = docs.select(
         F.col("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("row_key"), words_of(F.col("text")).alias("words")
-    ).withColumn("single", F.transform("words", lambda w: F.xxhash64(w)))
-    met = parsed.select("doc_id", "row_key", "words", F.inline(_windows(F.col("single"), lengths))).join(listed, ["hash", "len"])
-    right = F.filter("owners", lambda o: o["run"] == F.slice(F.col("words"), F.col("at") + 1, F.greatest(F.col("len"), F.lit(1))))
+    ).withColumn("single", word_hashes(F.col("words")))
+    itself = F.array(F.struct(F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("at")))
+    blocks = F.concat(itself, *[aligned_blocks(F.col("single"), size) for size in sorted({half(k) for k in lengths})])
+    met = parsed.select("doc_id", "row_key", "words", F.inline(blocks)).join(listed, "hash")
+
+    def same(o: Column) -> Column:
+        start = F.col("at") - o["inside"]
+        return F.when(start >= 0, o["run"] == exact(F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, o["len"]))).otherwise(False)
+
+    found = F.transform(F.filter("owners", same), lambda o: F.struct((F.col("at") - o["inside"]).alias("at"), o["len"].alias("len"), o["item_id"].alias("item_id")))
     verified = met.select(
-        "doc_id", "row_key", "at", "len", F.size("words").cast("bigint").alias("n_words"),
-        F.when(F.col("at") >= 0, F.transform(right, lambda o: o["item_id"])).alias("ids"),
-    ).where("at < 0 or size(ids) > 0")
-    placed = F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "len")))
-    by_row = verified.groupBy("doc_id", "row_key", "n_words").agg(
-        F.count_if(F.col("at") < 0).alias("copies"), placed.alias("places"), F.flatten(F.collect_set("ids")).alias("ids")
-    )
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1)))))
+        "doc_id", "row_key", (F.col("at") < 0).alias("itself"), F.size("words").cast("bigint").alias("n_words"), F.when(F.col("at") >= 0, found).alias("found")
+    ).where("itself or size(found) > 0")
+    by_row = verified.groupBy("doc_id", "row_key", "n_words").agg(F.count_if("itself").alias("copies"), F.flatten(F.collect_set("found")).alias("found"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1)))))
     return by_row.select(
         "doc_id", "row_key", "n_words", covered.alias("hits"),
-        F.array_sort(F.array_distinct(F.transform("ids", lambda i: i.cast("string")))).alias("items"),
+        F.array_sort(F.array_distinct(F.transform("found", lambda p: p["item_id"].cast("string")))).alias("items"),
         F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
     ).drop("__copy")
 
