@@ -127,6 +127,18 @@ def mixture(counts: np.ndarray, chance: np.ndarray, allowed: np.ndarray) -> tupl
     return part, (counts * np.log(np.maximum(part @ chance.T, 1e-300))).sum(1)
 
 
+def chosen_sets(counts, chance, part, fit, price, best, value) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and penalised fit of the best of the nested sets that dropping the least language each time gives."""
+    allowed = np.ones(part.shape, bool)
+    for size in range(part.shape[1], 1, -1):
+        better = fit - price * size >= value
+        best, value = np.where(better[:, None], part, best), np.where(better, fit - price * size, value)
+        if size > 2:
+            allowed[np.arange(len(part)), np.where(allowed, part, np.inf).argmin(1)] = False
+            part, fit = mixture(counts, chance, allowed)
+    return best, value
+
+
 def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """Language and score of each text of a batch."""
     n_features, n_langs = model.chance.shape
@@ -137,16 +149,14 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     counts = np.bincount(cells, minlength=len(texts) * n_features).reshape(len(texts), n_features).astype(float)
     used = counts.any(0)  # columns that no text of the batch has change nothing
     counts, chance = counts[:, used], model.chance[used]
-    allowed = np.ones((len(texts), n_langs), bool)
-    part, fit = mixture(counts, chance, allowed)
     price = PENALTY * np.log(np.maximum(counts.sum(1), 2))
-    best, value = part, fit - price * n_langs
-    for size in range(n_langs - 1, 0, -1):
-        least = np.where(allowed, part, np.inf).argmin(1)
-        allowed[np.arange(len(texts)), least] = False
-        part, fit = mixture(counts, chance, allowed)
-        better = fit - price * size >= value
-        best, value = np.where(better[:, None], part, best), np.maximum(value, fit - price * size)
+    part, fit = mixture(counts, chance, np.ones((len(texts), n_langs), bool))
+    alone = counts @ np.log(chance)
+    best, value = np.eye(n_langs)[alone.argmax(1)], alone.max(1) - price
+    # No set fits better than all languages together: where even that fit would not pay for a second one, one it is.
+    open_ = np.flatnonzero(fit - 2 * price > value)
+    if open_.size:
+        best[open_], value[open_] = chosen_sets(counts[open_], chance, part[open_], fit[open_], price[open_], best[open_], value[open_])
     none = counts.sum(1) == 0
     best = np.where(none[:, None], model.share[None, :], best)
     first = best.argmax(1)
