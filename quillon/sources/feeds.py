@@ -22,7 +22,7 @@ def atom_feed(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     entries = spark.read.format("xml").option("rowTag", "entry").option("mode", "FAILFAST").schema(ENTRY).load(path)
     opened = F.filter("link", lambda x: F.contains(x["_rel"], F.lit("open-access")))
     chosen = F.coalesce(F.get(opened, 0), F.get(F.col("link"), 0))
-    url = F.when(chosen["_href"].rlike("^https?://"), chosen["_href"]).otherwise(F.concat(F.lit(base_url.rstrip("/")), F.lit("/"), F.ltrim(F.lit("/"), chosen["_href"])))
+    url = F.when(chosen["_href"].rlike("^https?://"), chosen["_href"]).otherwise(F.concat(F.lit(base_url.rstrip("/")), F.lit("/"), F.ltrim(chosen["_href"], F.lit("/"))))
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "title", "summary", "language", "flavour", "tags", "issued")]
     rows = entries.select("id", *texts, F.coalesce("articleCount", F.lit(0)).alias("article_count"), url.alias("url"), F.coalesce(F.try_to_number(chosen["_length"], F.lit("9" * 18)).cast("bigint"), F.lit(0)).alias("size"))
     return rows.where("id is not null and name <> '' and url is not null")
