@@ -172,8 +172,9 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and label (the group's name) of every node of `edges` (a, b: longs).
 
-    Each round every node takes the least node around it as its parent, parents are followed two steps, and the
-    edges are drawn anew between parents; groups at least halve. Every round is a few shuffles over what is left.
+    Each round every node takes the least node around it as its parent, parents are followed to the top of their tree, and
+    the edges are drawn anew between the tops, of which there are half as many at most. Every round is a few shuffles
+    over what is left.
     """
     edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     label = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
@@ -181,12 +182,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             return label
         both = edges.union(edges.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        parent = checkpointed(parent)
-        for _ in range(2):
+        parent = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")))
+        while True:  # each pass halves the way to the top of a tree
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            parent = parent.join(up, "p").select("v", F.col("q").alias("p"))
-        parent = checkpointed(parent)
+            higher = checkpointed(parent.join(up, "p").select("v", "p", "q"))
+            parent = higher.select("v", F.col("q").alias("p"))
+            if higher.where("p <> q").isEmpty():
+                break
         label = checkpointed(
             label.join(parent, F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label"))
         )

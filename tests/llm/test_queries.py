@@ -1,0 +1,53 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from quillon.llm import queries
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    duck = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    found = duck.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    rows = queries.queries()[name](spark, str(DATA))
+    assert sorted(rows.columns) == sorted(names)
+    assert sorted(str(tuple(r)) for r in found.fetchall()) == sorted(str(tuple(r[c] for c in names)) for r in rows.collect())
+
+
+def test_names():
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    before, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, str(DATA)).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        ids, kept = {r.doc_id for r in before.select("doc_id").collect()}, [r.doc_id for r in after.select("doc_id").collect()]
+        assert set(kept) <= ids
+        if name != "shard":
+            assert after.columns == columns
+        if name == "near_dedup":
+            from quillon.llm import simhash
+
+            assert sorted(kept) == sorted({r.component_id for r in simhash.near_duplicates(before).collect()})
+        if name == "decontaminate":
+            from quillon.llm import decontaminate
+
+            hit = decontaminate.scan(before, spark.read.parquet(str(DATA / "benchmark.parquet"))).where("size(hits) > 0")
+            assert sorted(kept) == sorted(ids - {r.doc_id for r in hit.collect()})
+        if name == "shard":
+            assert after.count() == before.count() and {"shard", "slot"} <= set(after.columns)
+        before = after
+    assert corpus_pipeline.run(spark, str(DATA)).count() == before.count()
