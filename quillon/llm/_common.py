@@ -32,6 +32,18 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+#: Keys (longs) that may be broadcast: about 60 MB as a hash table.
+MAX_KEYS = 1_000_000
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`rows` less those whose `key` is in `gone`. Up to MAX_KEYS keys are broadcast, so that wide rows stay where they are;
+    more are joined by a shuffle."""
+    if gone.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti")
+
+
 def running_start(df: DataFrame, rows: int, group: list[str], order: list[str], weight: str, out: str) -> DataFrame:
     """Add `out`: the sum of `weight` over the rows that come before, within `group`.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed
+from quillon.llm._common import checkpointed, without_rows
 
 WINDOW = 10
 #: What words are made of, and what stands between them.
@@ -122,7 +122,7 @@ def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, remove: str = "doc
     hit = scan(docs, items, n).where(F.size("hits") > 0).select(F.col("row_key").alias("__key"), F.col("hits").alias("__hits")).dropDuplicates(["__key"])
     keyed = docs.select("*", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("__key"))
     if remove == "documents":
-        return keyed.join(hit, "__key", "left_anti").select(*columns)
+        return without_rows(keyed, checkpointed(hit.select("__key")), "__key").select(*columns)
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

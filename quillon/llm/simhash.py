@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed
+from quillon.llm._common import checkpointed, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -218,10 +218,17 @@ def hex_fingerprint(fp: str) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, of one document of each group: that with the smallest doc_id.
 
-    Of rows that repeat its doc_id and text one stays. Of a group whose doc_ids are all null each text stays once.
+    Of rows that repeat its doc_id and text one stays. Of a group whose doc_ids are all null each text stays once. Texts
+    stay where they are: only keys are shuffled, unless more rows go than may be broadcast.
     """
-    found = near_duplicates(docs)
-    go = found.where("doc_id is distinct from component_id").select(F.col("row_key").alias("__key")).distinct()
-    first = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    stay = docs.select("*", row_key().alias("__key")).join(go, "__key", "left_anti")
-    return stay.withColumn("__nth", first).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs).select(F.col("row_key").alias("__key"), F.expr("doc_id is distinct from component_id and component_id is not null").alias("goes"))
+    counted = checkpointed(found.groupBy("__key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
+    repeated = counted.where("not goes").select("__key")
+    keyed = docs.select("*", row_key().alias("__key"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = without_rows(keyed, counted.select("__key"), "__key").select(*columns)
+    if repeated.isEmpty():
+        return stay
+    nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
+    once = keyed.join(repeated, "__key", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*columns)
+    return stay.unionAll(once)
