@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quillon.llm._common import checkpointed
 
 MAX_ROWS = 50_000
+PARTS = 8
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -134,7 +135,9 @@ def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     own = own.where(~held_out(F.col("__id")))
     share = min(1.0, max_rows / max(own.count(), 1))
     own = own.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return stats.join(own, stats.doc_id == own["__id"]).select("label", *NAMES)
+    # Dealt out and sorted by fixed rules: the forest draws by place, so that reruns draw the same rows.
+    rows = stats.join(own, stats.doc_id == own["__id"]).select("__id", "label", *NAMES)
+    return rows.repartition(PARTS, "__id").sortWithinPartitions("__id", "label", *NAMES).select("label", *NAMES)
 
 
 def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[Column | None, float]]:
