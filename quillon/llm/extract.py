@@ -46,6 +46,8 @@ JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form d
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SALTS, MAX_BROADCAST = 32, 50_000
+#: Path of what stands outside of any container.
+ROOT = "~"
 #: An opening tag that ends an open element of these tags first.
 CLOSES = {
     "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
@@ -73,7 +75,7 @@ def parse(html: str) -> list[tuple[str, str, bool, int]]:
     def flush() -> None:
         text = " ".join(unescape("".join(words)).split())
         if text:
-            blocks.append((stack[-1][2] if stack else "", text, state["prose"] or bool(stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre")), min(state["links"], len(text))))
+            blocks.append((stack[-1][2] if stack else ROOT, text, state["prose"] or bool(stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre")), min(state["links"], len(text))))
         words.clear()
         state["links"], state["prose"] = 0, False
 
@@ -111,7 +113,7 @@ def parse(html: str) -> list[tuple[str, str, bool, int]]:
         if tag == "a":
             state["in_link"] += 1
         names = _named(m[3]) if len(m[3]) > 2 else {}
-        above = stack[-1] if stack else ("", False, "")
+        above = stack[-1] if stack else ("", False, ROOT)
         junk = above[1] or tag in SKIP or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
         junk = junk or (tag not in ("html", "body", "article", "main") and bool(JUNK.search(f"{names.get('class', '')} {names.get('id', '')}")))
         if tag in RAW and not m[3].endswith("/"):
