@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillon.llm.secrets import RULES
+
 SQL: dict[str, str] = {}
 
 SQL["op4_decontaminate"] = r"""
@@ -50,3 +52,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(CASE WHEN reply THEN upto WHEN i > last_reply THEN n ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM summed GROUP BY conv_id
 """
+
+
+def _secret_scan() -> str:
+    """SQL of the secret scan, a part for each rule: matches and the gaps before them, then running sums."""
+    parts, good = [], []
+    for number, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {number} AS rule, '{rule.kind}' AS kind, generate_subscripts(m, 1) AS i, unnest(m) AS hit, unnest(g[1:len(m)]) AS gap FROM"
+            f" (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM d)"
+        )
+        good.append(f"WHEN {number} THEN length(regexp_extract(hit, '{pattern}', {rule.group})) >= {rule.least}")
+    base = ", ".join(str(i) for i, r in enumerate(RULES) if r.base)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    shown = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS BIGINT) AS stop FROM hits),
+spans AS (SELECT doc_id, rule, kind, stop - length(hit) AS start, stop FROM placed WHERE CASE rule {" ".join(good)} END),
+found AS (SELECT doc_id, {counts}, {shown} FILTER (WHERE rule IN ({base})) AS base, {shown} AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
+SQL["op3_secret_scan"] = _secret_scan()
