@@ -14,18 +14,30 @@ K1, B = 1.2, 0.75
 def postings(articles: DataFrame) -> DataFrame:
     """zim_id, path, term, tf and dl (the article's tokens): an inverted index, one row for each term of an article.
 
-    Terms are counted within a row, so that building the index shuffles nothing."""
-    terms = T.tokens(F.col("text"))
-    listed = articles.select("zim_id", "path", F.array_sort(terms).alias("t"), F.size(terms).alias("dl"))
-    listed = listed.select("zim_id", "path", "dl", "t", F.posexplode("t").alias("i", "term"))
-    last = listed.where(F.get("t", F.col("i") + 1).isNull() | (F.get("t", F.col("i") + 1) != F.col("term")))
-    return last.select("zim_id", "path", "term", (F.col("i") - F.array_position("t", F.col("term")) + 2).cast("bigint").alias("tf"), "dl")
+    A row's tokens are sorted and counted by where their runs end, so that building the index shuffles nothing."""
+    sorted_ = articles.select("zim_id", "path", F.array_sort(T.tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    last = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.coalesce(F.get("t", i + 1) != F.get("t", i), F.lit(True)))
+    ends = sorted_.withColumn("ends", last)
+    runs = F.transform("ends", lambda e, j: F.struct(F.get("t", e).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(-1))).cast("bigint").alias("tf")))
+    return ends.select("zim_id", "path", F.size("t").alias("dl"), F.inline(runs)).select("zim_id", "path", "term", "tf", "dl")
+
+
+def asked_postings(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of the index for some terms only: other tokens are dropped as they are read, before anything is counted."""
+    toks = articles.select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
+    rows = toks.select("zim_id", "path", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("zim_id", "path", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def terms_of(articles: DataFrame) -> DataFrame:
+    """zim_id, path and term: each term of an article once."""
+    return articles.select("zim_id", "path", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
 def archive_sizes(articles: DataFrame) -> DataFrame:
     return articles.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
 
@@ -41,7 +53,7 @@ def matches(queries: DataFrame, articles: DataFrame, every: bool = True) -> Data
     Only terms that some query asks for leave the index; the terms of a query batch are small next to it and Spark
     broadcasts them when they are."""
     asked = queries.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    index = postings(articles).join(asked.select("term").distinct(), "term", "left_semi")
+    index = asked_postings(articles, asked)
     frequent = index.groupBy("zim_id", "term").agg(F.count("*").alias("df"))
     rows = index.join(frequent, ["zim_id", "term"]).join(archive_sizes(articles), "zim_id").join(asked, "term")
     found = rows.groupBy("item_id", "n_terms", "zim_id", "path").agg(

@@ -57,7 +57,7 @@ def candidates(spark, sf_dir):
 
 @query("TX2", "SC11", sql=f"WITH {DOCS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM docs) GROUP BY term")
 def tok_inverted_index_df(spark, sf_dir):
-    return search.document_frequencies(search.postings(articles(spark, sf_dir)))
+    return search.document_frequencies(search.terms_of(articles(spark, sf_dir)))
 
 
 @query("TX2", sql=f"WITH {DOCS}, {POSTINGS} SELECT zim_id, path, term, tf, len(toks) AS dl FROM post JOIN docs USING (zim_id, path) WHERE term = 'the'")
