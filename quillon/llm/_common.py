@@ -70,7 +70,7 @@ def running_start(df: DataFrame, rows: int, group: list[str], order: list[str],
 
 
 ROUNDS = 6
-WALKS = 128
+WALKS = 64
 
 
 def permuted(index: Column, size: Column, seed: Column, rounds: int = ROUNDS) -> Column:
@@ -78,7 +78,7 @@ def permuted(index: Column, size: Column, seed: Column, rounds: int = ROUNDS) ->
 
     An unbalanced Feistel network permutes the least power of two that holds `size`; cycle walking sends values of
     `size` and above on until they fall inside. At least half of the domain is inside, so that a walk of WALKS steps
-    fails with odds of 2^-128; it would raise an error then, never return a wrong place.
+    fails with odds of 2^-64; it would raise an error then, never return a wrong place.
     """
     bits = F.greatest(F.lit(2), F.ceil(F.log2(size.cast("double"))).cast("int"))
     low = F.floor(bits / 2).cast("int")
@@ -97,6 +97,9 @@ def permuted(index: Column, size: Column, seed: Column, rounds: int = ROUNDS) ->
             F.lit(list(range(rounds))), first, step, lambda p: F.call_function("shiftleft", p["high"], low).bitwiseOR(p["low"])
         )
 
+    def ended(x: Column) -> Column:
+        return F.when(x < size, x).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("bigint"))
+
     once = feistel(index.cast("bigint"))
-    walked = F.aggregate(F.lit(list(range(WALKS))), once, lambda x, _: F.when(x >= size, feistel(x)).otherwise(x))
-    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("bigint"))
+    walked = F.aggregate(F.lit(list(range(WALKS))), once, lambda x, _: F.when(x >= size, feistel(x)).otherwise(x), ended)
+    return F.coalesce(walked, F.lit(-1).cast("bigint"))  # never null, so that a join need not work it out once more to ask

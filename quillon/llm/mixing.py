@@ -31,7 +31,7 @@ SHARD_BLOCKS = 8192
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: A token with the white space before it: joined, such pieces give the text back.
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-CHUNK = 4096
+CHUNK, CHUNKS_PER_TASK = 4096, 4
 
 
 def _source_key(source: Column) -> Column:
@@ -79,7 +79,7 @@ def drawn_blocks(sources: DataFrame, seed: int = 8, shard_blocks: int = SHARD_BL
     shards = max(1, -(-total // shard_blocks))
     chunks = sources.where("draws > 0").select(
         "key", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
-    ).repartition("key", "chunk")
+    ).repartition(max(1, -(-total // (CHUNK * CHUNKS_PER_TASK))), "key", "chunk")  # a fixed number: these small rows stand for much work
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1
     draws = chunks.select("key", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
     keyed = F.xxhash64("key", F.lit(seed))
@@ -108,7 +108,8 @@ def plan(docs: DataFrame, seed: int = 8, block: int = BLOCK) -> DataFrame:
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = cut.withColumn("from_word", low - F.col("start")).withColumn("n_words", F.coalesce(high - low, F.lit(0)))
-    return pieces.join(times, ["key", "block"], "left").select(
+    # Spark takes exploded rows for as few as they came from and would broadcast them.
+    return pieces.join(times.hint("merge"), ["key", "block"], "left").select(
         "doc_id", "row", "nth", "size", "source_size", "target", "from_word", "n_words", F.coalesce("times", F.lit(0)).alias("times")
     )
 
@@ -135,7 +136,7 @@ def mixed(docs: DataFrame, seed: int = 8) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), row.alias("row"))
     # Equal rows are the same text: the copies of all of them are cut out of one.
     first = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("__nth = 1")
-    out = first.join(by_row, "row").select("__doc", F.explode("__copies").alias("__copy"))
+    out = first.join(by_row.hint("merge"), "row").select("__doc", F.explode("__copies").alias("__copy"))
     words = F.regexp_extract_all(F.col("__doc.text").cast("string"), F.lit(PIECE), F.lit(0))
     picked = F.flatten(F.transform("__copy.cuts", lambda c: F.slice("__words", (c["from_word"] + 1).cast("int"), c["n_words"].cast("int"))))
     out = out.withColumn("__words", F.when(~F.col("__copy.whole"), words)).withColumn(
