@@ -123,3 +123,16 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 3) -> Dat
     out = queries.select("item_id", "terms").join(kept, "item_id", "left")
     none = F.array().cast("array<string>")
     return out.select("item_id", F.concat("terms", F.coalesce("added", none)).alias("terms"), F.coalesce("added", none).alias("added"))
+
+
+def titles_of_spans(queries: DataFrame, articles: DataFrame, each: int = 3, start: int = 4) -> DataFrame:
+    """item_id, zim_id, path and rank for queries (item_id, spans): up to `each` titles that start with a span, the exact one
+    instead where there is one; an article counts once, and ranks go on from `start`."""
+    asked = queries.select("item_id", F.posexplode("spans").alias("span_no", "prefix"))
+    keyed = asked.withColumn("own", F.concat_ws("/", "item_id", "span_no"))
+    found = titles_with_prefix(keyed.select(F.col("own").alias("item_id"), "prefix"), articles, each).withColumnRenamed("item_id", "own")
+    rows = found.join(keyed, "own").join(articles.select("zim_id", "path", F.lower("title").alias("title_key")), ["zim_id", "path"])
+    exact = rows.withColumn("exact", F.col("title_key") == F.lower("prefix")).withColumn("any_exact", F.max("exact").over(W.partitionBy("own", "zim_id")))
+    first = exact.where("exact or not any_exact").groupBy("item_id", "zim_id", "path").agg(F.min(F.struct("span_no", "rank")).alias("first"))
+    place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("first", "path")) - 1 + start
+    return first.select("item_id", "zim_id", "path", place.cast("bigint").alias("rank"))

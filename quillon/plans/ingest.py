@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import spans
 from quillon.functions import text as T
 from quillon.operators import ingest
 from quillon.plans.registry import query
@@ -126,3 +127,28 @@ def random_samples(spark, sf_dir):
     """Up to 24 distinct non-empty articles in a seeded random order (their number is what SQL can check)."""
     own = table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id")
     return own.orderBy(F.xxhash64("doc_id", F.lit(24)), "doc_id").limit(24).agg(F.count("*").alias("n"))
+
+
+@query("TX17", sql="SELECT page_id, length(html) AS n, sha256(html) AS html_sha256 FROM pages")
+def charset_decode(spark, sf_dir):
+    """Pages read back from bytes: they declare UTF-8, and come out as they were."""
+    pages = table(spark, sf_dir, "pages").select("page_id", spans.decoded_udf(F.col("html").cast("binary")).alias("html"))
+    return pages.select("page_id", F.length("html").cast("bigint").alias("n"), F.sha2("html", 256).alias("html_sha256"))
+
+
+@query("TX28", sql=r"""SELECT event_id, json_extract_string(regexp_extract('```json ' || props || ' ``` done', '\{.*\}', 0), '$.k') AS k FROM events""")
+def json_from_fences(spark, sf_dir):
+    """A value out of JSON that stands in a fence among other text; null where it is malformed."""
+    fenced = F.concat(F.lit("```json "), "props", F.lit(" ``` done"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(F.regexp_extract(fenced, r"(?s)\{.*\}", 0), "$.k").alias("k"))
+
+
+@query("TX24", sql=r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(\n\s*(\[[0-9]+\]\s*)+)+$', ''), '^(Here is|Based on)[^\n.]*[.:]\s*', '')) AS answer FROM conversations""")
+def answer_cleanup(spark, sf_dir):
+    bare = F.regexp_replace("text", r"(\n\s*(\[[0-9]+\]\s*)+)+$", "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"^(Here is|Based on)[^\n.]*[.:]\s*", "")).alias("answer"))
+
+
+@query("MA4", sql="SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS chance FROM events")
+def sigmoid_scores(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(1 / (1 + F.exp(-(F.col("value") - 50) / 10)), 6).alias("chance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import spans
 from quillon.functions import text as T
 from quillon.operators import ranking, search
 from quillon.plans.registry import query
@@ -178,3 +179,14 @@ WITH {DOCS}, {ALIASES} SELECT target, source, CAST(n AS BIGINT) AS n FROM (
 def alias_cap_per_target(spark, sf_dir):
     first = alias_table(spark, sf_dir).groupBy("source").agg(F.min("target").alias("target"))
     return ranking.restart_ranks(first, ["target"], ["source"]).select("target", "source", (F.col("rank") + 1).cast("bigint").alias("n")).where("n <= 30")
+
+
+@query("TX5")
+def entity_spans(spark, sf_dir):
+    return questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+
+
+@query("CS3", "TX6")
+def title_entity_suggest(spark, sf_dir):
+    asked_spans = questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+    return search.titles_of_spans(asked_spans, articles(spark, sf_dir))
