@@ -136,3 +136,36 @@ def titles_of_spans(queries: DataFrame, articles: DataFrame, each: int = 3, star
     first = exact.where("exact or not any_exact").groupBy("item_id", "zim_id", "path").agg(F.min(F.struct("span_no", "rank")).alias("first"))
     place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("first", "path")) - 1 + start
     return first.select("item_id", "zim_id", "path", place.cast("bigint").alias("rank"))
+
+
+def shortened(queries: DataFrame, articles: DataFrame, enough: float, least_terms: int = 4) -> DataFrame:
+    """item_id, variant and top: a query whose best share of terms found is below `enough` is tried again with its first three,
+    then its first two terms; a shorter form is taken when it does strictly better, and the search ends once it is enough."""
+    long = F.size("terms") >= least_terms
+    forms = F.array(F.struct(F.lit(0).alias("variant"), F.col("terms").alias("terms")), *[
+        F.struct(F.lit(v).alias("variant"), F.slice("terms", 1, n).alias("terms")) for v, n in ((1, 3), (2, 2))
+    ])
+    own = queries.select("item_id", F.inline(F.when(long, forms).otherwise(F.slice(forms, 1, 1))))
+    keyed = own.withColumn("own", F.col("item_id") * 4 + F.col("variant"))
+    found = matches(keyed.select(F.col("own").alias("item_id"), "terms"), articles, every=False)
+    top = found.groupBy("item_id").agg(F.max(F.col("n_met") / F.col("n_terms")).alias("top"))
+    scored = keyed.select("item_id", "variant", "own").join(top.withColumnRenamed("item_id", "own"), "own", "left")
+    tops = scored.groupBy("item_id").pivot("variant", [0, 1, 2]).agg(F.first(F.coalesce("top", F.lit(0.0))))
+    first = F.struct(F.lit(0).alias("variant"), F.col("0").alias("top"))
+
+    def better(now, variant: int):
+        value = F.coalesce(F.col(str(variant)), F.lit(0.0))
+        return F.when((now["top"] < enough) & (value > now["top"]), F.struct(F.lit(variant).alias("variant"), value.alias("top"))).otherwise(now)
+
+    chosen = tops.withColumn("c", first).withColumn("c", better(F.col("c"), 1)).withColumn("c", better(F.col("c"), 2))
+    return chosen.select("item_id", "c.variant", "c.top")
+
+
+def uncovered(spans: DataFrame, passages: DataFrame) -> DataFrame:
+    """item_id, span_no and span of spans (item_id, spans) that no passage (item_id, text) of the query holds, case and white space aside."""
+    def folded(c):
+        return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+
+    rows = spans.select("item_id", F.posexplode("spans").alias("span_no", "span"))
+    held = rows.join(passages.select("item_id", "text"), "item_id").where(F.contains(folded(F.col("text")), folded(F.col("span")))).select("item_id", "span_no").distinct()
+    return rows.join(held, ["item_id", "span_no"], "left_anti")

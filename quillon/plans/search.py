@@ -190,3 +190,35 @@ def entity_spans(spark, sf_dir):
 def title_entity_suggest(spark, sf_dir):
     asked_spans = questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
     return search.titles_of_spans(asked_spans, articles(spark, sf_dir))
+
+
+@query("RC1", sql=f"""WITH {DOCS}, {POSTINGS}, {ITEMS}, forms AS (SELECT item_id, 0 AS v, terms FROM items UNION ALL SELECT item_id, 1, terms[1:3] FROM items WHERE len(terms) >= 4 UNION ALL SELECT item_id, 2, terms[1:2] FROM items WHERE len(terms) >= 4),
+met AS (SELECT item_id, v, zim_id, path, count(*) / any_value(n) AS share FROM (SELECT item_id, v, len(terms) AS n, unnest(terms) AS term FROM forms) JOIN post USING (term) GROUP BY item_id, v, zim_id, path),
+tops AS (SELECT item_id, coalesce(max(share) FILTER (WHERE v = 0), 0) AS a, coalesce(max(share) FILTER (WHERE v = 1), 0) AS b, coalesce(max(share) FILTER (WHERE v = 2), 0) AS c FROM forms LEFT JOIN met USING (item_id, v) GROUP BY item_id),
+one AS (SELECT *, CASE WHEN a < 0.9 AND b > a THEN 1 ELSE 0 END AS v1, CASE WHEN a < 0.9 AND b > a THEN b ELSE a END AS t1 FROM tops)
+SELECT item_id, CASE WHEN t1 < 0.9 AND c > t1 THEN 2 ELSE v1 END AS variant, CASE WHEN t1 < 0.9 AND c > t1 THEN c ELSE t1 END AS top FROM one""")
+def prefix_shorten_retry(spark, sf_dir):
+    return search.shortened(asked(spark, sf_dir), articles(spark, sf_dir), 0.9)
+
+
+@query("RC4")
+def coverage_search(spark, sf_dir):
+    """Spans of a question that none of its candidates holds, and titles that start with the first of them."""
+    own = questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+    pool = candidates(spark, sf_dir).select("item_id", "zim_id", "path").distinct().join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"])
+    first = search.uncovered(own, pool).groupBy("item_id").agg(F.array(F.min(F.struct("span_no", "span"))["span"]).alias("spans"))
+    return search.titles_of_spans(first, articles(spark, sf_dir))
+
+
+@query("AG39", sql=f"""{BASE}, {CANDIDATES}, hit AS (SELECT DISTINCT item_id FROM fts), t AS (SELECT DISTINCT item_id FROM items JOIN docs ON lower(title) LIKE lower(split_part(raw, ' ', 1)) || '%')
+SELECT count(*) AS n, count(*) FILTER (WHERE hit.item_id IS NULL) AS missed, count(*) FILTER (WHERE hit.item_id IS NULL AND t.item_id IS NOT NULL) AS missed_with_title
+FROM items LEFT JOIN hit ON hit.item_id = items.item_id LEFT JOIN t ON t.item_id = items.item_id""")
+def probe_partition(spark, sf_dir):
+    """How many questions the all-terms search misses, and how many of these a title that starts like them could still reach."""
+    items = asked(spark, sf_dir).select("item_id", F.lower(F.split("raw", " ")[0]).alias("word"))
+    hit = candidates(spark, sf_dir).where("source = 'fts'").select("item_id").distinct().withColumn("hit", F.lit(True))
+    heads = articles(spark, sf_dir).select(F.lower(F.split("title", " ")[0]).alias("head")).distinct()
+    titled = items.join(heads, F.col("head").startswith(F.col("word")) & (F.substring("head", 1, 1) == F.substring("word", 1, 1))).select("item_id").distinct().withColumn("titled", F.lit(True))
+    rows = items.join(hit, "item_id", "left").join(titled, "item_id", "left")
+    missed = F.col("hit").isNull()
+    return rows.agg(F.count("*").alias("n"), F.count_if(missed).alias("missed"), F.count_if(missed & F.col("titled").isNotNull()).alias("missed_with_title"))
