@@ -200,3 +200,18 @@ def snippet(text: Column, terms: Column, size: int = 220, half: int = 110) -> Co
         F.when(start > 0, "…").otherwise(""), F.trim(F.substr(text, start + 1, high - start)), F.when(high < n, "…").otherwise("")
     )
     return F.when(n <= size, text).when(F.size(places) > 0, window).otherwise(F.concat(cut, F.lit("…")))
+
+
+def context_overflow(status: Column, body: Column) -> Column:
+    """Whether a refused request says that it was larger than the model's window."""
+    low = F.lower(body)
+    said = F.contains(low, F.lit("context size")) | F.contains(low, F.lit("context length")) | F.contains(low, F.lit("context window"))
+    return F.coalesce((status == 400) & F.contains(low, F.lit("exceed")) & said, F.lit(False))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """first and last byte of a Range header bytes=a-b, bytes=a- or bytes=-n; null when it cannot be met."""
+    a, b = (F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", i).try_cast("bigint") for i in (1, 2))
+    first = F.when(a.isNull(), F.greatest(size - b, F.lit(0))).otherwise(a)
+    last = F.when(a.isNull() | b.isNull(), size - 1).otherwise(F.least(b, size - 1))
+    return F.when(header.rlike(r"^bytes=(\d+-\d*|-\d*[1-9]\d*)$") & (size > 0) & (first <= last), F.struct(first.alias("first"), last.alias("last")))

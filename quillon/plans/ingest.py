@@ -99,7 +99,7 @@ def section_neighbour_band_join(spark, sf_dir):
     return ingest.neighbours(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 1)
 
 
-@query("TX25", "RC2", "MA6", sql=f"""WITH {DOCS}, items AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))) AS terms FROM benchmark WHERE item_id < 10),
+@query("TX25", "TX14", "SO5", "RC2", "MA6", sql=f"""WITH {DOCS}, items AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))) AS terms FROM benchmark WHERE item_id < 10),
 c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM docs WHERE zim_id = 3), n AS (SELECT count(*) AS n FROM c),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM c) GROUP BY term), q AS (SELECT item_id, unnest(terms) AS term FROM items)
 SELECT item_id, doc_id, round(sum(ln(1 + n / (1 + df))), 6) AS score FROM q JOIN df USING (term) JOIN (SELECT doc_id, unnest(t) AS term FROM c) USING (term), n GROUP BY item_id, doc_id""")

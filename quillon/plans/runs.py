@@ -165,3 +165,23 @@ def compare_guards(spark, sf_dir):
     a, b = two_runs(spark, sf_dir)
     one = a.select("question_id", F.lit(1).alias("a")).join(b.select("question_id", F.lit(1).alias("b")), "question_id", "full_outer")
     return one.agg((F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0).alias("same_subset"), F.count("a").alias("n_a"), F.count("b").alias("n_b"))
+
+
+@query("FI14", sql="SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 = 0 AS overflow FROM documents")
+def overflow_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 3 == 0, "Request exceeds the Context Size").otherwise("bad request")
+    return docs.select("doc_id", T.context_overflow(F.when(F.col("doc_id") % 2 == 0, 400).otherwise(500), body).alias("overflow"))
+
+
+@query("SC18", sql="SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN greatest(n_chars - 5, 0) WHEN 2 THEN 90 END AS first, least(CASE doc_id % 4 WHEN 0 THEN 99 WHEN 3 THEN NULL ELSE n_chars END, n_chars - 1) AS last FROM documents WHERE n_chars > 100 AND doc_id % 4 < 3")
+def byte_ranges(spark, sf_dir):
+    header = F.get(F.array(F.lit("bytes=10-99"), F.lit("bytes=-5"), F.lit("bytes=90-"), F.lit("lines=1-2")), (F.col("doc_id") % 4).cast("int"))
+    docs = table(spark, sf_dir, "documents").where("n_chars > 100").withColumn("r", T.byte_range(header, F.col("n_chars")))
+    return docs.where("r is not null").select("doc_id", "r.first", "r.last")
+
+
+@query("TX37", "TX38", sql="SELECT p_partkey, string_agg(CASE WHEN length(w) = 2 THEN NULL ELSE upper(left(w, 1)) || lower(substr(w, 2)) END, ' ' ORDER BY i) AS title FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part) GROUP BY p_partkey")
+def humanised_titles(spark, sf_dir):
+    words = F.filter(F.split("p_type", " "), lambda w: F.length(w) != 2)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ").alias("title"))

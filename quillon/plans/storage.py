@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
-from quillon.sources import sinks
+from quillon.plans.streams import folder
+from quillon.sources import feeds, sinks
 from quillon.sources.tables import table, vectors
 
 
@@ -33,3 +34,93 @@ def last_write_wins(spark, sf_dir):
 @query("SK7", "EV4", sql="SELECT item_id, sha256(concat_ws(chr(31), 'v2', CAST(item_id AS VARCHAR), text, 'm1')) AS cache_key FROM benchmark")
 def judge_cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.concat_ws("\u001f", F.lit("v2"), F.col("item_id").cast("string"), "text", F.lit("m1")), 256).alias("cache_key"))
+
+
+@query("SK4", "SK9", sql="SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY source")
+def replace_in_full(spark, sf_dir):
+    """A table written, then replaced as a whole by a swap."""
+    path, docs = f"{folder(spark)}/t", table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    sinks.replace_table(docs, path)
+    sinks.replace_table(docs.where("lang = 'fr'"), path)
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SK5", sql="SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lang = 'fr' THEN 0 ELSE doc_id END) AS BIGINT) AS ids FROM documents GROUP BY lang")
+def reload_by_partition(spark, sf_dir):
+    """One partition wiped and loaded anew; the others stay."""
+    path, docs = f"{folder(spark)}/t", table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs.write.partitionBy("lang").parquet(path)
+    sinks.reload_partitions(docs.where("lang = 'fr'").withColumn("doc_id", F.lit(0).cast("bigint")), path, "lang")
+    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+def _document(root):
+    """One XML document of the elements in column x."""
+    return F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("x"), ""), F.lit(f"</{root}>"))
+
+
+@query("SC9", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name, 'http://base/' || p_partkey || '.zim' AS url, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 20 = 0")
+def atom_feed_rows(spark, sf_dir):
+    """The catalogue written as an Atom feed and read back."""
+    home = folder(spark)
+    key = F.col("p_partkey").cast("string")
+    entry = F.concat(
+        F.lit("<entry><id>"), key, F.lit("</id><name>"), F.col("p_brand"), F.lit("</name><link rel='x' href='http://other/' length='1'/><link rel='open-access' href='/"), key,
+        F.lit(".zim' length='"), F.col("p_size").cast("string"), F.lit("'/></entry>"))
+    table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(entry.alias("x")).agg(_document("feed")).write.text(f"{home}/feed")
+    return feeds.atom_feed(spark, f"{home}/feed", "http://base/").select("id", "name", "url", "size")
+
+
+@query("SC10", sql="SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS BIGINT) AS size, p_brand AS sha256, 'http://a|http://b|http://c' AS mirrors FROM part WHERE p_partkey % 20 = 1")
+def metalink_rows(spark, sf_dir):
+    home = folder(spark)
+    file = F.concat(
+        F.lit("<file name='"), F.col("p_partkey").cast("string"), F.lit("'><size>"), F.col("p_size").cast("string"), F.lit("</size><hash type='sha-256'>"), F.col("p_brand"),
+        F.lit("</hash><url priority='20'>http://b</url><url>http://c</url><url priority='3'>http://a</url></file>"))
+    table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(file.alias("x")).agg(_document("metalink")).write.text(f"{home}/links")
+    return feeds.metalink(spark, f"{home}/links").select("name", "size", "sha256", F.array_join("mirrors", "|").alias("mirrors"))
+
+
+def _entries(spark, sf_dir):
+    """Archive entries made of pages, with a JSON sidecar for every third and a stub for every sixth of these."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("k"), "html")
+    flag, no = F.lit(False).alias("is_redirect"), F.lit(None).cast("string").alias("redirect_target")
+    html = pages.select(F.lit(1).alias("zim_id"), F.concat(F.lit("A/"), "k").alias("path"), F.lit("text/html; charset=utf-8").alias("mimetype"), F.col("html").alias("content"), flag, no)
+    side = pages.where("page_id % 3 = 0").select(
+        F.lit(1).alias("zim_id"), F.concat(F.lit("v/"), "k", F.lit(".json")).alias("path"), F.lit("application/json").alias("mimetype"),
+        F.concat(F.lit('{"videoPath": "'), "k", F.lit('.webm", "duration": "PT1M"}')).alias("content"), flag, no)
+    stub = pages.where("page_id % 6 = 0").select(F.lit(1).alias("zim_id"), F.concat(F.lit("index/"), "k").alias("path"), F.lit("text/html").alias("mimetype"), F.lit("").alias("content"), F.lit(True).alias("is_redirect"), F.concat(F.lit("A/"), "k").alias("redirect_target"))
+    return html.unionByName(side).unionByName(stub)
+
+
+@query("SC7", sql="SELECT 'index/' || page_id AS path, page_id || '.webm' AS video FROM pages WHERE page_id % 6 = 0")
+def media_sidecar_rows(spark, sf_dir):
+    return feeds.media_sidecars(_entries(spark, sf_dir)).select("path", "video")
+
+
+@query("SC1", sql="SELECT 'A/' || page_id AS path FROM pages")
+def text_entry_scan(spark, sf_dir):
+    return feeds.text_entries(_entries(spark, sf_dir)).select("path")
+
+
+@query("SC8", "SC2", sql="SELECT 'A/' || page_id AS doc_path, 'T' || page_id AS title FROM pages WHERE page_id % 2 = 0")
+def document_manifest_rows(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    record = F.concat(F.lit("{'_id': 1, 'ti': 'T"), k, F.lit("', \"aut\": 'x', 'fp': ['A/"), k, F.lit("', 'other']}"))
+    scripts = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.lit(1).alias("zim_id"), F.concat(F.lit("var DATABASE = ["), record, F.lit(", {'ti': 'gone', 'fp': ['none']}];")).alias("content"))
+    return feeds.document_manifest(scripts, _entries(spark, sf_dir)).select("doc_path", "title")
+
+
+@query("ST9", sql="SELECT doc_id AS question_id, coalesce(CAST(quality AS VARCHAR), 'pending') AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def pending_then_judged(spark, sf_dir):
+    """Rows written as pending, then judged by key in a second step."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.lit("pending").alias("verdict"))
+    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("string").alias("verdict"))
+    return sinks.upserted(docs, judged, ["question_id"])
+
+
+@query("ST7", "ST3", sql="SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') AND o_orderkey % 2 = 0 THEN 'queued' ELSE o_orderstatus END AS state FROM orders")
+def recovered_jobs(spark, sf_dir):
+    """Jobs after a restart: running and queued ones are queued again, paused and ended ones stay."""
+    again = F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderkey") % 2 == 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(again, "queued").otherwise(F.col("o_orderstatus")).alias("state"))
