@@ -18,13 +18,13 @@ def scored(spark, sf_dir):
     return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["lexical"], until="passage_scorer").passages
 
 
-@query("CS1", "FU1", "PB1", "SR1", "AS2", "AS6")
+@query("CS1", "FU1", "PB1", "SR1", "SR3", "AS4", "AS6", "SC15", "UD1", "UD2", "UD7")
 def retrieve_hybrid(spark, sf_dir):
     """The pipeline end to end: prepare, search, fuse, split, score, assemble; the cards of each question."""
     return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["standard"]).cards
 
 
-@query("PB2")
+@query("PB2", "TX9")
 def passages_sentence_chunks(spark, sf_dir):
     rows = passages.split(articles(spark, sf_dir))
     return rows.select("zim_id", "path", "ordinal", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
@@ -57,7 +57,7 @@ def assemble_cap_budget_window(spark, sf_dir):
     return out.select("zim_id", "path", "place", "used")
 
 
-@query("AS2", "AS1")
+@query("AS2", "AS1", "FI11")
 def assemble_topk_budget(spark, sf_dir):
     return assembly.assemble(scored(spark, sf_dir), "topk_budget")
 
@@ -109,7 +109,7 @@ def snippet_window(spark, sf_dir):
     return rows.select("item_id", "zim_id", "path", T.snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 
-@query("FO1", "FO2")
+@query("FO1", "FO2", "AG33")
 def focused_view(spark, sf_dir):
     """The part of each question's best long article that bears on it, within 2000 characters."""
     first = W.partitionBy("item_id").orderBy("rank", "zim_id", "path")
@@ -124,7 +124,7 @@ def focused_view(spark, sf_dir):
     return rows.select("item_id", "path", view("text", "terms").alias("view"))
 
 
-@query("EV2")
+@query("EV2", "MA14")
 def sweep_rounds(spark, sf_dir):
     """The lexical profile under two passage budgets: what a sweep over a parameter compares."""
     runs = pipeline.sweep(pipeline.PROFILES["lexical"], "topk_budget.budget=400,1200")
