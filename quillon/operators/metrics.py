@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,10 +14,14 @@ def share(condition: Column, of: Column | None = None) -> Column:
     return F.coalesce(F.avg(F.when(of, condition.cast("double"))), F.lit(0.0))
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """Nearest-rank percentile of an array: item round(p * (n - 1)), halves to even; null when empty."""
-    at = F.bround(F.lit(percent / 100.0) * (F.size(values) - 1)).cast("int")
-    return F.get(F.array_sort(values), at)
+def nearest_ranks(rows: DataFrame, group: list[str], value: str, percents: list[int]) -> DataFrame:
+    """p<percent> per group: item round(p * (n - 1)) of the sorted values, halves to even. Values are counted first, and ranks are
+    running sums of the counts, so that no group's values are gathered in a list."""
+    counted = rows.groupBy(*group, value).agg(F.count("*").alias("c"))
+    own = W.partitionBy(*group)
+    upto = counted.withColumn("upto", F.sum("c").over(own.orderBy(value))).withColumn("n", F.sum("c").over(own))
+    wanted = [F.min(F.when(F.col("upto") > F.bround(F.lit(p / 100.0) * (F.col("n") - 1)), F.col(value))).alias(f"p{p}") for p in percents]
+    return upto.groupBy(*group).agg(*wanted)
 
 
 def hit_ranks(retrieved: DataFrame, expected: DataFrame) -> DataFrame:

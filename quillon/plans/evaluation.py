@@ -154,12 +154,12 @@ def _nearest(values: str, percent: int) -> str:
   count(*) FILTER (WHERE n_chars > 16384) AS over_16384, CAST(sum(question_id % 4 + 1) AS BIGINT) AS requests_total FROM v GROUP BY capability)
 SELECT capability, n, {_nearest("peaks", 50)} AS p50, {_nearest("peaks", 90)} AS p90, {_nearest("peaks", 95)} AS p95, max, over_8192, over_16384, requests_total FROM p""")
 def peak_context(spark, sf_dir):
-    size, peaks = F.col("n_chars"), F.col("peaks")
-    by_capability = answers(spark, sf_dir).groupBy("capability").agg(
-        F.collect_list(size).alias("peaks"), F.count("*").alias("n"), F.max(size).alias("max"), F.count_if(size > 8192).alias("over_8192"),
-        F.count_if(size > 16384).alias("over_16384"), F.sum(F.col("question_id") % 4 + 1).alias("requests_total"),
+    size, rows = F.col("n_chars"), answers(spark, sf_dir)
+    sums = rows.groupBy("capability").agg(
+        F.count("*").alias("n"), F.max(size).alias("max"), F.count_if(size > 8192).alias("over_8192"), F.count_if(size > 16384).alias("over_16384"),
+        F.sum(F.col("question_id") % 4 + 1).alias("requests_total"),
     )
-    return by_capability.select("capability", "n", *[metrics.nearest_rank(peaks, p).alias(f"p{p}") for p in (50, 90, 95)], "max", "over_8192", "over_16384", "requests_total")
+    return sums.join(metrics.nearest_ranks(rows, ["capability"], "n_chars", [50, 90, 95]), "capability")
 
 
 @query("AG23", "EV4", sql="SELECT count(*) AS n, round(coalesce(corr(quality, 1 - toxic), 0), 6) AS pearson FROM labels")

@@ -57,9 +57,9 @@ def results_filter_page(spark, sf_dir):
 @query("AG22", sql=f"""WITH {V} SELECT count(*) AS n, round(avg(n_chars), 6) AS mean, list_sort(list(n_chars))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50,
   list_sort(list(n_chars))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95 FROM v WHERE n_chars > 0""")
 def latency_positive_only(spark, sf_dir):
-    size = F.col("n_chars")
-    rows = answers(spark, sf_dir).where(size > 0).agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean"), F.collect_list(size).alias("all"))
-    return rows.select("n", "mean", *[metrics.nearest_rank(F.col("all"), p).alias(f"p{p}") for p in (50, 95)])
+    rows = answers(spark, sf_dir).where("n_chars > 0").withColumn("run", F.lit("all"))
+    sums = rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return sums.join(metrics.nearest_ranks(rows, ["run"], "n_chars", [50, 95]), "run").drop("run")
 
 
 @query("AG31", sql="""SELECT l_returnflag AS run, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS tokens, list_sort(list(l_quantity))[count(*) // 2 + 1] AS p50_upper, round(avg(l_extendedprice), 4) AS mean_latency,
