@@ -3,10 +3,11 @@
 Each page's containers are scored by the text of the paragraphs straight inside them, less their links. A page votes,
 with the score, for the generalised path of its best container: the tags and classes on the way down, digits
 taken out. Votes are summed per host in Spark; each host's winning path is where its pages' text is then taken from.
-A page without the winning path falls back on the best container of its own.
+A page without the winning path falls back on the best container of its own. From there the text is that of the whole
+article around it (see `climbed`), so that headings, leads and sibling sections stay.
 
 Boilerplate is left out wherever it stands: by tag (menus, headers, footers, asides, forms, scripts, styles) and by
-words in class, id or role (adverts, notices, sidebars, comments and the like). Character references are decoded, white
+words in class, id or role of boxes, never of headings, paragraphs and inline tags (adverts, notices, sidebars, comments and the like). Character references are decoded, white
 space within a block becomes one space, and blocks are joined in page order by one space.
 
 Winning paths are joined on by host with salt, as one host may hold a third of all pages; up to
@@ -42,6 +43,8 @@ JUNK = re.compile(
     r"|breadcrumbs?|footer|header|masthead|share|social|related|recommended|comments?|comment-?list|disqus|replies|respond|widget|pagination|pager|login|signup|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Tags whose class or id may mark boilerplate; headings, paragraphs, list items and inline tags are content whatever they are called.
+BOXES = frozenset("section div td th table ul ol dl blockquote center details figure nav aside header footer".split())
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -115,7 +118,7 @@ def parse(html: str) -> list[tuple[str, str, bool, int]]:
         names = _named(m[3]) if len(m[3]) > 2 else {}
         above = stack[-1] if stack else ("", False, ROOT)
         junk = above[1] or tag in SKIP or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
-        junk = junk or (tag not in ("html", "body", "article", "main") and bool(JUNK.search(f"{names.get('class', '')} {names.get('id', '')}")))
+        junk = junk or (tag in BOXES and bool(JUNK.search(f"{names.get('class', '')} {names.get('id', '')}")))
         if tag in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else end
@@ -137,8 +140,31 @@ def best_path(blocks: list[tuple[str, str, bool, int]]) -> tuple[str, float]:
     return max(((s, p) for p, s in scores.items()), default=(0.0, ""))[::-1]
 
 
+def inside(block: tuple[str, str, bool, int], path: str) -> bool:
+    return not path or block[0] == path or block[0].startswith(path + "/")
+
+
+def climbed(blocks: list[tuple[str, str, bool, int]], path: str) -> str:
+    """The container of the whole article around a winning path: the outermost article, else the outermost main; else the way
+    out goes on, short of the body, while the further blocks are at least half prose and less than half links."""
+    steps = path.split("/")
+    for tag in ("article", "main"):
+        at = next((i for i, s in enumerate(steps) if s.split(".")[0] == tag), None)
+        if at is not None:
+            return "/".join(steps[: at + 1])
+    while True:
+        outer = path.rpartition("/")[0]
+        if not outer or outer == ROOT or outer.rpartition("/")[2].split(".")[0] == "body":
+            return path
+        further = [b for b in blocks if inside(b, outer) and not inside(b, path)]
+        size = sum(len(b[1]) for b in further)
+        if further and (2 * sum(b[3] for b in further) >= size or 2 * sum(len(b[1]) for b in further if b[2]) < size):
+            return path
+        path = outer
+
+
 def text_at(blocks: list[tuple[str, str, bool, int]], path: str) -> str:
-    return " ".join(b[1] for b in blocks if b[0] == path or b[0].startswith(path + "/") or not path)
+    return " ".join(b[1] for b in blocks if inside(b, path))
 
 
 def host_of(url: Column) -> Column:
@@ -164,8 +190,8 @@ def _taken(batches):
         texts = []
         for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             blocks = parse(html or "")
-            text = text_at(blocks, path) if path else ""
-            texts.append(text or text_at(blocks, best_path(blocks)[0]))
+            found = path if path and any(inside(b, path) for b in blocks) else best_path(blocks)[0]
+            texts.append(text_at(blocks, climbed(blocks, found)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

@@ -40,3 +40,16 @@ def test_odd_pages(spark):
     assert {k: r.text for k, r in texts(spark, rows).items()} == {1: "", 2: "", 3: "plain <text>", 4: "a b c", 5: "", 6: "deep"}
     assert extract.main_texts(spark.createDataFrame(rows, SCHEMA)).count() == 7
     assert extract.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_article_around_the_winner(spark):
+    content = "<html><body><article><h1>Head</h1><p>Lead.</p><div class='content'><p>%s</p></div></article><div class='teasers'><p>Other</p></div></body></html>" % ("body " * 60)
+    sections = "<html><body><div class='post'><div class='intro'><p>%s</p></div><div class='body'><p>%s</p></div></div><div class='links'><a href='/'>All</a></div></body></html>" % ("intro " * 50, "body " * 400)
+    found = texts(spark, [(1, "http://a.example/", content), (2, "http://b.example/", sections)])
+    assert found[1].text == "Head Lead. " + ("body " * 60).strip()
+    assert found[2].text == ("intro " * 50 + "body " * 400).strip()
+
+
+def test_headings_with_slugs_stay(spark):
+    page = "<html><body><article><h2 id='search-algorithms'>Search</h2><p>One.</p><h2 id='related-work'>Related</h2><p class='notice'>Two <span class='share'>three</span>.</p><div class='related'><p>Gone</p></div></article></body></html>"
+    assert texts(spark, [(1, "http://c.example/", page)])[1].text == "Search One. Related Two three."
