@@ -82,13 +82,26 @@ b AS (SELECT doc_id, source, list_distinct(list_transform(range(1, len(ws)), lam
 SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.bg, y.bg)) / len(list_distinct(list_concat(x.bg, y.bg))), 6) AS likeness FROM b x JOIN b y ON x.source = y.source AND x.doc_id < y.doc_id
 WHERE len(x.bg) >= 4 AND len(list_intersect(x.bg, y.bg)) / len(list_distinct(list_concat(x.bg, y.bg))) > 0.85""")
 def near_dup_bigram_pairs(spark, sf_dir):
-    """Near-duplicate short documents of a source: pairs share a rarest-first prefix bigram, then are verified."""
+    """Near-duplicate documents of a source under 600 characters, as its SQL has it: pairs share a rarest-first prefix bigram, then are
+    verified. `near_dup_bigram_sets` takes all documents."""
     docs = table(spark, sf_dir, "documents").where("n_chars < 600")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     rows = docs.where(F.size(words) > 4).select("doc_id", "source", T.word_bigrams(F.col("text")).alias("bg")).where(F.size("bg") >= 4)
     return pipeline.likely_pairs(rows, 0.85)
 
 
+@query("DD1", "TX13", "JN13")
+def near_dup_bigram_sets(spark, sf_dir):
+    """Near-duplicates among all documents, of any length and across sources: a row for each document beside the least doc_id with
+    the same bigrams (kind same), and one for each two such representatives that are alike (kind near)."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").where(F.size(words) > 4)
+    rows = docs.select("doc_id", F.lit("").alias("source"), T.word_bigrams(F.col("text")).alias("bg")).where(F.size("bg") >= 4)
+    near, member = pipeline.likely_sets(rows, 0.85)
+    same = member.select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness"), F.lit("same").alias("kind"))
+    return same.unionByName(near.select(F.col("ha").alias("a"), F.col("hb").alias("b"), F.round("likeness", 6).alias("likeness"), F.lit("near").alias("kind")))
+
+
 @query("AS6", "WN7", sql="""SELECT source, lang, count(*) AS passages, arg_max(doc_id, n_chars * 1000000 - doc_id) AS best FROM documents GROUP BY source, lang""")
 def cards_best_passage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

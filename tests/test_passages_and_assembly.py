@@ -100,3 +100,17 @@ def test_assemblers_keep_their_limits(name, seed):
         assert max(sum(q.zim_id == p.zim_id for q in chosen) for p in chosen) <= 4
     if name == "lead_boost" and any(p.is_lead and p.breadcrumb == "A" for p in rows):
         assert chosen[0].is_lead and chosen[0].breadcrumb == "A"
+
+
+def test_near_dup_sets_of_any_length_and_source(spark, tmp_path):
+    from quillon.plans.assembly import near_dup_bigram_sets
+
+    base = " ".join(f"word{i}" for i in range(200))
+    texts = [("src1", base), ("src2", base + " more"), ("src3", base), ("src1", " ".join(f"other{i}" for i in range(200))), ("src2", "one two three four five six")]
+    spark.createDataFrame([(i, s, t, len(t)) for i, (s, t) in enumerate(texts)], "doc_id long, source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    bags = {i: {tuple(p) for p in zip(t.split(), t.split()[1:])} for i, (_, t) in enumerate(texts)}
+    head = {i: min(j for j in bags if bags[j] == bags[i]) for i in bags}
+    near = {(a, b) for a in set(head.values()) for b in set(head.values()) if a < b and len(bags[a] & bags[b]) / len(bags[a] | bags[b]) > 0.85}
+    rows = near_dup_bigram_sets(spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in rows if r.kind == "same") == sorted((h, i) for i, h in head.items())
+    assert {(r.a, r.b) for r in rows if r.kind == "near"} == near == {(0, 1)}
