@@ -101,14 +101,17 @@ def ladder(raw: Column) -> Column:
 def titles_with_prefix(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
     """item_id, zim_id, path, rank: articles whose title starts with the query's `prefix`, by title and path.
 
-    The join is on the prefix's first word, so that only articles that share it are compared."""
+    The join is on the prefix's first word, so that only articles that share it are compared; a prefix of one word is joined on
+    its first three characters, or on all of it where it is shorter."""
     asked = queries.select("item_id", F.lower(F.trim("prefix")).alias("prefix")).where("prefix <> ''")
     asked = asked.withColumn("head", F.split("prefix", " ")[0]).withColumn("whole", ~F.contains("prefix", F.lit(" ")))
     known = articles.select("zim_id", "path", F.lower("title").alias("title_key")).withColumn("head", F.split("title_key", " ")[0])
     found = known.join(asked.where(~F.col("whole")), "head").where(F.startswith("title_key", F.col("prefix")))
-    short = asked.where("whole").withColumn("head", F.substring("prefix", 1, 3))
-    by_start = known.withColumn("head", F.substring("title_key", 1, 3)).join(short.where(F.length("prefix") >= 3), "head").where(F.startswith("title_key", F.col("prefix")))
-    rows = found.select("item_id", "zim_id", "path", "title_key").union(by_start.select("item_id", "zim_id", "path", "title_key"))
+    rows = found.select("item_id", "zim_id", "path", "title_key")
+    for n in (1, 2, 3):
+        short = asked.where("whole").where(F.least(F.length("prefix"), F.lit(3)) == n).withColumn("head", F.substring("prefix", 1, n))
+        by_start = known.withColumn("head", F.substring("title_key", 1, n)).join(short, "head").where(F.startswith("title_key", F.col("prefix")))
+        rows = rows.union(by_start.select("item_id", "zim_id", "path", "title_key"))
     place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("title_key", "path")) - 1
     return rows.withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
 

@@ -41,3 +41,10 @@ def test_ladder(spark):
         return [r["name"] for r in spark.range(1).select(search.ladder(F.lit(text)).alias("r")).first().r]
 
     assert rungs("mount a usb drive") == ["all_terms", "or_of_terms", "title"] and rungs("how is usb") == ["all_terms", "stopword_stripped", "or_of_terms", "title"] and rungs("the") == ["title"]
+
+
+def test_short_prefixes_have_titles(spark):
+    known = spark.createDataFrame([(1, "a", "UK economy"), (1, "b", "ukulele"), (1, "c", "東京"), (1, "d", "Uganda"), (1, "e", "AI")], "zim_id int, path string, title string")
+    asked = spark.createDataFrame([(1, "UK"), (2, "東京"), (3, "u"), (4, "uku"), (5, " ")], "item_id long, prefix string")
+    found = search.titles_with_prefix(asked, known, 5)
+    assert sorted((r.item_id, r.path, r["rank"]) for r in found.collect()) == [(1, "a", 0), (1, "b", 1), (2, "c", 0), (3, "a", 1), (3, "b", 2), (3, "d", 0), (4, "b", 0)]
