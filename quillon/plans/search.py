@@ -66,6 +66,12 @@ def inverted_index_postings(spark, sf_dir):
     return search.postings(articles(spark, sf_dir)).where("term = 'the'").withColumn("dl", F.col("dl").cast("bigint"))
 
 
+@query("TX2", sql=f"WITH {DOCS}, {POSTINGS} SELECT zim_id, path, term, tf, len(toks) AS dl FROM post JOIN docs USING (zim_id, path)")
+def inverted_index_postings_all(spark, sf_dir):
+    """The whole index; `inverted_index_postings` is one term of it."""
+    return search.postings(articles(spark, sf_dir)).withColumn("dl", F.col("dl").cast("bigint"))
+
+
 @query("TX1", "TX3", "FI12", "QP1", sql=rf"""
 WITH raws AS (SELECT item_id, {RAW} AS raw FROM benchmark),
 words AS (SELECT item_id, raw, list_filter(regexp_split_to_array(translate(lower(trim(raw)), '?"''', '   '), '\s+'), lambda w: w <> '') AS ws FROM raws),
