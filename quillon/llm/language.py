@@ -127,6 +127,13 @@ def mixture(counts: np.ndarray, chance: np.ndarray, allowed: np.ndarray) -> tupl
     return part, (counts * np.log(np.maximum(part @ chance.T, 1e-300))).sum(1)
 
 
+def gap(counts: np.ndarray, chance: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """By how much the log-likelihood of the proportions may still rise, at most: it is concave in them."""
+    n = counts.sum(1)
+    rise = ((counts / np.maximum(part @ chance.T, 1e-300)) @ chance).max(1) / np.maximum(n, 1)
+    return n * np.log(np.maximum(rise, 1.0))
+
+
 def chosen_sets(counts, chance, part, fit, price, best, value) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and penalised fit of the best of the nested sets that dropping the least language each time gives."""
     allowed = np.ones(part.shape, bool)
@@ -153,8 +160,8 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     part, fit = mixture(counts, chance, np.ones((len(texts), n_langs), bool))
     alone = counts @ np.log(chance)
     best, value = np.eye(n_langs)[alone.argmax(1)], alone.max(1) - price
-    # No set fits better than all languages together: where even that fit would not pay for a second one, one it is.
-    open_ = np.flatnonzero(fit - 2 * price > value)
+    # No set fits better than all languages together: where even the best such fit would not pay for a second one, one it is.
+    open_ = np.flatnonzero(fit + gap(counts, chance, part) - 2 * price > value)
     if open_.size:
         best[open_], value[open_] = chosen_sets(counts[open_], chance, part[open_], fit[open_], price[open_], best[open_], value[open_])
     none = counts.sum(1) == 0
