@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: `spark.checkpoint.dir`; only where that is unset (tests, a laptop) a temporary one."""
+    """The cluster's shared folder: `spark.checkpoint.dir`. Where that is unset, a temporary folder in local mode (tests, a
+    laptop); on a cluster an error, as its machines would not see each other's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
     return sc.getCheckpointDir()
 
 
@@ -28,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever stands in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def packed(df: DataFrame, name: str) -> Column:
+    """All columns of `df` as one struct called `name`: what is added beside it can clash with none of them."""
+    return F.struct(*columns_of(df)).alias(name)
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

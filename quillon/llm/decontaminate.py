@@ -1,12 +1,15 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, met by each document's windows.
 
 Every benchmark item gives its windows of `n` consecutive words (an item with fewer words, but not none, is one
-window). The hash set holds, for every window, the hashes of all its blocks of half its length; its size is checked before it is
-broadcast, and beyond the bound the same join runs shuffled. A document is cut into blocks of that length: a window that occurs
-in it, wherever it starts, covers one of these whole, so no occurrence is missed at a tenth of the hashing that all windows
-would take. Each block that meets the set is verified word by word, over the whole window it stands in, before it counts.
+window). The hash set holds the hash of each window; its size in bytes is checked before it is broadcast, and beyond
+the bound the same join runs shuffled, over (row, place, hash) alone. Every window of a document is hashed, at each length
+that the benchmark has, and looked up; what meets the set is verified word by word before it counts.
 
-The pass over the documents has one join and one aggregation by row; only windows that hit travel.
+Hashes of windows are built by doubling: those of 1, 2, 4 and 8 words from each other, and those of any other length from two
+overlapping windows of the next lower power of two. So a place costs four hashes, not one for each word of its window.
+
+With the broadcast set the pass over the documents has one join and one aggregation by row, and only windows that hit
+travel. Shuffled, words are fetched for rows that hit only.
 
 Defined cases: null texts have no words and no hits; a document shorter than the window can only be hit by items of at
 most its own length; null doc_ids and repeated rows give a row each; an empty benchmark hits nothing; an
@@ -18,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, without_rows
+from quillon.llm._common import checkpointed, packed, without_rows
 
 WINDOW = 10
 #: What words are made of, and what stands between them.
 INSIDE, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Blocks of benchmark windows that may be broadcast (about 100 MB); more of them are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Bytes of the hash set, windows and item_ids included, that may be broadcast; a larger one is joined by a shuffle.
+MAX_BROADCAST = 64 << 20
+#: Bytes of a window's row besides its words and item_ids.
+ROW_BYTES, ID_BYTES = 96, 24
 
 
 def words_of(text: Column) -> Column:
@@ -33,29 +38,34 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"{INSIDE}+"), F.lit(0))
 
 
-def word_hashes(words: Column) -> Column:
-    """Hashes that are equal where words are equal but for case; the verification looks at A-Z alone."""
-    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+def row_key() -> Column:
+    """One number for doc_id and text: rows that share it are repeats of each other."""
+    return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
 
 
 def exact(words: Column) -> Column:
     return F.translate(F.array_join(words, " "), UPPER, LOWER)
 
 
-def block_hash(single: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *[F.get(single, at + k) for k in range(size)])
-
-
-def half(n: int) -> int:
-    """The longest block length of which every run of `n` words holds a whole block, wherever blocks are laid."""
-    return (n + 1) // 2
+def paired(hashes: Column, shift: int) -> Column:
+    """Each hash of a list taken together with that `shift` places on."""
+    n = F.greatest(F.size(hashes) - shift, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(shift + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def aligned_blocks(single: Column, size: int) -> Column:
-    """hash and at of the blocks of `size` words that a text is cut into."""
-    last = F.floor(F.size(single) / size).cast("int") - 1
-    numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.struct(block_hash(single, i * size, size).alias("hash"), (i * size).alias("at")))
+def with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Add `hashed` to rows with `words`: an array for each of `lengths`, of the hashes of all windows of so many words by their
+    place. Hashes are equal where words are equal but for case; the verification looks at A-Z alone."""
+    rows = rows.withColumn("g1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    power = 1
+    while 2 * power <= max(lengths, default=1):
+        rows = rows.withColumn(f"g{2 * power}", paired(F.col(f"g{power}"), power))
+        power *= 2
+    parts = []
+    for k in lengths:
+        half = 1 << (k.bit_length() - 1)
+        parts.append(F.col(f"g{half}") if half == k else paired(F.col(f"g{half}"), k - half))
+    return rows.withColumn("hashed", F.array(*parts)).drop(*[f"g{1 << i}" for i in range(power.bit_length())])
 
 
 def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -67,49 +77,84 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def hash_set(windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """hash and owners: for each block of each window, the windows it stands in, with its place there."""
-    places = F.lit(None).cast("array<struct<hash:bigint,inside:int>>")
+    """hash and owners of each different hash: the windows that have it (len, run, items: the item_ids as strings), one but for chance."""
+    hashed = with_windows(windows.withColumnRenamed("run", "words"), lengths)
+    own = F.get(F.get("hashed", F.array_position(F.lit(lengths), F.col("len")).cast("int") - 1), F.lit(0))
+    rows = hashed.select(own.alias("hash"), "len", exact(F.col("words")).alias("run"), F.col("item_id").cast("string").alias("item"))
+    by_run = rows.groupBy("hash", "len", "run").agg(F.collect_set("item").alias("items"))
+    return by_run.groupBy("hash").agg(F.collect_list(F.struct("len", "run", "items")).alias("owners"))
+
+
+def bytes_of(listed: DataFrame) -> int:
+    """About how many bytes the hash set takes as a broadcast table."""
+    own = F.aggregate("owners", F.lit(0).cast("bigint"), lambda n, o: n + F.octet_length(o["run"]) + F.size(o["items"]) * ID_BYTES + ROW_BYTES)
+    return listed.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
+
+
+def _start(lengths: list[int], first: int, pos: Column, n_words: Column, length: Column) -> Column:
+    """Word number at which the window of `length` words at place `pos` of all lengths' windows, laid end to end after `first`
+    other entries, begins."""
+    before, out = F.lit(first), F.lit(None).cast("int")
     for k in lengths:
-        own = F.array(*[
-            F.struct(block_hash(F.col("single"), F.lit(q), half(k)).alias("hash"), F.lit(q).alias("inside")) for q in range(k - half(k) + 1)
-        ])
-        places = F.when(F.col("len") == k, own).otherwise(places)
-    blocks = windows.withColumn("single", word_hashes(F.col("run"))).select("item_id", "len", exact(F.col("run")).alias("run"), F.inline(places)).distinct()
-    return blocks.groupBy("hash").agg(F.collect_list(F.struct("len", "run", "inside", "item_id")).alias("owners"))
+        out = F.when(length == k, pos - before).otherwise(out)
+        before = before + F.greatest(n_words - k + 1, F.lit(0))
+    return out
 
 
-def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Per row of `docs`: doc_id, row_key, n_words, hits (the word numbers hit, sorted) and items (their ids, sorted as strings)."""
-    windows = checkpointed(item_windows(items, n))
-    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # n values at most
-    listed = hash_set(windows, lengths)
-    # Hash 0 stands for the row itself, so that each row of `docs` comes through the join once whatever it holds.
-    row = windows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast(listed.schema["owners"].dataType).alias("owners"))
-    listed = checkpointed(listed.where("hash <> 0").union(row))
-    if listed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        listed = F.broadcast(listed)
-    parsed = docs.select(
-        F.col("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("row_key"), words_of(F.col("text")).alias("words")
-    ).withColumn("single", word_hashes(F.col("words")))
-    itself = F.array(F.struct(F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("at")))
-    blocks = F.concat(itself, *[aligned_blocks(F.col("single"), size) for size in sorted({half(k) for k in lengths})])
-    met = parsed.select("doc_id", "row_key", "words", F.inline(blocks)).join(listed, "hash")
+def _verified(lengths: list[int], first: int) -> Column:
+    """Of the `owners` met at `pos`, those whose words stand there: at, len and items."""
+    n_words = F.size("words")
+
+    def place(o: Column) -> Column:
+        return _start(lengths, first, F.col("pos"), n_words, o["len"])
 
     def same(o: Column) -> Column:
-        start = F.col("at") - o["inside"]
-        return F.when(start >= 0, o["run"] == exact(F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, o["len"]))).otherwise(False)
+        at = place(o)
+        inside = (at >= 0) & (at + o["len"] <= n_words)
+        return F.coalesce(inside & (o["run"] == exact(F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, o["len"]))), F.lit(False))
 
-    found = F.transform(F.filter("owners", same), lambda o: F.struct((F.col("at") - o["inside"]).alias("at"), o["len"].alias("len"), o["item_id"].alias("item_id")))
+    return F.transform(F.filter("owners", same), lambda o: F.struct(place(o).alias("at"), o["len"].alias("len"), o["items"].alias("items")))
+
+
+def _by_broadcast(parsed: DataFrame, listed: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, row_key, n_words and found of each row. Hash 0 at place 0 stands for the row itself, which so comes through the join
+    once whatever it holds; being broadcast, the set makes no hot key of it."""
+    itself = parsed.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast(listed.schema["owners"].dataType).alias("owners"))
+    table = F.broadcast(listed.where("hash <> 0").union(itself))
+    every = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten("hashed"))
+    met = parsed.select("doc_id", "row_key", "words", F.posexplode(every).alias("pos", "hash")).join(table, "hash")
+    own = F.col("pos") == 0
     verified = met.select(
-        "doc_id", "row_key", (F.col("at") < 0).alias("itself"), F.size("words").cast("bigint").alias("n_words"), F.when(F.col("at") >= 0, found).alias("found")
+        "doc_id", "row_key", own.alias("itself"), F.size("words").cast("bigint").alias("n_words"), F.when(~own, _verified(lengths, 1)).alias("found")
     ).where("itself or size(found) > 0")
     by_row = verified.groupBy("doc_id", "row_key", "n_words").agg(F.count_if("itself").alias("copies"), F.flatten(F.collect_set("found")).alias("found"))
+    return by_row.select("doc_id", "row_key", "n_words", "found", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("col")
+
+
+def _by_shuffle(parsed: DataFrame, listed: DataFrame, lengths: list[int]) -> DataFrame:
+    """As `_by_broadcast`, for a set of any size."""
+    places = parsed.select("row_key", F.posexplode(F.flatten("hashed")).alias("pos", "hash"))
+    met = checkpointed(places.join(listed.hint("merge"), "hash").select("row_key", "pos", "owners").distinct())
+    some = parsed.select("row_key", "words").join(met.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+    verified = met.join(some, "row_key").select("row_key", _verified(lengths, 0).alias("found")).where("size(found) > 0")
+    by_row = verified.groupBy("row_key").agg(F.flatten(F.collect_set("found")).alias("found"))
+    none = F.array().cast(by_row.schema["found"].dataType)
+    return parsed.select("doc_id", "row_key", F.size("words").cast("bigint").alias("n_words")).join(by_row, "row_key", "left").select(
+        "doc_id", "row_key", "n_words", F.coalesce("found", none).alias("found")
+    )
+
+
+def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """Per row of `docs`: doc_id, row_key, n_words, hits (the word numbers hit, sorted) and items (their ids, sorted as strings)."""
+    windows = checkpointed(item_windows(items, n))
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) or [n]  # n values at most
+    listed = checkpointed(hash_set(windows, lengths))
+    rows = docs.select(F.col("doc_id"), row_key().alias("row_key"), words_of(F.col("text")).alias("words"))
+    parsed = with_windows(rows, lengths)
+    found = (_by_broadcast if bytes_of(listed) <= MAX_BROADCAST else _by_shuffle)(parsed, listed, lengths)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1)))))
-    return by_row.select(
-        "doc_id", "row_key", "n_words", covered.alias("hits"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda p: p["item_id"].cast("string")))).alias("items"),
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda p: p["items"]))))
+    return found.select("doc_id", "row_key", "n_words", covered.alias("hits"), ids.alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, remove: str = "documents") -> DataFrame:
@@ -118,17 +163,18 @@ def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, remove: str = "doc
     With spans, a hit word goes with what stands between it and the next word; n_chars, if there is such a column,
     follows the new text. Documents without hits are left alone.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    hit = scan(docs, items, n).where(F.size("hits") > 0).select(F.col("row_key").alias("__key"), F.col("hits").alias("__hits")).dropDuplicates(["__key"])
-    keyed = docs.select("*", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("__key"))
-    if remove == "documents":
-        return without_rows(keyed, checkpointed(hit.select("__key")), "__key").select(*columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove}")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hit = scan(docs, items, n).where(F.size("hits") > 0).select("row_key", "hits").dropDuplicates(["row_key"])
+    keyed = docs.select(packed(docs, "doc"), row_key().alias("row_key"))
+    if remove == "documents":
+        return without_rows(keyed, checkpointed(hit.select("row_key")), "row_key").select("doc.*")
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     lead = F.regexp_extract(text, f"^{BETWEEN}*", 0)
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(f"{INSIDE}+{BETWEEN}*"), F.lit(0)), lambda _, i: ~F.array_contains("__hits", i))
-    left = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(pieces, "")))
-    out = keyed.join(hit, "__key", "left").withColumn("__left", left)
-    changed = {"text": F.col("__left"), "n_chars": F.when(F.col("__hits").isNull(), F.col("n_chars") if "n_chars" in docs.columns else None).otherwise(F.char_length("__left"))}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(f"{INSIDE}+{BETWEEN}*"), F.lit(0)), lambda _, i: ~F.array_contains("hits", i))
+    out = keyed.join(hit, "row_key", "left").withColumn("left", F.concat(lead, F.array_join(pieces, "")))
+    changed = {"text": F.col("left"), "n_chars": F.char_length("left").cast("bigint")}
+    doc = F.col("doc")
+    for name in [c for c in docs.columns if c in changed]:
+        doc = doc.withField(name, F.when(F.col("hits").isNull(), F.col(f"doc.{name}")).otherwise(changed[name]))
+    return out.select(doc.alias("doc")).select("doc.*")
