@@ -42,6 +42,12 @@ def packed(df: DataFrame, name: str) -> Column:
     return F.struct(*columns_of(df)).alias(name)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of `df`; maps, which have none, go in as JSON."""
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in zip(columns_of(df), kinds, strict=True)])
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

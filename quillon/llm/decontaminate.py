@@ -1,15 +1,15 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, met by each document's windows.
 
 Every benchmark item gives its windows of `n` consecutive words (an item with fewer words, but not none, is one
-window). The hash set holds the hash of each window; its size in bytes is checked before it is broadcast, and beyond
-the bound the same join runs shuffled, over (row, place, hash) alone. Every window of a document is hashed, at each length
-that the benchmark has, and looked up; what meets the set is verified word by word before it counts.
+window). The hash set holds the hash of each window; its size is checked before it is broadcast, and beyond the bound the
+same join runs shuffled. Every window of a document is hashed, at each length that the benchmark has, and looked up. Rows that
+go through this join are a number for the row, a place and a hash, never texts.
 
 Hashes of windows are built by doubling: those of 1, 2, 4 and 8 words from each other, and those of any other length from two
 overlapping windows of the next lower power of two. So a place costs four hashes, not one for each word of its window.
 
-With the broadcast set the pass over the documents has one join and one aggregation by row, and only windows that hit
-travel. Shuffled, words are fetched for rows that hit only.
+Places that meet the set are verified: the words that stand there are cut out of the texts of the rows concerned, and
+count where a window of the benchmark has the same words.
 
 Defined cases: null texts have no words and no hits; a document shorter than the window can only be hit by items of at
 most its own length; null doc_ids and repeated rows give a row each; an empty benchmark hits nothing; an
@@ -27,10 +27,10 @@ WINDOW = 10
 #: What words are made of, and what stands between them.
 INSIDE, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of the hash set, windows and item_ids included, that may be broadcast; a larger one is joined by a shuffle.
-MAX_BROADCAST = 64 << 20
-#: Bytes of a window's row besides its words and item_ids.
-ROW_BYTES, ID_BYTES = 96, 24
+#: Hashes that may be broadcast: about 60 MB as a hash table; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+#: Places to verify that may be broadcast to where the texts are: about 50 MB.
+MAX_PLACES = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -76,85 +76,71 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.size("run").alias("len"), "run")
 
 
-def hash_set(windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """hash and owners of each different hash: the windows that have it (len, run, items: the item_ids as strings), one but for chance."""
+def hashed_windows(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """hash, run (lower-case words, joined) and items (the item_ids that have it, as strings) of each different window."""
     hashed = with_windows(windows.withColumnRenamed("run", "words"), lengths)
     own = F.get(F.get("hashed", F.array_position(F.lit(lengths), F.col("len")).cast("int") - 1), F.lit(0))
-    rows = hashed.select(own.alias("hash"), "len", exact(F.col("words")).alias("run"), F.col("item_id").cast("string").alias("item"))
-    by_run = rows.groupBy("hash", "len", "run").agg(F.collect_set("item").alias("items"))
-    return by_run.groupBy("hash").agg(F.collect_list(F.struct("len", "run", "items")).alias("owners"))
-
-
-def bytes_of(listed: DataFrame) -> int:
-    """About how many bytes the hash set takes as a broadcast table."""
-    own = F.aggregate("owners", F.lit(0).cast("bigint"), lambda n, o: n + F.octet_length(o["run"]) + F.size(o["items"]) * ID_BYTES + ROW_BYTES)
-    return listed.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
-
-
-def _start(lengths: list[int], first: int, pos: Column, n_words: Column, length: Column) -> Column:
-    """Word number at which the window of `length` words at place `pos` of all lengths' windows, laid end to end after `first`
-    other entries, begins."""
-    before, out = F.lit(first), F.lit(None).cast("int")
-    for k in lengths:
-        out = F.when(length == k, pos - before).otherwise(out)
-        before = before + F.greatest(n_words - k + 1, F.lit(0))
-    return out
-
-
-def _verified(lengths: list[int], first: int) -> Column:
-    """Of the `owners` met at `pos`, those whose words stand there: at, len and items."""
-    n_words = F.size("words")
-
-    def place(o: Column) -> Column:
-        return _start(lengths, first, F.col("pos"), n_words, o["len"])
-
-    def same(o: Column) -> Column:
-        at = place(o)
-        inside = (at >= 0) & (at + o["len"] <= n_words)
-        return F.coalesce(inside & (o["run"] == exact(F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, o["len"]))), F.lit(False))
-
-    return F.transform(F.filter("owners", same), lambda o: F.struct(place(o).alias("at"), o["len"].alias("len"), o["items"].alias("items")))
-
-
-def _by_broadcast(parsed: DataFrame, listed: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, row_key, n_words and found of each row. Hash 0 at place 0 stands for the row itself, which so comes through the join
-    once whatever it holds; being broadcast, the set makes no hot key of it."""
-    itself = parsed.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast(listed.schema["owners"].dataType).alias("owners"))
-    table = F.broadcast(listed.where("hash <> 0").union(itself))
-    every = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten("hashed"))
-    met = parsed.select("doc_id", "row_key", "words", F.posexplode(every).alias("pos", "hash")).join(table, "hash")
-    own = F.col("pos") == 0
-    verified = met.select(
-        "doc_id", "row_key", own.alias("itself"), F.size("words").cast("bigint").alias("n_words"), F.when(~own, _verified(lengths, 1)).alias("found")
-    ).where("itself or size(found) > 0")
-    by_row = verified.groupBy("doc_id", "row_key", "n_words").agg(F.count_if("itself").alias("copies"), F.flatten(F.collect_set("found")).alias("found"))
-    return by_row.select("doc_id", "row_key", "n_words", "found", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("col")
-
-
-def _by_shuffle(parsed: DataFrame, listed: DataFrame, lengths: list[int]) -> DataFrame:
-    """As `_by_broadcast`, for a set of any size."""
-    places = parsed.select("row_key", F.posexplode(F.flatten("hashed")).alias("pos", "hash"))
-    met = checkpointed(places.join(listed.hint("merge"), "hash").select("row_key", "pos", "owners").distinct())
-    some = parsed.select("row_key", "words").join(met.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-    verified = met.join(some, "row_key").select("row_key", _verified(lengths, 0).alias("found")).where("size(found) > 0")
-    by_row = verified.groupBy("row_key").agg(F.flatten(F.collect_set("found")).alias("found"))
-    none = F.array().cast(by_row.schema["found"].dataType)
-    return parsed.select("doc_id", "row_key", F.size("words").cast("bigint").alias("n_words")).join(by_row, "row_key", "left").select(
-        "doc_id", "row_key", "n_words", F.coalesce("found", none).alias("found")
-    )
+    rows = hashed.select(own.alias("hash"), exact(F.col("words")).alias("run"), F.col("item_id").cast("string").alias("item"))
+    return rows.groupBy("hash", "run").agg(F.collect_set("item").alias("items"))
+
+
+def _places(found: Column, lengths: list[int], n_words: Column) -> Column:
+    """Where windows stand (at, len and hash), from their numbers (pos, hash) when the windows of all lengths are laid end to end."""
+    def place(p: Column) -> Column:
+        before, at, length = F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k in lengths:
+            own = F.greatest(n_words - k + 1, F.lit(0))
+            inside = at.isNull() & (p["pos"] < before + own)
+            at, length = F.when(inside, p["pos"] - before).otherwise(at), F.when(length.isNull() & (p["pos"] < before + own), k).otherwise(length)
+            before = before + own
+        return F.struct(at.alias("at"), length.alias("len"), p["hash"].alias("hash"))
+
+    return F.transform(found, place)
+
+
+def met_places(parsed: DataFrame, known: DataFrame, broadcast: bool) -> DataFrame:
+    """doc_id, row_key, n_words and met (number and hash of the windows whose hash is in `known`) of each row of `parsed`.
+
+    With a broadcast set, hash 0 at number -1 stands for the row itself, which so comes through the join once whatever it holds;
+    being broadcast, the set makes no hot key of it. Shuffled, there is no such mark, and rows are joined to what they met."""
+    n_words, entry = F.size("words").cast("bigint").alias("n_words"), F.struct("pos", "hash")
+    if broadcast:
+        table = F.broadcast(known.where("hash <> 0").union(parsed.sparkSession.range(1).select(F.lit(0).cast("bigint"))))
+        every = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten("hashed"))
+        rows = parsed.select("doc_id", "row_key", n_words, F.posexplode(every).alias("pos", "hash")).join(table, "hash").withColumn("pos", F.col("pos") - 1)
+        by_row = rows.groupBy("doc_id", "row_key", "n_words").agg(
+            F.count_if(F.col("pos") < 0).alias("copies"), F.collect_set(F.when(F.col("pos") >= 0, entry)).alias("met"))
+        return by_row.select("doc_id", "row_key", "n_words", "met", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    rows = parsed.select("row_key", F.posexplode(F.flatten("hashed")).alias("pos", "hash")).join(known.hint("merge"), "hash", "left_semi")
+    by_row = rows.groupBy("row_key").agg(F.collect_set(entry).alias("met"))
+    none = F.array().cast(by_row.schema["met"].dataType)
+    return parsed.select("doc_id", "row_key", n_words).join(by_row, "row_key", "left").withColumn("met", F.coalesce("met", none))
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per row of `docs`: doc_id, row_key, n_words, hits (the word numbers hit, sorted) and items (their ids, sorted as strings)."""
     windows = checkpointed(item_windows(items, n))
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) or [n]  # n values at most
-    listed = checkpointed(hash_set(windows, lengths))
-    rows = docs.select(F.col("doc_id"), row_key().alias("row_key"), words_of(F.col("text")).alias("words"))
-    parsed = with_windows(rows, lengths)
-    found = (_by_broadcast if bytes_of(listed) <= MAX_BROADCAST else _by_shuffle)(parsed, listed, lengths)
+    listed = checkpointed(hashed_windows(windows, lengths))
+    known = listed.select("hash").distinct()
+    parsed = with_windows(docs.select(F.col("doc_id"), row_key().alias("row_key"), words_of(F.col("text")).alias("words")), lengths)
+    rows = checkpointed(met_places(parsed, known, known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST))
+    some = rows.where(F.size("met") > 0).dropDuplicates(["row_key"]).select("row_key", "met")
+    if (some.agg(F.sum(F.size("met") + 4)).first()[0] or 0) <= MAX_PLACES:
+        some = F.broadcast(some)
+    # Words are cut out before places are taken apart, so that no text is copied for each place.
+    texts = docs.select(row_key().alias("row_key"), "text").join(some, "row_key").withColumn("words", words_of(F.col("text")))
+    places = texts.withColumn("places", _places(F.col("met"), lengths, F.size("words")))
+    runs = F.transform("places", lambda p: F.struct(p["hash"].alias("hash"), p["at"].alias("at"), p["len"].alias("len"), exact(F.slice(F.col("words"), p["at"] + 1, p["len"])).alias("run")))
+    verified = places.select("row_key", F.inline(runs)).join(listed, ["hash", "run"])
+    place = F.struct("at", "len", "items")
+    found = verified.groupBy("row_key").agg(F.collect_set(place).alias("found"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda p: p["items"]))))
-    return found.select("doc_id", "row_key", "n_words", covered.alias("hits"), ids.alias("items"))
+    found = found.select("row_key", covered.alias("hits"), ids.alias("items"))
+    return rows.select("doc_id", "row_key", "n_words").join(found, "row_key", "left").select(
+        "doc_id", "row_key", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, remove: str = "documents") -> DataFrame:

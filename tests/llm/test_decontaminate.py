@@ -66,6 +66,7 @@ def test_clean(spark):
 def test_shuffled_join_and_empty_tables(spark, monkeypatch):
     docs, items = tables(spark)
     monkeypatch.setattr(dc, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(dc, "MAX_PLACES", 0)
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, list(r.hits), list(r["items"])) for r in dc.scan(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect())
     assert found == sorted((d if d is not None else -1, *brute(t, items)) for d, t in docs)
     assert dc.scan(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
