@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-Each source's words (its documents in a fixed order) are cut into blocks of fixed length. A source's target, in whole
-blocks, is its number of draws; every draw picks an output shard by a keyed hash, which makes the counts of a
-source over the shards one multinomial draw whose total meets the target. The k-th draw of a source takes the block at
-permutation(k mod blocks), a keyed Feistel permutation of the source's block numbers, so that no block comes up a second
-time before all have come up once. Drawn block numbers are counted, then joined with the blocks by number.
+Each source's words (its documents in a fixed order) are cut into blocks of fixed length, and a source's target is a whole
+number of draws. All draws together fill the slots of the output shards, a fixed number to a shard. Which sources a shard
+gets is drawn for each shard from all draws, without putting back: its source counts are multinomial given that every source
+meets its target exactly (independent multinomial draws would meet it on average only). The drawing is a keyed
+permutation of all draws onto all slots, so that each slot is found on its own. The k-th draw of a source takes the block
+at permutation(k mod blocks), a keyed Feistel permutation of the source's block numbers, so that no block comes up a second
+time before all have come up once. Drawn block numbers are joined with the blocks by number.
 
 All is arithmetic over (document, size) rows until the end: texts move only when `mixed` cuts them out.
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, permuted, running_start
+from quillon.llm._common import checkpointed, packed, permuted, row_hash, running_start
 
 BLOCK = 128
 SHARE, MOST = 1.5, 2
@@ -39,7 +41,7 @@ def _source_key(source: Column) -> Column:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row = row_hash(docs)
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKEN)).cast("bigint")
     return docs.select(
         F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), row.alias("row"),
@@ -48,7 +50,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """key, source_size, weight, target, blocks and draws of each source of rows (key, source, size)."""
+    """key, source_size, weight, target, blocks and draws of each source of rows (key, source, size), and first: how many draws the
+    sources before it have. All windows here are over one row for each source."""
     by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), "source")
     turn = F.row_number().over(order) - 1
@@ -69,35 +72,39 @@ def targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return (
         found.withColumn("target", target).withColumn("blocks", blocks)
         .withColumn("draws", F.when(F.col("source_size") > 0, draws).otherwise(F.lit(0).cast("bigint")))
-        .select("key", "source_size", "weight", "target", "blocks", "draws")
+        .withColumn("first", F.sum("draws").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("draws"))
+        .select("key", "source_size", "weight", "target", "blocks", "draws", "first")
     )
 
 
 def drawn_blocks(sources: DataFrame, seed: int = 8, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """key, draw, shard and block of every draw. Draws are made in even chunks, whatever the sources' sizes."""
+    """key, draw, shard, slot and block of every draw: shards have `shard_blocks` slots, the last one what is left. Draws are made in
+    even chunks, whatever the sources' sizes."""
     total = sources.agg(F.sum("draws")).first()[0] or 0
-    shards = max(1, -(-total // shard_blocks))
     chunks = sources.where("draws > 0").select(
-        "key", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
+        "key", "blocks", "draws", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
     ).repartition(max(1, -(-total // (CHUNK * CHUNKS_PER_TASK))), "key", "chunk")  # a fixed number: these small rows stand for much work
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1
-    draws = chunks.select("key", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
-    keyed = F.xxhash64("key", F.lit(seed))
-    shard = F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.lit(shards)).cast("int")
-    return draws.select("key", "draw", shard.alias("shard"), permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), keyed).alias("block"))
+    draws = chunks.select("key", "blocks", "first", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
+    place = permuted(F.col("first") + F.col("draw"), F.lit(max(total, 1)).cast("bigint"), F.lit(seed))
+    block = permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64("key", F.lit(seed)))
+    return draws.select("key", "draw", place.alias("place"), block.alias("block")).select(
+        "key", "draw", F.floor(F.col("place") / shard_blocks).cast("int").alias("shard"), (F.col("place") % shard_blocks).cast("int").alias("slot"), "block"
+    )
 
 
-def shard_counts(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """shard, source key and blocks: the multinomial counts of each output shard."""
-    return drawn_blocks(targets(_sized(docs)), seed).groupBy("shard", "key").agg(F.count("*").alias("blocks"))
+def shard_counts(docs: DataFrame, seed: int = 8, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """shard, source key and blocks: the source counts drawn for each output shard."""
+    return drawn_blocks(targets(_sized(docs)), seed, shard_blocks).groupBy("shard", "key").agg(F.count("*").alias("blocks"))
 
 
-def plan(docs: DataFrame, seed: int = 8, block: int = BLOCK) -> DataFrame:
+def plan(docs: DataFrame, seed: int = 8, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """Per row of `docs` and block that holds words of it: doc_id, row, nth (of equal rows), size, source_size, target,
-    from_word, n_words and times (how often the mix takes them). Rows without words have one such row, with times 0."""
+    from_word, n_words and slots (shard and slot of each time the mix takes them, at most `most` times rounded up).
+    Rows without words have one such row, without slots."""
     sized = checkpointed(_sized(docs))
     sources = checkpointed(targets(sized, block=block))
-    times = drawn_blocks(sources, seed).groupBy("key", "block").agg(F.count("*").alias("times"))
+    drawn = drawn_blocks(sources, seed, shard_blocks).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("slots"))
     nth = F.row_number().over(W.partitionBy("key", "id", "row").orderBy("key", "id", "row"))
     placed = running_start(sized.withColumn("nth", nth), sized.count(), ["key"], ["key", "id", "row"], "size", "start")
     end = F.col("start") + F.col("size")
@@ -108,39 +115,44 @@ def plan(docs: DataFrame, seed: int = 8, block: int = BLOCK) -> DataFrame:
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = cut.withColumn("from_word", low - F.col("start")).withColumn("n_words", F.coalesce(high - low, F.lit(0)))
+    none = F.array().cast(drawn.schema["slots"].dataType)
     # Spark takes exploded rows for as few as they came from and would broadcast them.
-    return pieces.join(times.hint("merge"), ["key", "block"], "left").select(
-        "doc_id", "row", "nth", "size", "source_size", "target", "from_word", "n_words", F.coalesce("times", F.lit(0)).alias("times")
+    return pieces.join(drawn.hint("merge"), ["key", "block"], "left").select(
+        "doc_id", "row", "nth", "size", "source_size", "target", "from_word", "n_words", F.coalesce("slots", none).alias("slots")
     )
 
 
 def taken(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row."""
-    by_row = plan(docs, seed).groupBy("row", "nth", "doc_id", "size", "source_size", "target")
-    return by_row.agg(F.sum(F.col("n_words") * F.col("times")).cast("bigint").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken and shards of each row: how many words of it the mix takes, and how many output
+    shards get some."""
+    by_row = plan(docs, seed).groupBy("row", "nth", "doc_id", "size", "source_size", "target").agg(
+        F.sum(F.col("n_words") * F.size("slots")).cast("bigint").alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("slots.shard")))).cast("bigint").alias("shards")
+    )
+    return by_row.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
-def mixed(docs: DataFrame, seed: int = 8) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 8, by_shard: bool = False, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mix as rows with the columns of `docs`: for each time a document's words are taken, those words in order.
 
-    A document taken whole keeps its text as it is. Where blocks are left out, the text is what the blocks taken hold,
-    with the white space before each word; n_chars, if there is such a column, follows.
+    With `by_shard` what goes to different output shards stands in rows of its own, with mix_shard and mix_slot (that of its first
+    block) after the columns of `docs`. A document taken whole keeps its text as it is. Where blocks are left out, the text is
+    what the blocks taken hold, with the white space before each word; n_chars, if there is such a column, follows.
     """
-    cuts = plan(docs, seed).where("times > 0")
-    turns = cuts.select("row", "nth", "size", "from_word", "n_words", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("turn"))
-    copies = turns.groupBy("row", "nth", "turn").agg(
-        F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("cuts"), (F.sum("n_words") == F.max("size")).alias("whole")
+    cuts = plan(docs, seed, shard_blocks=shard_blocks).select("row", "nth", "size", "from_word", "n_words", F.posexplode("slots").alias("turn", "at"))
+    shard = F.col("at.shard") if by_shard else F.lit(None).cast("int")
+    copies = cuts.groupBy("row", "nth", "turn", shard.alias("mix_shard")).agg(
+        F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("cuts"), (F.sum("n_words") == F.max("size")).alias("whole"), F.min("at.slot").alias("mix_slot")
     )
-    by_row = copies.groupBy("row").agg(F.collect_list(F.struct("whole", "cuts")).alias("__copies"))
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), row.alias("row"))
+    keyed = docs.select(packed(docs, "doc"), row_hash(docs).alias("row"))
     # Equal rows are the same text: the copies of all of them are cut out of one.
-    first = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("__nth = 1")
-    out = first.join(by_row.hint("merge"), "row").select("__doc", F.explode("__copies").alias("__copy"))
-    words = F.regexp_extract_all(F.col("__doc.text").cast("string"), F.lit(PIECE), F.lit(0))
-    picked = F.flatten(F.transform("__copy.cuts", lambda c: F.slice("__words", (c["from_word"] + 1).cast("int"), c["n_words"].cast("int"))))
-    out = out.withColumn("__words", F.when(~F.col("__copy.whole"), words)).withColumn(
-        "__text", F.when(F.col("__copy.whole"), F.col("__doc.text")).otherwise(F.array_join(picked, ""))
-    )
-    shown = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("bigint")}
-    return out.select(*[shown[c].alias(c) if c in shown else F.col(f"__doc.`{c}`") for c in docs.columns])
+    first = keyed.withColumn("same", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("same = 1").drop("same")
+    out = copies.join(first.hint("merge"), "row")
+    words = F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(PIECE), F.lit(0))
+    picked = F.flatten(F.transform("cuts", lambda c: F.slice("words", (c["from_word"] + 1).cast("int"), c["n_words"].cast("int"))))
+    out = out.withColumn("words", F.when(~F.col("whole"), words)).withColumn("picked", F.when(F.col("whole"), F.col("doc.text")).otherwise(F.array_join(picked, "")))
+    shown = {"text": F.col("picked"), "n_chars": F.char_length("picked").cast("bigint")}
+    doc = F.col("doc")
+    for name in [c for c in docs.columns if c in shown]:
+        doc = doc.withField(name, shown[name])
+    out = out.select(doc.alias("doc"), "mix_shard", "mix_slot")
+    return out.select("doc.*", *(["mix_shard", "mix_slot"] if by_shard else []))

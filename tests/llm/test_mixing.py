@@ -88,3 +88,36 @@ def test_shard_counts_add_up(spark):
     sources = mixing.targets(mixing._sized(docs))
     draws = {r.key: r.draws for r in sources.collect() if r.draws}
     assert {r.key: r.n for r in mixing.shard_counts(docs).groupBy("key").agg(F.sum("blocks").alias("n")).collect()} == draws
+
+
+def test_shards_have_fixed_slots_and_drawn_counts(spark):
+    docs = spark.createDataFrame(table(spark), SCHEMA)
+    sources = mixing.targets(mixing._sized(docs))
+    rows = mixing.drawn_blocks(sources, shard_blocks=50).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(i // 50, i % 50) for i in range(len(rows))]
+    big = Counter(r.shard for r in rows if r.key == "=big")
+    share = sum(big.values()) / len(rows)
+    whole = [s for s in range(len(rows) // 50)]
+    assert len({big[s] for s in whole}) > 1 and all(abs(big[s] - 50 * share) < 6 * (50 * share * (1 - share)) ** 0.5 for s in whole)
+    blocks = {r.key: r.blocks for r in sources.collect()}
+    for key in blocks:
+        times = Counter(r.block for r in rows if r.key == key)
+        assert not times or (max(times.values()) - (min(times.values()) if len(times) == blocks[key] else 0) <= 1 and max(times.values()) <= 2)
+
+
+def test_rows_by_shard_hold_what_the_shards_take(spark):
+    rows = table(spark)
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], SCHEMA + ", `a``b` map<string,int>")
+    parts = mixing.mixed(docs, by_shard=True, shard_blocks=100)
+    assert parts.columns == [*docs.columns, "mix_shard", "mix_slot"]
+    parts, counts = parts.collect(), Counter()
+    for r in parts:
+        assert 0 <= r.mix_slot < 100
+        counts[r.mix_shard] += len(r.text.split())
+    whole = Counter()
+    for r in mixing.mixed(docs).collect():
+        whole[r.doc_id] += len(r.text.split())
+    by_doc = Counter()
+    for r in parts:
+        by_doc[r.doc_id] += len(r.text.split())
+    assert by_doc == whole and len(counts) > 1 and max(counts.values()) <= 100 * mixing.BLOCK
