@@ -3,12 +3,19 @@
 Each text gives a 64-bit fingerprint: a bit is set when over half of the text's word-shingle hashes (XXH64, seed 42)
 have it. Fingerprints link when at most `radius` bits differ; documents of linked fingerprints form groups.
 
-Links are sought between different fingerprints only, so copies cost nothing. With radius 4 and 7 blocks of bits, two
-linked fingerprints agree in at least 3 blocks, so each fingerprint is listed under its 35 triples of blocks and
-no link is lost. Inside such a list, the distances to shared reference fingerprints (pivots) are tabulated
-first: |d(x,p) - d(y,p)| never exceeds d(x,y), so a pair with a larger difference at any pivot is discarded without
-being compared; the bits of the survivors are counted. A list is walked breadth first, each fingerprint taking its
-unvisited neighbours, and gives only enough edges to keep its groups together, never all pairs.
+Links are sought between different fingerprints only, so copies cost nothing. Each fingerprint's row of the pivot distance
+table, its Hamming distances to shared reference fingerprints (pivots), is worked out once and goes with it: |d(x,p) - d(y,p)|
+never exceeds d(x,y), so a pair whose largest coordinate difference is above the radius is discarded without being compared,
+and the bits of the survivors are counted.
+
+Pivots discard pairs, but they cannot bring pairs together at scale: distances to a pivot spread by 4 bits about 32, so a
+window of 4 either way keeps 57 % of all pairs at each pivot, and a fingerprint listed under the cells of one pivot that
+may hold its partners is listed 1.8 times. Every further pivot multiplies lists by what it saves in comparisons, at any cell width. So
+pairs meet in lists first: with radius 4 and 7 blocks of bits, two linked fingerprints agree in at least 3 blocks, and each
+fingerprint is listed under its 35 triples of blocks; no link is lost. Within a list the pivot table decides which pairs
+are compared. A list is walked breadth first, each fingerprint taking its unvisited neighbours, and gives only
+enough edges to keep its groups together, never all pairs. Lists of more than LONG fingerprints are not walked by one task:
+they are dealt into parts of that size, and every two parts are walked by a task of their own.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; null
 doc_ids are members but never name a group (a group of nulls has a null id); repeated rows each give a row; an empty
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, without_rows
+from quillon.llm._common import checkpointed, packed, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -34,7 +41,11 @@ BLOCKS = 7
 PIVOTS = 16
 #: Lists of up to this many fingerprints are compared side by side; longer ones are walked one at a time.
 SHORT = 16
+#: Longer lists are dealt into parts of about so many.
+LONG = 8192
 CHUNK = 1 << 16
+#: Pivots whose distances fit one long, a byte each.
+PER_LONG = 8
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -73,9 +84,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
-def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Distances of each fingerprint to the reference fingerprints, one column for each of these."""
-    marks = np.random.default_rng(64).integers(0, 2**64, pivots, np.uint64)
+def pivot_marks(pivots: int = PIVOTS) -> list[int]:
+    """The reference fingerprints, as signed longs."""
+    return np.random.default_rng(64).integers(-(2**63), 2**63, pivots, np.int64).tolist()
+
+
+def with_pivots(fps: DataFrame) -> DataFrame:
+    """fp and its row of the pivot distance table: longs p0, p1 and so on, a distance (0 to 64) in each byte."""
+    marks, longs = pivot_marks(), []
+    for i in range(0, len(marks), PER_LONG):
+        packed_ = F.lit(0).cast("bigint")
+        for k, mark in enumerate(marks[i : i + PER_LONG]):
+            packed_ = packed_.bitwiseOR(F.call_function("shiftleft", F.bit_count(F.col("fp").bitwiseXOR(F.lit(mark))).cast("bigint"), F.lit(8 * k)))
+        longs.append(packed_.alias(f"p{i // PER_LONG}"))
+    return fps.select("fp", *longs)
+
+
+def unpacked(longs: list[np.ndarray]) -> np.ndarray:
+    """The table from its longs: a row for each fingerprint, a column for each pivot."""
+    return np.stack(longs, axis=1).view(np.int8).reshape(len(longs[0]), -1)
+
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """The table of some fingerprints, worked out here."""
+    marks = np.array(pivot_marks(), np.int64).view(np.uint64)
     return np.bitwise_count(fps[:, None] ^ marks[None, :]).astype(np.int8)
 
 
@@ -88,9 +120,9 @@ def near(fps: np.ndarray, table: np.ndarray, one: int, others: np.ndarray, radiu
     return others[np.bitwise_count(fps[others] ^ fps[one]) <= radius]
 
 
-def groups_of(fps: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
+def groups_of(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
     """Row numbers of each group of two or more among fingerprints of one list."""
-    table, left, found = pivot_table(fps), np.arange(len(fps)), []
+    left, found = np.arange(len(fps)), []
     while left.size:
         members, todo, left = [left[:1]], [left[0]], left[1:]
         while todo and left.size:
@@ -104,51 +136,78 @@ def groups_of(fps: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
     return found
 
 
-def _edges_of_lists(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _edges_of_lists(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges among rows of equal key; rows come sorted by key."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     a, b = [], []
     some = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-    k, f = keys[some], fps[some]
-    table = pivot_table(f)
+    k, f, t = keys[some], fps[some], table[some]
     for shift in range(1, SHORT):
         one = np.flatnonzero(k[shift:] == k[:-shift])
         if not one.size:
             break
-        for column in range(table.shape[1]):
-            one = one[np.abs(table[one + shift, column] - table[one, column]) <= RADIUS]
+        for column in range(t.shape[1]):
+            one = one[np.abs(t[one + shift, column] - t[one, column]) <= RADIUS]
         one = one[np.bitwise_count(f[one] ^ f[one + shift]) <= RADIUS]
         a.append(f[one]), b.append(f[one + shift])
     for i in np.flatnonzero(sizes > SHORT):
-        own = fps[starts[i] : starts[i] + sizes[i]]
-        for group in groups_of(own):  # a heap-shaped tree: few edges at each node, few steps between any two
-            group = own[group]
+        own = slice(starts[i], starts[i] + sizes[i])
+        for group in groups_of(fps[own], table[own]):  # a heap-shaped tree: few edges at each node, few steps between any two
+            group = fps[own][group]
             a.append(group[(np.arange(1, len(group)) - 1) // 2]), b.append(group[1:])
     return np.concatenate([*a, fps[:0]]), np.concatenate([*b, fps[:0]])
 
 
-def _edges(batches):
-    """Edges from rows (key, fp) sorted by key; a list cut by the end of a batch waits for its rest."""
-    def out(keys, fps):
-        a, b = _edges_of_lists(keys, fps)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a.view(np.int64), b.view(np.int64))), pa.array(np.maximum(a.view(np.int64), b.view(np.int64)))], ["a", "b"])
-
-    wait: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        if wait and wait[-1][0][-1] == keys[-1]:
-            wait.append((keys, fps))
-            continue
-        cut = int(np.searchsorted(-(keys[::-1] == keys[-1]).astype(np.int8), 0))
-        cut = len(keys) - cut
-        done = [*wait, (keys[:cut], fps[:cut])]
-        wait = [(keys[cut:], fps[cut:])]
-        yield out(np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done]))
-    if wait:
-        yield out(np.concatenate([x for x, _ in wait]), np.concatenate([x for _, x in wait]))
+def _edges(limit: int | None):
+    """From rows (key, fp, pivot distances) sorted by key: edges a < b. A list cut by the end of a batch waits for its rest; one of
+    more than `limit` rows is handed back instead: each fingerprint as a, without b, and the key."""
+    names = ["a", "b", "key"]
+
+    def batch(a, b, key):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names)
+
+    def back(part):
+        return batch(part[1], [None] * len(part[1]), part[0])
+
+    def settled(parts):
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        if not len(columns[0]):
+            return
+        _, place, sizes = np.unique(columns[0], return_inverse=True, return_counts=True)
+        long = sizes[place] > (limit or len(place))
+        if long.any():
+            yield back([c[long] for c in columns])
+        keys, fps, *longs = (c[~long] for c in columns)
+        a, b = (x.view(np.int64) for x in _edges_of_lists(keys, fps.view(np.uint64), unpacked(longs)))
+        yield batch(np.minimum(a, b), np.maximum(a, b), [None] * len(a))
+
+    def run(batches):
+        wait: list[list[np.ndarray]] = []  # the list under way
+        gone = None  # key of a list under way of which rows were handed back
+        for rows in batches:
+            columns = [c.to_numpy() for c in rows.columns]
+            if gone is not None:
+                lead = int(np.count_nonzero(columns[0] == gone))
+                yield back([c[:lead] for c in columns])
+                columns = [c[lead:] for c in columns]
+            keys = columns[0]
+            if not len(keys):
+                continue
+            gone = None
+            cut = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
+            if not cut and wait and wait[0][0][0] == keys[0]:
+                wait.append(columns)
+            else:
+                yield from settled([*wait, [c[:cut] for c in columns]])
+                wait = [[c[cut:] for c in columns]]
+            if limit and sum(len(part[0]) for part in wait) > limit:
+                yield from (back(part) for part in wait)
+                wait, gone = [], keys[-1]
+        if wait:
+            yield from settled(wait)
+
+    return run
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -159,14 +218,26 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, long: int = LONG) -> DataFrame:
     """Edges a < b that join the linked among distinct fingerprints `fp`: enough of them for the groups."""
-    masks = block_masks()
-    listed = fps.select(
-        "fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key")
-    )
-    lists = listed.select("key", "fp").repartition("key").sortWithinPartitions("key")
-    return lists.mapInArrow(_edges, "a long, b long").distinct()
+    table = checkpointed(with_pivots(fps))
+    longs = table.columns[1:]
+    schema = "a long, b long, key long"
+
+    def walked(listed: DataFrame, limit: int | None) -> DataFrame:
+        return listed.select("key", "fp", *longs).repartition("key").sortWithinPartitions("key").mapInArrow(_edges(limit), schema)
+
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks())])
+    found = checkpointed(walked(table.select("fp", *longs, F.explode(keys).alias("key")), long).distinct())
+    edges, rest = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+    if rest.isEmpty():
+        return edges
+    # Each part of a long list meets every other: a fingerprint goes to as many pairs of parts as its list has parts.
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / long).cast("int").alias("parts"))
+    own = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    pairs = own.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = pairs.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    return edges.union(walked(dealt.join(table, "fp"), None).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -221,14 +292,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat its doc_id and text one stays. Of a group whose doc_ids are all null each text stays once. Texts
     stay where they are: only keys are shuffled, unless more rows go than may be broadcast.
     """
-    found = near_duplicates(docs).select(F.col("row_key").alias("__key"), F.expr("doc_id is distinct from component_id and component_id is not null").alias("goes"))
-    counted = checkpointed(found.groupBy("__key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
-    repeated = counted.where("not goes").select("__key")
-    keyed = docs.select("*", row_key().alias("__key"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = without_rows(keyed, counted.select("__key"), "__key").select(*columns)
+    found = near_duplicates(docs).select("row_key", F.expr("doc_id is distinct from component_id and component_id is not null").alias("goes"))
+    counted = checkpointed(found.groupBy("row_key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
+    repeated = counted.where("not goes").select("row_key")
+    keyed = docs.select(packed(docs, "doc"), row_key().alias("row_key"))
+    stay = without_rows(keyed, counted.select("row_key"), "row_key").select("doc.*")
     if repeated.isEmpty():
         return stay
-    nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    once = keyed.join(repeated, "__key", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*columns)
+    nth = F.row_number().over(W.partitionBy("row_key").orderBy("row_key"))
+    once = keyed.join(repeated, "row_key", "left_semi").withColumn("nth", nth).where("nth = 1").select("doc.*")
     return stay.unionAll(once)

@@ -60,7 +60,7 @@ def test_links_lose_nothing():
     for i in range(0, len(fps), 37):
         for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4):
             assert any(fps[i] & m == fps[j] & m for m in masks)
-    found = {frozenset(map(int, g)) for g in sh.groups_of(fps)}
+    found = {frozenset(map(int, g)) for g in sh.groups_of(fps, sh.pivot_table(fps))}
     left, whole = set(range(len(fps))), set()
     while left:
         group, todo = set(), [left.pop()]
@@ -82,10 +82,43 @@ def test_lists_cut_by_batches(spark, monkeypatch):
     keys = np.sort(draw.integers(0, 30, 400))
     fps = draw.integers(0, 64, 400).astype(np.uint64)
     cuts = [0, 3, 50, 51, 52, 200, 400]
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(fps[a:b].view(np.int64))], ["key", "fp"]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    cut = {(a, b) for x in sh._edges(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
-    a, b = sh._edges_of_lists(keys, fps)
-    assert cut == {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    longs = [sh.pivot_table(fps).view(np.int64)[:, i].copy() for i in range(sh.PIVOTS // sh.PER_LONG)]
+    columns, names = [keys, fps.view(np.int64), *longs], ["key", "fp", "p0", "p1"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in columns], names) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def rows(limit):
+        return [r for x in sh._edges(limit)(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+
+    a, b = sh._edges_of_lists(keys, fps, sh.pivot_table(fps))
+    assert {r[:2] for r in rows(None)} == {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    size = {k: int((keys == k).sum()) for k in keys}
+    back = [(k, a) for a, b, k in rows(12) if b is None]
+    assert sorted(back) == sorted((int(k), int(f)) for k, f in zip(keys, fps, strict=True) if size[k] > 12)
+
+
+def test_long_lists_are_dealt_into_parts(spark):
+    draw = np.random.default_rng(9)
+    fps = np.unique(np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 20, (900, 5)).astype(np.uint64), axis=1)).view(np.int64)
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+
+    def groups(long):
+        label = {r.node: r.label for r in sh.components(sh.links(table, long)).collect()}
+        return {frozenset(n for n in label if label[n] == x) for x in label.values()}
+
+    assert groups(40) == groups(1 << 20) and len(fps) > 200
+
+
+def test_pivot_table_is_that_of_the_columns(spark):
+    fps = np.array([0, -1, 5, 2**62, -(2**63)], np.int64)
+    rows = sh.with_pivots(spark.createDataFrame([(int(f),) for f in fps], "fp long")).collect()
+    got = sh.unpacked([np.array([r[f"p{i}"] for r in rows], np.int64) for i in range(sh.PIVOTS // sh.PER_LONG)])
+    assert (got == sh.pivot_table(np.array([r.fp for r in rows], np.int64).view(np.uint64))).all()
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "k", 1), (2, "a b c d e", "k", 1), (2, "a b c d e", "k", 1)], SCHEMA + ", row_key string, `a``b` int")
+    assert [tuple(r) for r in sh.keep_one(docs).collect()] == [(1, "a b c d e", "k", 1)]
+    assert sh.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_empty_and_chains(spark):
