@@ -10,6 +10,11 @@ Boilerplate is left out wherever it stands: by tag (menus, headers, footers, asi
 words in class, id or role of boxes, never of headings, paragraphs and inline tags (adverts, notices, sidebars, comments and the like). Character references are decoded, white
 space within a block becomes one space, and blocks are joined in page order by one space.
 
+Parsing takes time and memory in proportion to the page, whatever it holds: tags are matched where they stand, within
+TAG_CHARS first and up to the next > if their quotes do not end there; containers are numbered and know their parents, so
+that a path is written out for the winner only. An element whose content is skipped (a script, a list to choose from, a
+drawing) and that is never closed ends at the next block.
+
 Winning paths are joined on by host with salt, as one host may hold a third of all pages; up to
 `MAX_BROADCAST` paths are broadcast instead.
 
@@ -21,6 +26,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -37,6 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 blockquote pre".split())
 CONTAINER = frozenset("article main section div td body blockquote center".split())
 JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|newsletter|subscribe|popup|modal|sidebar|menu|nav\w*"
@@ -46,11 +53,18 @@ JUNK = re.compile(
 #: Tags whose class or id may mark boilerplate; headings, paragraphs, list items and inline tags are content whatever they are called.
 BOXES = frozenset("section div td th table ul ol dl blockquote center details figure nav aside header footer".split())
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Articles that are a reader's comment.
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])", re.IGNORECASE)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+TAG_CHARS = 1 << 16
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.IGNORECASE)
 SALTS, MAX_BROADCAST = 32, 50_000
-#: Path of what stands outside of any container.
+#: Path of what stands outside of any container; steps of a path are divided by a space, which no class holds.
 ROOT = "~"
+#: How far out a block counts for the containers around it.
+NEAREST = 32
 #: An opening tag that ends an open element of these tags first.
 CLOSES = {
     "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
@@ -67,104 +81,215 @@ def _step(tag: str, names: dict[str, str]) -> str:
     return ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in names.get("class", "").lower().split()} - {""})])
 
 
-def parse(html: str) -> list[tuple[str, str, bool, int]]:
-    """Blocks of text in page order, outside of boilerplate: the path of the containers around, the text, whether it is in a
-    paragraph or heading, and how many of its characters are in links."""
-    blocks: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, whether it or one around it is boilerplate, path of containers
-    words: list[str] = []
-    state = {"links": 0, "in_link": 0, "prose": False}
-
-    def flush() -> None:
-        text = " ".join(unescape("".join(words)).split())
+@dataclass(frozen=True)
+class Block:
+    """A block of text: the container it stands in, whether it is prose (in a paragraph or heading), and its characters in links."""
+
+    box: int
+    text: str
+    prose: bool
+    links: int
+
+
+class Page:
+    """Blocks of text in page order, outside of boilerplate, and the containers around them.
+
+    Containers with the same parent and step are one, numbered after their parent; number 0 is outside of any."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parents, self.steps = [-1], [ROOT]
+        self._known: dict[tuple[int, str], int] = {}
+        _Reader(self, html).read()
+
+    def box(self, parent: int, step: str) -> int:
+        found = self._known.setdefault((parent, step), len(self.steps))
+        if found == len(self.steps):
+            self.parents.append(parent)
+            self.steps.append(step)
+        return found
+
+    def path(self, box: int) -> str:
+        steps = []
+        while box >= 0:
+            steps.append(self.steps[box])
+            box = self.parents[box]
+        return " ".join(reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        """The container with a path, if there is one and it holds a block."""
+        box = 0
+        for step in path.split(" ")[1:]:
+            found = self._known.get((box, step))
+            if found is None:
+                return None
+            box = found
+        return box if any(self.inside(box)) else None
+
+    def inside(self, box: int) -> list[bool]:
+        """Which blocks stand in a container or in one within it."""
+        held = [False] * len(self.steps)
+        for i, parent in enumerate(self.parents):
+            held[i] = i == box or (parent >= 0 and held[parent])
+        return [held[b.box] for b in self.blocks]
+
+    def best(self) -> tuple[int, float] | None:
+        """The best container and its score: each block counts in full for the nearest one and by halves further out."""
+        scores: dict[int, float] = {}
+        for b in self.blocks:
+            worth, box = (len(b.text) - 2 * b.links) * (1.0 if b.prose else 0.5), b.box
+            for _ in range(NEAREST):
+                if box < 0:
+                    break
+                scores[box] = scores.get(box, 0.0) + worth
+                box, worth = self.parents[box], worth / 2
+        if not scores:
+            return None
+        most = max(scores.values())
+        box = max((i for i, s in scores.items() if s == most), key=self.path)
+        return box, most
+
+    def climbed(self, box: int) -> int:
+        """The container of the whole article around a winning one: the outermost article, else the outermost main; else the way
+        out goes on, short of the body, while the further blocks are at least half prose and less than half links."""
+        around = [box]
+        while self.parents[around[-1]] >= 0:
+            around.append(self.parents[around[-1]])
+        for tag in ("article", "main"):
+            own = [i for i in around if self.steps[i].split(".")[0] == tag]
+            if own:
+                return own[-1]
+        sums: dict[int, list[int]] = {}  # characters, in links, in prose: of the blocks straight inside each container
+        for b in self.blocks:
+            own = sums.setdefault(b.box, [0, 0, 0])
+            for k, n in enumerate((len(b.text), b.links, len(b.text) if b.prose else 0)):
+                own[k] += n
+        whole = [sums.get(i, [0, 0, 0])[:] for i in range(len(self.steps))]
+        for i in range(len(whole) - 1, 0, -1):
+            whole[self.parents[i]] = [x + y for x, y in zip(whole[self.parents[i]], whole[i], strict=True)]
+        for inner, outer in zip(around, around[1:], strict=False):
+            if outer == 0 or self.steps[outer].split(".")[0] == "body":
+                return inner
+            size, links, prose = (x - y for x, y in zip(whole[outer], whole[inner], strict=True))
+            if size and (2 * links >= size or 2 * prose < size):
+                return inner
+        return around[-1]
+
+    def text(self, path: str | None) -> str:
+        """The text of the article around the container at `path`, or around the page's own best one."""
+        box = self.find(path) if path else None
+        if box is None:
+            best = self.best()
+            box = best[0] if best else 0
+        return " ".join(b.text for b, held in zip(self.blocks, self.inside(self.climbed(box)), strict=True) if held)
+
+
+class _Reader:
+    """One pass over a page's tags."""
+
+    def __init__(self, page: Page, html: str):
+        self.page, self.html = page, html
+        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is boilerplate, container
+        self.open: dict[str, list[int]] = {}  # places of each tag in the stack
+        self.open_blocks: list[int] = []
+        self.words: list[str] = []
+        self.links, self.in_link, self.unclosed = 0, 0, set()
+
+    def read(self) -> None:
+        html, at, last = self.html, 0, self.html.rfind(">")
+        while at < len(html):
+            mark = html.find("<", at)
+            while mark >= 0 and mark < last and not html[mark + 1].isalpha() and html[mark + 1] not in "/!?":
+                mark = html.find("<", mark + 1)  # a sign in the text
+            if mark < 0 or mark > last:
+                self.said(html[at:])
+                break
+            self.said(html[at:mark])
+            at = self.tag(mark)
+        self.flush()
+
+    def said(self, piece: str) -> None:
+        if piece and not (self.stack and self.stack[-1][1]):
+            self.words.append(piece)
+            if self.in_link:
+                self.links += len(piece)
+
+    def flush(self) -> None:
+        text = " ".join(unescape("".join(self.words)).split())
         if text:
-            blocks.append((stack[-1][2] if stack else ROOT, text, state["prose"] or bool(stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre")), min(state["links"], len(text))))
-        words.clear()
-        state["links"], state["prose"] = 0, False
-
-    at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        piece = html[at : m.start() if m else end]
-        if piece and not (stack and stack[-1][1]):
-            words.append(piece)
-            if state["in_link"]:
-                state["links"] += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
+            tag, _, box = self.stack[-1] if self.stack else ("", False, 0)
+            self.page.blocks.append(Block(box, text, tag in PROSE, min(self.links, len(text))))
+        self.words.clear()
+        self.links = 0
+
+    def tag(self, mark: int) -> int:
+        """Deal with the tag at `mark`; where to go on."""
+        html = self.html
+        if html.startswith("<!--", mark):
+            end = html.find("-->", mark + 2)
+            return end + 3 if end >= 0 else len(html)
+        m = TAG.match(html, mark, mark + TAG_CHARS) or LOOSE.match(html, mark)
+        if m is None:  # a declaration or the like
+            return html.find(">", mark) + 1
+        name = m[2].lower()
         if m[1]:
-            if tag == "a":
-                state["in_link"] = max(0, state["in_link"] - 1)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag not in BLOCK and any(s[0] in BLOCK for s in stack[depth + 1 :])):
-                if any(s[0] in BLOCK for s in stack[depth:]):
-                    flush()
-                del stack[depth:]
-            continue
-        if tag in BLOCK:
-            flush()
-        if tag in VOID:
-            continue
-        closes = CLOSES.get(tag)
-        if closes:
-            while stack and (stack[-1][0] in closes or (stack[-1][0] not in BLOCK and any(s[0] in closes for s in stack[-4:]))):
-                stack.pop()
-        if tag == "a":
-            state["in_link"] += 1
-        names = _named(m[3]) if len(m[3]) > 2 else {}
-        above = stack[-1] if stack else ("", False, ROOT)
-        junk = above[1] or tag in SKIP or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
-        junk = junk or (tag in BOXES and bool(JUNK.search(f"{names.get('class', '')} {names.get('id', '')}")))
-        if tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else end
-            continue
-        path = f"{above[2]}/{_step(tag, names)}" if tag in CONTAINER else above[2]
-        stack.append((tag, junk, path))
-    flush()
-    return blocks
-
-
-def best_path(blocks: list[tuple[str, str, bool, int]]) -> tuple[str, float]:
-    """Path and score of the best container: each block counts in full for the nearest one and by halves further out."""
-    scores: dict[str, float] = {}
-    for path, text, prose, links in blocks:
-        worth = (len(text) - 2 * links) * (1.0 if prose else 0.5)
-        while path:
-            scores[path] = scores.get(path, 0.0) + worth
-            path, worth = path.rpartition("/")[0], worth / 2
-    return max(((s, p) for p, s in scores.items()), default=(0.0, ""))[::-1]
-
-
-def inside(block: tuple[str, str, bool, int], path: str) -> bool:
-    return not path or block[0] == path or block[0].startswith(path + "/")
-
-
-def climbed(blocks: list[tuple[str, str, bool, int]], path: str) -> str:
-    """The container of the whole article around a winning path: the outermost article, else the outermost main; else the way
-    out goes on, short of the body, while the further blocks are at least half prose and less than half links."""
-    steps = path.split("/")
-    for tag in ("article", "main"):
-        at = next((i for i, s in enumerate(steps) if s.split(".")[0] == tag), None)
-        if at is not None:
-            return "/".join(steps[: at + 1])
-    while True:
-        outer = path.rpartition("/")[0]
-        if not outer or outer == ROOT or outer.rpartition("/")[2].split(".")[0] == "body":
-            return path
-        further = [b for b in blocks if inside(b, outer) and not inside(b, path)]
-        size = sum(len(b[1]) for b in further)
-        if further and (2 * sum(b[3] for b in further) >= size or 2 * sum(len(b[1]) for b in further if b[2]) < size):
-            return path
-        path = outer
-
-
-def text_at(blocks: list[tuple[str, str, bool, int]], path: str) -> str:
-    return " ".join(b[1] for b in blocks if inside(b, path))
+            self.close(name)
+            return m.end()
+        if name in BLOCK:
+            self.flush()
+        if name in VOID:
+            return m.end()
+        if name in RAW:
+            return m.end() if m[3].endswith("/") else self.past(name, m.end())
+        self.start(name, _named(m[3]) if len(m[3]) > 2 else {})
+        return m.end()
+
+    def past(self, name: str, at: int) -> int:
+        """Where the content of a skipped element ends."""
+        if name not in self.unclosed:
+            close = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(self.html, at)
+            if close:
+                return close.end()
+            self.unclosed.add(name)
+        following = NEXT_BLOCK.search(self.html, at) if "" not in self.unclosed else None
+        if following is None:
+            self.unclosed.add("")
+            return len(self.html)
+        return following.start()
+
+    def start(self, name: str, names: dict[str, str]) -> None:
+        closes = CLOSES.get(name, ())
+        while closes and self.stack and (self.stack[-1][0] in closes or (self.stack[-1][0] not in BLOCK and any(s[0] in closes for s in self.stack[-4:]))):
+            self.cut(len(self.stack) - 1)
+        if name == "a":
+            self.in_link += 1
+        _, above, box = self.stack[-1] if self.stack else ("", False, 0)
+        called = f"{names.get('class', '')} {names.get('id', '')}"
+        junk = above or name in SKIP or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
+        junk = junk or (name in BOXES and bool(JUNK.search(called))) or (name == "article" and bool(COMMENT.search(called)))
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((name, junk, self.page.box(box, _step(name, names)) if name in CONTAINER and not junk else box))
+
+    def close(self, name: str) -> None:
+        if name == "a":
+            self.in_link = max(0, self.in_link - 1)
+        if not self.open.get(name):
+            return
+        depth, block = self.open[name][-1], self.open_blocks[-1] if self.open_blocks else -1
+        if name not in BLOCK and block > depth:
+            return
+        if block >= depth:
+            self.flush()
+        self.cut(depth)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            if name in BLOCK:
+                self.open_blocks.pop()
 
 
 def host_of(url: Column) -> Column:
@@ -173,7 +298,11 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches):
     for batch in batches:
-        found = [best_path(parse(h or "")) for h in batch.column(1).to_pylist()]
+        found = []
+        for html in batch.column(1).to_pylist():
+            page = Page(html or "")
+            best = page.best()
+            found.append((page.path(best[0]), best[1]) if best else ("", 0.0))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["host", "path", "score"])
 
 
@@ -187,11 +316,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 
 def _taken(batches):
     for batch in batches:
-        texts = []
-        for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            blocks = parse(html or "")
-            found = path if path and any(inside(b, path) for b in blocks) else best_path(blocks)[0]
-            texts.append(text_at(blocks, climbed(blocks, found)))
+        texts = [Page(html or "").text(path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
