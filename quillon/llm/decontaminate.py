@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, packed, without_rows
+from quillon.llm._common import MAX_KEYS, checkpointed, packed, without_rows
 
 WINDOW = 10
 #: What words are made of, and what stands between them.
@@ -29,8 +29,8 @@ INSIDE, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hashes that may be broadcast: about 60 MB as a hash table; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
-#: Places to verify that may be broadcast to where the texts are: about 50 MB.
-MAX_PLACES = 2_000_000
+#: Places to verify that may be broadcast to where the texts are: about 15 MB.
+MAX_PLACES = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -126,10 +126,12 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     parsed = with_windows(docs.select(F.col("doc_id"), row_key().alias("row_key"), words_of(F.col("text")).alias("words")), lengths)
     rows = checkpointed(met_places(parsed, known, known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST))
     some = rows.where(F.size("met") > 0).dropDuplicates(["row_key"]).select("row_key", "met")
-    if (some.agg(F.sum(F.size("met") + 4)).first()[0] or 0) <= MAX_PLACES:
-        some = F.broadcast(some)
+    n_rows, n_places = some.agg(F.count("*"), F.coalesce(F.sum(F.size("met") + 4), F.lit(0))).first()
+    texts = docs.select(row_key().alias("row_key"), "text")
+    if n_places > MAX_PLACES and n_rows <= MAX_KEYS:  # the keys alone keep the other texts where they are
+        texts = texts.join(F.broadcast(some.select("row_key")), "row_key", "left_semi")
     # Words are cut out before places are taken apart, so that no text is copied for each place.
-    texts = docs.select(row_key().alias("row_key"), "text").join(some, "row_key").withColumn("words", words_of(F.col("text")))
+    texts = texts.join(F.broadcast(some) if n_places <= MAX_PLACES else some, "row_key").withColumn("words", words_of(F.col("text")))
     places = texts.withColumn("places", _places(F.col("met"), lengths, F.size("words")))
     runs = F.transform("places", lambda p: F.struct(p["hash"].alias("hash"), p["at"].alias("at"), p["len"].alias("len"), exact(F.slice(F.col("words"), p["at"] + 1, p["len"])).alias("run")))
     verified = places.select("row_key", F.inline(runs)).join(listed, ["hash", "run"])
