@@ -13,7 +13,7 @@ from pyspark.sql import types as S
 from quillon.functions.text import STOPWORDS
 
 # Connectors within names, words that open sentences, adjectives of origin, quotes, lengths.
-CONNECTORS = "of|de|der|den|van|von|di|da|du|del|della|la|le|the|al|el|ibn|bin|mac|mc"
+CONNECTORS = frozenset("of de der den van von di da du del della la le the al el ibn bin mac mc".split())
 OPENERS = frozenset(STOPWORDS) | frozenset(
     (
         "after during besides despite following according roughly approximately considering imagine suppose let's i've i'm i'd we're we've they're"
@@ -29,10 +29,11 @@ ORIGINS = frozenset(
 )
 LEAST_CHARS, MOST_CHARS = 3, 60
 
-NAME = r"[A-Z][\w'’-]*"
-NAMES = re.compile(rf"\b{NAME}(?:\s+(?:(?:{CONNECTORS})\s+)?{NAME})*")
-QUOTES = re.compile(r"""[“"]([^“”"]{2,80})[”"]|‘([^‘’]{2,80})’|(?<![\w'‘’])'([^']{2,80})'(?![\w'‘’])""")
-OPENING = re.compile(r"""[.!?]["'‘’“”)]*\s+""")
+#: Characters of a word, and what may close a quotation or bracket after a sentence's end.
+IN_WORD, CLOSERS = "'’-_", "\"'‘’“”)"
+#: Kinds of quotation marks: what opens, what closes, and what may not stand inside.
+QUOTES = (("“\"", "”\"", "“”\""), ("‘", "’", "‘’"), ("'", "'", "'"))
+LEAST_QUOTED, MOST_QUOTED = 2, 80
 EDGES = string.punctuation + "‘’“”…€£₹ \t"
 
 
@@ -45,6 +46,65 @@ def _trimmed(span: str) -> str:
     return span[:-2].strip(EDGES) if _plain(span).endswith("'s") else span
 
 
+def _capitalised(token: str) -> list[tuple[int, int]]:
+    """Offsets of the words in a token that begin with a capital A to Z, each up to the first character no word holds."""
+    found, i = [], 0
+    while i < len(token):
+        if "A" <= token[i] <= "Z" and not (i and (token[i - 1].isalnum() or token[i - 1] == "_")):
+            end = i + 1
+            while end < len(token) and (token[end].isalnum() or token[end] in IN_WORD):
+                end += 1
+            found.append((i, end))
+            i = end
+        i += 1
+    return found
+
+
+def names(question: str) -> list[tuple[int, str, bool]]:
+    """Where names stand, the names, and whether they open a sentence. A name goes on over white space from one capitalised word to
+    the next, and over one connector between them."""
+    found: list[list] = []
+    on, bridged, before = False, False, ""  # whether the last name may go on, whether a connector stands after it
+    for m in re.finditer(r"\S+", question):
+        at, token = m.start(), m[0]
+        words = _capitalised(token)
+        if on and words and words[0][0] == 0:
+            found[-1][1] = at + words[0][1]
+            last, words = words[0], words[1:]
+        elif on and not bridged and token in CONNECTORS:
+            bridged = True
+            before = token
+            continue
+        else:
+            last = None
+        opens = at == 0 or before.rstrip(CLOSERS)[-1:] in tuple(".!?")
+        for word in words:
+            found.append([at + word[0], at + word[1], opens and word[0] == 0])
+            last = word
+        on, bridged, before = last is not None and last[1] == len(token), False, token
+    return [(a, question[a:b], opens) for a, b, opens in found]
+
+
+def quotations(question: str) -> list[tuple[int, str]]:
+    """Where quotations stand, and what they hold. Straight single quotes count between words only, as they may be apostrophes."""
+    found, at = [], 0
+    while at < len(question):
+        for opening, closing, never in QUOTES:
+            if question[at] not in opening:
+                continue
+            end = next((i for i in range(at + 1, min(len(question), at + MOST_QUOTED + 2)) if question[i] in never), None)
+            if end is None or question[end] not in closing or end - at - 1 < LEAST_QUOTED:
+                continue
+            beside = question[max(at - 1, 0) : at] + question[end + 1 : end + 2]
+            if opening == "'" and any(c.isalnum() or c in "_'‘’" for c in beside):
+                continue
+            found.append((at, question[at + 1 : end]))
+            at = end
+            break
+        at += 1
+    return found
+
+
 def entity_spans(question: str, most: int = 4, terms: bool = False) -> list[str]:
     """Names and quotations in a question, the surest first, at most `most`; with `terms`, distinctive words after them.
 
@@ -56,16 +116,15 @@ def entity_spans(question: str, most: int = 4, terms: bool = False) -> list[str]
         if LEAST_CHARS <= len(span) <= MOST_CHARS and span.lower() not in STOPWORDS:
             found.append((-sure, at, span))
 
-    openings = {0} | {m.end() for m in OPENING.finditer(question)}
-    for m in NAMES.finditer(question):
-        words = _trimmed(m[0]).split()
-        if words and m.start() in openings and _plain(words[0]) in OPENERS:
+    for at, name, opens in names(question):
+        words = _trimmed(name).split()
+        if words and opens and _plain(words[0]) in OPENERS:
             words = _trimmed(" ".join(words[1:])).split()
         if len(words) == 1 and _plain(words[0]) in ORIGINS:
             continue
-        offer(2 if len(words) > 1 else 1, m.start(), " ".join(words))
-    for m in QUOTES.finditer(question):
-        offer(2, m.start(), _trimmed(next(g for g in m.groups() if g is not None)))
+        offer(2 if len(words) > 1 else 1, at, " ".join(words))
+    for at, quoted in quotations(question):
+        offer(2, at, _trimmed(quoted))
     if terms:
         for m in re.finditer(r"\w+", question):
             if len(m[0]) >= 4 and _plain(m[0]) not in OPENERS | ORIGINS:

@@ -128,13 +128,9 @@ def focused_view(spark, sf_dir):
     first = W.partitionBy("item_id").orderBy("rank", "zim_id", "path")
     best = candidates(spark, sf_dir).where("source = 'fts'").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("item_id", "zim_id", "path")
     rows = best.join(questions(spark, sf_dir).select("item_id", F.array_distinct(T.content_terms(F.col("passage"))).alias("terms")), "item_id")
-    rows = rows.join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"])
-
-    @F.udf("string")
-    def view(text: str, terms: list[str]) -> str:
-        return passages.focused_view(text, set(terms), 2000)
-
-    return rows.select("item_id", "path", view("text", "terms").alias("view"))
+    rows = rows.join(articles(spark, sf_dir).select("zim_id", "path", "title", "text"), ["zim_id", "path"])
+    none = F.array().cast("array<struct<char_start:int,char_end:int>>")
+    return passages.focused_views(rows.withColumn("must", none), 2000).select("item_id", "path", "view")
 
 
 @query("EV2", "MA14")

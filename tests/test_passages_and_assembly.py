@@ -6,6 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
 from quillon.operators import assembly, passages
 from quillon.operators.assembly import Limits, Passage
 
@@ -41,18 +44,92 @@ def test_index_chunks_by_depth():
     body = "Lead text. " + "".join(f"Section {i} text. " for i in range(10))
     at = [body.index(f"Section {i}") for i in range(10)] + [len(body)]
     sections = [{"heading_path": [f"H{i}"], "level": 2, "char_start": at[i], "char_end": at[i + 1]} for i in range(10)]
-    assert passages.index_chunks_of("T", body, sections, 1) == [(0, at[0], "T  Lead text.")]
+    assert passages.index_chunks_of("T", body, sections, 1) == [(0, at[0], "T > Lead text. ")]
     deep = passages.index_chunks_of("T", body, sections, 2)
-    assert len(deep) == 9 and deep[1][2] == "T > H0  Section 0 text." and deep[-1][1] == len(body) and deep[-1][2].endswith("Section 7 text.")
-    assert passages.index_chunks_of("", body, [], 1)[0][2] == body.strip()
-
-
-def test_focused_view():
+    assert len(deep) == 9 and deep[1][2] == "T > Section 0 text." and deep[-1][1] == len(body) and deep[-1][2].endswith("Section 7 text.")
+    assert passages.index_chunks_of("", body, [], 1) == [(0, len(body), body)]
+    assert passages.index_chunks_of("T", " \n", sections, 2) == [] and passages.index_chunks_of("T", "  x", [{**sections[0], "char_start": 0, "char_end": 3}], 1) == []
+    assert passages.index_chunks_of("T", body, sections, 3)[0][2].startswith("T  Lead text.")
+
+
+def brute_chunks(body, target):
+    """The rule, one sentence at a time."""
+    spans, open_at, held, sentences = [], None, 0, passages.sentence_offsets(body)
+    for a, b in sentences:
+        n = len(body[a:b].split())
+        open_at = a if open_at is None else open_at
+        if held and held + n > target:
+            spans.append((open_at, a))
+            open_at, held = a, 0
+        held += n
+        if held > 2 * target and b > open_at:
+            cut = min(open_at + max(int(target * 6.5), 1), len(body))
+            while any(c.isspace() for c in body[cut:]) and not body[cut].isspace():
+                cut += 1
+            spans.append((open_at, cut))
+            open_at, held = cut, len(body[cut:b].split())
+    return spans + ([(open_at, sentences[-1][1])] if sentences and open_at < sentences[-1][1] else [])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aab . \n!", max_size=300), st.integers(1, 12))
+def test_chunks_follow_the_rule(body, target):
+    assert passages.chunk_offsets(body, target) == brute_chunks(body, target)
+
+
+def test_focused_view(spark):
     draw = random.Random(2)
     body = text(draw, 200) + " the needle stands here. " + text(draw, 200)
-    view = passages.focused_view(body, {"needle"}, 6000)
-    assert "needle" in view and "[...]" in view and len(view) < 6100
+    view = passages.focused_view(body, {"needle"}, 6000, "Title")
+    assert "needle" in view and "[...]" in view and len(view) < 6100 and all(part.startswith("Title\n") for part in view.split("\n\n[...]\n\n"))
     assert passages.focused_view("short", {"x"}, 10) == "short"
+    # What must be in is whole, whatever the budget; nothing else fits then.
+    at = body.index(" the needle")
+    chunks = passages.chunk_offsets(body, passages.words_in(400))
+    assert passages.focused_spans(body, {"w1"}, 10, must=[(at, at + 4000)]) == [chunks[0], (at, at + 4000)]
+    rows = spark.createDataFrame([(1, 2, "p", "Title", body, ["needle"], [(at, at + 9)])], "item_id long, zim_id int, path string, title string, text string, terms array<string>, must array<struct<char_start:int,char_end:int>>")
+    assert passages.focused_views(rows, 6000).first().view == passages.focused_view(body, {"needle"}, 6000, "Title", [(at, at + 9)])
+
+
+def brute_snippet(body, terms, size=220):
+    if len(body) <= size:
+        return body.strip()
+    places = [p for t in terms if len(t.strip()) >= 3 and (p := body.lower().find(t.strip().lower())) >= 0]
+    if not places:
+        return body[:size].rsplit(" ", 1)[0] + "…"
+    high = min(len(body), max(0, min(places) - size // 2) + size)
+    start, stop = max(0, high - size), high
+    if start and 0 <= body.find(" ", start) < start + 20:
+        start = body.find(" ", start) + 1
+    if stop < len(body) and body.rfind(" ", start, stop) > start:
+        stop = body.rfind(" ", start, stop)
+    return ("…" if start else "") + body[start:stop].strip() + ("…" if stop < len(body) else "")
+
+
+def test_snippets(spark):
+    draw = random.Random(4)
+    rows = [(text(draw, draw.randrange(1, 12)), draw.sample(["w1", "w77", "W45", " w30 ", "zzz", "w5 "], 3)) for _ in range(60)]
+    rows += [("x" * 500, ["xxx"]), ("  short ", ["s"]), ("y" * 300, ["abc"]), (" " * 300 + "needle", ["needle"])]
+    found = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, body string, terms array<string>").select("i", T.snippet(F.col("body"), F.col("terms")).alias("s"))
+    assert {r.i: r.s for r in found.collect()} == {i: brute_snippet(*r) for i, r in enumerate(rows)}
+
+
+SHELLS = [
+    ("""<html><meta http-equiv="refresh" content="0;url='../../A/Main_Page'"></html>""", "A/Main_Page"),
+    ("""<META HTTP-EQUIV='Refresh' CONTENT='5; URL="./x#part"'>""", "x#part"),
+    ("""<meta http-equiv=refresh content="0; /y">""", "y"),
+    ("""<meta content="1;url=z w" http-equiv="refresh">""", "z"),
+    ("""<meta http-equiv="refresh" content="30">""", None),
+    ("""<meta name="refresh" content="0;url=q">""", None),
+    ("""<meta http-equiv="refresh" content="0;url=q">""" + " " * 600, None),
+]
+
+
+def test_soft_redirects_and_captions(spark):
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(SHELLS)], "i int, html string").select("i", T.soft_redirect_target(F.col("html")).alias("t"))
+    assert {r.i: r.t for r in rows.collect()} == {i: t for i, (_, t) in enumerate(SHELLS)}
+    vtt = "WEBVTT - x\r\n\r\nNOTE a\n\n1\n00:01.000 --> 00:02.000\n  First \n\n00:12:05.5\nWEBVTTs stay\nat 10:30 we\nwebvtt\n12:30\n"
+    assert spark.range(1).select(T.vtt_text(F.lit(vtt)).alias("t")).first().t == "1\nFirst\nWEBVTTs stay\nat 10:30 we"
 
 
 def pool(seed, n=40):
@@ -68,7 +145,7 @@ def pool(seed, n=40):
 def test_budget_rules(seed):
     limits = Limits(budget=200, per_article=2, floor_rel=0.5, least_articles=3)
     rows = assembly.by_score(pool(seed))
-    chosen = assembly.budgeted(rows, limits)
+    chosen = assembly.top_k(rows, limits, "")
     # The same by its rules, one row at a time.
     kept, used = [], 0
     for p in rows:
