@@ -106,14 +106,24 @@ def _read(batches):
 
     out: list[tuple] = []
     conv, state = None, None
-    for conv_id, _, text, new_from, loss_start, loss_end in _rows(batches):
+
+    def done():
+        turns, sha, chars, loss_sha, formatted = state
+        out.append((conv, len(turns), sha.hexdigest(), chars, loss_sha.hexdigest(), formatted))
+
+    for conv_id, _, text, _, loss_start, loss_end in _rows(batches):
         if state is None or conv_id != conv:
             if state:
-                out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-            conv, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-        for role, said in turns_of(text[new_from:]):
-            state[0] += 1
+                done()
+            conv, state = conv_id, [[], hashlib.sha256(), 0, hashlib.sha256(), 0]
+        turns, before = turns_of(text), len(state[0])
+        if loss_start is None:
+            turns = state[0] + turns
+        elif turns[:before] != state[0]:
+            raise ValueError(f"an example of conversation {conv_id} does not begin with the turns of the one before")
+        for role, said in turns[before:]:
             state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        state[0] = turns
         if loss_start is not None:
             reply = unescaped(text[loss_start:loss_end])
             state[2] += len(reply)
@@ -121,13 +131,18 @@ def _read(batches):
         state[4] += len(text)
         if len(out) >= 4096:
             yield batch(out)
-            out = []
+            out.clear()
     if state:
-        out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+        done()
     if out:
         yield batch(out)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Digests per conversation of examples as `prefix_targets` gives them (each conversation's together and in order)."""
-    return examples.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_back(examples: DataFrame, sort: bool = False) -> DataFrame:
+    """Digests per conversation, read from whole examples; an example whose context is not the turns of the one before raises. Examples
+    as `prefix_targets` gives them stand together and in order; `sort` brings them so, if they were written and read again."""
+    if sort:
+        examples = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return examples.select(*[part.split()[0] for part in SCHEMA.split(", ")]).mapInArrow(
+        _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,3 +39,16 @@ def test_odd_tables(spark):
     wide = spark.createDataFrame([(*r, 1, "z") for r in rows], SCHEMA + ", example int, loss_start string")
     back = {r.conv_id: r for r in chat.read_back(chat.prefix_targets(wide)).collect()}
     assert back[None].n_turns == 2 and back[7].n_turns == 2 and back[7].loss_chars == 8
+
+
+def test_contexts_are_read(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "user", "x")], SCHEMA)
+    examples = chat.prefix_targets(turns)
+    rows = sorted(examples.collect(), key=lambda r: (r.conv_id, r.example))
+    shuffled = spark.createDataFrame([rows[i] for i in (1, 2, 0)], examples.schema).repartition(3)
+    key = lambda r: r.conv_id
+    assert sorted(chat.read_back(shuffled, sort=True).collect(), key=key) == sorted(chat.read_back(examples).collect(), key=key)
+    bad = [(r.conv_id, r.example, r.text.replace("<|im_sep|>a<", "<|im_sep|>z<") if r.example == 1 else r.text, r.new_from, r.loss_start, r.loss_end) for r in rows if r.conv_id == 1]
+    assert bad[1][2] != rows[1].text
+    with pytest.raises(Exception, match="does not begin with the turns"):
+        chat.read_back(spark.createDataFrame(bad, examples.schema).coalesce(1)).collect()
