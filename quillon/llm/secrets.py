@@ -16,9 +16,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
-from re import IGNORECASE
-from re import _constants as C
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -71,47 +68,100 @@ def _of_strings(strings: set[str]) -> Query:
     return _simple(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings))
 
 
-def _walk(nodes) -> tuple[set[str] | None, Query]:
-    """All strings that a piece of an expression matches (lower-cased; None: too many to tell), and its query."""
-    run, query, exact = {""}, ANY, True
-    for op, arg in nodes:
-        strings, own = None, ANY
-        if op is C.LITERAL:
-            strings = {chr(arg).lower()}
-        elif op is C.IN:
-            found = set()
-            for kind, value in arg:
-                if kind is C.LITERAL:
-                    found.add(chr(value).lower())
-                elif kind is C.RANGE and value[1] - value[0] < 8:
-                    found |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-                else:
-                    found |= set(map(str, range(99)))
-            strings = found if len(found) <= 8 else None
-        elif op is C.SUBPATTERN:
-            strings, own = _walk(arg[-1])
-        elif op is C.BRANCH:
-            parts = [_walk(branch) for branch in arg[1]]
-            if all(s is not None for s, _ in parts):
-                strings = set().union(*[s for s, _ in parts])
-            own = _simple(frozenset().union(*[q for _, q in parts]))
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = arg
-            part, inner_query = _walk(inner)
-            if part is not None and high == 1:
-                strings = part | ({""} if low == 0 else set())
-            own = inner_query if low else ANY
-        if strings is not None and len(strings) * len(run) <= MOST_STRINGS:
-            run = {a + b for a, b in product(run, strings)}
-        else:
-            query, run, exact = _both(_both(query, _of_strings(run)), own), {""}, False
-    whole = _both(query, _of_strings(run))
-    return (run, whole) if exact else (None, whole)
+#: What a piece of an expression matches: all its strings (lower-cased; None: too many to tell), and its query.
+Piece = tuple[set[str] | None, Query]
+FEW, MANY = 8, 1 << 16
+
+
+class _Reader:
+    """Reads an expression once, from left to right. It knows literals, classes, groups, alternatives and repeats, which is all that
+    rules use; anything else raises."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def next(self, wanted: str = "") -> str:
+        """The next character, passed over if it is one of `wanted` (or if that is empty)."""
+        char = self.text[self.at : self.at + 1]
+        if char and (not wanted or char in wanted):
+            self.at += 1
+            return char
+        return ""
+
+    def branches(self) -> Piece:
+        parts = [self.sequence()]
+        while self.next("|"):
+            parts.append(self.sequence())
+        whole = None if any(s is None for s, _ in parts) else set().union(*[s for s, _ in parts])
+        return whole, _simple(frozenset().union(*[q for _, q in parts]))
+
+    def sequence(self) -> Piece:
+        run, query, exact = {""}, ANY, True
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            strings, own = self.repeated()
+            if strings is not None and len(strings) * len(run) <= MOST_STRINGS:
+                run = {a + b for a, b in product(run, strings)}
+            else:
+                query, run, exact = _both(_both(query, _of_strings(run)), own), {""}, False
+        whole = _both(query, _of_strings(run))
+        return (run if exact else None), whole
+
+    def repeated(self) -> Piece:
+        strings, query = self.atom()
+        mark = self.next("?*+{")
+        low, high = {"": (1, 1), "?": (0, 1), "*": (0, MANY), "+": (1, MANY), "{": (1, 1)}[mark]
+        if mark == "{":
+            bounds = self.text[self.at : self.text.index("}", self.at)]
+            self.at += len(bounds) + 1
+            first, comma, last = bounds.partition(",")
+            low = int(first or 0)
+            high = int(last) if last else MANY if comma else low
+        if high > 1:
+            strings = None
+        elif low == 0 and strings is not None:
+            strings = strings | {""}
+        return strings, query if low else ANY
+
+    def atom(self) -> Piece:
+        char = self.next()
+        if char == "(":
+            if self.next("?") and not self.next(":"):
+                raise ValueError(f"no rule for the group at {self.at} in {self.text!r}")
+            found = self.branches()
+            self.next(")")
+            return found
+        if char == "[":
+            return self.one_of(), ANY
+        if char in "^$":
+            raise ValueError(f"no rule for {char} in {self.text!r}")
+        return (None if char == "." else {self.escaped() if char == "\\" else char.lower()}), ANY
+
+    def escaped(self) -> str:
+        char = self.next()
+        if char == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16)).lower()
+        if char.isalnum():
+            raise ValueError(f"no rule for \\{char} in {self.text!r}")
+        return char
+
+    def one_of(self) -> set[str] | None:
+        """The characters of a class; None if they are more than a few, or all but some."""
+        found, other = set(), bool(self.next("^"))
+        while not self.next("]"):
+            low = self.next()
+            low = self.escaped() if low == "\\" else low
+            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+                self.at += 1
+                found |= {chr(c).lower() for c in range(ord(low), ord(self.next()) + 1)}
+            else:
+                found.add(low.lower())
+        return None if other or len(found) > FEW else found
 
 
 def trigram_query(pattern: str) -> Query:
     """An OR of ANDs of trigrams: every text in which `pattern` matches holds, lower-cased, all of one AND. ANY if it has no mandatory trigram."""
-    return _walk(parser.parse(pattern.removeprefix("(?i)"), IGNORECASE if pattern.startswith("(?i)") else 0))[1]
+    return _Reader(pattern.removeprefix("(?i)")).branches()[1]
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from quillon.llm import secrets
 
 SCHEMA = "doc_id long, text string"
@@ -32,6 +34,11 @@ def test_queries_are_mandatory():
     assert secrets.trigram_query(r"[0-9a-f]+") == secrets.ANY
     assert secrets.trigram_query(r"abc?d") == frozenset({frozenset({"abc", "bcd"}), frozenset({"abd"})})
     assert secrets.trigram_query(r"(foo|[xyz]+)bar") != secrets.ANY
+    assert secrets.trigram_query(r"(?:ab|c\x44)e{1}[^q]fgh{0,2}.ijk") == frozenset({frozenset({"abe", "ijk"}), frozenset({"cde", "ijk"})})
+    assert secrets.trigram_query(r"x{3}abc|q") == secrets.ANY and secrets.trigram_query(r"(abc)+d*") == frozenset({frozenset({"abc"})})
+    for bad in (r"(?=abc)", r"^abc", r"\babc"):
+        with pytest.raises(ValueError):
+            secrets.trigram_query(bad)
     for rule in secrets.RULES[:2] + secrets.RULES[3:]:
         assert secrets.trigram_query(rule.pattern) != secrets.ANY
 
