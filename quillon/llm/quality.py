@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed
+from quillon.llm._common import checkpointed, packed
 
 MAX_ROWS = 50_000
 PARTS = 8
@@ -129,33 +129,33 @@ def score_of(model: list[tuple[Column | None, float]]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Statistics and label of labelled rows that are not held out, about `max_rows` of them at most."""
-    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("label")).where("label in (0, 1)")
-    own = own.where(~held_out(F.col("__id")))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Statistics and label of labelled rows that are not held out, about `max_rows` of them at most. Labels are picked first and, being
+    that few, broadcast: the statistics of other rows are not worked out here, and no text moves."""
+    own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label")).where("label in (0, 1)")
+    own = own.where(~held_out(F.col("id")))
     share = min(1.0, max_rows / max(own.count(), 1))
-    own = own.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+    own = own.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+    own = F.broadcast(own) if own.count() <= 2 * max_rows else own
+    rows = docs.select(F.col("doc_id"), F.col("text")).join(own, F.col("doc_id") == F.col("id"))
+    rows = rows.select("id", "label", *[c.alias(k) for k, c in statistics(F.col("text")).items()])
     # Dealt out and sorted by fixed rules: the forest draws by place, so that reruns draw the same rows.
-    rows = stats.join(own, stats.doc_id == own["__id"]).select("__id", "label", *NAMES)
-    return rows.repartition(PARTS, "__id").sortWithinPartitions("__id", "label", *NAMES).select("label", *NAMES)
+    return rows.repartition(PARTS, "id").sortWithinPartitions("id", "label", *NAMES).select("label", *NAMES)
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[Column | None, float]]:
-    rows = checkpointed(training_rows(stats, labels, max_rows))
-    return fit(rows)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[Column | None, float]]:
+    return fit(checkpointed(training_rows(docs, labels, max_rows)))
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    stats = checkpointed(with_statistics(docs))
-    score = score_of(train(stats, labels, max_rows))
-    out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    score = score_of(train(docs, labels, max_rows))
+    out = with_statistics(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of `docs`, all columns, that the classifier does not reject. Only narrow rows are shuffled, to fit it."""
-    score = score_of(train(with_statistics(docs), labels, max_rows))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
-    scored = docs.select(row, *[c.alias(k) for k, c in statistics(F.col("text")).items()])
-    return scored.where(score >= THRESHOLD).select("__doc.*")
+    score = score_of(train(docs, labels, max_rows))
+    scored = docs.select(packed(docs, "doc"), *[c.alias(k) for k, c in statistics(F.col("text")).items()])
+    return scored.where(score >= THRESHOLD).select("doc.*")

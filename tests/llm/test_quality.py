@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -59,3 +60,25 @@ def test_rules_are_read_from_trees():
 def test_statistics(spark):
     row = spark.createDataFrame([("AB cd cd\ncd | ##!",)], "text string").select(*[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).first()
     assert row.distinct_words == 4 / 6 and row.shouted == 1 / 6 and row.bars == 1 / 6 and row.symbols == 1 / 6 and row.bangs == 1 / 6 and row.line_words == 3
+
+
+def test_compiled_score_is_that_of_the_rules(spark, monkeypatch):
+    docs, labels = corpus(300)
+    rules = []
+    monkeypatch.setattr(quality, "compiled", lambda rule, own=quality.compiled: rules.append((rule, own(rule))) or rules[-1][1])
+    table, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(table, marks)
+    assert len(model) > 2
+    kept = [(next(r for r, c in rules if c is column), weight) for column, weight in model[1:]]
+    stats = quality.with_statistics(table).select("doc_id", *quality.NAMES, quality.score_of(model).alias("score")).collect()
+    for r in stats:
+        total = model[0][1] + sum(w for rule, w in kept if all((r[quality.NAMES[f]] <= b) == (sign == "<=") for f, sign, b in rule))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_stage_keeps_odd_columns(spark):
+    docs, labels = corpus(120)
+    odd = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA + ", label string, `a``b` int")
+    kept = quality.keep_good(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count() and {r["a`b"] for r in kept.collect()} == {1}
+    assert quality.keep_good(spark.createDataFrame([], SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
