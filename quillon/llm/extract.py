@@ -134,7 +134,8 @@ class Page:
         return [held[b.box] for b in self.blocks]
 
     def best(self) -> tuple[int, float] | None:
-        """The best container and its score: each block counts in full for the nearest one and by halves further out."""
+        """The best container and its score: each block counts in full for the nearest one and by halves further out. Of equal ones
+        that which begins first."""
         scores: dict[int, float] = {}
         for b in self.blocks:
             worth, box = (len(b.text) - 2 * b.links) * (1.0 if b.prose else 0.5), b.box
@@ -145,9 +146,7 @@ class Page:
                 box, worth = self.parents[box], worth / 2
         if not scores:
             return None
-        most = max(scores.values())
-        box = max((i for i, s in scores.items() if s == most), key=self.path)
-        return box, most
+        return max(scores.items(), key=lambda s: (s[1], -s[0]))
 
     def climbed(self, box: int) -> int:
         """The container of the whole article around a winning one: the outermost article, else the outermost main; else the way
@@ -276,6 +275,8 @@ class _Reader:
         if name == "a":
             self.in_link = max(0, self.in_link - 1)
         if not self.open.get(name):
+            if name in BLOCK:
+                self.flush()
             return
         depth, block = self.open[name][-1], self.open_blocks[-1] if self.open_blocks else -1
         if name not in BLOCK and block > depth:

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import time
+from html.parser import HTMLParser
+
 from quillon.llm import extract
 
 SCHEMA = "page_id long, url string, html string"
@@ -53,3 +57,81 @@ def test_whole_article_around_the_winner(spark):
 def test_headings_with_slugs_stay(spark):
     page = "<html><body><article><h2 id='search-algorithms'>Search</h2><p>One.</p><h2 id='related-work'>Related</h2><p class='notice'>Two <span class='share'>three</span>.</p><div class='related'><p>Gone</p></div></article></body></html>"
     assert texts(spark, [(1, "http://c.example/", page)])[1].text == "Search One. Related Two three."
+
+
+class Plain(HTMLParser):
+    """Another reading of a page, by the standard library: text outside of what is skipped, by blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skipped, self.blocks, self.words = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in extract.SKIP:
+            self.skipped += 1
+        if tag in extract.BLOCK:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in extract.BLOCK:
+            self.cut()
+        if tag in extract.SKIP:
+            self.skipped = max(0, self.skipped - 1)
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.words.append(data)
+
+    def cut(self):
+        text = " ".join("".join(self.words).split())
+        self.blocks += [text] if text else []
+        self.words = []
+
+
+def test_blocks_against_another_parser():
+    draw = random.Random(12)
+
+    def inside(depth):
+        out = []
+        for _ in range(draw.randrange(1, 4)):
+            kind = draw.choice(["text", "p", "div", "nav", "script", "b", "comment", "a", "li"] if depth < 4 else ["text"])
+            if kind == "text":
+                out.append(draw.choice(["one &amp; two ", "3 < 4 and 5 > 2 ", "caf&eacute; ", "x\n  y ", "&#33;&nbsp;end "]))
+            elif kind == "script":
+                out.append("<script type='a>b'>if (a < b) { '<p>no</p>' }</script>")
+            elif kind == "comment":
+                out.append("<!-- <p>no</p> > -->")
+            else:
+                quoted = draw.choice([' class="k1"', " data-x='a > b'", " title=plain", ' title="it\'s"', ""])
+                out.append(f"<{kind}{quoted}>{inside(depth + 1)}</{kind}>")
+        return "".join(out)
+
+    for _ in range(300):
+        html = f"<html><body><div>{inside(0)}</div></body></html>"
+        other = Plain()
+        other.feed(html)
+        other.close()
+        other.cut()
+        assert [b.text for b in extract.Page(html).blocks] == other.blocks, html
+
+
+def test_hostile_pages_take_time_in_proportion():
+    def seconds(make, n):
+        began = time.perf_counter()
+        extract.Page(make(n)).text(None)
+        return time.perf_counter() - began
+
+    pages = [
+        lambda n: '<a "' * n, lambda n: "<a '" * n + ">", lambda n: "<div>" * n + "x", lambda n: "<i>" + "<div>" * n + "</i>" * n, lambda n: "<svg>" * n + "<p>y",
+        lambda n: "<script>" * n, lambda n: "<!--" * n, lambda n: "<" * n, lambda n: "<div class=c>t" * n, lambda n: "<p>a" * n, lambda n: "&" * n, lambda n: "<a x=\"'>" * n,
+        lambda n: "<a " + "b" * 4 * n + ">", lambda n: "<p " + "= " * n + ">",
+    ]
+    for make in pages:
+        assert seconds(make, 20_000) < 40 * max(seconds(make, 2000), 0.01), make(3)
+
+
+def test_unclosed_elements_and_comments_by_readers(spark):
+    page = "<html><body><div><p>One.</p><svg><path d='x'><p>Two.</p><iframe src=x><h2>Three</h2><select><option>a<p>Four.</div></body></html>"
+    assert texts(spark, [(1, "http://d.example/", page)])[1].text == "One. Two. Three Four."
+    blog = "<html><body><main><article><p>%s</p></article><article class='comment'><p>Mine!</p></article></main></body></html>" % ("text " * 50)
+    assert texts(spark, [(1, "http://e.example/", blog)])[1].text == ("text " * 50).strip()
