@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import permuted, running_start, text_or_empty
+from quillon.llm._common import packed, permuted, running_start, text_or_empty
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -28,7 +28,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 11, keep: bool
     text = text_or_empty(F.col("text"))
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     ident = docs.select(
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("__row")] if keep else []),
+        *([packed(docs.drop(*added), "__row")] if keep else []),
         F.col("doc_id"),
         F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("__id"),
         F.crc32(text.cast("binary")).alias("text_crc32"),

@@ -25,9 +25,9 @@ def test_law_rows(spark):
 
 
 def test_columns_are_carried(spark):
-    docs = spark.createDataFrame([(1, "a", "k", 4), (2, "b", "m", 5)], SCHEMA + ", slot string, lang int")
+    docs = spark.createDataFrame([(1, "a", "k", 4, 0), (2, "b", "m", 5, 0)], SCHEMA + ", slot string, lang int, `a``b` int")
     out = sharding.assign_shards(docs, shards=2, keep=True)
-    assert out.columns == ["doc_id", "text", "lang", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert out.columns == ["doc_id", "text", "lang", "a`b", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert sorted((r.doc_id, r.text, r.lang) for r in out.collect()) == [(1, "a", 4), (2, "b", 5)]
 
 
