@@ -7,6 +7,8 @@ import re
 import string
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -140,9 +142,16 @@ def entity_spans(question: str, most: int = 4, terms: bool = False) -> list[str]
     return kept
 
 
-@F.pandas_udf(S.ArrayType(S.StringType()))
-def entity_spans_udf(questions: pd.Series) -> pd.Series:
-    return questions.map(lambda q: entity_spans(q or ""))
+def with_entity_spans(rows: DataFrame, column: str, most: int = 4, terms: bool = False) -> DataFrame:
+    """`rows` (flat columns) with `spans`: the names and quotations in a column."""
+    names_, place = rows.columns, rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            found = [entity_spans(q or "", most, terms) for q in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*names_, "spans"])
+
+    return rows.mapInArrow(run, S.StructType([*rows.schema.fields, S.StructField("spans", S.ArrayType(S.StringType()))]))
 
 
 DECLARED = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)

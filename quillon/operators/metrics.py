@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators import ranks
+
 
 def share(condition: Column, of: Column | None = None) -> Column:
     """Share of rows (or of rows where `of` holds) that meet a condition; 0 when there are none."""
@@ -14,16 +15,6 @@ def share(condition: Column, of: Column | None = None) -> Column:
     return F.coalesce(F.avg(F.when(of, condition.cast("double"))), F.lit(0.0))
 
 
-def nearest_ranks(rows: DataFrame, group: list[str], value: str, percents: list[int]) -> DataFrame:
-    """p<percent> per group: item round(p * (n - 1)) of the sorted values, halves to even. Values are counted first, and ranks are
-    running sums of the counts, so that no group's values are gathered in a list."""
-    counted = rows.groupBy(*group, value).agg(F.count("*").alias("c"))
-    own = W.partitionBy(*group)
-    upto = counted.withColumn("upto", F.sum("c").over(own.orderBy(value))).withColumn("n", F.sum("c").over(own))
-    wanted = [F.min(F.when(F.col("upto") > F.bround(F.lit(p / 100.0) * (F.col("n") - 1)), F.col(value))).alias(f"p{p}") for p in percents]
-    return upto.groupBy(*group).agg(*wanted)
-
-
 def hit_ranks(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     """item_id and rank (from 1, null for a miss) of each item that expects anything: its first retrieved expected path."""
     key = F.regexp_replace(F.trim("path"), "^A/", "").alias("key")
@@ -94,27 +85,21 @@ def reference_points(rows: DataFrame, model: str) -> DataFrame:
     return sums.withColumn("reason", reason).withColumn("headroom", F.when(F.col("reason") == "", F.round(realised, 6))).drop("models")
 
 
-def median_floor(value: Column) -> Column:
-    """Integer median: the floor of the mean of the middle two."""
-    return F.floor(F.percentile(value, 0.5)).cast("bigint")
-
-
-def token_usage_columns(tokens_in: str, tokens_out: str) -> list[Column]:
-    a, b = F.col(tokens_in), F.col(tokens_out)
-    return [
-        F.count("*").alias("n"), F.sum(a).alias("total_input"), F.sum(b).alias("total_output"), F.sum(a + b).alias("total"),
-        median_floor(a + b).alias("p50"), median_floor(a).alias("p50_input"), median_floor(b).alias("p50_output"),
-    ]
+def token_usage(rows: DataFrame, group: str) -> DataFrame:
+    """Per group and over all (`all`), of rows with input and output tokens a and b: n, sums, and the floors of the medians of a + b, a
+    and b."""
+    every = rows.withColumn("ab", F.col("a") + F.col("b")).withColumn("g", F.explode(F.array(F.col(group), F.lit("all"))))
+    out = every.groupBy("g").agg(F.count("*").alias("n"), F.sum("a").alias("total_input"), F.sum("b").alias("total_output"), F.sum("ab").alias("total"))
+    for column, name in (("ab", "p50"), ("a", "p50_input"), ("b", "p50_output")):
+        median = ranks.linear_percentiles(every, ["g"], column, [50])
+        out = out.join(median.select("g", F.floor("p50").cast("bigint").alias(name)), "g")
+    return out.withColumnRenamed("g", group)
 
 
 def content_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """content_hash: 16 hex digits over all rows in key order, whatever order they come in.
-
-    A fixed-size digest of each row is made first; only digests are brought together for the last one."""
+    """content_hash: 16 hex digits over all rows in key order, whatever order they come in."""
     record = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
-    digests = rows.select(F.col(key).alias("k"), record.alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]), "\n")
-    return digests.agg(F.substring(F.sha2(F.concat(joined, F.lit("\n")), 256), 1, 16).alias("content_hash"))
+    return ranks.tree_hash(rows, [], key, record).select(F.substring("digest", 1, 16).alias("content_hash"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:

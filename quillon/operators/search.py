@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.sources.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -22,11 +24,33 @@ def postings(articles: DataFrame) -> DataFrame:
     return ends.select("zim_id", "path", F.size("t").alias("dl"), F.inline(runs)).select("zim_id", "path", "term", "tf", "dl")
 
 
+#: Terms of a batch of queries that are told apart as tokens are read; more are joined to the tokens.
+MAX_TERMS = 20_000
+
+
+class Index:
+    """The part of an inverted index that a batch of queries asks for: rows (zim_id, path, dl, term, tf) and sizes of the archives
+    (zim_id, n, avgdl).
+
+    Texts are read and cut into tokens once, in as many tasks as there are cores at least. Tokens that no query asks for are
+    dropped in the array, before anything is exploded; what is left of an article is kept (spilling to disk, until `docs` is
+    unpersisted or the session ends) for both tables, and for further queries with the same terms over the same articles."""
+
+    def __init__(self, articles: DataFrame, terms: DataFrame):
+        wanted = sorted(r["term"] for r in terms.select("term").where("term is not null").distinct().limit(MAX_TERMS + 1).collect())  # of queries, not of texts
+        toks = spread(articles.select("zim_id", "path", "text")).select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
+        few = len(wanted) <= MAX_TERMS
+        asked = F.filter("t", lambda t: t.isin(wanted)) if few else F.col("t")
+        self.docs = toks.select("zim_id", "path", F.size("t").alias("dl"), asked.alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self.docs.select("zim_id", "path", "dl", F.explode("t").alias("term"))
+        rows = rows if few else rows.join(terms.select("term").distinct(), "term", "left_semi")
+        self.rows = rows.groupBy("zim_id", "path", "dl", "term").agg(F.count("*").alias("tf")).select("zim_id", "path", "term", "dl", "tf")
+        self.sizes = self.docs.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 def asked_postings(articles: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows of the index for some terms only: other tokens are dropped as they are read, before anything is counted."""
-    toks = articles.select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
-    rows = toks.select("zim_id", "path", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("zim_id", "path", "term", "dl").agg(F.count("*").alias("tf"))
+    """zim_id, path, term, dl and tf: the rows of the index for some terms only."""
+    return Index(articles, terms).rows
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -38,24 +62,19 @@ def terms_of(articles: DataFrame) -> DataFrame:
     return articles.select("zim_id", "path", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
-def archive_sizes(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
-
-
 def bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def matches(queries: DataFrame, articles: DataFrame, every: bool = True) -> DataFrame:
+def matches(queries: DataFrame, articles: DataFrame, every: bool = True, index: Index | None = None) -> DataFrame:
     """item_id, zim_id, path, score, n_terms and n_met for queries (item_id, terms): articles with all terms, or with any.
 
-    Only terms that some query asks for leave the index; the terms of a query batch are small next to it and Spark
-    broadcasts them when they are."""
+    Only terms that some query asks for leave the index, here made on the way unless one is given."""
     asked = queries.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    index = asked_postings(articles, asked)
-    frequent = index.groupBy("zim_id", "term").agg(F.count("*").alias("df"))
-    rows = index.join(frequent, ["zim_id", "term"]).join(archive_sizes(articles), "zim_id").join(asked, "term")
+    index = index or Index(articles, asked)
+    frequent = index.rows.groupBy("zim_id", "term").agg(F.count("*").alias("df"))
+    rows = index.rows.join(frequent, ["zim_id", "term"]).join(index.sizes, "zim_id").join(asked, "term")
     found = rows.groupBy("item_id", "n_terms", "zim_id", "path").agg(
         F.count("*").alias("n_met"), F.sum(bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score")
     )
@@ -68,12 +87,12 @@ def ranked(found: DataFrame, limit: int, *within: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
 
 
-def any_term(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
+def any_term(queries: DataFrame, articles: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
     """Union of single-term searches in the order of the terms: a path counts for its first term, then by rank there;
     terms are taken until a query has `limit` paths in an archive, and the last one taken is cut."""
     asked = queries.select("item_id", F.posexplode("terms").alias("term_no", "term"))
     single = asked.select(F.concat_ws("/", "item_id", "term_no").alias("item_id"), F.array("term").alias("terms"))
-    hits = ranked(matches(single, articles), limit, "item_id", "zim_id")
+    hits = ranked(matches(single, articles, index=index), limit, "item_id", "zim_id")
     parts = F.split("item_id", "/")
     hits = hits.select(parts[0].cast("bigint").alias("item_id"), parts[1].cast("int").alias("term_no"), "zim_id", "path", "rank")
     first = hits.groupBy("item_id", "zim_id", "path").agg(F.min(F.struct("term_no", "rank")).alias("first"))
@@ -101,19 +120,15 @@ def ladder(raw: Column) -> Column:
 def titles_with_prefix(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
     """item_id, zim_id, path, rank: articles whose title starts with the query's `prefix`, by title and path.
 
-    The join is on the prefix's first word, so that only articles that share it are compared; a prefix of one word is joined on
-    its first three characters, or on all of it where it is shorter."""
+    Titles are listed under their starts of the lengths that are asked for, and joined by these: no join key is shorter than a
+    prefix that somebody asks for."""
     asked = queries.select("item_id", F.lower(F.trim("prefix")).alias("prefix")).where("prefix <> ''")
-    asked = asked.withColumn("head", F.split("prefix", " ")[0]).withColumn("whole", ~F.contains("prefix", F.lit(" ")))
-    known = articles.select("zim_id", "path", F.lower("title").alias("title_key")).withColumn("head", F.split("title_key", " ")[0])
-    found = known.join(asked.where(~F.col("whole")), "head").where(F.startswith("title_key", F.col("prefix")))
-    rows = found.select("item_id", "zim_id", "path", "title_key")
-    for n in (1, 2, 3):
-        short = asked.where("whole").where(F.least(F.length("prefix"), F.lit(3)) == n).withColumn("head", F.substring("prefix", 1, n))
-        by_start = known.withColumn("head", F.substring("title_key", 1, n)).join(short, "head").where(F.startswith("title_key", F.col("prefix")))
-        rows = rows.union(by_start.select("item_id", "zim_id", "path", "title_key"))
+    lengths = sorted(r[0] for r in asked.select(F.length("prefix")).distinct().collect())  # of a batch of queries
+    known = articles.select("zim_id", "path", F.lower("title").alias("title_key"))
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("title_key"))
+    starts = known.select("zim_id", "path", "title_key", F.explode(F.transform(fitting, lambda n: F.substr("title_key", F.lit(1), n))).alias("prefix"))
     place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("title_key", "path")) - 1
-    return rows.withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
+    return starts.join(asked, "prefix").withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
 
 
 def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
@@ -164,6 +179,44 @@ def shortened(queries: DataFrame, articles: DataFrame, enough: float, least_term
     return chosen.select("item_id", "c.variant", "c.top")
 
 
+def ladder_hits(missed: DataFrame, articles: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
+    """item_id, zim_id, path and rank for queries (item_id, raw, terms) that no archive has all terms of: the first archive, by number,
+    that has articles with any term, or else titles that start with the query; in it, the former before the latter."""
+    some = any_term(missed, articles, limit, index).withColumn("rung", F.lit(0))
+    titled = titles_with_prefix(missed.select("item_id", F.col("raw").alias("prefix")), articles, limit).withColumn("rung", F.lit(1))
+    both = some.unionByName(titled)
+    first = both.groupBy("item_id").agg(F.min(F.struct("zim_id", "rung")).alias("first")).select("item_id", "first.zim_id", "first.rung")
+    return both.join(first, ["item_id", "zim_id", "rung"]).select("item_id", "zim_id", "path", "rank")
+
+
+def exact_titles(queries: DataFrame, articles: DataFrame, limit: int = 3) -> DataFrame:
+    """item_id, zim_id, path and rank: of the first `limit` titles that start with a query's terms, those that are the same."""
+    asked = queries.select("item_id", F.array_join("terms", " ").alias("prefix"))
+    found = titles_with_prefix(asked, articles, limit).join(asked, "item_id")
+    named = found.join(articles.select("zim_id", "path", "title"), ["zim_id", "path"])
+    return named.where(F.lower(F.trim("title")) == F.lower("prefix")).select("item_id", "zim_id", "path", "rank")
+
+
+def distinctive_terms(raw: Column, most: int = 5) -> Column:
+    """Up to `most` words of four characters or more, punctuation at their ends taken off, less stopwords; each once."""
+    bare = F.transform(F.split(F.trim(raw), r"\s+"), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
+    long = F.filter(bare, lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(T.STOPWORDS))
+    return F.slice(F.filter(long, lambda w, i: F.array_position(F.transform(long, lambda x: F.lower(x)), F.lower(w)) == i + 1), 1, most)
+
+
+def term_surface(queries: DataFrame, articles: DataFrame, known: DataFrame) -> DataFrame:
+    """item_id, term_no, term, zim_id and path: for each distinctive term of a query, searched by itself, its best article, if it is not
+    among the `known` ones (item_id, path) of the query; an article counts for its first term."""
+    asked = queries.select("item_id", F.posexplode(distinctive_terms(F.col("raw"))).alias("term_no", "word"))
+    keyed = asked.withColumn("own", F.concat_ws("/", "item_id", "term_no"))
+    found = matches(keyed.select(F.col("own").alias("item_id"), T.tokens(F.col("word")).alias("terms")), articles)
+    order = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "zim_id", "path")
+    best = found.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("item_id").alias("own"), "zim_id", "path")
+    new = best.join(keyed, "own").join(known.select("item_id", "path").distinct(), ["item_id", "path"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("item_id", "path").orderBy("term_no"))
+    return new.withColumn("nth", nth).where("nth = 1").select("item_id", "term_no", F.col("word").alias("term"), "zim_id", "path")
+
+
 def uncovered(spans: DataFrame, passages: DataFrame) -> DataFrame:
     """item_id, span_no and span of spans (item_id, spans) that no passage (item_id, text) of the query holds, case and white space aside."""
     def folded(c):

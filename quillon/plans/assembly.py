@@ -21,7 +21,7 @@ def scored(spark, sf_dir):
 @query("CS1", "FU1", "PB1", "SR1", "SR3", "AS4", "AS6", "SC15", "UD1", "UD2", "UD7")
 def retrieve_hybrid(spark, sf_dir):
     """The pipeline end to end: prepare, search, fuse, split, score, assemble; the cards of each question."""
-    return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["standard"]).cards
+    return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["hybrid"]).cards
 
 
 @query("PB2", "TX9")
@@ -77,26 +77,27 @@ def assemble_diverse_mmr(spark, sf_dir):
     return assembly.assemble(scored(spark, sf_dir), "diverse")
 
 
-@query("DD1", "TX13", "JN13", sql=r"""WITH d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM documents WHERE n_chars < 600),
-b AS (SELECT doc_id, source, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS bg FROM d WHERE len(ws) > 4)
-SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.bg, y.bg)) / len(list_distinct(list_concat(x.bg, y.bg))), 6) AS likeness FROM b x JOIN b y ON x.source = y.source AND x.doc_id < y.doc_id
-WHERE len(x.bg) >= 4 AND len(list_intersect(x.bg, y.bg)) / len(list_distinct(list_concat(x.bg, y.bg))) > 0.85""")
+@query("DD1", "TX13", sql=r"""WITH d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT doc_id, source, list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS bg FROM d WHERE len(ws) > 4),
+h AS (SELECT *, len(bg) AS n, min(doc_id) OVER (PARTITION BY source, bg) AS head FROM b WHERE len(bg) >= 4), u AS (SELECT * FROM h WHERE doc_id = head),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.bg, y.bg)) AS m, x.n + y.n AS n FROM u x JOIN u y ON x.source = y.source AND x.doc_id < y.doc_id AND least(x.n, y.n) > 0.85 * greatest(x.n, y.n))
+SELECT head AS a, doc_id AS b, 1.0::DOUBLE AS likeness, 'same' AS kind FROM h UNION ALL SELECT a, b, round(m / (n - m), 6), 'near' FROM p WHERE m / (n - m) > 0.85""")
 def near_dup_bigram_pairs(spark, sf_dir):
-    """Near-duplicate documents of a source under 600 characters, as its SQL has it: pairs share a rarest-first prefix bigram, then are
-    verified. `near_dup_bigram_sets` takes all documents."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 600")
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    rows = docs.where(F.size(words) > 4).select("doc_id", "source", T.word_bigrams(F.col("text")).alias("bg")).where(F.size("bg") >= 4)
-    return pipeline.likely_pairs(rows, 0.85)
+    """Near-duplicates within each source: a row for each document beside the least doc_id with the same bigrams (kind same), and one
+    for each two such representatives that are alike (kind near)."""
+    return _near_duplicates(spark, sf_dir, F.col("source"))
 
 
-@query("DD1", "TX13", "JN13")
+@query("DD1", "TX13")
 def near_dup_bigram_sets(spark, sf_dir):
-    """Near-duplicates among all documents, of any length and across sources: a row for each document beside the least doc_id with
-    the same bigrams (kind same), and one for each two such representatives that are alike (kind near)."""
+    """The same across sources."""
+    return _near_duplicates(spark, sf_dir, F.lit(""))
+
+
+def _near_duplicates(spark, sf_dir, source):
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").where(F.size(words) > 4)
-    rows = docs.select("doc_id", F.lit("").alias("source"), T.word_bigrams(F.col("text")).alias("bg")).where(F.size("bg") >= 4)
+    rows = docs.select("doc_id", source.alias("source"), T.word_bigrams(F.col("text")).alias("bg")).where(F.size("bg") >= 4)
     near, member = pipeline.likely_sets(rows, 0.85)
     same = member.select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness"), F.lit("same").alias("kind"))
     return same.unionByName(near.select(F.col("ha").alias("a"), F.col("hb").alias("b"), F.round("likeness", 6).alias("likeness"), F.lit("near").alias("kind")))

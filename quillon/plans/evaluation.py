@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import metrics, ranking, search
+from quillon.operators import metrics, ranking, ranks, search
 from quillon.plans.ranking import FUSED
 from quillon.plans.registry import query
 from quillon.plans.search import BASE, CANDIDATES, asked, candidates
@@ -56,8 +56,8 @@ SELECT coalesce(slice, 'all') AS slice, count(*) AS n, {", ".join(f"round(avg(CA
 FROM ranks GROUP BY GROUPING SETS ((slice), ())""")
 def ranking_metrics_by_slice(spark, sf_dir):
     retrieved = ranking.reciprocal_rank(candidates(spark, sf_dir))
-    ranks = metrics.hit_ranks(retrieved, expected(spark, sf_dir))
-    return metrics.ranking_metrics(ranks.withColumn("slice", F.concat(F.lit("slice_"), (F.col("item_id") % 4).cast("string"))))
+    places = metrics.hit_ranks(retrieved, expected(spark, sf_dir))
+    return metrics.ranking_metrics(places.withColumn("slice", F.concat(F.lit("slice_"), (F.col("item_id") % 4).cast("string"))))
 
 
 @query("FI8", sql=f"{BASE}, {CANDIDATES}, {EXPECTED} SELECT DISTINCT item_id FROM expected")
@@ -143,7 +143,7 @@ def reference_points_headroom(spark, sf_dir):
   CAST(floor(quantile_cont(a, 0.5)) AS BIGINT) AS p50_input, CAST(floor(quantile_cont(b, 0.5)) AS BIGINT) AS p50_output FROM t GROUP BY ROLLUP (capability)""")
 def token_usage_medians(spark, sf_dir):
     rows = answers(spark, sf_dir).select("capability", F.col("n_chars").alias("a"), F.floor(F.col("n_chars") / 3).alias("b"))
-    return rows.rollup("capability").agg(*metrics.token_usage_columns("a", "b")).withColumn("capability", F.coalesce("capability", F.lit("all")))
+    return metrics.token_usage(rows, "capability")
 
 
 def _nearest(values: str, percent: int) -> str:
@@ -159,7 +159,7 @@ def peak_context(spark, sf_dir):
         F.count("*").alias("n"), F.max(size).alias("max"), F.count_if(size > 8192).alias("over_8192"), F.count_if(size > 16384).alias("over_16384"),
         F.sum(F.col("question_id") % 4 + 1).alias("requests_total"),
     )
-    return sums.join(metrics.nearest_ranks(rows, ["capability"], "n_chars", [50, 90, 95]), "capability")
+    return sums.join(ranks.nearest_ranks(rows, ["capability"], "n_chars", [50, 90, 95]), "capability")
 
 
 @query("AG23", "EV4", sql="SELECT count(*) AS n, round(coalesce(corr(quality, 1 - toxic), 0), 6) AS pearson FROM labels")
@@ -216,7 +216,7 @@ def answer_shape_rates(spark, sf_dir):
         F.round(metrics.share(text.rlike("[0-9]+ ?[-+*/=] ?[0-9]+")), 6).alias("arithmetic"))
 
 
-@query("AG32", sql="""SELECT substr(sha256(string_agg(sha256(concat_ws(chr(31), CAST(item_id AS VARCHAR), text)), chr(10) ORDER BY item_id) || chr(10)), 1, 16) AS content_hash FROM benchmark""")
+@query("AG32", sql="""SELECT substr(sha256(string_agg(d, chr(10) ORDER BY b)), 1, 16) AS content_hash FROM (SELECT item_id // 65536 AS b, sha256(string_agg(sha256(concat_ws(chr(31), CAST(item_id AS VARCHAR), text)), chr(10) ORDER BY item_id)) AS d FROM benchmark GROUP BY 1)""")
 def content_hash_canonical(spark, sf_dir):
     return metrics.content_hash(table(spark, sf_dir, "benchmark"), "item_id", ["item_id", "text"])
 
@@ -224,6 +224,6 @@ def content_hash_canonical(spark, sf_dir):
 @query("JN19", sql=f"""{BASE}, {CANDIDATES}, {FUSED}, {EXPECTED}, {RANKED}, hit AS (SELECT e.item_id, min(rank) AS r FROM expected e LEFT JOIN ranked USING (item_id, path) GROUP BY e.item_id)
 SELECT CAST(n AS BIGINT) AS top_n, count(*) AS items, count(*) FILTER (WHERE r < n) AS covered FROM hit, (SELECT unnest([6, 4, 3, 2]) AS n) GROUP BY n""")
 def gold_in_top_n(spark, sf_dir):
-    ranks = metrics.hit_ranks(ranking.reciprocal_rank(candidates(spark, sf_dir)), expected(spark, sf_dir))
-    tops = ranks.select("rank", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (6, 4, 3, 2)])).alias("top_n"))
+    places = metrics.hit_ranks(ranking.reciprocal_rank(candidates(spark, sf_dir)), expected(spark, sf_dir))
+    tops = places.select("rank", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (6, 4, 3, 2)])).alias("top_n"))
     return tops.groupBy("top_n").agg(F.count("*").alias("items"), F.count_if(F.col("rank") <= F.col("top_n")).alias("covered"))

@@ -45,8 +45,8 @@ def plain_text_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.plain_text(F.col("text")).alias("clean"))
 
 
-@query("TX19", sql=r"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(trim(x), '^#{1,6}\s+', ''), '\*\*|__|`', '', 'g'),
-  '\[([^\]]+)\]\([^)]*\)', '\1', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS clean FROM documents""")
+@query("TX19", sql=r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(trim(x), '^#{1,6}\s+', ''), '\*\*|__|`', '', 'g'),
+  '\[([^\]]+)\]\([^)]*\)', '\1', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents""")
 def plain_markdown_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.markdown_text(F.col("text")).alias("clean"))
 
@@ -99,23 +99,11 @@ def section_neighbour_band_join(spark, sf_dir):
     return ingest.neighbours(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 1)
 
 
-@query("TX14", "SO5", "MA6", sql=f"""WITH {DOCS}, items AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))) AS terms FROM benchmark WHERE item_id < 10),
-c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM docs WHERE zim_id = 3), n AS (SELECT count(*) AS n FROM c),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM c) GROUP BY term), q AS (SELECT item_id, unnest(terms) AS term FROM items)
-SELECT item_id, doc_id, round(sum(ln(1 + n / (1 + df))), 6) AS score FROM q JOIN df USING (term) JOIN (SELECT doc_id, unnest(t) AS term FROM c) USING (term), n GROUP BY item_id, doc_id""")
-def idf_passage_scores(spark, sf_dir):
-    """FO2: the IDF-weighted question terms that each chunk of a set holds; ten questions and one archive, as its SQL has it.
-    `idf_passage_scores_all` scores all questions over all archives."""
-    asked = questions(spark, sf_dir).where("item_id < 10").select("item_id", F.array_distinct(T.content_terms(F.col("passage"))).alias("terms"))
-    chunks = articles(spark, sf_dir).where("zim_id = 3").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("terms"))
-    return ingest.idf_scores(asked, chunks)
-
-
-@query("TX14", "SO5", "MA6", sql=f"""WITH {DOCS}, items AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))) AS terms FROM benchmark),
+@query("TX14", "FO2", "MA6", sql=f"""WITH {DOCS}, items AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))) AS terms FROM benchmark),
 c AS (SELECT zim_id, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM docs), n AS (SELECT zim_id, count(*) AS n FROM c GROUP BY zim_id),
 p AS (SELECT zim_id, doc_id, unnest(t) AS term FROM c), df AS (SELECT zim_id, term, count(*) AS df FROM p GROUP BY zim_id, term), q AS (SELECT item_id, unnest(terms) AS term FROM items)
 SELECT item_id, zim_id, doc_id, round(sum(ln(1 + n / (1 + df))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (zim_id, term) JOIN n USING (zim_id) GROUP BY item_id, zim_id, doc_id""")
-def idf_passage_scores_all(spark, sf_dir):
+def idf_passage_scores(spark, sf_dir):
     """FO2 for every question over every archive, each archive a set of its own."""
     asked = questions(spark, sf_dir).select("item_id", F.explode(F.array_distinct(T.content_terms(F.col("passage")))).alias("term"))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import metrics, windows
+from quillon.operators import metrics, ranks, windows
 from quillon.plans.evaluation import V, answers
 from quillon.plans.registry import query
 from quillon.sources.tables import table
@@ -27,11 +27,12 @@ def two_runs(spark, sf_dir):
     return a, b
 
 
-@query("JN8", sql=f"{BUCKETED} SELECT bucket, count(*) AS n, sha256(string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id)) AS ids_sha256 FROM c GROUP BY bucket")
+@query("JN8", sql=f"""{BUCKETED}, d AS (SELECT bucket, question_id // 65536 AS b, count(*) AS n, sha256(string_agg(CAST(question_id AS VARCHAR), chr(10) ORDER BY question_id)) AS d FROM c GROUP BY 1, 2)
+SELECT bucket, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS ids_sha256 FROM d GROUP BY bucket""")
 def compare_runs_buckets(spark, sf_dir):
     rows = metrics.compare_runs(*two_runs(spark, sf_dir))
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("question_id")), lambda x: x.cast("string")), ",")
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("ids_sha256"))
+    digests = ranks.tree_hash(rows, ["bucket"], "question_id", F.col("question_id").cast("string")).withColumnRenamed("digest", "ids_sha256")
+    return rows.groupBy("bucket").agg(F.count("*").alias("n")).join(digests, "bucket")
 
 
 @query("JN9", sql="""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 7 + 1 AS new_rank, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 7 + 1 END AS old_rank FROM orders)
@@ -59,21 +60,19 @@ def results_filter_page(spark, sf_dir):
 def latency_positive_only(spark, sf_dir):
     rows = answers(spark, sf_dir).where("n_chars > 0").withColumn("run", F.lit("all"))
     sums = rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
-    return sums.join(metrics.nearest_ranks(rows, ["run"], "n_chars", [50, 95]), "run").drop("run")
+    return sums.join(ranks.nearest_ranks(rows, ["run"], "n_chars", [50, 95]), "run").drop("run")
 
 
 @query("AG31", sql="""SELECT l_returnflag AS run, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS tokens, list_sort(list(l_quantity))[count(*) // 2 + 1] AS p50_upper, round(avg(l_extendedprice), 4) AS mean_latency,
   round(avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0 END), 6) AS strict FROM lineitem GROUP BY l_returnflag""")
 def model_matrix_rollup(spark, sf_dir):
-    """Roll-up by run with the upper median; counted by value first, so that the median needs no list of all rows."""
-    rows = table(spark, sf_dir, "lineitem")
-    sums = rows.groupBy("l_returnflag").agg(
+    """Roll-up by run with the upper median."""
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "run")
+    sums = rows.groupBy("run").agg(
         F.count("*").alias("n"), F.sum("l_linenumber").alias("tokens"), F.round(F.avg("l_extendedprice"), 4).alias("mean_latency"),
         F.round(metrics.share(F.col("l_linestatus") == "F"), 6).alias("strict"))
-    by_value = rows.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("c"))
-    upto = by_value.withColumn("upto", F.sum("c").over(W.partitionBy("l_returnflag").orderBy("l_quantity")))
-    median = upto.join(sums.select("l_returnflag", "n"), "l_returnflag").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("l_returnflag").agg(F.min("l_quantity").alias("p50_upper"))
-    return sums.join(median, "l_returnflag").select(F.col("l_returnflag").alias("run"), "n", "tokens", "p50_upper", "mean_latency", "strict")
+    median = ranks.at_ranks(rows, ["run"], "l_quantity", {"p50_upper": F.floor(F.col("n") / 2)}).drop("n")
+    return sums.join(median, "run").select("run", "n", "tokens", "p50_upper", "mean_latency", "strict")
 
 
 @query("WN9", sql="""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)

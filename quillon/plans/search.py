@@ -61,14 +61,8 @@ def tok_inverted_index_df(spark, sf_dir):
     return search.document_frequencies(search.terms_of(articles(spark, sf_dir)))
 
 
-@query("TX2", sql=f"WITH {DOCS}, {POSTINGS} SELECT zim_id, path, term, tf, len(toks) AS dl FROM post JOIN docs USING (zim_id, path) WHERE term = 'the'")
-def inverted_index_postings(spark, sf_dir):
-    return search.postings(articles(spark, sf_dir)).where("term = 'the'").withColumn("dl", F.col("dl").cast("bigint"))
-
-
 @query("TX2", sql=f"WITH {DOCS}, {POSTINGS} SELECT zim_id, path, term, tf, len(toks) AS dl FROM post JOIN docs USING (zim_id, path)")
-def inverted_index_postings_all(spark, sf_dir):
-    """The whole index; `inverted_index_postings` is one term of it."""
+def inverted_index_postings(spark, sf_dir):
     return search.postings(articles(spark, sf_dir)).withColumn("dl", F.col("dl").cast("bigint"))
 
 
@@ -132,24 +126,12 @@ def ladder_first_nonempty(spark, sf_dir):
     )
 
 
-@query("SC12", "CS2", sql=rf"""
-WITH {DOCS}, raws AS (SELECT item_id, lower(regexp_split_to_array(trim(text), '\s+')[1]) AS prefix FROM benchmark WHERE length(regexp_split_to_array(trim(text), '\s+')[1]) >= 3),
-hits AS (SELECT item_id, zim_id, path, row_number() OVER (PARTITION BY item_id, zim_id ORDER BY lower(title), path) - 1 AS rank
-  FROM raws JOIN docs ON starts_with(lower(title), prefix))
-SELECT * FROM hits WHERE rank < 36""")
-def title_prefix_suggest(spark, sf_dir):
-    """Titles for first words of 3 characters or more, as its SQL has it; `title_prefix_suggest_all` takes them all."""
-    asked_titles = questions(spark, sf_dir).select("item_id", F.split(F.trim("raw"), r"\s+")[0].alias("prefix"))
-    found = search.titles_with_prefix(asked_titles.where(F.length("prefix") >= 3), articles(spark, sf_dir), 36)
-    return found.withColumn("rank", F.col("rank").cast("bigint"))
-
-
 @query("SC12", "CS2", sql=rf"""
 WITH {DOCS}, raws AS (SELECT item_id, lower(regexp_split_to_array(trim(text), '\s+')[1]) AS prefix FROM benchmark),
 hits AS (SELECT item_id, zim_id, path, row_number() OVER (PARTITION BY item_id, zim_id ORDER BY lower(title), path) - 1 AS rank
   FROM raws JOIN docs ON starts_with(lower(title), prefix) WHERE prefix <> '')
 SELECT * FROM hits WHERE rank < 36""")
-def title_prefix_suggest_all(spark, sf_dir):
+def title_prefix_suggest(spark, sf_dir):
     asked_titles = questions(spark, sf_dir).select("item_id", F.split(F.trim("raw"), r"\s+")[0].alias("prefix"))
     return search.titles_with_prefix(asked_titles, articles(spark, sf_dir), 36).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -200,12 +182,12 @@ def alias_cap_per_target(spark, sf_dir):
 
 @query("TX5")
 def entity_spans(spark, sf_dir):
-    return questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+    return spans.with_entity_spans(questions(spark, sf_dir).select("item_id", "passage"), "passage").select("item_id", "spans")
 
 
 @query("CS3", "TX6")
 def title_entity_suggest(spark, sf_dir):
-    asked_spans = questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+    asked_spans = spans.with_entity_spans(questions(spark, sf_dir).select("item_id", "passage"), "passage").select("item_id", "spans")
     return search.titles_of_spans(asked_spans, articles(spark, sf_dir))
 
 
@@ -221,7 +203,7 @@ def prefix_shorten_retry(spark, sf_dir):
 @query("RC4")
 def coverage_search(spark, sf_dir):
     """Spans of a question that none of its candidates holds, and titles that start with the first of them."""
-    own = questions(spark, sf_dir).select("item_id", spans.entity_spans_udf("passage").alias("spans"))
+    own = spans.with_entity_spans(questions(spark, sf_dir).select("item_id", "passage"), "passage").select("item_id", "spans")
     pool = candidates(spark, sf_dir).select("item_id", "zim_id", "path").distinct().join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"])
     first = search.uncovered(own, pool).groupBy("item_id").agg(F.array(F.min(F.struct("span_no", "span"))["span"]).alias("spans"))
     return search.titles_of_spans(first, articles(spark, sf_dir))
@@ -234,8 +216,8 @@ def probe_partition(spark, sf_dir):
     """How many questions the all-terms search misses, and how many of these a title that starts like them could still reach."""
     items = asked(spark, sf_dir).select("item_id", F.lower(F.split("raw", " ")[0]).alias("word"))
     hit = candidates(spark, sf_dir).where("source = 'fts'").select("item_id").distinct().withColumn("hit", F.lit(True))
-    heads = articles(spark, sf_dir).select(F.lower(F.split("title", " ")[0]).alias("head")).distinct()
-    titled = items.join(heads, F.col("head").startswith(F.col("word")) & (F.substring("head", 1, 1) == F.substring("word", 1, 1))).select("item_id").distinct().withColumn("titled", F.lit(True))
+    starts = search.titles_with_prefix(items.select("item_id", F.col("word").alias("prefix")), articles(spark, sf_dir), 1)
+    titled = starts.select("item_id").distinct().withColumn("titled", F.lit(True))
     rows = items.join(hit, "item_id", "left").join(titled, "item_id", "left")
     missed = F.col("hit").isNull()
     return rows.agg(F.count("*").alias("n"), F.count_if(missed).alias("missed"), F.count_if(missed & F.col("titled").isNotNull()).alias("missed_with_title"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import windows
+from quillon.operators import ranks, windows
 from quillon.plans.registry import query
 from quillon.sources.tables import stages, table
 
@@ -13,21 +13,19 @@ from quillon.sources.tables import stages, table
 @query("AG9", "AG11", sql="""SELECT event_type AS stage, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type
 UNION ALL SELECT 'total', count(*), round(quantile_cont(t, 0.5), 6), round(quantile_cont(t, 0.95), 6) FROM (SELECT sum(value) AS t FROM events GROUP BY user_id)""")
 def latency_percentiles_linear(spark, sf_dir):
-    rows = stages(spark, sf_dir)
-    columns = [F.count("*").alias("n"), *[F.round(F.percentile("duration_ms", p), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.95)]]
-    totals = rows.groupBy("run_id").agg(F.sum("duration_ms").alias("duration_ms")).agg(*columns)
-    return rows.groupBy("stage").agg(*columns).unionByName(totals.withColumn("stage", F.lit("total")))
+    rows = stages(spark, sf_dir).select("stage", "run_id", "duration_ms")
+    totals = rows.groupBy("run_id").agg(F.sum("duration_ms").alias("duration_ms")).select(F.lit("total").alias("stage"), "duration_ms")
+    both = rows.select("stage", "duration_ms").unionByName(totals)
+    found = ranks.linear_percentiles(both, ["stage"], "duration_ms", [50, 95])
+    return both.groupBy("stage").agg(F.count("*").alias("n")).join(found, "stage").select("stage", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("AG10", "AG12", sql="""SELECT event_type AS stage, count(*) AS count, round(avg(value), 6) AS mean_ms, round(list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1], 6) AS p95_ms FROM events GROUP BY event_type""")
 def latency_nearest_rank(spark, sf_dir):
-    """Nearest-rank percentiles by counting ranks per stage, without a list of all values."""
     rows = stages(spark, sf_dir)
     sums = rows.groupBy("stage").agg(F.count("*").alias("count"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
-    by_value = rows.groupBy("stage", "duration_ms").agg(F.count("*").alias("c"))
-    upto = by_value.withColumn("upto", F.sum("c").over(W.partitionBy("stage").orderBy("duration_ms"))).join(sums, "stage")
-    reached = upto.where(F.col("upto") > F.bround(0.95 * (F.col("count") - 1)))
-    return reached.groupBy("stage", "count", "mean_ms").agg(F.round(F.min("duration_ms"), 6).alias("p95_ms"))
+    p95 = ranks.nearest_ranks(rows, ["stage"], "duration_ms", [95])
+    return sums.join(p95, "stage").select("stage", "count", "mean_ms", F.round("p95", 6).alias("p95_ms"))
 
 
 @query("AG13", sql="SELECT event_type AS stage, row_number() OVER (ORDER BY min(event_id)) - 1 AS place FROM events GROUP BY event_type")

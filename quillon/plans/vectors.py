@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators import ranking, vectors
@@ -72,7 +73,13 @@ def knn_recall(spark, sf_dir):
     return exact.join(parts[0].unionByName(parts[1]), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
-@query("SR2", "SO1", sql=f"WITH {PAIRS}, r AS (SELECT query_id, vec_id, {TOP} AS rank FROM pairs WHERE vec_id < 200) SELECT query_id, vec_id, rank FROM r WHERE rank < 20")
+@query("SR2", "SO1", sql=f"""WITH {PAIRS}, first AS (SELECT * FROM pairs WHERE q_zim = zim_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vec_id) <= 200),
+r AS (SELECT query_id, vec_id, {TOP} AS rank FROM first) SELECT query_id, vec_id, rank FROM r WHERE rank < 20""")
 def static_shortlist(spark, sf_dir):
-    """The first stage of scoring: the 20 best of the first 200 rows."""
-    return vectors.nearest(vector_table(spark, sf_dir).where("vec_id < 200"), asked(spark, sf_dir), 20).select("query_id", "vec_id", "rank")
+    """The 20 nearest of each query's first 200 candidates, which are the vectors of its archive in their order."""
+    q = asked(spark, sf_dir).select("query_id", "zim_id", F.col("embedding").alias("e"))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("vec_id"))
+    first = vector_table(spark, sf_dir).join(q, "zim_id").withColumn("nth", nth).where("nth <= 200")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    scored = first.select("query_id", "vec_id", vectors.dot(F.col("e"), F.col("embedding")).alias("score"))
+    return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where("rank < 20").select("query_id", "vec_id", "rank")

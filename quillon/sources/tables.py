@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in as many partitions as there are cores, where a scan gives fewer (one large row group, a few small files)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """zim_id, path, title, text, lang, n_chars and doc_id."""
     docs = table(spark, sf_dir, "documents")
