@@ -17,13 +17,23 @@ are compared. A list is walked breadth first, each fingerprint taking its unvisi
 enough edges to keep its groups together, never all pairs. Lists of more than LONG fingerprints are not walked by one task:
 they are dealt into parts of that size, and every two parts are walked by a task of their own.
 
+A radius of 4 among 64 bits finds copies with hardly an edit. `near_copies`, which `keep_one` goes by, links those groups further,
+where texts are alike at 0.8 or more: by Jaccard likeness of their different shingles of five words, words being what is left
+without ASCII punctuation and case. Such texts differ in up to 15 % of the bits of a fingerprint of those shingles, which 64 bits
+tell too coarsely and no pivot can discard; so there it has 256 bits, and links at WIDE_RADIUS of them. To meet, texts are listed under
+samples of the bits of a second fingerprint, of shingles of two words, in which an edit changes less: as many bits as leave
+lists short, and as many lists as texts alike at 0.8 need to share one with odds of 0.99. So a link may be missed there by chance,
+never by the length of a list.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; null
 doc_ids are members but never name a group (a group of nulls has a null id); repeated rows each give a row; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. For `near_copies` a text without words is its own sole shingle.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +56,13 @@ LONG = 8192
 CHUNK = 1 << 16
 #: Pivots whose distances fit one long, a byte each.
 PER_LONG = 8
+#: Longs of the fingerprint that near copies are told by, and of the one that brings them together, with the words of their shingles.
+WIDE, WIDE_SHINGLE, MEET, MEET_SHINGLE = 4, 5, 2, 2
+#: Texts alike at 0.8 differ in 39 bits of 256 on average, 13 more being 2.3 standard deviations.
+WIDE_RADIUS = 52
+#: Share of equal bits of the meeting fingerprints that lists are laid out for, and the odds of sharing one.
+ALIKE, ODDS = 0.9, 0.99
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -66,6 +83,54 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(first), bitorder="little").view("<u8")[0])
 
 
+def mixed_up(x: np.ndarray) -> np.ndarray:
+    """Each number sent to another, one to one, so that every bit depends on all (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of the different shingles of a text, from hashes of its words; of fewer words, the whole sequence's."""
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    sums = np.zeros(n, np.uint64)
+    for i in range(k):
+        sums = sums * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    return np.unique(mixed_up(sums))
+
+
+def wide_bits(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """A fingerprint of so many longs: a bit is set when over half of the hashes, sent on once for each long, have it."""
+    votes = np.zeros(64 * longs, np.int64)
+    salts = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    for i in range(0, len(hashes), CHUNK // 4):
+        sent = mixed_up(hashes[i : i + CHUNK // 4, None] + salts)
+        bits = np.unpackbits(sent.view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 fit a byte
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes | None) -> np.ndarray:
+    """MEET longs of two-word shingles, then WIDE longs of five-word shingles."""
+    words = WORD.findall((text or b"").lower()) or [text or b""]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.concatenate([wide_bits(shingle_set(hashes, MEET_SHINGLE), MEET), wide_bits(shingle_set(hashes, WIDE_SHINGLE), WIDE)])
+
+
+MEET_LONGS, WIDE_LONGS = [f"m{i}" for i in range(MEET)], [f"w{i}" for i in range(WIDE)]
+
+
+def _wide(batches):
+    """Rows (doc_id, row_key, text) with both kinds of fingerprints in place of the text."""
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column(2).cast(pa.large_binary())]
+        fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+        wide = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, MEET + WIDE).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array(fps), *[pa.array(np.ascontiguousarray(c)) for c in wide.T]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "fp", *MEET_LONGS, *WIDE_LONGS])
+
+
 def _fingerprints(batches):
     for batch in batches:
         texts = batch.column(2).cast(pa.large_binary())
@@ -111,13 +176,19 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ marks[None, :]).astype(np.int8)
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ, row by row; a row is one long or several."""
+    bits = np.bitwise_count(x ^ y)
+    return bits.sum(1, dtype=np.int64) if bits.ndim > 1 else bits
+
+
 def near(fps: np.ndarray, table: np.ndarray, one: int, others: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Those of `others` (row numbers) linked to row `one`: pivots first, then the bits themselves."""
     for column in range(table.shape[1]):
         others = others[np.abs(table[others, column] - table[one, column]) <= radius]
         if not others.size:
             return others
-    return others[np.bitwise_count(fps[others] ^ fps[one]) <= radius]
+    return others[differing(fps[others], fps[one]) <= radius]
 
 
 def groups_of(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
@@ -136,32 +207,33 @@ def groups_of(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[
     return found
 
 
-def _edges_of_lists(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among rows of equal key; rows come sorted by key."""
+def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among the nodes of rows of equal key; rows come sorted by key."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     a, b = [], []
     some = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-    k, f, t = keys[some], fps[some], table[some]
+    k, n, f, t = keys[some], nodes[some], fps[some], table[some]
     for shift in range(1, SHORT):
         one = np.flatnonzero(k[shift:] == k[:-shift])
         if not one.size:
             break
         for column in range(t.shape[1]):
-            one = one[np.abs(t[one + shift, column] - t[one, column]) <= RADIUS]
-        one = one[np.bitwise_count(f[one] ^ f[one + shift]) <= RADIUS]
-        a.append(f[one]), b.append(f[one + shift])
+            one = one[np.abs(t[one + shift, column] - t[one, column]) <= radius]
+        one = one[differing(f[one], f[one + shift]) <= radius]
+        a.append(n[one]), b.append(n[one + shift])
     for i in np.flatnonzero(sizes > SHORT):
         own = slice(starts[i], starts[i] + sizes[i])
-        for group in groups_of(fps[own], table[own]):  # a heap-shaped tree: few edges at each node, few steps between any two
-            group = fps[own][group]
+        for group in groups_of(fps[own], table[own], radius):  # a heap-shaped tree: few edges at each node, few steps between any two
+            group = nodes[own][group]
             a.append(group[(np.arange(1, len(group)) - 1) // 2]), b.append(group[1:])
-    return np.concatenate([*a, fps[:0]]), np.concatenate([*b, fps[:0]])
+    return np.concatenate([*a, nodes[:0]]), np.concatenate([*b, nodes[:0]])
 
 
-def _edges(limit: int | None):
-    """From rows (key, fp, pivot distances) sorted by key: edges a < b. A list cut by the end of a batch waits for its rest; one of
-    more than `limit` rows is handed back instead: each fingerprint as a, without b, and the key."""
+def _edges(limit: int | None, words: int, radius: int):
+    """From rows (key, node, fingerprint in `words` longs, pivot distances) sorted by key: edges a < b between nodes. Without words the
+    node is the fingerprint. A list cut by the end of a batch waits for its rest; one of more than `limit` rows is handed
+    back instead: each node as a, without b, and the key."""
     names = ["a", "b", "key"]
 
     def batch(a, b, key):
@@ -178,8 +250,10 @@ def _edges(limit: int | None):
         long = sizes[place] > (limit or len(place))
         if long.any():
             yield back([c[long] for c in columns])
-        keys, fps, *longs = (c[~long] for c in columns)
-        a, b = (x.view(np.int64) for x in _edges_of_lists(keys, fps.view(np.uint64), unpacked(longs)))
+        keys, nodes, *longs = (c[~long] for c in columns)
+        fps = (np.stack(longs[:words], axis=1) if words else nodes).view(np.uint64)
+        table = unpacked(longs[words:]) if longs[words:] else np.zeros((len(nodes), 0), np.int8)
+        a, b = _edges_of_lists(keys, nodes, fps, table, radius)
         yield batch(np.minimum(a, b), np.maximum(a, b), [None] * len(a))
 
     def run(batches):
@@ -218,26 +292,31 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fps: DataFrame, long: int = LONG) -> DataFrame:
-    """Edges a < b that join the linked among distinct fingerprints `fp`: enough of them for the groups."""
-    table = checkpointed(with_pivots(fps))
-    longs = table.columns[1:]
-    schema = "a long, b long, key long"
+def links_of(table: DataFrame, keys: Column, words: int, radius: int, long: int = LONG) -> DataFrame:
+    """Edges a < b that join the linked of `table` (node, then as for `_edges`; nodes differ) that share one of `keys`: enough of
+    them for the groups."""
+    own = [c for c in table.columns if c != "keys"]
 
     def walked(listed: DataFrame, limit: int | None) -> DataFrame:
-        return listed.select("key", "fp", *longs).repartition("key").sortWithinPartitions("key").mapInArrow(_edges(limit), schema)
+        return listed.select("key", *own).repartition("key").sortWithinPartitions("key").mapInArrow(_edges(limit, words, radius), "a long, b long, key long")
 
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks())])
-    found = checkpointed(walked(table.select("fp", *longs, F.explode(keys).alias("key")), long).distinct())
-    edges, rest = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+    found = checkpointed(walked(table.select(*own, F.explode(keys).alias("key")), long).distinct())
+    edges, rest = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("node"))
     if rest.isEmpty():
         return edges
-    # Each part of a long list meets every other: a fingerprint goes to as many pairs of parts as its list has parts.
+    # Each part of a long list meets every other: a node goes to as many pairs of parts as its list has parts.
     parts = rest.groupBy("key").agg(F.ceil(F.count("*") / long).cast("int").alias("parts"))
-    own = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    pairs = own.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = pairs.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
-    return edges.union(walked(dealt.join(table, "fp"), None).select("a", "b")).distinct()
+    placed = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pairs = placed.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = pairs.select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    return edges.union(walked(dealt.join(table.select(*own), "node"), None).select("a", "b")).distinct()
+
+
+def links(fps: DataFrame, long: int = LONG) -> DataFrame:
+    """Edges a < b that join the linked among distinct fingerprints `fp`: enough of them for the groups."""
+    table = checkpointed(with_pivots(fps).withColumnRenamed("fp", "node"))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks())])
+    return links_of(table, keys, 0, RADIUS, long)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -269,12 +348,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
+def labelled(distinct: DataFrame) -> DataFrame:
+    """fp and label (its group's name) of distinct fingerprints `fp` that are linked to others."""
+    label = components(links(distinct.select("fp")))
+    return label.select(F.col("node").alias("fp"), "label")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, fp and component_id (the smallest doc_id that links lead to) of each row."""
     marked = checkpointed(fingerprints(docs))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(distinct.select("fp")))
-    named = label.join(distinct, label.node == distinct.fp).select("fp", "label", "least")
+    named = labelled(distinct).join(distinct, "fp")
     least = named.groupBy("label").agg(F.min("least").alias("group_least"))
     grouped = named.join(least, "label").select("fp", "group_least")
     # Written out, so that both sides of the last join are shuffled for it and a fingerprint that many rows share can be split.
@@ -282,17 +366,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(owners, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
+def meeting_masks(rows: int) -> list[list[int]]:
+    """Masks (signed longs, MEET for each list) that sample bits for `rows` different fingerprints."""
+    bits = min(max(8, math.ceil(math.log2(max(rows, 2))) - 3), 48)
+    count = math.ceil(math.log(1 - ODDS) / math.log(1 - ALIKE**bits))
+    draw, masks = np.random.default_rng(3), []
+    for _ in range(count):
+        chosen = np.zeros(64 * MEET, np.uint8)
+        chosen[draw.choice(64 * MEET, bits, replace=False)] = 1
+        masks.append(np.packbits(chosen, bitorder="little").view("<i8").tolist())
+    return masks
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Edges a < b between nodes (node, meeting and wide fingerprint) whose wide fingerprints link."""
+    masks = meeting_masks(nodes.count())
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(MEET_LONGS, mask, strict=True)]) for i, mask in enumerate(masks)])
+    return links_of(nodes.select("node", *WIDE_LONGS, keys.alias("keys")), F.col("keys"), WIDE, WIDE_RADIUS)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and component_id (the smallest doc_id that links lead to) of each row, by the links of `near_duplicates` and
+    by those of texts alike at 0.8 or more."""
+    texts = docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row_key"), F.col("text").cast("string"))
+    schema = ", ".join(f"{c} long" for c in ["doc_id", "row_key", "fp", *MEET_LONGS, *WIDE_LONGS])
+    marked = checkpointed(texts.mapInArrow(_wide, schema).withColumn("node", F.xxhash64(*WIDE_LONGS)))
+    by_fp = labelled(marked.select("fp").distinct())
+    # One row for each kind of wide fingerprint within a group: groups are joined where they share one, and where two link.
+    kinds = marked.groupBy("fp", "node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in [*MEET_LONGS, *WIDE_LONGS]])
+    kinds = checkpointed(kinds.join(by_fp, "fp", "left").withColumn("own", F.coalesce("label", "fp")).drop("label"))
+    nodes = checkpointed(kinds.groupBy("node").agg(F.min("own").alias("first"), *[F.min_by(c, "fp").alias(c) for c in [*MEET_LONGS, *WIDE_LONGS]]))
+    ends = nodes.select("node", "first")
+    near_ = wide_links(nodes).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    same = kinds.select("node", "own").distinct().join(ends, "node").select(F.col("own").alias("x"), F.col("first").alias("y"))
+    wider = components(near_.union(same).where("x <> y").toDF("a", "b")).withColumnRenamed("label", "wider")
+    named = kinds.join(wider, kinds.own == wider.node, "left").select("fp", kinds.node, "least", F.coalesce("wider", "own").alias("name"))
+    least = named.groupBy("name").agg(F.min("least").alias("component_id"))
+    owners = checkpointed(named.join(least, "name").select("fp", "node", "component_id"))
+    return marked.join(owners, ["fp", "node"]).select("doc_id", "row_key", "component_id")
+
+
 def hex_fingerprint(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, of one document of each group: that with the smallest doc_id.
+    """The rows of `docs`, all columns, of one document of each group of `near_copies`: that with the smallest doc_id.
 
     Of rows that repeat its doc_id and text one stays. Of a group whose doc_ids are all null each text stays once. Texts
     stay where they are: only keys are shuffled, unless more rows go than may be broadcast.
     """
-    found = near_duplicates(docs).select("row_key", F.expr("doc_id is distinct from component_id and component_id is not null").alias("goes"))
+    found = near_copies(docs).select("row_key", F.expr("doc_id is distinct from component_id and component_id is not null").alias("goes"))
     counted = checkpointed(found.groupBy("row_key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
     repeated = counted.where("not goes").select("row_key")
     keyed = docs.select(packed(docs, "doc"), row_key().alias("row_key"))

@@ -48,8 +48,79 @@ def test_groups_against_brute_force(spark):
     found = [(r.doc_id, r.fp % 2**64, r.component_id) for r in sh.near_duplicates(wide).collect()]
     key = lambda r: (r[0] if r[0] is not None else -1, r[1])
     assert sorted(found, key=key) == sorted(brute_components(rows), key=key)
-    kept = [r.doc_id for r in sh.keep_one(wide).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({c for _, _, c in brute_components(rows) if c is not None}) and kept.count(None) == 1
+
+
+def shingles_of(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {text or ""}
+
+
+def brute_wide(text):
+    """Both wide fingerprints, bit by bit in Python's own numbers."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) or [text or ""]
+    own, whole = [xxhash.xxh64_intdigest(w.encode()) for w in words], 2**64
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    out = []
+    for size, longs in ((2, 2), (5, 4)):
+        k, sums = min(size, len(own)), set()
+        for i in range(len(own) - k + 1):
+            total = 0
+            for h in own[i : i + k]:
+                total = (total * 0x9E3779B97F4A7C15 + h) % whole
+            sums.add(mixed(total))
+        for j in range(1, longs + 1):
+            sent = [mixed((h + j * 0x632BE59BD9B4E019) % whole) for h in sums]
+            out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in sent) > len(sent)))
+    return out
+
+
+def test_wide_fingerprint_against_brute_force():
+    draw = random.Random(10)
+    texts = [None, "", "...", "One", "a b", "Ä ö, ä Ö! x-y " * 3] + [" ".join(draw.choice(["w%d" % i for i in range(40)]) for _ in range(n)) for n in (4, 5, 6, 300, 900)]
+    for t in texts:
+        assert sh.wide_fingerprint(t.encode() if t is not None else None).tolist() == brute_wide(t)
+    long = " ".join(f"w{i}" for i in range(17_000))
+    assert sh.wide_fingerprint(long.encode()).tolist() == brute_wide(long)
+
+
+def test_near_copies_against_brute_force(spark):
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in [1, 3, 12, 60, 60, 200, 200, 700, 2000] * 3:
+        base = [draw.choice(vocabulary) for _ in range(size)]
+        texts.append(" ".join(base))
+        for share in (0.004, 0.01, 0.02, 0.3):
+            own = [draw.choice(vocabulary) if draw.random() < share else w for w in base]
+            texts.append(", ".join(own).title())
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " "), (903, texts[-1]), (None, texts[0])]
+    found = {r.doc_id: r.component_id for r in sh.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets, alike, links = [shingles_of(t) for t in texts], 0, []
+    wide = [[int(x) for x in brute_wide(t)[2:]] for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if jaccard >= 0.8:
+                alike += 1
+                assert found[i] == found[j]
+            if sum(bin(x ^ y).count("1") for x, y in zip(wide[i], wide[j], strict=True)) <= sh.WIDE_RADIUS:
+                links.append((i, j))
+                assert jaccard > 0.5
+    assert alike > 40
+    group = list(range(len(texts)))
+    for i, j in links:
+        old, new = group[i], group[j]
+        group = [new if g == old else g for g in group]
+    assert [found[i] for i in range(len(texts))] == [group.index(g) for g in group]
+    assert found[None] == 0 and found[900] == found[901] == found[902] == 900 and found[903] == found[len(texts) - 1]
+    kept = [r.doc_id for r in sh.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept) == sorted(set(found.values()))
 
 
 def test_links_lose_nothing():
@@ -87,9 +158,9 @@ def test_lists_cut_by_batches(spark, monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in columns], names) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def rows(limit):
-        return [r for x in sh._edges(limit)(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        return [r for x in sh._edges(limit, 0, sh.RADIUS)(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
 
-    a, b = sh._edges_of_lists(keys, fps, sh.pivot_table(fps))
+    a, b = sh._edges_of_lists(keys, fps, fps, sh.pivot_table(fps), sh.RADIUS)
     assert {r[:2] for r in rows(None)} == {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
     size = {k: int((keys == k).sum()) for k in keys}
     back = [(k, a) for a, b, k in rows(12) if b is None]
