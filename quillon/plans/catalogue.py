@@ -96,9 +96,9 @@ def priority_match_ladder(spark, sf_dir):
     return parts(spark, sf_dir).groupBy("p_brand").agg(F.min(F.struct(rung.alias("rung"), "p_partkey"))["p_partkey"].alias("chosen"))
 
 
-@query("FI1", "SE3", "FI7", sql="SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'fr') AND n_chars <= 2000 ORDER BY doc_id LIMIT 50")
+@query("FI1", "SE3", "FI7", sql="SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'fr')")
 def scope_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("source in ('src1', 'src2', 'src3') and lang in ('en', 'fr') and n_chars <= 2000").select("doc_id").orderBy("doc_id").limit(50)
+    return table(spark, sf_dir, "documents").where("source in ('src1', 'src2', 'src3') and lang in ('en', 'fr')").select("doc_id")
 
 
 @query("FI18", sql="SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F') THEN o_orderstatus WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS status FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
@@ -54,12 +55,13 @@ def reload_by_partition(spark, sf_dir):
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-def _document(root):
-    """One XML document of the elements in column x."""
-    return F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("x"), ""), F.lit(f"</{root}>"))
+def _paged(rows: DataFrame, root: str) -> DataFrame:
+    """XML documents of the elements in column x, up to 200 parts to a document, as feeds come in pages."""
+    body = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("x"), ""), F.lit(f"</{root}>"))
+    return rows.groupBy(F.floor(F.col("p_partkey") / 200).alias("page")).agg(body.alias("value")).select("value")
 
 
-@query("SC9", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name, 'http://base/' || p_partkey || '.zim' AS url, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 20 = 0")
+@query("SC9", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name, 'http://base/' || p_partkey || '.zim' AS url, CAST(p_size AS BIGINT) AS size FROM part")
 def atom_feed_rows(spark, sf_dir):
     """The catalogue written as an Atom feed and read back."""
     home = folder(spark)
@@ -67,17 +69,17 @@ def atom_feed_rows(spark, sf_dir):
     entry = F.concat(
         F.lit("<entry><id>"), key, F.lit("</id><name>"), F.col("p_brand"), F.lit("</name><link rel='x' href='http://other/' length='1'/><link rel='open-access' href='/"), key,
         F.lit(".zim' length='"), F.col("p_size").cast("string"), F.lit("'/></entry>"))
-    table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(entry.alias("x")).agg(_document("feed")).write.text(f"{home}/feed")
+    _paged(table(spark, sf_dir, "part").select("p_partkey", entry.alias("x")), "feed").write.text(f"{home}/feed")
     return feeds.atom_feed(spark, f"{home}/feed", "http://base/").select("id", "name", "url", "size")
 
 
-@query("SC10", sql="SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS BIGINT) AS size, p_brand AS sha256, 'http://a|http://b|http://c' AS mirrors FROM part WHERE p_partkey % 20 = 1")
+@query("SC10", sql="SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS BIGINT) AS size, p_brand AS sha256, 'http://a|http://b|http://c' AS mirrors FROM part")
 def metalink_rows(spark, sf_dir):
     home = folder(spark)
     file = F.concat(
         F.lit("<file name='"), F.col("p_partkey").cast("string"), F.lit("'><size>"), F.col("p_size").cast("string"), F.lit("</size><hash type='sha-256'>"), F.col("p_brand"),
         F.lit("</hash><url priority='20'>http://b</url><url>http://c</url><url priority='3'>http://a</url></file>"))
-    table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(file.alias("x")).agg(_document("metalink")).write.text(f"{home}/links")
+    _paged(table(spark, sf_dir, "part").select("p_partkey", file.alias("x")), "metalink").write.text(f"{home}/links")
     return feeds.metalink(spark, f"{home}/links").select("name", "size", "sha256", F.array_join("mirrors", "|").alias("mirrors"))
 
 
@@ -103,11 +105,11 @@ def text_entry_scan(spark, sf_dir):
     return feeds.text_entries(_entries(spark, sf_dir)).select("path")
 
 
-@query("SC8", "SC2", sql="SELECT 'A/' || page_id AS doc_path, 'T' || page_id AS title FROM pages WHERE page_id % 2 = 0")
+@query("SC8", "SC2", sql="SELECT 'A/' || page_id AS doc_path, 'T' || page_id AS title FROM pages")
 def document_manifest_rows(spark, sf_dir):
     k = F.col("page_id").cast("string")
     record = F.concat(F.lit("{'_id': 1, 'ti': 'T"), k, F.lit("', \"aut\": 'x', 'fp': ['A/"), k, F.lit("', 'other']}"))
-    scripts = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.lit(1).alias("zim_id"), F.concat(F.lit("var DATABASE = ["), record, F.lit(", {'ti': 'gone', 'fp': ['none']}];")).alias("content"))
+    scripts = table(spark, sf_dir, "pages").select(F.lit(1).alias("zim_id"), F.concat(F.lit("var DATABASE = ["), record, F.lit(", {'ti': 'gone', 'fp': ['none']}];")).alias("content"))
     return feeds.document_manifest(scripts, _entries(spark, sf_dir)).select("doc_path", "title")
 
 
