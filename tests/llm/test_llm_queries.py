@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -28,6 +29,11 @@ def test_names():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
 
 
+def shingles(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(str(DATA / "documents.parquet"))
     before, columns = docs, docs.columns
@@ -41,7 +47,12 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "near_dedup":
             from quillon.llm import simhash
 
-            assert sorted(kept) == sorted({r.component_id for r in simhash.near_duplicates(before).collect()})
+            assert sorted(kept) == sorted({r.component_id for r in simhash.near_copies(before).collect()})
+            assert set(kept) <= {r.component_id for r in simhash.near_duplicates(before).collect()}
+            sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+            like = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in ids for y in ids if x < y}
+            assert not [p for p in like if like[p] >= 0.8 and {*p} <= set(kept)]  # no near copy of a document that stays is left
+            assert all(any(like[min(x, y), max(x, y)] >= 0.6 for y in ids - {x}) for x in ids - set(kept))  # nothing else goes
         if name == "decontaminate":
             from quillon.llm import decontaminate
 
