@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import chat, decontaminate, extract, fingerprints, language, mixing, quality, secrets, sharding, simhash, sql
+from quillon.llm import chat, clustering, collisions, decontaminate, extract, fingerprints, language, lexical, mixing, quality, secrets, sharding, simhash, sql
 from quillon.llm._common import table
 
 
@@ -73,11 +73,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_chat_prefix_targets, op3_secret_scan, op4_decontaminate, op5_quality, op6_html_extract, op7_simhash, op8_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_edit_fingerprints, op2_chat_prefix_targets, op3_secret_scan, op4_decontaminate, op5_quality, op6_html_extract, op7_simhash, op8_mixing, op9_language_id,
+    op10_sharding, op11_embedding_dedup, op12_lexical_search, op13_centroid_clustering,
+)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

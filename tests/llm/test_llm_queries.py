@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 def shingles(text):
