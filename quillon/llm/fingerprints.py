@@ -10,7 +10,10 @@ of its about 2n steps, so that fingerprints of texts of different lengths compar
 Texts walk in batches: one step moves the pointers of all texts of a batch.
 
 `near_duplicates` bands the sampled bits into keys, verifies what meets under a key by `likeness`, and names groups;
-`edit_fingerprints` returns each row's group with it.
+`edit_fingerprints` returns each row's group with it. Short lists of a key give all their pairs. Longer ones (templates, common
+openings) are walked breadth first, each fingerprint compared with all that are not taken yet, so that no link of a list is lost and
+no pairs leave a task; lists of the same fingerprints are walked once, and lists of more than LONG in parts, every two of which
+are a task.
 
 Defined cases: a null text counts as empty; an empty text's fingerprint has no samples, is wholly like another empty
 one and unlike all else; rows that repeat a doc_id follow each other by their text's hash; null doc_ids come last; a
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, text_or_empty
+from quillon.llm._common import MAX_KEYS, checkpointed, text_or_empty
 from quillon.llm.simhash import components
 
 SAMPLES = 256
@@ -174,51 +177,117 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 BAND = 12
-#: Lists of up to ALL fingerprints are compared all with all; in longer ones each is compared with the NEXT that follow it.
-ALL, NEXT = 9, 2
+#: Lists of up to ALL fingerprints give all their pairs; longer ones are walked, and dealt into parts of about LONG beyond that.
+ALL, LONG = 9, 2048
 LEAST = 0.8
 
 
-def bands(fingerprint: str) -> list[tuple[int, int]]:
-    """Key and order of each band of a fingerprint, at its own level and at the next coarser one. The order stands for the
-    two bands that follow, so that a list sorted by it brings those together that agree further on."""
+def bands(fingerprint: str) -> list[int]:
+    """Key of each band of a fingerprint, at its own level and at the next coarser one."""
     (samples, marks), own = parsed(fingerprint)
-    out = []
+    keys = []
     for level in (own, own + 1):
         kept = samples[marks >= level].tobytes()
         places = range(0, max(len(kept) - BAND, 0) + 1, BAND) if kept else ()
-        keys = [hashlib.blake2b(kept[p : p + BAND] + b"%d:%d" % (level, p), digest_size=8).digest() for p in places]
-        for i, key in enumerate(keys):
-            order = keys[(i + 1) % len(keys)][:4] + keys[(i + 2) % len(keys)][:4]
-            out.append((int.from_bytes(key, "little", signed=True), int.from_bytes(order, "big", signed=True)))
-    return out
+        keys += [hashlib.blake2b(kept[p : p + BAND] + b"%d:%d" % (level, p), digest_size=8).digest() for p in places]
+    return np.frombuffer(b"".join(keys), "<i8").tolist()
 
 
 def _banded(batches):
     for batch in batches:
-        rows = [(key, order, node) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key, order in bands(text)]
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "order", "node"])
-
-
-def linked(samples: list[bytes], least: float) -> list[tuple[int, int]]:
-    """Edges of a forest over all fingerprints of a set, breadth first, each verified by its likeness: the exact groups, which
-    those of `near_duplicates` are measured by."""
-    sizes = np.array([len(x) for x in samples])
-    table = np.full((len(samples), int(sizes.max())), 255, np.uint8)
-    for row, x in zip(table, samples, strict=True):
-        row[: len(x)] = np.frombuffer(x, np.uint8)
-    left, edges = np.arange(len(samples)), []
-    while left.size:
-        todo, left = [left[0]], left[1:]
-        while todo and left.size:
-            one = todo.pop()
-            same = ((table[left] == table[one]) & (table[left] != 255)).sum(1)
-            hit = left[same >= least * np.maximum(sizes[left], sizes[one])]
-            edges += [(int(one), int(x)) for x in hit]
-            todo.extend(hit)
-            left = np.setdiff1d(left, hit, assume_unique=True)
-    return edges
+        rows = [(key, node) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key in bands(text)]
+        columns = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node"])
+
+
+def _met(batches):
+    """From rows (key, node) sorted by both: a < b for the pairs of short lists; for longer ones each node as a, without b, and the key."""
+    names = ["a", "b", "key"]
+
+    def settled(keys: np.ndarray, nodes: np.ndarray):
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        long = np.repeat(sizes := np.diff(np.append(starts, len(keys))), sizes) > ALL
+        a, b = [], []
+        short, own = keys[~long], nodes[~long]
+        for shift in range(1, ALL):
+            same = np.flatnonzero((short[shift:] == short[:-shift]) & (own[shift:] != own[:-shift]))
+            a.append(own[same]), b.append(own[same + shift])
+        a, b = np.concatenate(a), np.concatenate(b)
+        none = np.concatenate([np.zeros(len(a), bool), np.ones(int(long.sum()), bool)])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([np.minimum(a, b), nodes[long]])), pa.array(np.concatenate([np.maximum(a, b), nodes[long]]), mask=none), pa.array(np.concatenate([np.zeros(len(a), np.int64), keys[long]]), mask=~none),
+        ], names)
+
+    wait = [np.zeros(0, np.int64)] * 2  # the list under way
+    long = None  # its key, if it is known to be a long one
+    for batch in batches:
+        keys, nodes = (np.concatenate([w, c.to_numpy()]) for w, c in zip(wait, batch.columns, strict=True))
+        if long is not None:
+            lead = int(np.count_nonzero(keys == long))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[:lead]), pa.nulls(lead, pa.int64()), pa.array(keys[:lead])], names)
+            keys, nodes = keys[lead:], nodes[lead:]
+        if not len(keys):
+            wait = [keys, nodes]
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        long = keys[-1] if len(keys) - cut > ALL else None
+        yield from settled(keys[: cut if long is None else None], nodes[: cut if long is None else None])
+        wait = [keys[cut:], nodes[cut:]] if long is None else [keys[:0], nodes[:0]]
+    if len(wait[0]):
+        yield from settled(*wait)
+
+
+class Table:
+    """Fingerprints of one list, so laid out that one is compared with many: 16 samples to a word, at the coarsest level of all and,
+    for those that are finer, at their own. The levels of a list are two at most."""
+
+    ONES = np.uint64(0x1111111111111111)
+
+    def __init__(self, prints: list[str]):
+        read = [parsed(p) for p in prints]
+        self.own = np.array([level for _, level in read])
+        self.top = int(self.own.max())
+        self.at = {level: self._laid([samples[marks >= level] if own <= level else samples[:0] for (samples, marks), own in read]) for level in set(self.own.tolist())}
+
+    def _laid(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(r) for r in rows])
+        width = max(1, -(-int(sizes.max()) // 16)) * 16
+        table, valid = np.zeros((len(rows), width), np.uint8), np.zeros((len(rows), width), np.uint8)
+        for i, r in enumerate(rows):
+            table[i, : len(r)], valid[i, : len(r)] = r, 1
+        return *((x[:, ::2] | (x[:, 1::2] << 4)).view(np.uint64) for x in (table, valid)), sizes
+
+    def alike(self, one: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Which of `others` have a likeness of `least` or more to `one`, each at the coarser of both levels."""
+        good = np.zeros(len(others), bool)
+        for level, (words, valid, sizes) in self.at.items():
+            mine = np.flatnonzero(np.maximum(self.own[others], self.own[one]) == level)
+            if not mine.size:
+                continue
+            them = others[mine]
+            x = words[them] ^ words[one]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            unlike = np.bitwise_count(x & valid[them] & valid[one]).sum(axis=1, dtype=np.int64)
+            longer = np.maximum(sizes[them], sizes[one])
+            good[mine] = np.minimum(sizes[them], sizes[one]) - unlike >= np.maximum(least * longer - 1e-9, 1)
+        return good
+
+    def edges(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that keep the linked together: each one takes, breadth first, all that are like it and not taken yet. A group's
+        edges are heap-shaped: few at each, few steps between any two."""
+        left, a, b = np.arange(len(self.own)), [], []
+        while left.size:
+            group, todo, left = [left[:1]], [left[0]], left[1:]
+            while todo and left.size:
+                hit = self.alike(todo.pop(), left, least)
+                group.append(left[hit])
+                todo.extend(left[hit])
+                left = left[~hit]
+            members = np.concatenate(group)
+            a.append(members[(np.arange(1, len(members)) - 1) // 2]), b.append(members[1:])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _verified(least: float):
@@ -232,16 +301,57 @@ def _verified(least: float):
     return run
 
 
-def met_pairs(distinct: DataFrame) -> DataFrame:
-    """a < b: fingerprints (node, fingerprint) that meet under a band. Lists of up to ALL are paired off whole. In longer ones
-    each meets the NEXT that follow it by the order of the list, so that pairs grow with the rows; a group that shares
-    many bands is linked by the many orders."""
-    listed = distinct.select("node", "fingerprint").mapInArrow(_banded, "key long, order long, node long")
-    own = W.partitionBy("key").orderBy("order", "node")
-    rows = listed.select("node", F.count("*").over(W.partitionBy("key")).alias("n"), *[F.lead("node", i).over(own).alias(f"n{i}") for i in range(1, ALL)]).where("n > 1")
-    every, some = F.array(*[f"n{i}" for i in range(1, ALL)]), F.array(*[f"n{i}" for i in range(1, NEXT + 1)])
-    met = rows.select("node", F.explode(F.when(F.col("n") <= ALL, every).otherwise(some)).alias("other")).where("other is not null and other <> node")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _walked(least: float):
+    """From rows (key, node, digits, bytes) sorted by key, a list to a key: edges a < b."""
+    def settled(rows: pa.Table):
+        nodes = rows.column("node").to_numpy()
+        found = Table([x.hex()[:n] for n, x in zip(rows.column("size").to_pylist(), rows.column("bytes").to_pylist(), strict=True)]).edges(least)
+        a, b = (nodes[x] for x in found)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        wait: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if wait and high > low and wait[-1].column("key")[0].as_py() != keys[low]:
+                    yield settled(pa.Table.from_batches(wait))
+                    wait = []
+                wait += [batch.slice(low, high - low)] if high > low else []
+        if wait:
+            yield settled(pa.Table.from_batches(wait))
+
+    return run
+
+
+def long_lists(long: DataFrame, size: int = LONG) -> DataFrame:
+    """key and node of the tasks in which long lists (key, node) are walked: lists of the same nodes once, those of over `size` in
+    parts, every two of them a task."""
+    sums = long.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64({i}, node))").alias(f"x{i}") for i in (0, 1)])
+    once = checkpointed(sums.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / size).cast("int").alias("parts")))
+    few = once.limit(MAX_KEYS + 1).count() <= MAX_KEYS
+    placed = long.join(F.broadcast(once) if few else once, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A part beside itself has no task of its own but where it is the only one: it is walked with every other.
+    two = every.where("part <> other or parts = 1")
+    return two.select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+
+
+def links(distinct: DataFrame, least: float, size: int = LONG) -> DataFrame:
+    """Edges a < b that keep together the fingerprints (node, fingerprint) that share a band and are alike: all pairs of short lists
+    are verified, longer ones are walked whole."""
+    even = F.when(F.length("fingerprint") % 2 == 1, F.concat("fingerprint", F.lit("0"))).otherwise(F.col("fingerprint"))
+    marks = distinct.select("node", F.struct(F.length("fingerprint").alias("size"), F.unhex(even).alias("bytes")))
+    listed = distinct.select("node", "fingerprint").mapInArrow(_banded, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    found = checkpointed(listed.mapInArrow(_met, "a long, b long, key long"))
+    met = found.where("b is not null").select("a", "b").distinct().join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b")
+    digits = [c for side in ("x", "y") for c in (f"{side}.size", f"{side}.bytes")]
+    near = met.select("a", "b", *digits).toDF("a", "b", "x", "x_bytes", "y", "y_bytes").mapInArrow(_verified(least), "a long, b long")
+    dealt = long_lists(found.where("b is null").select("key", F.col("a").alias("node")), size)
+    rows = dealt.join(marks.toDF("node", "mark"), "node").select("key", "node", "mark.size", "mark.bytes")
+    walked = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_walked(least), "a long, b long")
+    return near.unionAll(walked)
 
 
 def _owners(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -251,11 +361,7 @@ def _owners(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     marked = rows.mapInArrow(_fingerprints, "doc_id long, hash long, n_chars long, fingerprint string")
     marked = checkpointed(marked.select("doc_id", "hash", "fingerprint", F.xxhash64("fingerprint").alias("node")))
     distinct = checkpointed(marked.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")))
-    even = F.when(F.length("fingerprint") % 2 == 1, F.concat("fingerprint", F.lit("0"))).otherwise(F.col("fingerprint"))
-    marks = distinct.select("node", F.struct(F.length("fingerprint").alias("size"), F.unhex(even).alias("bytes")))
-    met = met_pairs(distinct).join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b")
-    digits = [c for side in ("x", "y") for c in (f"{side}.size", f"{side}.bytes")]
-    label = components(met.select("a", "b", *digits).toDF("a", "b", "x", "x_bytes", "y", "y_bytes").mapInArrow(_verified(least), "a long, b long"))
+    label = components(links(distinct, least))
     named = distinct.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     owner = named.groupBy("label").agg(F.min("least").alias("component_id"))
     # Written out, so that a fingerprint that many rows share can be split when rows are joined to it.
@@ -266,7 +372,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest doc_id that links lead to) of each row. Documents link when they share a
     band of samples and their fingerprints are at least `least` alike; equal fingerprints always do.
 
-    Only different fingerprints are banded; see `met_pairs` for which of a band are compared."""
+    Only different fingerprints are banded."""
     marked, owners = _owners(docs, least)
     return marked.join(owners, "node").select("doc_id", "fingerprint", "component_id")
 

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from functools import cache
+
+import pytest
 
 from quillon.llm import fingerprints as fp
 
@@ -68,20 +71,94 @@ def test_near_duplicates(spark):
     assert fp.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_linked_against_all_pairs():
-    draw = random.Random(4)
-    rows = [bytes(draw.randrange(2) for _ in range(draw.choice([9, 10]))) for _ in range(60)]
-    like = lambda x, y: sum(a == b for a, b in zip(x, y, strict=False)) / max(len(x), len(y))
-    group = list(range(60))
-    for i in range(60):
+def sampled_levels(upto: int) -> list[int]:
+    """Trailing zeros of splitmix64 of each step's number."""
+    out = []
+    for j in range(upto):
+        x = (j + 0x9E3779B97F4A7C15) % 2**64
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+        x ^= x >> 31
+        out.append((x & -x).bit_length() - 1 if x else 60)
+    return out
+
+
+LEVELS = sampled_levels(60_000)
+
+
+def like(x: str, y: str) -> float:
+    """Likeness of two fingerprints by the definition: equal samples of the steps that the coarser level samples."""
+    level = max(int(x[:2]), int(y[:2]))
+    a, b = coarse(x, level), coarse(y, level)
+    longer = max(len(a), len(b))
+    return sum(map(str.__eq__, a, b)) / longer if longer else float(x == y)
+
+
+@cache
+def coarse(text: str, level: int) -> str:
+    own = (n for n in LEVELS if n >= int(text[:2]))
+    return "".join(c for c, n in zip(text[2:], own, strict=False) if n >= level)
+
+
+def groups(marks: list[str], least: float = 0.8) -> list[int]:
+    name = list(range(len(marks)))
+    for i in range(len(marks)):
         for j in range(i):
-            if like(rows[i], rows[j]) >= 0.8:
-                group = [group[j] if g == group[i] else g for g in group]
-    tree = list(range(60))
-    for a, b in fp.linked(rows, 0.8):
-        assert like(rows[a], rows[b]) >= 0.8
+            if name[i] != name[j] and like(marks[i], marks[j]) >= least:
+                name = [name[j] if n == name[i] else n for n in name]
+    return name
+
+
+def prints(texts: list[str]) -> list[str]:
+    return [fp.shown(s, fp.level_of(len(t))) for t, (s, _) in zip(texts, fp.walk([fp.classes(fp.code_points(t)) for t in texts]), strict=True)]
+
+
+def test_walked_lists_against_all_pairs():
+    """Lists hold fingerprints of two levels: texts about the length at which the level goes up."""
+    draw = random.Random(4)
+    base = "".join(draw.choice("etaoin shrdlu") for _ in range(1100))
+    texts = [base[: draw.choice([980, 1010, 1030, 1060, 1100]) - draw.randrange(30)] + "".join(draw.choice("ETAOIN") for _ in range(draw.randrange(200))) for _ in range(50)]
+    marks = sorted(set(prints(texts)))
+    assert len({m[:2] for m in marks}) == 2
+    table = fp.Table(marks)
+    for i in range(len(marks)):
+        others = [j for j in range(len(marks)) if j != i]
+        assert table.alike(i, fp.np.array(others), 0.8).tolist() == [like(marks[i], marks[j]) >= 0.8 for j in others]
+    tree = list(range(len(marks)))
+    for a, b in zip(*table.edges(0.8), strict=True):
         tree = [tree[a] if t == tree[b] else t for t in tree]
-    assert all((group[i] == group[j]) == (tree[i] == tree[j]) for i in range(60) for j in range(60))
+    name = groups(marks)
+    assert all((tree[i] == tree[j]) == (name[i] == name[j]) for i in range(len(marks)) for j in range(i))
+
+
+@pytest.mark.parametrize(("common", "own", "size"), [(1500, 540, 4096), (1500, 540, 40), (1200, 440, 4096)])
+def test_templates_lose_no_links(spark, common, own, size):
+    """Texts of one template: every band of the common part is a long list of texts most of which are just not alike enough."""
+    draw = random.Random(common)
+
+    def words(n):
+        return "".join(draw.choice("etaoin shrdlu") for _ in range(n))
+
+    start = words(common)
+    marks = sorted(set(prints([start + words(own) for _ in range(150)] + [words(900) for _ in range(20)])))
+    edges = fp.links(spark.createDataFrame(list(enumerate(marks)), "node long, fingerprint string"), 0.8, size).collect()
+    tree = list(range(len(marks)))
+    for a, b in edges:
+        tree = [tree[a] if t == tree[b] else t for t in tree]
+    name = groups(marks)
+    pairs = [(i, j) for i in range(len(marks)) for j in range(i) if name[i] == name[j]]
+    assert pairs and all(tree[i] == tree[j] for i, j in pairs)
+    assert all(name[i] == name[j] for i in range(len(marks)) for j in range(i) if tree[i] == tree[j])
+
+
+def test_lists_of_the_same_texts_are_walked_once(spark):
+    rows = [(key, node) for key in range(5) for node in range(30)] + [(9, node) for node in range(31)]
+    dealt = fp.long_lists(spark.createDataFrame(rows, "key long, node long"), 100).collect()
+    assert len(dealt) == 30 + 31
+    parts: dict[int, set] = {}
+    for r in fp.long_lists(spark.createDataFrame(rows, "key long, node long"), 7).collect():
+        parts.setdefault(r.key, set()).add(r.node)
+    assert all(any({i, j} <= p for p in parts.values()) for i in range(31) for j in range(i))
 
 
 def test_query_returns_groups_of_brute_force(spark):
@@ -102,12 +179,7 @@ def test_query_returns_groups_of_brute_force(spark):
     found = fp.edit_fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(found) == len(rows)
     marks = sorted({r.fingerprint for r in found})
-    parsed = [fp.parsed(m) for m in marks]
-    group = list(range(len(marks)))
-    for i in range(len(marks)):
-        for j in range(i):
-            if group[i] != group[j] and fp.likeness(*parsed[i], *parsed[j]) >= fp.LEAST:
-                group = [group[j] if g == group[i] else g for g in group]
+    group = groups(marks)
     least: dict[int, int] = {}
     for r in found:
         g = group[marks.index(r.fingerprint)]
@@ -115,12 +187,3 @@ def test_query_returns_groups_of_brute_force(spark):
             least[g] = min(r.doc_id, least.get(g, r.doc_id))
     right = [r.component_id == least.get(group[marks.index(r.fingerprint)]) for r in found]
     assert sum(right) >= 0.98 * len(right) and {r.component_id for r in found if r.n_chars == 0} == {None}
-
-
-def test_pairs_grow_with_the_rows(spark):
-    """A band that all texts share gives each text a fixed number of pairs, not one with every other."""
-    draw = random.Random(7)
-    texts = ["a shared opening passage of some length " * 2 + "".join(draw.choice("etaoin shrdlu") for _ in range(40)) for _ in range(300)]
-    marks = [fp.shown(s, fp.level_of(len(t))) for t, (s, _) in zip(texts, fp.walk([fp.classes(fp.code_points(t)) for t in texts]), strict=True)]
-    rows = spark.createDataFrame(list(enumerate(marks)), "node long, fingerprint string")
-    assert 0 < fp.met_pairs(rows).count() < 300 * 60
