@@ -1,12 +1,13 @@
 """Mixing sources to target weights.
 
-Each source's words (its documents in a fixed order) are cut into blocks of fixed length, and a source's target is a whole
-number of draws. All draws together fill the slots of the output shards, a fixed number to a shard. Which sources a shard
-gets is drawn for each shard from all draws, without putting back: its source counts are multinomial given that every source
-meets its target exactly (independent multinomial draws would meet it on average only). The drawing is a keyed
-permutation of all draws onto all slots, so that each slot is found on its own. The k-th draw of a source takes the block
-at permutation(k mod blocks), a keyed Feistel permutation of the source's block numbers, so that no block comes up a second
-time before all have come up once. Drawn block numbers are joined with the blocks by number.
+Each source's words (its documents in a fixed order) are cut into blocks of fixed length. The output has shards of a fixed number
+of slots, a block each, and every shard draws how many of its slots go to each source: multinomial counts, by the number of
+blocks that meet the source's target. A source's slots are numbered across shards by running sums of these counts, and its k-th slot
+takes the block at permutation(k mod blocks), a keyed Feistel permutation of the source's block numbers, so that no block comes up
+a second time before all have come up once. Drawn block numbers are joined with the blocks by number.
+
+What a source is given so is near its target, the nearer the more blocks it has. Where it is off by over SLACK (few blocks),
+or would be taken over `most` times, the source is held to its target; see `drawn_blocks`.
 
 All is arithmetic over (document, size) rows until the end: texts move only when `mixed` cuts them out.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, packed, permuted, row_hash, running_start
+from quillon.llm._common import MAX_KEYS, checkpointed, packed, permuted, row_hash, running_start
 
 BLOCK = 128
 SHARE, MOST = 1.5, 2
@@ -34,6 +35,10 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 #: A token with the white space before it: joined, such pieces give the text back.
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 CHUNK, CHUNKS_PER_TASK = 4096, 4
+#: Chunks of the numbers to draw from that are broadcast: some 20 MB.
+MAX_CHUNKS = 200_000
+#: How far off its draws a source may be, as a share of them.
+SLACK = 0.02
 
 
 def _source_key(source: Column) -> Column:
@@ -77,19 +82,52 @@ def targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights:
     )
 
 
-def drawn_blocks(sources: DataFrame, seed: int = 8, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """key, draw, shard, slot and block of every draw: shards have `shard_blocks` slots, the last one what is left. Draws are made in
-    even chunks, whatever the sources' sizes."""
+def _chosen_sources(sources: DataFrame, total: int, seed: int) -> DataFrame:
+    """place and key of every slot of all shards: each slot draws its source by weight, so that a shard's counts are multinomial.
+
+    A draw is a number below `total`, of which each source owns a run; runs are cut at every CHUNK numbers, and looked up by the chunk."""
+    runs = sources.where("draws > 0").withColumn("end", F.col("first") + F.col("draws"))
+    cut = runs.select("key", "end", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))).alias("chunk"))
+    table = cut.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("end", "key"))).alias("owners"))
+    few = total <= CHUNK * MAX_CHUNKS and sources.limit(MAX_CHUNKS + 1).count() <= MAX_CHUNKS
+    some = F.broadcast(table) if few else table
+    slots = sources.sparkSession.range(0, total, 1, max(1, -(-total // (CHUNK * CHUNKS_PER_TASK))))
+    drawn = slots.select(F.col("id").alias("place"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total).cast("bigint")).alias("draw"))
+    owner = F.get(F.filter("owners", lambda o: o["end"] > F.col("draw")), F.lit(0))["key"]
+    return drawn.withColumn("chunk", F.floor(F.col("draw") / CHUNK)).join(some, "chunk").select("place", owner.alias("key"))
+
+
+def drawn_blocks(sources: DataFrame, seed: int = 8, shard_blocks: int = SHARD_BLOCKS, most: float = MOST) -> DataFrame:
+    """key, draw, shard, slot and block of every draw. Shards have `shard_blocks` slots, the last one what is left.
+
+    Counts of each shard and source are summed up over the shards, which numbers a source's slots; its k-th slot takes the block at
+    permutation(k mod blocks). A source whose slots are off its draws by over SLACK, or beyond `most` times its blocks, is held
+    to its draws: its surplus slots go to sources held up to theirs, stay empty where none is, and where they do not suffice slots
+    are added after the last one."""
     total = sources.agg(F.sum("draws")).first()[0] or 0
-    chunks = sources.where("draws > 0").select(
-        "key", "blocks", "draws", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
-    ).repartition(max(1, -(-total // (CHUNK * CHUNKS_PER_TASK))), "key", "chunk")  # a fixed number: these small rows stand for much work
-    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1
-    draws = chunks.select("key", "blocks", "first", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
-    place = permuted(F.col("first") + F.col("draw"), F.lit(max(total, 1)).cast("bigint"), F.lit(seed))
+    chosen = checkpointed(_chosen_sources(sources, total, seed).withColumn("shard", F.floor(F.col("place") / shard_blocks)))
+    counts = checkpointed(chosen.groupBy("shard", "key").agg(F.count("*").alias("n")))
+    start = running_start(counts, counts.count(), ["key"], ["shard"], "n", "start").select("shard", "key", "start")
+    met = sources.join(counts.groupBy("key").agg(F.sum("n").alias("met")), "key", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    off = (F.abs(F.col("met") - F.col("draws")) > SLACK * F.col("draws")) | (F.col("met") > most * F.col("blocks"))
+    order = W.orderBy("first", "key").rowsBetween(W.unboundedPreceding, -1)  # over one row for each source
+    held = met.where("draws > 0").withColumn("held", F.when(off, F.col("draws")).otherwise(F.col("met")))
+    held = held.withColumn("spare", F.greatest(F.col("met") - F.col("held"), F.lit(0))).withColumn("lack", F.greatest(F.col("held") - F.col("met"), F.lit(0)))
+    held = checkpointed(held.select("key", "blocks", "met", "held", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_before") for c in ("spare", "lack")], "lack", F.sum("spare").over(W.partitionBy()).alias("spares")))
+    nth = F.row_number().over(W.partitionBy("shard", "key").orderBy("place")) - 1
+    # A key is a source, of which one may have a third of all slots; a shard and a source together have a shard's slots at most.
+    numbered = chosen.withColumn("nth", nth).join(start, ["shard", "key"]).select("place", "key", (F.col("start") + F.col("nth")).alias("draw"))
+    few = held.limit(MAX_KEYS + 1).count() <= MAX_KEYS
+    numbered = numbered.join(F.broadcast(held) if few else held, "key")
+    kept = numbered.where("draw < held").select("key", "draw", "blocks", "place")
+    given = numbered.where("draw >= held").select((F.col("spare_before") + F.col("draw") - F.col("held")).alias("turn"), "place")
+    lacks = held.where("lack > 0").select("key", "blocks", "lack_before", "met", "spares", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lack") - 1)).alias("i"))
+    lacks = lacks.select("key", (F.col("met") + F.col("i")).alias("draw"), "blocks", (F.col("lack_before") + F.col("i")).alias("turn"), "spares")
+    place = F.coalesce("place", F.lit(total) + F.col("turn") - F.col("spares"))
+    filled = lacks.join(given, "turn", "left").select("key", "draw", "blocks", place.alias("place"))
     block = permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64("key", F.lit(seed)))
-    return draws.select("key", "draw", place.alias("place"), block.alias("block")).select(
-        "key", "draw", F.floor(F.col("place") / shard_blocks).cast("int").alias("shard"), (F.col("place") % shard_blocks).cast("int").alias("slot"), "block"
+    return kept.unionAll(filled).select(
+        "key", "draw", F.floor(F.col("place") / shard_blocks).cast("int").alias("shard"), (F.col("place") % shard_blocks).cast("int").alias("slot"), block.alias("block")
     )
 
 

@@ -83,26 +83,44 @@ def test_empty(spark):
     assert [r.taken for r in mixing.taken(none).collect()] == [0, 0]
 
 
-def test_shard_counts_add_up(spark):
+def drawn(spark, monkeypatch, slack, shard_blocks=50):
+    monkeypatch.setattr(mixing, "SLACK", slack)
+    sources = mixing.targets(mixing._sized(spark.createDataFrame(table(spark), SCHEMA)))
+    rows = mixing.drawn_blocks(sources, shard_blocks=shard_blocks).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) and all(r.slot < shard_blocks for r in rows)
+    own = {r.key: r for r in sources.collect() if r.draws}
+    for key, source in own.items():
+        numbers, times = sorted(r.draw for r in rows if r.key == key), Counter(r.block for r in rows if r.key == key)
+        assert numbers == list(range(len(numbers))) and max(times) < source.blocks
+        assert not times or (max(times.values()) - (min(times.values()) if len(times) == source.blocks else 0) <= 1 and max(times.values()) <= 2)
+    return rows, own
+
+
+def test_sources_far_off_are_held_to_their_draws(spark, monkeypatch):
+    rows, own = drawn(spark, monkeypatch, 0)
+    assert Counter(r.key for r in rows) == {k: r.draws for k, r in own.items()}
+    total = sum(r.draws for r in own.values())
+    assert sorted((r.shard, r.slot) for r in rows) == [(i // 50, i % 50) for i in range(total)]  # no slot stays empty
+
+
+def test_counts_of_shards_are_multinomial(spark, monkeypatch):
+    rows, own = drawn(spark, monkeypatch, 9)
+    total = sum(r.draws for r in own.values())
+    for key, source in own.items():
+        p, counts = source.draws / total, Counter(r.shard for r in rows if r.key == key)
+        n, sd = sum(counts.values()), (total * p * (1 - p)) ** 0.5
+        assert abs(n - source.draws) <= 5 * sd or n == 2 * source.blocks
+        whole = [counts[s] for s in range(total // 50)]
+        assert all(abs(c - 50 * p) <= 6 * (50 * p * (1 - p)) ** 0.5 + 1 for c in whole)
+        if p > 0.2:  # the spread of counts is that of independent draws
+            assert 0.4 <= sum((c - 50 * p) ** 2 for c in whole) / len(whole) / (50 * p * (1 - p)) <= 2
+    assert any(sum(r.key == k for r in rows) != own[k].draws for k in own)  # counts follow the draws, not the targets
+
+
+def test_shard_counts(spark):
     docs = spark.createDataFrame(table(spark), SCHEMA)
-    sources = mixing.targets(mixing._sized(docs))
-    draws = {r.key: r.draws for r in sources.collect() if r.draws}
-    assert {r.key: r.n for r in mixing.shard_counts(docs).groupBy("key").agg(F.sum("blocks").alias("n")).collect()} == draws
-
-
-def test_shards_have_fixed_slots_and_drawn_counts(spark):
-    docs = spark.createDataFrame(table(spark), SCHEMA)
-    sources = mixing.targets(mixing._sized(docs))
-    rows = mixing.drawn_blocks(sources, shard_blocks=50).collect()
-    assert sorted((r.shard, r.slot) for r in rows) == [(i // 50, i % 50) for i in range(len(rows))]
-    big = Counter(r.shard for r in rows if r.key == "=big")
-    share = sum(big.values()) / len(rows)
-    whole = [s for s in range(len(rows) // 50)]
-    assert len({big[s] for s in whole}) > 1 and all(abs(big[s] - 50 * share) < 6 * (50 * share * (1 - share)) ** 0.5 for s in whole)
-    blocks = {r.key: r.blocks for r in sources.collect()}
-    for key in blocks:
-        times = Counter(r.block for r in rows if r.key == key)
-        assert not times or (max(times.values()) - (min(times.values()) if len(times) == blocks[key] else 0) <= 1 and max(times.values()) <= 2)
+    counts = mixing.shard_counts(docs, shard_blocks=100).collect()
+    assert len({r.shard for r in counts}) > 3 and max(sum(r.blocks for r in counts if r.shard == s) for s in {r.shard for r in counts}) <= 100
 
 
 def test_rows_by_shard_hold_what_the_shards_take(spark):
