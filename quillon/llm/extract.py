@@ -7,7 +7,9 @@ A page without the winning path falls back on the best container of its own. Fro
 article around it (see `climbed`), so that headings, leads and sibling sections stay.
 
 Boilerplate is left out wherever it stands: by tag (menus, headers, footers, asides, forms, scripts, styles) and by
-words in class, id or role of boxes, never of headings, paragraphs and inline tags (adverts, notices, sidebars, comments and the like). Character references are decoded, white
+words in class, id or role of boxes, never of headings, paragraphs and inline tags (adverts, notices, sidebars, comments and the like).
+Within an article an id alone, which may be the slug of a heading, or a class such as search or related only casts doubt: such a box goes if
+it is half links, or less than half prose. Formulas and the texts of drawings stay. Character references are decoded, white
 space within a block becomes one space, and blocks are joined in page order by one space.
 
 Parsing takes time and memory in proportion to the page, whatever it holds: tags are matched where they stand, within
@@ -37,7 +39,7 @@ from quillon.llm._common import checkpointed
 
 #: Tags by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea svg math iframe object select canvas title".split())
+RAW = frozenset("script style template noscript textarea iframe select canvas title annotation annotation-xml".split())
 SKIP = frozenset("nav header footer aside form button dialog menu head label fieldset".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -50,6 +52,12 @@ JUNK = re.compile(
     r"|breadcrumbs?|footer|header|masthead|share|social|related|recommended|comments?|comment-?list|disqus|replies|respond|widget|pagination|pager|login|signup|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that a section of an article may be called by as well: there the links and prose of what it holds decide.
+WEAK = re.compile(r"(?<![^\s_-])(?:social|share|related|recommended|search)(?![^\s_-])", re.IGNORECASE)
+#: Ids that mark boilerplate in an article too; others there may be the slugs of headings.
+STRONG_ID = re.compile(r"(?:comments?|comment-?list|disqus(?:_thread)?|replies|respond|sidebar|newsletter|cookies?(?:-\w+)?|ads?(?:-\w+)?)", re.IGNORECASE)
+#: Characters of prose that a box of such a class has to hold.
+SENTENCE = 40
 #: Tags whose class or id may mark boilerplate; headings, paragraphs, list items and inline tags are content whatever they are called.
 BOXES = frozenset("section div td th table ul ol dl blockquote center details figure nav aside header footer".split())
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -102,6 +110,18 @@ class Page:
         self._known: dict[tuple[int, str], int] = {}
         _Reader(self, html).read()
 
+    def parts(self) -> tuple[list, ...]:
+        """What `of` makes the page from again: boxes, texts, prose and links of the blocks; parents and steps of the containers."""
+        return *([getattr(b, f) for b in self.blocks] for f in ("box", "text", "prose", "links")), self.parents, self.steps
+
+    @classmethod
+    def of(cls, boxes: list, texts: list, prose: list, links: list, parents: list, steps: list) -> Page:
+        page = cls("")
+        page.blocks = [Block(*b) for b in zip(boxes, texts, prose, links, strict=True)]
+        page.parents, page.steps = parents, steps
+        page._known = {(parent, step): i for i, (parent, step) in enumerate(zip(parents, steps, strict=True)) if i}
+        return page
+
     def box(self, parent: int, step: str) -> int:
         found = self._known.setdefault((parent, step), len(self.steps))
         if found == len(self.steps):
@@ -193,6 +213,8 @@ class _Reader:
         self.open_blocks: list[int] = []
         self.words: list[str] = []
         self.links, self.in_link, self.unclosed = 0, 0, set()
+        self.suspects: list[tuple[int, int, int]] = []  # open boxes that may be boilerplate: depth in the stack, number of the first block, least prose
+        self.doubted: list[tuple[int, int, int]] = []  # and closed ones: numbers of the first block and of that after the last, least prose
 
     def read(self) -> None:
         html, at, last = self.html, 0, self.html.rfind(">")
@@ -206,6 +228,19 @@ class _Reader:
             self.said(html[at:mark])
             at = self.tag(mark)
         self.flush()
+        self.cut(0)
+        self.judge()
+
+    def judge(self) -> None:
+        """Strike out doubtful boxes of an article that are half links, or less than half prose, or (by their class) hold hardly any."""
+        blocks, gone = self.page.blocks, set()
+        for first, end, least in self.doubted:
+            own = blocks[first:end]
+            size, prose = sum(len(b.text) for b in own), sum(len(b.text) for b in own if b.prose)
+            if 2 * sum(b.links for b in own) >= size or 2 * prose < size or prose < least:
+                gone.update(range(first, end))
+        if gone:
+            self.page.blocks = [b for i, b in enumerate(blocks) if i not in gone]
 
     def said(self, piece: str) -> None:
         if piece and not (self.stack and self.stack[-1][1]):
@@ -231,6 +266,9 @@ class _Reader:
         if m is None:  # a declaration or the like
             return html.find(">", mark) + 1
         name = m[2].lower()
+        drawn = name == "title" and bool(self.open.get("svg"))  # the title of a drawing is a block of its own
+        if drawn:
+            self.flush()
         if m[1]:
             self.close(name)
             return m.end()
@@ -238,7 +276,7 @@ class _Reader:
             self.flush()
         if name in VOID:
             return m.end()
-        if name in RAW:
+        if name in RAW and not drawn:
             return m.end() if m[3].endswith("/") else self.past(name, m.end())
         self.start(name, _named(m[3]) if len(m[3]) > 2 else {})
         return m.end()
@@ -263,9 +301,14 @@ class _Reader:
         if name == "a":
             self.in_link += 1
         _, above, box = self.stack[-1] if self.stack else ("", False, 0)
-        called = f"{names.get('class', '')} {names.get('id', '')}"
-        junk = above or name in SKIP or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
-        junk = junk or (name in BOXES and bool(JUNK.search(called))) or (name == "article" and bool(COMMENT.search(called)))
+        junk = above or (name in SKIP and not (name == "title" and self.open.get("svg"))) or "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in JUNK_ROLE
+        called, slug = names.get("class", ""), names.get("id", "")
+        if not junk and name in BOXES and JUNK.search(f"{called} {slug}"):
+            within = self.open.get("article") or self.open.get("main")
+            junk = not within or bool(STRONG_ID.fullmatch(slug)) or bool(JUNK.search(WEAK.sub("", called)))
+            if not junk and not (self.suspects and self.suspects[-1][1] == len(self.page.blocks)):
+                self.suspects.append((len(self.stack), len(self.page.blocks), SENTENCE if JUNK.search(called) else 0))
+        junk = junk or (name == "article" and bool(COMMENT.search(f"{called} {slug}")))
         self.open.setdefault(name, []).append(len(self.stack))
         if name in BLOCK:
             self.open_blocks.append(len(self.stack))
@@ -289,6 +332,9 @@ class _Reader:
         while len(self.stack) > depth:
             name = self.stack.pop()[0]
             self.open[name].pop()
+            if self.suspects and self.suspects[-1][0] == len(self.stack):
+                _, first, least = self.suspects.pop()
+                self.doubted.append((first, len(self.page.blocks), least))
             if name in BLOCK:
                 self.open_blocks.pop()
 
@@ -297,37 +343,52 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _votes(batches):
+PARTS = {"boxes": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "prose": pa.list_(pa.bool_()), "links": pa.list_(pa.int32()), "parents": pa.list_(pa.int32()), "steps": pa.list_(pa.string())}
+
+
+def _read(batches):
+    """From rows (page_id, url, host, html): the page's vote, path and score, and its parts in place of the html."""
     for batch in batches:
-        found = []
-        for html in batch.column(1).to_pylist():
+        votes, parts = [], []
+        for html in batch.column(3).to_pylist():
             page = Page(html or "")
             best = page.best()
-            found.append((page.path(best[0]), best[1]) if best else ("", 0.0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["host", "path", "score"])
+            votes.append((page.path(best[0]), best[1]) if best else ("", 0.0))
+            parts.append(page.parts())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*parts, strict=True) if parts else [()] * len(PARTS), PARTS.values(), strict=True)]
+        vote = [pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *vote, *columns], ["page_id", "url", "host", "path", "score", *PARTS])
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path and score (the page's vote), and the parts of each page."""
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
+    kinds = "boxes array<int>, texts array<string>, prose array<boolean>, links array<int>, parents array<int>, steps array<string>"
+    return rows.mapInArrow(_read, f"page_id long, url string, host string, path string, score double, {kinds}")
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host and path: the generalised path with the largest sum of scores on each host."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(_votes, "host string, path string, score double")
-    sums = votes.where("path <> ''").groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("score"), F.count("*").alias("pages"))
+def winning_paths(read: DataFrame) -> DataFrame:
+    """host and path: the generalised path with the largest sum of scores on each host of pages read."""
+    sums = read.where("path <> ''").groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("score"), F.count("*").alias("pages"))
     first = F.max_by("path", F.struct("score", "pages", "path"))
     return sums.groupBy("host").agg(first.alias("path"))
 
 
 def _taken(batches):
     for batch in batches:
-        texts = [Page(html or "").text(path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        paths, parts = batch.column(2).to_pylist(), [batch.column(c).to_pylist() for c in PARTS]
+        texts = [Page.of(*own).text(path) for path, *own in zip(paths, *parts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    winners = checkpointed(winning_paths(pages))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    """page_id, url, text and n_chars of each page. Pages are parsed once: votes and texts come from the parts written then."""
+    read = checkpointed(read_pages(pages))
+    winners = checkpointed(winning_paths(read))
+    rows = read.drop("path", "score")
     if winners.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         joined = rows.join(F.broadcast(winners), "host", "left")
     else:
         salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_taken, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "path", *PARTS).mapInArrow(_taken, "page_id long, url string, text string, n_chars long")

@@ -135,3 +135,20 @@ def test_unclosed_elements_and_comments_by_readers(spark):
     assert texts(spark, [(1, "http://d.example/", page)])[1].text == "One. Two. Three Four."
     blog = "<html><body><main><article><p>%s</p></article><article class='comment'><p>Mine!</p></article></main></body></html>" % ("text " * 50)
     assert texts(spark, [(1, "http://e.example/", blog)])[1].text == ("text " * 50).strip()
+
+
+def test_articles_keep_formulas_drawings_and_slug_sections(spark):
+    long = "Prose that goes on for a while, without any link in it, as articles do."
+    junk = '<ul><li><a href="/x">Another story</a></li><li><a href="/y">One more</a></li></ul>'
+    pages = [
+        ("<article><p><math><mi>e</mi><annotation>tex</annotation></math> equals one</p></article>", "e equals one"),
+        ("<article><p>before</p><svg><title>A chart</title><style>.a{}</style><text>of rain</text></svg><p>after</p></article>", "before A chart of rain after"),
+        (f'<article><h1>T</h1><p>{long}</p><section id="related-work"><h2>R</h2><p>{long}</p></section><section class="search"><p>{long}</p></section></article>', f"T {long} R {long} {long}"),
+        (f'<main><h1>T</h1><p>{long}</p><div id="search"><p>{long}</p></div><div class="related">{junk}</div><div class="share">Share this</div></main>', f"T {long} {long}"),
+        (f'<article><p>{long}</p><section id="comments"><p>{long}</p></section><div class="related-comments"><p>{long}</p></div><div id="related">{junk}</div></article>', long),
+        (f'<article><p>{long}</p><div class="related"><p>{long}</p><div class="related">{junk}</div>', f"{long} {long}"),
+        (f'<html><title>not this</title><body><article><p>{long}</p><div class="notice"><p>{long}</p></div></article>', long),
+    ]
+    rows = [(i, f"http://h{i}/", html) for i, (html, _) in enumerate(pages)]
+    found = {r.page_id: r.text for r in extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: text for i, (_, text) in enumerate(pages)}
