@@ -69,7 +69,8 @@ def is_question(text: Column, words: list[str] = QUESTION_WORDS) -> Column:
 
 
 def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
+    """The first n words of a text, a space between them; the rest is not looked at."""
+    return F.regexp_replace(F.regexp_extract(text, rf"^\s*+((?:\S++\s++){{0,{n - 1}}}\S++)", 1), r"\s+", " ")
 
 
 def strip_prefix(path: Column) -> Column:

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.sources.tables import spread
+from quillon.sources.tables import kept, spread
 
 K1, B = 1.2, 0.75
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """zim_id, path, term, tf and dl (the article's tokens): an inverted index, one row for each term of an article.
-
-    A row's tokens are sorted and counted by where their runs end, so that building the index shuffles nothing."""
-    sorted_ = articles.select("zim_id", "path", F.array_sort(T.tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+def _runs(rows: DataFrame) -> DataFrame:
+    """zim_id, path, dl, term and tf from rows with sorted tokens t, counted by where their runs end: nothing is shuffled."""
     last = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.coalesce(F.get("t", i + 1) != F.get("t", i), F.lit(True)))
-    ends = sorted_.withColumn("ends", last)
+    ends = rows.where(F.size("t") > 0).withColumn("ends", last)
     runs = F.transform("ends", lambda e, j: F.struct(F.get("t", e).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(-1))).cast("bigint").alias("tf")))
-    return ends.select("zim_id", "path", F.size("t").alias("dl"), F.inline(runs)).select("zim_id", "path", "term", "tf", "dl")
+    return ends.select("zim_id", "path", "dl", F.inline(runs))
+
+
+def postings(articles: DataFrame) -> DataFrame:
+    """zim_id, path, term, tf and dl (the article's tokens): an inverted index, one row for each term of an article."""
+    sorted_ = articles.select("zim_id", "path", F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    return _runs(sorted_.withColumn("dl", F.size("t"))).select("zim_id", "path", "term", "tf", "dl")
 
 
 #: Terms of a batch of queries that are told apart as tokens are read; more are joined to the tokens.
@@ -33,19 +38,18 @@ class Index:
     (zim_id, n, avgdl).
 
     Texts are read and cut into tokens once, in as many tasks as there are cores at least. Tokens that no query asks for are
-    dropped in the array, before anything is exploded; what is left of an article is kept (spilling to disk, until `docs` is
-    unpersisted or the session ends) for both tables, and for further queries with the same terms over the same articles."""
+    dropped in the array, before anything is exploded; what is left of an article is written out for both tables, and for further
+    queries with the same terms over the same articles."""
 
     def __init__(self, articles: DataFrame, terms: DataFrame):
         wanted = sorted(r["term"] for r in terms.select("term").where("term is not null").distinct().limit(MAX_TERMS + 1).collect())  # of queries, not of texts
         toks = spread(articles.select("zim_id", "path", "text")).select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
         few = len(wanted) <= MAX_TERMS
         asked = F.filter("t", lambda t: t.isin(wanted)) if few else F.col("t")
-        self.docs = toks.select("zim_id", "path", F.size("t").alias("dl"), asked.alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = self.docs.select("zim_id", "path", "dl", F.explode("t").alias("term"))
-        rows = rows if few else rows.join(terms.select("term").distinct(), "term", "left_semi")
-        self.rows = rows.groupBy("zim_id", "path", "dl", "term").agg(F.count("*").alias("tf")).select("zim_id", "path", "term", "dl", "tf")
-        self.sizes = self.docs.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        docs = kept(toks.select("zim_id", "path", F.size("t").alias("dl"), F.array_sort(asked).alias("t")))
+        rows = _runs(docs) if few else _runs(docs).join(terms.select("term").distinct(), "term", "left_semi")
+        self.rows = rows.select("zim_id", "path", "term", "dl", "tf")
+        self.sizes = kept(docs.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def asked_postings(articles: DataFrame, terms: DataFrame) -> DataFrame:
@@ -70,11 +74,19 @@ def bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column
 def matches(queries: DataFrame, articles: DataFrame, every: bool = True, index: Index | None = None) -> DataFrame:
     """item_id, zim_id, path, score, n_terms and n_met for queries (item_id, terms): articles with all terms, or with any.
 
-    Only terms that some query asks for leave the index, here made on the way unless one is given."""
+    Only terms that some query asks for leave the index, here made on the way unless one is given. With all terms asked for, only
+    articles that hold a query's rarest term (over all archives) are looked at for the others."""
     asked = queries.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     index = index or Index(articles, asked)
     frequent = index.rows.groupBy("zim_id", "term").agg(F.count("*").alias("df"))
-    rows = index.rows.join(frequent, ["zim_id", "term"]).join(index.sizes, "zim_id").join(asked, "term")
+    if every:
+        least = asked.join(frequent.groupBy("term").agg(F.sum("df").alias("df")), "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+        held = index.rows.select("zim_id", "path", "term").join(least, "term").select("item_id", "zim_id", "path")
+        asked = held.join(asked, "item_id")
+        rows = asked.join(index.rows, ["zim_id", "path", "term"])
+    else:
+        rows = index.rows.join(asked, "term")
+    rows = rows.join(frequent, ["zim_id", "term"]).join(index.sizes, "zim_id")
     found = rows.groupBy("item_id", "n_terms", "zim_id", "path").agg(
         F.count("*").alias("n_met"), F.sum(bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score")
     )
@@ -87,14 +99,20 @@ def ranked(found: DataFrame, limit: int, *within: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
 
 
-def any_term(queries: DataFrame, articles: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
+def any_term(queries: DataFrame, articles: DataFrame, limit: int, index: Index | None = None, only: DataFrame | None = None) -> DataFrame:
     """Union of single-term searches in the order of the terms: a path counts for its first term, then by rank there;
-    terms are taken until a query has `limit` paths in an archive, and the last one taken is cut."""
+    terms are taken until a query has `limit` paths in an archive, and the last one taken is cut.
+
+    Each term is searched once, however many queries have it; with `only` (item_id, zim_id), in those archives alone."""
     asked = queries.select("item_id", F.posexplode("terms").alias("term_no", "term"))
-    single = asked.select(F.concat_ws("/", "item_id", "term_no").alias("item_id"), F.array("term").alias("terms"))
-    hits = ranked(matches(single, articles, index=index), limit, "item_id", "zim_id")
-    parts = F.split("item_id", "/")
-    hits = hits.select(parts[0].cast("bigint").alias("item_id"), parts[1].cast("int").alias("term_no"), "zim_id", "path", "rank")
+    wanted = asked if only is None else asked.join(only, "item_id")
+    single = wanted.select(*[c for c in ("zim_id", "term") if c in wanted.columns]).distinct()
+    index = index or Index(articles, asked)
+    rows = index.rows.join(single, single.columns)
+    frequent = rows.groupBy("zim_id", "term").agg(F.count("*").alias("df"))
+    score = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
+    scored = rows.join(frequent, ["zim_id", "term"]).join(index.sizes, "zim_id").select("zim_id", "path", "term", score.alias("score"))
+    hits = ranked(scored, limit, "zim_id", "term").select("zim_id", "path", "term", "rank").join(wanted, single.columns)
     first = hits.groupBy("item_id", "zim_id", "path").agg(F.min(F.struct("term_no", "rank")).alias("first"))
     place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("first", "path")) - 1
     return first.withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
@@ -117,18 +135,58 @@ def ladder(raw: Column) -> Column:
     return F.when(F.size(left) == 0, F.array(title)).otherwise(F.concat(full, less, F.array(rung("or_of_terms", left, no_prefix), title)))
 
 
-def titles_with_prefix(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
-    """item_id, zim_id, path, rank: articles whose title starts with the query's `prefix`, by title and path.
+#: Titles of a range of the sorted index, about.
+RANGE = 100_000
+
+
+class Titles:
+    """A sorted index of titles: rows (range, title_key, zim_id, path) in order of title, archive and path, and the first and last title of
+    each range. Ranges go by all three, so that a title that many articles share is split as well."""
 
-    Titles are listed under their starts of the lengths that are asked for, and joined by these: no join key is shorter than a
-    prefix that somebody asks for."""
-    asked = queries.select("item_id", F.lower(F.trim("prefix")).alias("prefix")).where("prefix <> ''")
-    lengths = sorted(r[0] for r in asked.select(F.length("prefix")).distinct().collect())  # of a batch of queries
-    known = articles.select("zim_id", "path", F.lower("title").alias("title_key"))
-    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("title_key"))
-    starts = known.select("zim_id", "path", "title_key", F.explode(F.transform(fitting, lambda n: F.substr("title_key", F.lit(1), n))).alias("prefix"))
-    place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("title_key", "path")) - 1
-    return starts.join(asked, "prefix").withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
+    def __init__(self, articles: DataFrame):
+        rows = kept(articles.select(F.lower("title").alias("title_key"), "zim_id", "path").where("title_key is not null"))  # texts are read once
+        cores = articles.sparkSession.sparkContext.defaultParallelism
+        ranges = max(cores, -(-rows.count() // RANGE))
+        self.rows = kept(rows.repartitionByRange(ranges, "title_key", "zim_id", "path").select(F.spark_partition_id().alias("range"), "title_key", "zim_id", "path"))
+        self.bounds = kept(self.rows.groupBy("range").agg(F.min("title_key").alias("first"), F.max("title_key").alias("last")))
+
+    def starting_with(self, prefixes: DataFrame, limit: int) -> DataFrame:
+        """item_id, zim_id, path and rank of the first `limit` titles in each archive that start with a prefix (item_id, prefix).
+
+        A prefix goes to the ranges that hold such titles, one or two unless it is short, and is searched for there by halving."""
+        asked = prefixes.where("prefix <> ''")
+        within = (F.col("last") >= F.col("prefix")) & (F.col("first") < F.concat("prefix", F.lit(LAST)))
+        sent = asked.join(F.broadcast(self.bounds), within).select(F.col("range").alias("sent_to"), "item_id", "prefix")  # a row for each range
+        key = prefixes.schema["item_id"].dataType.simpleString()
+        found = self.rows.groupBy("range").cogroup(sent.groupBy("sent_to")).applyInPandas(_starting(limit), f"item_id {key}, zim_id int, path string, title_key string")
+        place = F.row_number().over(W.partitionBy("item_id", "zim_id").orderBy("title_key", "path")) - 1
+        return found.withColumn("rank", place).where(F.col("rank") < limit).select("item_id", "zim_id", "path", "rank")
+
+
+#: What stands behind all that follows a prefix.
+LAST = "\U0010ffff"
+
+
+def _starting(limit: int):
+    def search(titles: pd.DataFrame, prefixes: pd.DataFrame) -> pd.DataFrame:
+        titles = titles.sort_values(["title_key", "path"], kind="stable")
+        keys = titles["title_key"].tolist()
+        parts = []
+        for item, prefix in zip(prefixes["item_id"], prefixes["prefix"], strict=True):
+            own = titles.iloc[bisect_left(keys, prefix) : bisect_left(keys, prefix + LAST)]
+            first = own if len(own) <= limit else own[own.groupby("zim_id").cumcount() < limit]
+            parts.append(first.assign(item_id=item))
+        out = pd.concat(parts) if parts else titles.iloc[:0].assign(item_id=prefixes["item_id"].iloc[:0])
+        return out[["item_id", "zim_id", "path", "title_key"]]
+
+    return search
+
+
+def titles_with_prefix(queries: DataFrame, articles: DataFrame, limit: int, titles: Titles | None = None) -> DataFrame:
+    """item_id, zim_id, path, rank: articles whose title starts with the query's `prefix`, by title and path; from the sorted index of
+    their titles, here made on the way unless it is given."""
+    asked = queries.select("item_id", F.lower(F.trim("prefix")).alias("prefix"))
+    return (titles or Titles(articles)).starting_with(asked, limit)
 
 
 def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
@@ -137,18 +195,18 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 3) -> Dat
     hit = asked.join(aliases.select(F.lower("source").alias("source"), F.lower("target").alias("target")).distinct(), "source")
     new = hit.where(~F.array_contains("terms", F.col("target"))).select("item_id", "target").distinct()
     nth = F.row_number().over(W.partitionBy("item_id").orderBy("target"))
-    kept = new.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("item_id").agg(F.array_sort(F.collect_list("target")).alias("added"))
-    out = queries.select("item_id", "terms").join(kept, "item_id", "left")
+    first = new.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("item_id").agg(F.array_sort(F.collect_list("target")).alias("added"))
+    out = queries.select("item_id", "terms").join(first, "item_id", "left")
     none = F.array().cast("array<string>")
     return out.select("item_id", F.concat("terms", F.coalesce("added", none)).alias("terms"), F.coalesce("added", none).alias("added"))
 
 
-def titles_of_spans(queries: DataFrame, articles: DataFrame, each: int = 3, start: int = 4) -> DataFrame:
+def titles_of_spans(queries: DataFrame, articles: DataFrame, each: int = 3, start: int = 4, titles: Titles | None = None) -> DataFrame:
     """item_id, zim_id, path and rank for queries (item_id, spans): up to `each` titles that start with a span, the exact one
     instead where there is one; an article counts once, and ranks go on from `start`."""
     asked = queries.select("item_id", F.posexplode("spans").alias("span_no", "prefix"))
     keyed = asked.withColumn("own", F.concat_ws("/", "item_id", "span_no"))
-    found = titles_with_prefix(keyed.select(F.col("own").alias("item_id"), "prefix"), articles, each).withColumnRenamed("item_id", "own")
+    found = titles_with_prefix(keyed.select(F.col("own").alias("item_id"), "prefix"), articles, each, titles).withColumnRenamed("item_id", "own")
     rows = found.join(keyed, "own").join(articles.select("zim_id", "path", F.lower("title").alias("title_key")), ["zim_id", "path"])
     exact = rows.withColumn("exact", F.col("title_key") == F.lower("prefix")).withColumn("any_exact", F.max("exact").over(W.partitionBy("own", "zim_id")))
     first = exact.where("exact or not any_exact").groupBy("item_id", "zim_id", "path").agg(F.min(F.struct("span_no", "rank")).alias("first"))
@@ -179,20 +237,23 @@ def shortened(queries: DataFrame, articles: DataFrame, enough: float, least_term
     return chosen.select("item_id", "c.variant", "c.top")
 
 
-def ladder_hits(missed: DataFrame, articles: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
+def ladder_hits(missed: DataFrame, articles: DataFrame, limit: int, index: Index | None = None, titles: Titles | None = None) -> DataFrame:
     """item_id, zim_id, path and rank for queries (item_id, raw, terms) that no archive has all terms of: the first archive, by number,
     that has articles with any term, or else titles that start with the query; in it, the former before the latter."""
-    some = any_term(missed, articles, limit, index).withColumn("rung", F.lit(0))
-    titled = titles_with_prefix(missed.select("item_id", F.col("raw").alias("prefix")), articles, limit).withColumn("rung", F.lit(1))
+    asked = missed.select("item_id", F.explode("terms").alias("term"))
+    index = index or Index(articles, asked)
+    held = index.rows.groupBy("term").agg(F.min("zim_id").alias("zim_id")).join(asked, "term").groupBy("item_id").agg(F.min("zim_id").alias("zim_id"))
+    some = any_term(missed, articles, limit, index, held).withColumn("rung", F.lit(0))
+    titled = titles_with_prefix(missed.select("item_id", F.col("raw").alias("prefix")), articles, limit, titles).withColumn("rung", F.lit(1))
     both = some.unionByName(titled)
     first = both.groupBy("item_id").agg(F.min(F.struct("zim_id", "rung")).alias("first")).select("item_id", "first.zim_id", "first.rung")
     return both.join(first, ["item_id", "zim_id", "rung"]).select("item_id", "zim_id", "path", "rank")
 
 
-def exact_titles(queries: DataFrame, articles: DataFrame, limit: int = 3) -> DataFrame:
+def exact_titles(queries: DataFrame, articles: DataFrame, limit: int = 3, titles: Titles | None = None) -> DataFrame:
     """item_id, zim_id, path and rank: of the first `limit` titles that start with a query's terms, those that are the same."""
     asked = queries.select("item_id", F.array_join("terms", " ").alias("prefix"))
-    found = titles_with_prefix(asked, articles, limit).join(asked, "item_id")
+    found = titles_with_prefix(asked, articles, limit, titles).join(asked, "item_id")
     named = found.join(articles.select("zim_id", "path", "title"), ["zim_id", "path"])
     return named.where(F.lower(F.trim("title")) == F.lower("prefix")).select("item_id", "zim_id", "path", "rank")
 

@@ -134,13 +134,13 @@ def focused_view(spark, sf_dir):
     return passages.focused_views(rows.withColumn("must", none), 2000).select("item_id", "path", "view")
 
 
-@query("EV2", "MA14")
+@query("EV2", "MA14", "UD7")
 def sweep_rounds(spark, sf_dir):
-    """The lexical profile under two passage budgets: what a sweep over a parameter compares."""
+    """The lexical profile under two passage budgets: what a sweep over a parameter compares. Profiles share the stages that they begin with."""
     runs = pipeline.sweep(pipeline.PROFILES["lexical"], "topk_budget.budget=400,1200")
-    out = None
+    out, stages = None, pipeline.Stages()
     for profile in runs:
-        found = pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), profile).selected
+        found = pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), profile, stages=stages).selected
         own = found.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).withColumn("profile_hash", F.lit(profile.hash()))
         out = own if out is None else out.unionByName(own)
     return out

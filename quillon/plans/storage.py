@@ -55,22 +55,38 @@ def reload_by_partition(spark, sf_dir):
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-def _paged(rows: DataFrame, root: str) -> DataFrame:
-    """XML documents of the elements in column x, up to 200 parts to a document, as feeds come in pages."""
+def _paged(rows: DataFrame, root: str, path: str) -> None:
+    """Write XML documents of the elements in column x, up to 200 parts to a document and a document to a file, as feeds come in pages."""
     body = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("x"), ""), F.lit(f"</{root}>"))
-    return rows.groupBy(F.floor(F.col("p_partkey") / 200).alias("page")).agg(body.alias("value")).select("value")
+    rows.groupBy(F.floor(F.col("p_partkey") / 200).alias("page")).agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
-@query("SC9", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name, 'http://base/' || p_partkey || '.zim' AS url, CAST(p_size AS BIGINT) AS size FROM part")
+@query("SC9", sql="""SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS title, p_type AS summary, 'D' || p_size AS issued,
+CASE p_partkey % 4 WHEN 1 THEN 'http://base/' || p_partkey || '.zim' WHEN 2 THEN 'http://other/' || p_partkey WHEN 3 THEN 'https://third/' || p_partkey ELSE 'http://base/catalog/x' END AS url,
+CAST(CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size END AS BIGINT) AS size FROM part WHERE p_partkey % 5 > 0""")
 def atom_feed_rows(spark, sf_dir):
-    """The catalogue written as an Atom feed and read back."""
-    home = folder(spark)
-    key = F.col("p_partkey").cast("string")
+    """The catalogue written as Atom feeds and read back: links of several kinds, some fields left out, some entries with a picture only."""
+    home, key, size = folder(spark), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+
+    def link(rel: str, kind: str, *href, length=None):
+        own = [F.lit(f"<link rel='{rel}' type='{kind}' href='"), *href, F.lit("'")]
+        return F.concat(*own, *([F.lit(" length='"), length, F.lit("'")] if length is not None else []), F.lit("/>"))
+
+    def field(name: str, value, when=F.lit(True)):
+        return F.when(when, F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))).otherwise("")
+
+    zim, opened = "application/x-zim", "http://opds-spec.org/acquisition/open-access"
+    kind = F.col("p_partkey") % 4
+    links = (
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("")).when(kind == 1, F.concat(link("x", zim, F.lit("/no.zim"), length=F.lit("1")), link(opened, "m", F.lit("/"), key, F.lit(".zim"), length=size)))
+        .when(kind == 2, F.concat(link("x", zim, F.lit("http://other/"), key, length=size), link("y", zim, F.lit("/later"), length=F.lit("7"))))
+        .when(kind == 3, link(opened, "m", F.lit("//third/"), key, length=F.lit("some"))).otherwise(link(opened, "m", F.lit("x"), length=size))
+    )
     entry = F.concat(
-        F.lit("<entry><id>"), key, F.lit("</id><name>"), F.col("p_brand"), F.lit("</name><link rel='x' href='http://other/' length='1'/><link rel='open-access' href='/"), key,
-        F.lit(".zim' length='"), F.col("p_size").cast("string"), F.lit("'/></entry>"))
-    _paged(table(spark, sf_dir, "part").select("p_partkey", entry.alias("x")), "feed").write.text(f"{home}/feed")
-    return feeds.atom_feed(spark, f"{home}/feed", "http://base/").select("id", "name", "url", "size")
+        F.lit("<entry>"), field("id", key), field("name", F.col("p_brand")), field("title", F.col("p_name"), F.col("p_partkey") % 3 != 0), field("subtitle", F.col("p_type")),
+        field("updated", F.concat(F.lit("D"), size)), link("http://opds-spec.org/image/thumbnail", "image/png", F.lit("/p.png"), length=F.lit("9")), links, F.lit("</entry>"))
+    _paged(table(spark, sf_dir, "part").select("p_partkey", entry.alias("x")), "feed", f"{home}/feed")
+    return feeds.atom_feed(spark, f"{home}/feed", "http://base/catalog/v2").select("id", "name", "title", "summary", "issued", "url", "size")
 
 
 @query("SC10", sql="SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS BIGINT) AS size, p_brand AS sha256, 'http://a|http://b|http://c' AS mirrors FROM part")
@@ -79,7 +95,7 @@ def metalink_rows(spark, sf_dir):
     file = F.concat(
         F.lit("<file name='"), F.col("p_partkey").cast("string"), F.lit("'><size>"), F.col("p_size").cast("string"), F.lit("</size><hash type='sha-256'>"), F.col("p_brand"),
         F.lit("</hash><url priority='20'>http://b</url><url>http://c</url><url priority='3'>http://a</url></file>"))
-    _paged(table(spark, sf_dir, "part").select("p_partkey", file.alias("x")), "metalink").write.text(f"{home}/links")
+    _paged(table(spark, sf_dir, "part").select("p_partkey", file.alias("x")), "metalink", f"{home}/links")
     return feeds.metalink(spark, f"{home}/links").select("name", "size", "sha256", F.array_join("mirrors", "|").alias("mirrors"))
 
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
 from quillon.plans.search import DOCS, POSTINGS
-from quillon.sources.tables import articles, table
+from quillon.sources.tables import articles, shared_folder, table
 from quillon.streaming import jobs
 
 
 def folder(spark) -> str:
-    """A fresh folder under the session's shared one, or a temporary one where none is set."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='quillon-')}/{uuid.uuid4().hex}"
+    """A fresh folder under the session's shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def streamed(spark, path, like):

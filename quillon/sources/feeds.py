@@ -12,26 +12,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 LINK = "array<struct<_rel:string,_type:string,_href:string,_length:string>>"
-ENTRY = f"id string, name string, title string, summary string, language string, flavour string, tags string, articleCount long, issued string, link {LINK}"
+FIELDS = ("id", "name", "title", "summary", "subtitle", "language", "flavour", "tags", "articleCount", "issued", "updated")
+ENTRY = ", ".join([*(f"{f} string" for f in FIELDS), f"link {LINK}"])
 TEXT_TYPES = ("text/html", "text/vtt", "text/plain", "text/markdown")
 
 
+def _absolute(href: Column, base_url: str) -> Column:
+    """A link as found from `base_url`: as it stands, by scheme, from the root, or from beside the feed."""
+    origin, beside = re.match(r"(\w+://[^/]*)?", base_url)[0], re.sub(r"(?<=[^/:])/[^/]*$", "/", base_url)
+    return (
+        F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit(origin), href))
+        .when(href != "", F.concat(F.lit(beside if beside.endswith("/") else beside + "/"), href))
+    )
+
+
 def atom_feed(spark: SparkSession, path: str, base_url: str) -> DataFrame:
-    """Catalogue rows of an Atom feed: entries with an id, a name and a link; the open-access link is preferred; missing fields
-    are '' or 0. Malformed XML raises."""
+    """Catalogue rows of Atom feeds, a document to a file: entries with an id, a name and a link to be had from.
+
+    Open-access links and those to archives count, the first of them, but for open-access ones, of which the last counts; the size is that
+    of the last such link that has one. A title is the name where there is none, a summary the subtitle, an issue date that of the update; other
+    missing fields are '' or 0. Malformed XML raises."""
     entries = spark.read.format("xml").option("rowTag", "entry").option("mode", "FAILFAST").schema(ENTRY).load(path)
-    opened = F.filter("link", lambda x: F.contains(x["_rel"], F.lit("open-access")))
-    chosen = F.coalesce(F.get(opened, 0), F.get(F.col("link"), 0))
-    url = F.when(chosen["_href"].rlike("^https?://"), chosen["_href"]).otherwise(F.concat(F.lit(base_url.rstrip("/")), F.lit("/"), F.ltrim(chosen["_href"], F.lit("/"))))
-    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "title", "summary", "language", "flavour", "tags", "issued")]
-    rows = entries.select("id", *texts, F.coalesce("articleCount", F.lit(0)).alias("article_count"), url.alias("url"), F.coalesce(F.try_to_number(chosen["_length"], F.lit("9" * 18)).cast("bigint"), F.lit(0)).alias("size"))
-    return rows.where("id is not null and name <> '' and url is not null")
+
+    def has(attribute: Column, part: str) -> Column:
+        return F.contains(F.coalesce(attribute, F.lit("")), F.lit(part))
+
+    usable = F.filter("link", lambda x: has(x["_rel"], "open-access") | has(x["_type"], "application/x-zim"))
+    counting = F.filter(usable, lambda x, i: (i == 0) | has(x["_rel"], "open-access"))
+    sized = F.filter(counting, lambda x: F.coalesce(x["_length"], F.lit("")).rlike(r"^\d+$"))
+    picture = F.get(F.filter("link", lambda x: has(x["_rel"], "image") & ~has(x["_rel"], "open-access") & ~has(x["_type"], "application/x-zim")), 0)["_href"]
+    said = {f: F.coalesce(F.trim(f), F.lit("")) for f in FIELDS}
+
+    def either(first: str, second: str) -> Column:
+        return F.coalesce(F.nullif(said[first], F.lit("")), said[second])
+
+    rows = entries.select(
+        said["id"].alias("id"), said["name"].alias("name"), either("title", "name").alias("title"), either("summary", "subtitle").alias("summary"),
+        *[said[f].alias(f) for f in ("language", "flavour", "tags")], either("issued", "updated").alias("issued"), F.coalesce(said["articleCount"].try_cast("bigint"), F.lit(0)).alias("article_count"),
+        _absolute(F.try_element_at(counting, F.lit(-1))["_href"], base_url).alias("url"), F.coalesce(F.try_element_at(sized, F.lit(-1))["_length"].try_cast("bigint"), F.lit(0)).alias("size"),
+        F.coalesce(_absolute(picture, base_url), F.lit("")).alias("illustration"),
+    )
+    return rows.where("id <> '' and name <> '' and url is not null")
 
 
 def metalink(spark: SparkSession, path: str) -> DataFrame:
-    """name, size, sha256 and mirrors of a metalink; mirrors by rising priority (999 without one), then in file order."""
+    """name, size, sha256 and mirrors of metalinks, a document to a file; mirrors by rising priority (999 without one), then in file order.
+    Malformed XML raises."""
     schema = "_name string, size long, hash array<struct<_type:string,_VALUE:string>>, url array<struct<_priority:string,_VALUE:string>>"
-    files = spark.read.format("xml").option("rowTag", "file").schema(schema).load(path)
+    files = spark.read.format("xml").option("rowTag", "file").option("mode", "FAILFAST").schema(schema).load(path)
     numbered = F.transform("url", lambda u, i: F.struct(F.coalesce(u["_priority"].try_cast("int"), F.lit(999)).alias("p"), i.alias("i"), u["_VALUE"].alias("url")))
     sha = F.get(F.filter("hash", lambda h: h["_type"] == "sha-256"), 0)["_VALUE"]
     return files.select(F.col("_name").alias("name"), "size", sha.alias("sha256"), F.transform(F.array_sort(numbered), lambda u: u["url"]).alias("mirrors"))

@@ -7,6 +7,8 @@ An embedding is a chunk vector, its archive the label. An event is a stage recor
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, of `spark.checkpoint.dir`. Where none is set: a temporary one in local mode, else an error, as
+    the machines of a cluster would not see each other's."""
+    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return home or tempfile.mkdtemp(prefix="quillon-")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """`rows` written out in the shared folder, so that what is built on them neither repeats their work nor their plan."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint(eager=True)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """`rows` in as many partitions as there are cores, where a scan gives fewer (one large row group, a few small files)."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

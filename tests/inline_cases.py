@@ -1,4 +1,4 @@
-"""Queries over small inline tables, for cases that the tables do not hold. Their SQL states the expected rows."""
+"""Cases over small inline tables, for what the given tables do not hold. Their SQL states the expected rows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,17 @@ from quillon.functions import text as T
 from quillon.operators import answers, assembly, catalogue, passages, sections
 from quillon.operators import search as lexical
 from quillon.plans import pipeline
-from quillon.plans.registry import query
+
+#: name: (case, SQL)
+CASES = {}
+
+
+def query(*operators: str, sql: str):
+    def add(function):
+        CASES[function.__name__] = function, sql
+        return function
+
+    return add
 
 
 def rows(columns: str, *values: tuple) -> str:

@@ -9,9 +9,12 @@ import duckdb
 import pytest
 
 from quillon.plans import registry
+from tests.inline_cases import CASES
 
-DATA = Path("/root/testdata/sf0.001")
+DATA, LARGER = Path("/root/testdata/sf0.001"), Path("/root/testdata/sf0.01")
 SQL = registry.oracle_sql()
+#: What writes files, pages or state is run on more than a page of rows as well.
+AGAIN = sorted(n for n, r in registry.REGISTRY.items() if r.sql and r.run.__module__.rsplit(".", 1)[-1] in ("storage", "streams"))
 
 
 def plain(x):
@@ -24,25 +27,39 @@ def plain(x):
     return x
 
 
-@pytest.fixture(scope="module")
-def duck():
+def connected(data):
     connection = duckdb.connect()
-    for path in DATA.glob("*.parquet"):
+    for path in data.glob("*.parquet"):
         connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return connection
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_query_matches_sql(spark, duck, name):
-    frame = registry.queries()[name](spark, str(DATA))
-    found = duck.execute(SQL[name])
+def check(spark, run, sql, data):
+    frame, found = run(spark, str(data)), connected(data).execute(sql)
     names = [d[0] for d in found.description]
     assert sorted(frame.columns) == sorted(names)
     theirs = sorted((tuple(plain(v) for v in r) for r in found.fetchall()), key=repr)
     ours = sorted((tuple(plain(r[c]) for c in names) for r in frame.collect()), key=repr)
     assert len(ours) == len(theirs)
     assert all(same(a, b) for a, b in zip(ours, theirs, strict=True))
+    return len(ours)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, name):
+    check(spark, registry.queries()[name], SQL[name], DATA)
+
+
+@pytest.mark.skipif(not LARGER.exists(), reason="the tables are not here")
+@pytest.mark.parametrize("name", AGAIN)
+def test_query_matches_sql_on_more_rows(spark, name):
+    check(spark, registry.queries()[name], SQL[name], LARGER)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_inline_case(spark, name):
+    check(spark, *CASES[name], DATA)
 
 
 def same(a, b):
