@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import patterns
 from quillon.sources.tables import kept, spread
 
 K1, B = 1.2, 0.75
@@ -278,11 +279,12 @@ def term_surface(queries: DataFrame, articles: DataFrame, known: DataFrame) -> D
     return new.withColumn("nth", nth).where("nth = 1").select("item_id", "term_no", F.col("word").alias("term"), "zim_id", "path")
 
 
-def uncovered(spans: DataFrame, passages: DataFrame) -> DataFrame:
-    """item_id, span_no and span of spans (item_id, spans) that no passage (item_id, text) of the query holds, case and white space aside."""
-    def folded(c):
-        return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-
-    rows = spans.select("item_id", F.posexplode("spans").alias("span_no", "span"))
-    held = rows.join(passages.select("item_id", "text"), "item_id").where(F.contains(folded(F.col("text")), folded(F.col("span")))).select("item_id", "span_no").distinct()
-    return rows.join(held, ["item_id", "span_no"], "left_anti")
+def uncovered(spans: DataFrame, candidates: DataFrame, articles: DataFrame) -> DataFrame:
+    """item_id, span_no and span of spans (item_id, spans) that no candidate (item_id, zim_id, path) of the query holds, case and white
+    space aside. Each article is read once for the spans of all queries."""
+    rows = spans.select("item_id", F.posexplode("spans").alias("span_no", "span")).withColumn("pattern", patterns.folded(F.col("span")))
+    wanted = articles.join(candidates.select("zim_id", "path").distinct(), ["zim_id", "path"], "left_semi")
+    texts = wanted.select("zim_id", "path", patterns.folded(F.col("text")).alias("text"))
+    hits = patterns.held(texts, rows.select("pattern"))
+    held = candidates.select("item_id", "zim_id", "path").distinct().join(hits, ["zim_id", "path"]).select("item_id", "pattern").distinct()
+    return rows.join(held, ["item_id", "pattern"], "left_anti").select("item_id", "span_no", "span")

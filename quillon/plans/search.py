@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import spans
 from quillon.functions import text as T
-from quillon.operators import ranking, search
+from quillon.operators import inverted, ranking, search
 from quillon.plans.registry import query
-from quillon.sources.tables import articles, questions
+from quillon.sources.tables import articles, folder, questions
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 INERT = ", ".join(f"'{w}'" for w in T.INERT)
@@ -200,15 +200,43 @@ def prefix_shorten_retry(spark, sf_dir):
     return search.shortened(asked(spark, sf_dir), articles(spark, sf_dir), 0.9)
 
 
+def _asked_runs(spark, sf_dir):
+    """item_id and spans: the runs of three words of a question's text."""
+    words = F.filter(F.split(F.trim("passage"), r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
+    return questions(spark, sf_dir).select("item_id", F.transform(starts, lambda i: F.array_join(F.slice(words, i, 3), " ")).alias("spans"))
+
+
+@query("RC4", "AG28", sql=rf"""{BASE}, {CANDIDATES},
+ws AS (SELECT item_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM benchmark),
+runs AS (SELECT item_id, unnest(range(1, greatest(len(w) - 2, 1) + 1, 3)) AS i, w FROM ws),
+spans AS (SELECT item_id, (i - 1) // 3 AS span_no, array_to_string(w[i:i + 2], ' ') AS span FROM runs),
+texts AS (SELECT zim_id, path, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS t FROM docs SEMI JOIN cand USING (zim_id, path)),
+held AS (SELECT DISTINCT item_id, span_no FROM spans JOIN (SELECT DISTINCT item_id, zim_id, path FROM cand) USING (item_id) JOIN texts USING (zim_id, path) WHERE contains(t, lower(span)))
+SELECT item_id, CAST(span_no AS INTEGER) AS span_no, span FROM spans ANTI JOIN held USING (item_id, span_no)""")
+def uncovered_spans(spark, sf_dir):
+    """The runs of three words of a question's text that none of its candidates holds."""
+    return search.uncovered(_asked_runs(spark, sf_dir), candidates(spark, sf_dir), articles(spark, sf_dir))
+
+
 @query("RC4")
 def coverage_search(spark, sf_dir):
-    """Spans of a question that none of its candidates holds, and titles that start with the first of them."""
-    own = spans.with_entity_spans(questions(spark, sf_dir).select("item_id", "passage"), "passage").select("item_id", "spans")
-    pool = candidates(spark, sf_dir).select("item_id", "zim_id", "path").distinct().join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"])
-    first = search.uncovered(own, pool).groupBy("item_id").agg(F.array(F.min(F.struct("span_no", "span"))["span"]).alias("spans"))
+    """Titles that start with the first span of a question (a name, or a word) that none of its candidates holds."""
+    words = F.split(F.lower(F.trim("passage")), r"\s+")
+    own = questions(spark, sf_dir).select("item_id", F.filter(words, lambda w: F.length(w) > 0).alias("spans"))
+    first = search.uncovered(own, candidates(spark, sf_dir), articles(spark, sf_dir)).groupBy("item_id").agg(F.array(F.min(F.struct("span_no", "span"))["span"]).alias("spans"))
     return search.titles_of_spans(first, articles(spark, sf_dir))
 
 
+@query("SC11", "TX2", "CS1", sql=f"{BASE}, {CANDIDATES} SELECT f.item_id, f.zim_id, f.path, rank, round(score, 6) AS score FROM fts f JOIN scored USING (item_id, zim_id, path) WHERE rank < 10")
+def stored_index_topk(spark, sf_dir):
+    """The ten best articles of each archive with all terms, from an index written to the shared folder."""
+    path = f"{folder(spark)}/index"
+    inverted.write_index(articles(spark, sf_dir), path)
+    found = inverted.top_k(spark, path, asked(spark, sf_dir), 10).rows
+    return found.select("item_id", "zim_id", "path", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("AG39", sql=f"""{BASE}, {CANDIDATES}, hit AS (SELECT DISTINCT item_id FROM fts), t AS (SELECT DISTINCT item_id FROM items JOIN docs ON lower(title) LIKE lower(split_part(raw, ' ', 1)) || '%')
 SELECT count(*) AS n, count(*) FILTER (WHERE hit.item_id IS NULL) AS missed, count(*) FILTER (WHERE hit.item_id IS NULL AND t.item_id IS NOT NULL) AS missed_with_title
 FROM items LEFT JOIN hit ON hit.item_id = items.item_id LEFT JOIN t ON t.item_id = items.item_id""")

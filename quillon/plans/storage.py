@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
-from quillon.plans.streams import folder
 from quillon.sources import feeds, sinks
-from quillon.sources.tables import table, vectors
+from quillon.sources.tables import folder, table, vectors
 
 
 @query("SK1", "SK2", sql="""WITH n AS (SELECT vec_id + 100 AS vec_id, label + 100 AS zim_id FROM embeddings), m AS (SELECT vec_id, label AS zim_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n)
@@ -135,10 +134,3 @@ def pending_then_judged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.lit("pending").alias("verdict"))
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("string").alias("verdict"))
     return sinks.upserted(docs, judged, ["question_id"])
-
-
-@query("ST7", "ST3", sql="SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') AND o_orderkey % 2 = 0 THEN 'queued' ELSE o_orderstatus END AS state FROM orders")
-def recovered_jobs(spark, sf_dir):
-    """Jobs after a restart: running and queued ones are queued again, paused and ended ones stay."""
-    again = F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderkey") % 2 == 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(again, "queued").otherwise(F.col("o_orderstatus")).alias("state"))

@@ -8,6 +8,7 @@ An embedding is a chunk vector, its archive the label. An event is a stage recor
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return home or tempfile.mkdtemp(prefix="quillon-")
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh folder under the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """`rows` written out in the shared folder, so that what is built on them neither repeats their work nor their plan."""
     sc = rows.sparkSession.sparkContext
