@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
-from quillon.sources import feeds, sinks
-from quillon.sources.tables import folder, table, vectors
+from quillon.sources import feeds, judged, sinks, snapshots
+from quillon.sources.tables import folder, kept, table, vectors
 
 
 @query("SK1", "SK2", sql="""WITH n AS (SELECT vec_id + 100 AS vec_id, label + 100 AS zim_id FROM embeddings), m AS (SELECT vec_id, label AS zim_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n)
@@ -31,9 +33,29 @@ def last_write_wins(spark, sf_dir):
     return sinks.last_write(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("SK7", "EV4", sql="SELECT item_id, sha256(concat_ws(chr(31), 'v2', CAST(item_id AS VARCHAR), text, 'm1')) AS cache_key FROM benchmark")
-def judge_cache_keys(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.concat_ws("\u001f", F.lit("v2"), F.col("item_id").cast("string"), "text", F.lit("m1")), 256).alias("cache_key"))
+@query("SK7", sql="""SELECT item_id, sha256(concat_ws(chr(31), 'v2', CAST(item_id AS VARCHAR), text, 'm1')) AS cache_key,
+CASE WHEN item_id % 3 = 0 THEN 'partial' ELSE 'correct' END AS first, CASE WHEN item_id % 3 = 0 THEN 'partial' WHEN item_id % 5 = 0 THEN 'incorrect' ELSE 'correct' END AS second FROM benchmark WHERE item_id % 2 = 0
+UNION ALL SELECT item_id, sha256(concat_ws(chr(31), 'v2', CAST(item_id AS VARCHAR), text, 'm1')), NULL, NULL FROM benchmark WHERE item_id % 2 > 0""")
+def judge_cache_hits(spark, sf_dir):
+    """Outcomes of half of the answers put into the cache and got for all, before and after some are put again."""
+    name = f"judged_{uuid.uuid4().hex}"
+    cache = judged.JudgeCache(spark, name, f"{folder(spark)}/judged")
+    keyed = table(spark, sf_dir, "benchmark").select("item_id", judged.cache_key(F.lit("v2"), F.col("item_id"), F.col("text"), F.lit("m1")).alias("cache_key"))
+    own = keyed.where("item_id % 2 = 0")
+    cache.put(own.select("cache_key", F.when(F.col("item_id") % 3 == 0, "partial").otherwise("correct").alias("outcome")))
+    first = kept(cache.get(keyed).withColumnRenamed("cached", "first"))
+    cache.put(own.where("item_id % 5 = 0 and item_id % 3 > 0").select("cache_key", F.lit("incorrect").alias("outcome")))
+    return cache.get(first).withColumnRenamed("cached", "second").select("item_id", "cache_key", "first", "second")
+
+
+@query("SC13", "SC17", "SK9", sql="SELECT CAST(item_id AS VARCHAR) AS id, text AS query, 'slice ' || (item_id % 7) AS slice FROM benchmark")
+def snapshot_round_trip(spark, sf_dir):
+    """Questions written as a snapshot and read back."""
+    snapshots.register(spark)
+    path = f"{folder(spark)}/snapshot"
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.concat(F.lit("slice "), (F.col("item_id") % 7).cast("string")).alias("slice"))
+    rows.write.format("snapshot").mode("append").save(path)
+    return spark.read.format("snapshot").schema(rows.schema).load(path)
 
 
 @query("SK4", "SK9", sql="SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY source")

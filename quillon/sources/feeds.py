@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
-import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quillon.sources import snapshots
+
 LINK = "array<struct<_rel:string,_type:string,_href:string,_length:string>>"
 FIELDS = ("id", "name", "title", "summary", "subtitle", "language", "flavour", "tags", "articleCount", "issued", "updated")
 ENTRY = ", ".join([*(f"{f} string" for f in FIELDS), f"link {LINK}"])
@@ -131,14 +131,10 @@ def bench_questions(spark: SparkSession, path: str) -> DataFrame:
     return checked.withColumn("id", F.when(F.col("__bad").isNull(), F.col("id")).otherwise(F.raise_error(F.col("__bad")))).drop("__bad")
 
 
-def golden_slices(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Golden entries of YAML slices: id, query, slice (an entry's own wins), expected_paths, expected_fact, provenance."""
-    rows = []
-    for path in paths:
-        text = yaml.safe_load(Path(path).read_text())
-        for e in text["entries"]:
-            rows.append((e["id"], e["query"], e.get("slice", text["name"]), list(e.get("expected_paths") or []), e.get("expected_fact"), e.get("provenance", "hand-written")))
-    return spark.createDataFrame(rows, "id string, query string, slice string, expected_paths array<string>, expected_fact string, provenance string")
+def golden_slices(spark: SparkSession, path: str) -> DataFrame:
+    """Golden entries of a folder of YAML slices, or of one: id, query, slice (an entry's own wins), expected_paths, expected_fact, provenance."""
+    snapshots.register(spark)
+    return spark.read.format("slices").load(path)
 
 
 def byte_range(header: str, size: int) -> tuple[int, int] | None:
