@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,3 +45,26 @@ def idf_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     n = chunks.agg(F.count("*").alias("n"))
     rows = asked.select("item_id", F.explode("terms").alias("term")).join(df, "term").join(terms, "term").join(F.broadcast(n))
     return rows.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log1p(F.col("n") / (1 + F.col("df")))), 6).alias("score"))
+
+
+def _drawn(rows: DataFrame, group: str, key: str, seed: int, most: int) -> DataFrame:
+    """The first `most` rows of each group in the seeded order, numbered (nth). Groups are cut down where their rows lie before these meet."""
+    order = W.partitionBy(group).orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def samples(rows: DataFrame, group: str, key: str, good: Column, count: int, seed: int) -> DataFrame:
+    """Up to `count` (1 to 24) different good rows of each group, in a seeded random order; at most max(8 * count, 16) are tried."""
+    if not 1 <= count <= 24:
+        raise ValueError(f"count is {count}, not 1 to 24")
+    tried = _drawn(rows, group, key, seed, max(8 * count, 16)).where(good)
+    own = W.partitionBy(group).orderBy("nth")
+    return tried.withColumn("place", F.row_number().over(own) - 1).where(F.col("place") < count).drop("nth")
+
+
+def random_entry(rows: DataFrame, group: str, key: str, good: Column, seed: int, articles_only: bool = False) -> DataFrame:
+    """One row of each group: the first good one of 5 draws (400 for articles only), else the last one drawn."""
+    budget = 400 if articles_only else 5
+    tried = _drawn(rows, group, key, seed, budget).withColumn("order", F.when(good, F.col("nth") - budget - 1).otherwise(budget - F.col("nth")))
+    first = W.partitionBy(group).orderBy("order")
+    return tried.withColumn("place", F.row_number().over(first)).where("place = 1").drop("nth", "order", "place")

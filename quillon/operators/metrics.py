@@ -123,3 +123,27 @@ def sign_test(first: DataFrame) -> DataFrame:
     tail = F.aggregate(logs, start, lambda s, x: F.struct((s["log"] + x).alias("log"), (s["sum"] + F.exp(s["log"] + x)).alias("sum")), lambda s: s["sum"])
     value = F.when(n == 0, 1.0).when(k == 0, F.least(F.lit(1.0), 2 * F.pow(F.lit(0.5), n))).otherwise(F.least(F.lit(1.0), 2 * tail))
     return first.withColumn("p_value", F.round(value, 6))
+
+
+def source_scores(retrieved: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per question with sources (item_id, path, required; others are alternatives): n_required, hit_rank (1-based place of the first required
+    source in what was retrieved, null for a miss), coverage (share of the required ones found), reciprocal_rank, and precision (share of
+    what was retrieved that is any source; 0 where nothing was). `retrieved` has item_id, place (from 0) and path."""
+    gold = sources.groupBy("item_id", "path").agg(F.max("required").alias("required"))
+    asked = gold.groupBy("item_id").agg(F.count_if("required").alias("n_required"))
+    got = retrieved.groupBy("item_id").agg(F.count("*").alias("n_retrieved"))
+    hits = retrieved.join(gold, ["item_id", "path"]).groupBy("item_id").agg(
+        F.min(F.when(F.col("required"), F.col("place") + 1)).alias("hit_rank"), F.count_distinct(F.when(F.col("required"), F.col("path"))).alias("n_found"), F.count("*").alias("n_gold"))
+    rows = asked.join(got, "item_id", "left").join(hits, "item_id", "left")
+    zero = F.lit(0.0)
+    return rows.select(
+        "item_id", "n_required", "hit_rank", F.when(F.col("n_required") > 0, F.coalesce(F.col("n_found") / F.col("n_required"), zero)).otherwise(zero).alias("coverage"),
+        F.coalesce(1 / F.col("hit_rank"), zero).alias("reciprocal_rank"), F.coalesce(F.col("n_gold") / F.col("n_retrieved"), zero).alias("precision"))
+
+
+def source_summary(scores: DataFrame) -> DataFrame:
+    """One row: n, recall_1, _5, _10 and _20, coverage, mrr and precision over the questions with a required source; zeros without any."""
+    own = scores.where("n_required > 0")
+    recalls = [F.round(F.coalesce(F.avg(F.when(F.col("hit_rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias(f"recall_{k}") for k in (1, 5, 10, 20)]
+    means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for c, n in (("coverage", "coverage"), ("reciprocal_rank", "mrr"), ("precision", "precision"))]
+    return own.agg(F.count("*").alias("n"), *recalls, *means)

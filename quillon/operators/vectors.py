@@ -39,6 +39,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same_archive: bool =
     parts = -(-max(vectors.count(), 1) // VECTOR_PART)
 
     def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # so that queries may come from the vectors themselves
         return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     asked = dealt(queries.select("query_id", "zim_id", "embedding"), "query_id", "block", blocks, "part", parts)

@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import assembly, passages, windows
+from quillon.operators import assembly, greedy, passages, windows
 from quillon.plans import pipeline
 from quillon.plans.registry import query
 from quillon.plans.search import BASE, CANDIDATES, DOCS, asked, candidates
-from quillon.sources.tables import articles, questions, table
+from quillon.sources.tables import articles, kept, questions, table
 
 
 def scored(spark, sf_dir):
@@ -94,6 +94,15 @@ def near_dup_bigram_sets(spark, sf_dir):
     return _near_duplicates(spark, sf_dir, F.lit(""))
 
 
+@query("JN13", "DD1", "AS1")
+def near_dup_greedy(spark, sf_dir):
+    """What the greedy rule keeps of each source's documents, in the order of doc_id: a document goes if one kept before is alike."""
+    pairs = kept(_near_duplicates(spark, sf_dir, F.col("source")))
+    gone = greedy.dropped(pairs.where("kind = 'near'").select("a", "b")).withColumn("gone", F.lit(True))
+    member = pairs.where("kind = 'same'").select(F.col("a").alias("node"), F.col("b").alias("doc_id"))
+    return member.join(gone, "node", "left").select("doc_id", (F.col("gone").isNull() & (F.col("node") == F.col("doc_id"))).alias("kept"))
+
+
 def _near_duplicates(spark, sf_dir, source):
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").where(F.size(words) > 4)

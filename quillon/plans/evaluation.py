@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import metrics, ranking, ranks, search
+from quillon.operators import metrics, patterns, ranking, ranks, search
 from quillon.plans.ranking import FUSED
 from quillon.plans.registry import query
 from quillon.plans.search import BASE, CANDIDATES, asked, candidates
@@ -96,9 +97,42 @@ def answer_metrics(spark, sf_dir):
     return answers(spark, sf_dir).agg(*metrics.answer_columns())
 
 
-@query("AG14", "AG15", sql=f"WITH {V} SELECT {SOURCE} FROM v")
+#: Sources of a question: the documents that hold its first forty characters, case aside; the first two by number are required, others alternatives. For every
+#: fourth question none is required. What is retrieved: its candidates, best rank first.
+SOURCES = f"""{BASE}, {CANDIDATES},
+holds AS (SELECT item_id, path, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS nth FROM benchmark b JOIN docs d ON contains(lower(d.text), lower(left(b.text, 40)))),
+gold AS (SELECT item_id, path, nth <= 2 AND item_id % 4 > 0 AS required FROM holds),
+best AS (SELECT item_id, path, min(rank) AS rank FROM cand GROUP BY ALL),
+retrieved AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY rank, path) AS place FROM best),
+hits AS (SELECT item_id, min(place) FILTER (WHERE required) AS hit_rank, count(*) FILTER (WHERE required) AS found, count(*) AS gold_got FROM retrieved JOIN gold USING (item_id, path) GROUP BY item_id),
+scores AS (
+  SELECT item_id, n_required, hit_rank, CASE WHEN n_required > 0 THEN coalesce(found, 0) / n_required ELSE 0 END AS coverage, coalesce(1 / hit_rank, 0) AS rr, coalesce(gold_got / n, 0) AS precision
+  FROM (SELECT item_id, count(*) FILTER (WHERE required) AS n_required FROM gold GROUP BY item_id) LEFT JOIN (SELECT item_id, count(*) AS n FROM retrieved GROUP BY item_id) USING (item_id) LEFT JOIN hits USING (item_id))"""
+
+
+def _source_scores(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(40))).alias("pattern")).where("pattern <> ''")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    holds = patterns.held(texts, items).join(items, "pattern")
+    nth = F.row_number().over(W.partitionBy("item_id").orderBy("doc_id"))
+    gold = holds.withColumn("nth", nth).select("item_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), ((F.col("nth") <= 2) & (F.col("item_id") % 4 > 0)).alias("required"))
+    best = candidates(spark, sf_dir).groupBy("item_id", "path").agg(F.min("rank").alias("rank"))
+    retrieved = best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy("rank", "path")) - 1)
+    return metrics.source_scores(retrieved, gold)
+
+
+@query("AG14", sql=SOURCES + " SELECT item_id, n_required, hit_rank, round(coverage, 6) AS coverage, round(rr, 6) AS reciprocal_rank, round(precision, 6) AS precision FROM scores")
 def source_metrics(spark, sf_dir):
-    return answers(spark, sf_dir).agg(*metrics.source_columns())
+    """Source metrics of each question: what its candidates find of its required and alternative sources."""
+    rows = _source_scores(spark, sf_dir)
+    return rows.select("item_id", "n_required", F.col("hit_rank").cast("bigint").alias("hit_rank"), *[F.round(c, 6).alias(c) for c in ("coverage", "reciprocal_rank", "precision")])
+
+
+@query("AG15", sql=SOURCES + " SELECT count(*) AS n, " + ", ".join(f"round(coalesce(avg(CASE WHEN hit_rank <= {k} THEN 1.0 ELSE 0 END), 0), 6) AS recall_{k}" for k in (1, 5, 10, 20)) + """,
+round(coalesce(avg(coverage), 0), 6) AS coverage, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(precision), 0), 6) AS precision FROM scores WHERE n_required > 0""")
+def source_summary(spark, sf_dir):
+    """The same over the questions with a required source."""
+    return metrics.source_summary(_source_scores(spark, sf_dir))
 
 
 @query("AG18", sql=f"WITH {V} SELECT {ATTRIBUTION} FROM v")

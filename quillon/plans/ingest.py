@@ -128,18 +128,28 @@ def iso_durations(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ingest.duration_seconds(written).alias("seconds"))
 
 
-@query("SC6", "SC5", sql="SELECT count(*) AS n FROM (SELECT doc_id FROM documents WHERE trim(text) <> '' LIMIT 24)")
+DRAWN = """media AS (SELECT DISTINCT page_id AS doc_id FROM pages WHERE html LIKE '%<li>%'),
+d AS (SELECT doc_id, source, (length(trim(text)) >= 400 OR doc_id IN (SELECT doc_id FROM media)) AS good FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('11-' || doc_id), doc_id) AS nth FROM d)"""
+
+
+def _good(spark, sf_dir):
+    """Documents, and whether they are good to show: 400 characters, or a page of the same number with a list (for those with media)."""
+    media = table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<li>"))).select(F.col("page_id").alias("doc_id"), F.lit(True).alias("media")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.trim("text")).alias("size")).join(media, "doc_id", "left")
+    return docs.select("doc_id", "source", ((F.col("size") >= 400) | F.coalesce("media", F.lit(False))).alias("good"))
+
+
+@query("SC6", sql=f"WITH {DRAWN} SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY nth) - 1 AS place FROM n WHERE good AND nth <= 48 QUALIFY place < 6")
 def random_samples(spark, sf_dir):
-    """Up to 24 distinct non-empty articles in a seeded random order (their number is what SQL can check)."""
-    own = table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id")
-    return own.orderBy(F.xxhash64("doc_id", F.lit(24)), "doc_id").limit(24).agg(F.count("*").alias("n"))
+    """Six different articles of each archive that are not empty, or have media, of 48 tried at most."""
+    return ingest.samples(_good(spark, sf_dir), "source", "doc_id", F.col("good"), 6, 11).select("source", "doc_id", F.col("place").cast("bigint").alias("place"))
 
 
-@query("TX17", sql="SELECT page_id, length(html) AS n, sha256(html) AS html_sha256 FROM pages")
-def charset_decode(spark, sf_dir):
-    """Pages read back from bytes: they declare UTF-8, and come out as they were."""
-    pages = table(spark, sf_dir, "pages").select("page_id", spans.decoded_udf(F.col("html").cast("binary")).alias("html"))
-    return pages.select("page_id", F.length("html").cast("bigint").alias("n"), F.sha2("html", 256).alias("html_sha256"))
+@query("SC5", sql=f"WITH {DRAWN} SELECT source, CASE WHEN bool_or(good) THEN arg_min(doc_id, nth) FILTER (WHERE good) ELSE arg_max(doc_id, nth) END AS doc_id FROM n WHERE nth <= 5 GROUP BY source")
+def random_entry(spark, sf_dir):
+    """An article of each archive: the first good one of five draws, else the last."""
+    return ingest.random_entry(_good(spark, sf_dir), "source", "doc_id", F.col("good"), 11).select("source", "doc_id")
 
 
 @query("TX28", sql=r"""SELECT event_id, json_extract_string(regexp_extract('```json ' || props || ' ``` done', '\{.*\}', 0), '$.k') AS k FROM events""")

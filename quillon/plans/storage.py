@@ -156,3 +156,16 @@ def pending_then_judged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.lit("pending").alias("verdict"))
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("string").alias("verdict"))
     return sinks.upserted(docs, judged, ["question_id"])
+
+
+@query("SK10", "JN17", sql="""SELECT event_id, event_id // 50 AS run_id, CASE WHEN min(ts) OVER (PARTITION BY event_id // 50) < (SELECT max(ts) FROM events) - INTERVAL 9 DAY THEN NULL ELSE props END AS trace FROM events""")
+def trace_prune(spark, sf_dir):
+    """Traces of a table of runs pruned by when their run began; partitions without such runs are left as they are."""
+    events, path = table(spark, sf_dir, "events"), f"{folder(spark)}/traces"
+    rows = events.select("event_id", F.floor(F.col("event_id") / 50).alias("run_id"), F.col("props").alias("trace"), F.col("ts").alias("at"))
+    runs = rows.groupBy("run_id").agg(F.min("at").alias("started_at"))
+    rows.select("event_id", "run_id", "trace", F.floor(F.col("run_id") / 20).cast("int").alias("part")).write.partitionBy("part").parquet(path)
+    newest = rows.agg(F.max("at")).first()[0]
+    sinks.prune_traces(spark, path, runs, 0, F.lit(newest))
+    sinks.prune_traces(spark, path, runs, 9, F.lit(newest))
+    return spark.read.parquet(path).select("event_id", "run_id", "trace")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import ranking, vectors
+from quillon.operators import cells, ranking, vectors
 from quillon.plans.registry import query
+from quillon.sources.tables import folder
 from quillon.sources.tables import vectors as vector_table
 
 PAIRS = """q AS (SELECT vec_id AS query_id, label AS q_zim, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
@@ -83,3 +84,15 @@ def static_shortlist(spark, sf_dir):
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     scored = first.select("query_id", "vec_id", vectors.dot(F.col("e"), F.col("embedding")).alias("score"))
     return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where("rank < 20").select("query_id", "vec_id", "rank")
+
+
+@query("MA2", "AG38", "CS5")
+def cells_knn_recall(spark, sf_dir):
+    """For each query the ten best vectors of the cells nearest to it, as many as a sample needs for its recall, and whether the exact search has
+    them too."""
+    rows, q = vector_table(spark, sf_dir), asked(spark, sf_dir)
+    index = cells.build(rows, f"{folder(spark)}/cells")
+    probes = cells.probes_for(spark, index, rows, q, 10)
+    exact = vectors.nearest(rows, q, 10).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    found = cells.nearest(spark, index, q.select("query_id", "embedding"), 10, probes)
+    return found.join(exact, ["query_id", "vec_id"], "left").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank", F.coalesce("exact", F.lit(False)).alias("exact"))

@@ -30,8 +30,8 @@ def test_spans_prefer_exact_titles(spark):
 
 def test_uncovered_and_shortened(spark):
     spans = spark.createDataFrame([(7, ["The  Tower", "Berlin"])], "item_id long, spans array<string>")
-    held = articles(spark).withColumn("item_id", F.lit(7).cast("long"))
-    assert [(r.span_no, r.span) for r in search.uncovered(spans, held).collect()] == [(1, "Berlin")]
+    held = articles(spark).select(F.lit(7).cast("long").alias("item_id"), "zim_id", "path")
+    assert [(r.span_no, r.span) for r in search.uncovered(spans, held, articles(spark)).collect()] == [(1, "Berlin")]
     asked = spark.createDataFrame([(1, ["paris", "capital", "qq", "rr"]), (2, ["london"]), (3, ["zz"])], "item_id long, terms array<string>")
     assert {r.item_id: (r.variant, round(r.top, 3)) for r in search.shortened(asked, articles(spark), 0.9).collect()} == {1: (2, 1.0), 2: (0, 1.0), 3: (0, 0.0)}
 

@@ -8,7 +8,7 @@ from quillon.sources import feeds, sinks
 
 FEED = """<feed><entry><id>u1</id><name>n1</name><title>One</title><language>eng,fra</language><articleCount>7</articleCount><issued>2024-05</issued>
 <link rel="http://opds-spec.org/acquisition/open-access" type="application/x-zim" href="/one.zim" length="123"/><link rel="alternate" type="text/html" href="http://x/one"/></entry>
-<entry><id>u2</id><name></name><link rel="a" type="b" href="http://x/two" length="9"/></entry><entry><id>u3</id><name>n3</name><link rel="a" type="b" href="http://x/three"/></entry></feed>"""
+<entry><id>u2</id><name></name><link rel="a" type="b" href="http://x/two" length="9"/></entry><entry><id>u3</id><name>n3</name><link rel="a" type="application/x-zim" href="http://x/three"/></entry><entry><id>u4</id><name>n4</name><link rel="a" type="b" href="http://x/four"/></entry></feed>"""
 METALINK = """<metalink><file name="one.zim"><size>123</size><hash type="md5">m</hash><hash type="sha-256">s</hash>
 <url priority="20">http://b</url><url>http://c</url><url priority="3">http://a</url></file></metalink>"""
 
@@ -17,7 +17,7 @@ def test_atom_feed(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(FEED)
     rows = {r.id: r for r in feeds.atom_feed(spark, str(tmp_path / "feed.xml"), "http://base/").collect()}
     assert set(rows) == {"u1", "u3"} and rows["u1"].url == "http://base/one.zim" and rows["u1"]["size"] == 123 and rows["u1"].article_count == 7
-    assert rows["u3"].url == "http://x/three" and rows["u3"]["size"] == 0 and rows["u3"].title == ""
+    assert rows["u3"].url == "http://x/three" and rows["u3"]["size"] == 0 and rows["u3"].title == "n3"
 
 
 def test_metalink(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_bench_questions(spark, tmp_path):
 
 def test_golden_and_ranges(spark, tmp_path):
     (tmp_path / "s.yaml").write_text("name: base\nentries:\n- {id: a, query: q, expected_paths: [A/x]}\n- {id: b, query: r, slice: own, provenance: made}\n")
-    rows = {r.id: r for r in feeds.golden_slices(spark, [str(tmp_path / "s.yaml")]).collect()}
+    rows = {r.id: r for r in feeds.golden_slices(spark, str(tmp_path)).collect()}
     assert rows["a"].slice == "base" and rows["a"].provenance == "hand-written" and rows["b"].slice == "own" and rows["b"].expected_paths == []
     assert feeds.byte_range("bytes=0-9", 100) == (0, 9) and feeds.byte_range("bytes=-5", 100) == (95, 99) and feeds.byte_range("bytes=90-", 100) == (90, 99)
     assert feeds.byte_range("bytes=100-", 100) is None and feeds.byte_range("lines=1-2", 100) is None
