@@ -172,8 +172,3 @@ def decoded(content: bytes, is_html: bool = True) -> str:
         except (LookupError, UnicodeDecodeError):
             continue
     return content.decode("latin-1")
-
-
-@F.pandas_udf(S.StringType())
-def decoded_udf(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: None if c is None else decoded(bytes(c)))

@@ -105,3 +105,14 @@ def scope_filter(spark, sf_dir):
 def bulk_state_update(spark, sf_dir):
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(status == "F", status).when(F.col("o_orderpriority").startswith("1"), "X").otherwise(status).alias("status"))
+
+
+@query("JN2", sql=r"""WITH e AS (SELECT p_partkey AS entry_id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\p{L}\p{N}_]+')) AS ws FROM part),
+q AS (SELECT DISTINCT p_size AS id, list_distinct(regexp_extract_all(lower(min(p_name)), '[\p{L}\p{N}_]+')) AS ws FROM part GROUP BY p_size)
+SELECT id, entry_id FROM q JOIN e ON len(list_intersect(q.ws, e.ws)) = len(q.ws)""")
+def catalogue_matches(spark, sf_dir):
+    """Catalogue entries that have all words of a query, by an inverted index of their words: the first name of each size searched for."""
+    part = table(spark, sf_dir, "part")
+    entries = part.select(F.col("p_partkey").alias("entry_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    asked = part.groupBy(F.col("p_size").alias("id")).agg(F.min("p_name").alias("query"))
+    return catalogue.catalogue_matches(asked, entries)

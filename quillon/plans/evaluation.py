@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import answers as metrics_of_runs
 from quillon.operators import metrics, patterns, ranking, ranks, search
 from quillon.plans.ranking import FUSED
 from quillon.plans.registry import query
@@ -261,3 +262,27 @@ def gold_in_top_n(spark, sf_dir):
     places = metrics.hit_ranks(ranking.reciprocal_rank(candidates(spark, sf_dir)), expected(spark, sf_dir))
     tops = places.select("rank", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (6, 4, 3, 2)])).alias("top_n"))
     return tops.groupBy("top_n").agg(F.count("*").alias("items"), F.count_if(F.col("rank") <= F.col("top_n")).alias("covered"))
+
+
+#: Questions of a run: the documents of a source, with what each used.
+AUDITED = """a AS (SELECT source AS run_id, CASE WHEN quality IS NULL THEN 'unjudged' WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' ELSE 'incorrect' END AS verdict, doc_id % 7 = 0 AS abstained,
+n_chars AS input_tokens, n_chars % 97 AS output_tokens, CAST(n_chars * 3 AS DOUBLE) AS latency_ms, n_chars * 5 AS peak, n_chars % 4 + 1 AS requests, CAST(n_chars > 5000 AS INTEGER) AS overflows, n_chars % 4 = 0 AS first_only,
+CAST(n_chars % 11 = 0 AS INTEGER) AS blocked, CAST(n_chars % 10 AS DOUBLE) / 10 AS sub_facts FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query("AG37", sql=f"""WITH {AUDITED} SELECT run_id, count(*) AS n, count(*) FILTER (WHERE requests = 1) AS one_request, count(*) FILTER (WHERE first_only) AS first_only, round(quantile_cont(peak::DOUBLE, 0.5)) AS peak_p50,
+round(quantile_cont(peak::DOUBLE, 0.95)) AS peak_p95, max(peak) AS peak_max, count(*) FILTER (WHERE peak > 8192) AS over_8192, CAST(sum(overflows) AS BIGINT) AS overflows,
+round(count(*) FILTER (WHERE verdict = 'correct') / count(*), 4) AS strict, count(*) FILTER (WHERE verdict <> 'unjudged') AS judged, count(*) FILTER (WHERE abstained AND verdict = 'incorrect') AS over_refusal,
+CAST(sum(input_tokens) AS BIGINT) AS input_sum, max(requests) AS requests_max, round(avg(requests), 2) AS requests_mean, count(*) FILTER (WHERE blocked > 0) AS blocked_questions, round(avg(latency_ms) / 1000, 1) AS latency_mean_s,
+(SELECT string_agg(requests || ':' || c, ',' ORDER BY requests) FROM (SELECT run_id AS r, requests, count(*) AS c FROM a GROUP BY ALL) WHERE r = a.run_id) AS requests_histogram FROM a GROUP BY run_id""")
+def run_audit(spark, sf_dir):
+    """The audit of each run: context peaks, requests, verdicts, refusals, tokens and latency."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    n = F.col("n_chars")
+    verdict = F.when(F.col("quality").isNull(), "unjudged").when((F.col("quality") == 1) & (F.col("toxic") == 0), "correct").when(F.col("quality") == 1, "partial").otherwise("incorrect")
+    rows = docs.join(labels, "doc_id", "left").select(
+        F.col("source").alias("run_id"), verdict.alias("verdict"), (F.col("doc_id") % 7 == 0).alias("abstained"), n.alias("input_tokens"), (n % 97).alias("output_tokens"), (n * 3).cast("double").alias("latency_ms"),
+        (n * 5).alias("peak"), (n % 4 + 1).alias("requests"), (n > 5000).cast("int").alias("overflows"), (n % 4 == 0).alias("first_only"), (n % 11 == 0).cast("int").alias("blocked"), ((n % 10).cast("double") / 10).alias("sub_facts"))
+    found = metrics_of_runs.run_audit(rows)
+    names = "run_id n one_request first_only peak_p50 peak_p95 peak_max over_8192 overflows strict judged over_refusal input_sum requests_max requests_mean blocked_questions latency_mean_s requests_histogram"
+    return found.select(*names.split())

@@ -99,17 +99,25 @@ def conversation_titles(spark, sf_dir):
 
 @query("TX22", sql=r"""WITH lines AS (SELECT conv_id, turn, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[\n.]') AS ls FROM conversations)),
 c AS (SELECT conv_id, turn, pos, trim(regexp_replace(trim(line), '^[-*0-9.)"'' ]+|["'' ]+$', '', 'g')) AS line FROM lines),
-k AS (SELECT *, list_sort(list_distinct(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+'))) AS toks FROM c
+k AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+')) AS toks FROM c
   WHERE line <> '' AND NOT starts_with(line, '(') AND NOT regexp_matches(line, '(?i)^[qa]:') AND len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) <= 6),
-f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, toks ORDER BY pos) AS n FROM k),
+asked AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(arg_min(text, turn)), '[\p{L}\p{N}_]+')) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id),
+j AS (SELECT k.*, len(list_intersect(toks, coalesce(q, []))) AS m, len(coalesce(q, [])) AS nq FROM k LEFT JOIN asked USING (conv_id)),
+n AS (SELECT * FROM j WHERE coalesce(m / nullif(len(toks) + nq - m, 0), 0) < 0.75),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, list_sort(toks) ORDER BY pos) AS n FROM n),
 o AS (SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS nth FROM f WHERE n = 1)
 SELECT * FROM o WHERE nth <= 3""")
 def reformulation_parse(spark, sf_dir):
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"[\n.]")).alias("pos", "line"))
+    """Other wordings in each turn: up to three short lines that differ from each other and, by at least a quarter of their words, from what was asked."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("q")).select("conv_id", T.tokens(F.col("q")).alias("q"))
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"[\n.]")).alias("pos", "line"))
     bare = F.trim(F.regexp_replace(F.trim("line"), r"""^[-*0-9.)"' ]+|["' ]+$""", ""))
     words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
     kept = lines.withColumn("line", bare).where((F.col("line") != "") & ~F.startswith("line", F.lit("(")) & ~F.col("line").rlike("(?i)^[qa]:") & (F.size(words) <= 6))
-    kept = kept.withColumn("toks", F.array_sort(F.array_distinct(T.tokens(F.col("line")))))
+    kept = kept.withColumn("toks", F.array_sort(F.array_distinct(T.tokens(F.col("line"))))).join(asked, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    kept = kept.where(F.coalesce(T.jaccard(F.col("toks"), F.array_distinct(F.coalesce("q", none))), F.lit(0.0)) < 0.75)
     first = windows.first_of(kept, ["conv_id", "turn", "toks"], ["pos"])
     nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("pos")).cast("bigint")
     return first.select("conv_id", "turn", "line", nth.alias("nth")).where("nth <= 3")
