@@ -178,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 BAND = 12
 #: Lists of up to ALL fingerprints give all their pairs; longer ones are walked, and dealt into parts of about LONG beyond that.
-ALL, LONG = 9, 2048
+ALL, LONG = 9, 4096
 LEAST = 0.8
 
 
