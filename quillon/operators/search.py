@@ -16,12 +16,15 @@ from quillon.sources.tables import kept, spread
 K1, B = 1.2, 0.75
 
 
-def _runs(rows: DataFrame) -> DataFrame:
-    """zim_id, path, dl, term and tf from rows with sorted tokens t, counted by where their runs end: nothing is shuffled."""
-    last = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.coalesce(F.get("t", i + 1) != F.get("t", i), F.lit(True)))
-    ends = rows.where(F.size("t") > 0).withColumn("ends", last)
+def _runs(rows: DataFrame, every: bool = False) -> DataFrame:
+    """zim_id, path, dl, term and tf from rows with sorted tokens t, counted by where their runs end: nothing is shuffled. With `every`, a row
+    without a term for each article as well."""
+    places = F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)))
+    last = F.filter(places, lambda i: F.get("t", i).isNotNull() & F.coalesce(F.get("t", i + 1) != F.get("t", i), F.lit(True)))
+    ends = rows.withColumn("ends", last)
     runs = F.transform("ends", lambda e, j: F.struct(F.get("t", e).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(-1))).cast("bigint").alias("tf")))
-    return ends.select("zim_id", "path", "dl", F.inline(runs))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf")))
+    return ends.select("zim_id", "path", "dl", F.inline(F.concat(none, runs) if every else runs))
 
 
 def postings(articles: DataFrame) -> DataFrame:
@@ -39,18 +42,19 @@ class Index:
     (zim_id, n, avgdl).
 
     Texts are read and cut into tokens once, in as many tasks as there are cores at least. Tokens that no query asks for are
-    dropped in the array, before anything is exploded; what is left of an article is written out for both tables, and for further
-    queries with the same terms over the same articles."""
+    dropped in the array, before anything is exploded; what is left is written out once for both tables, and for further queries with the
+    same terms over the same articles."""
 
     def __init__(self, articles: DataFrame, terms: DataFrame):
         wanted = sorted(r["term"] for r in terms.select("term").where("term is not null").distinct().limit(MAX_TERMS + 1).collect())  # of queries, not of texts
         toks = spread(articles.select("zim_id", "path", "text")).select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
         few = len(wanted) <= MAX_TERMS
         asked = F.filter("t", lambda t: t.isin(wanted)) if few else F.col("t")
-        docs = kept(toks.select("zim_id", "path", F.size("t").alias("dl"), F.array_sort(asked).alias("t")))
-        rows = _runs(docs) if few else _runs(docs).join(terms.select("term").distinct(), "term", "left_semi")
-        self.rows = rows.select("zim_id", "path", "term", "dl", "tf")
-        self.sizes = kept(docs.groupBy("zim_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        docs = toks.select("zim_id", "path", F.size("t").alias("dl"), F.array_sort(asked).alias("t"))
+        every = kept(_runs(docs, every=True).select("zim_id", "path", "term", "dl", "tf"))
+        rows = every.where("term is not null")
+        self.rows = rows if few else rows.join(terms.select("term").distinct(), "term", "left_semi")
+        self.sizes = kept(every.where("term is null").groupBy("zim_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def asked_postings(articles: DataFrame, terms: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,12 +24,25 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def mean_pool(vectors: Column, mask: Column) -> Column:
-    """Mean over the tokens (arrays of equal length) whose mask is 1; an all-zero mask divides by 1e-9."""
-    kept = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
-    zero = F.transform(vectors[0], lambda _: F.lit(0.0))
-    masked = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m))
-    return F.transform(F.aggregate(masked, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)), lambda x: x / kept)
+#: Components of a hashed vector.
+HASHED = 64
+
+
+@F.pandas_udf("array<double>")
+def _hashed(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        v = np.zeros(HASHED)
+        for word in (text or "").lower().split():
+            h = zlib.crc32(word.encode())
+            v[h % HASHED] += 1 if h & 0x80000000 else -1
+        out.append(v / max(np.linalg.norm(v), 1e-12))
+    return pd.Series(out)
+
+
+def hashed(text: Column) -> Column:
+    """A vector of unit length from the signed hashes of a text's words: an encoder that needs no model."""
+    return _hashed(text)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, same_archive: bool = False) -> DataFrame:

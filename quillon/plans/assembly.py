@@ -18,7 +18,7 @@ def scored(spark, sf_dir):
     return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["lexical"], until="passage_scorer").passages
 
 
-@query("CS1", "FU1", "PB1", "SR1", "SR3", "AS4", "AS6", "SC15", "UD1", "UD2", "UD7")
+@query("CS1", "FU1", "PB1", "SR1", "AS4", "AS6", "SC15", "UD1", "UD2", "UD7")
 def retrieve_hybrid(spark, sf_dir):
     """The pipeline end to end: prepare, search, fuse, split, score, assemble; the cards of each question."""
     return pipeline.run(spark, articles(spark, sf_dir), questions(spark, sf_dir), pipeline.PROFILES["hybrid"]).cards
@@ -125,7 +125,7 @@ def confidence_signals(spark, sf_dir):
     return pipeline.confidence(docs, "source").select(F.col("source"), F.col("top_score"), F.round("dropoff", 6).alias("dropoff"), F.round("density", 6).alias("density"))
 
 
-@query("TX12", "TX30")
+@query("TX12")
 def snippet_window(spark, sf_dir):
     rows = candidates(spark, sf_dir).where("rank < 3").select("item_id", "zim_id", "path").distinct()
     rows = rows.join(asked(spark, sf_dir).select("item_id", "terms"), "item_id").join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"])

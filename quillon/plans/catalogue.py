@@ -26,7 +26,7 @@ def curated_rank_join(spark, sf_dir):
     return ranked_parts(spark, sf_dir).select("p_partkey", "p_brand", "curated_rank")
 
 
-@query("FI9", "SO3", "JN2", "TX27", sql=f"""WITH {CURATED_SQL}, f AS (SELECT p_partkey, p_size, curated_rank, count(*) OVER () AS total FROM part LEFT JOIN curated USING (p_brand)
+@query("FI9", "SO3", sql=f"""WITH {CURATED_SQL}, f AS (SELECT p_partkey, p_size, curated_rank, count(*) OVER () AS total FROM part LEFT JOIN curated USING (p_brand)
   WHERE p_size <= 30 AND list_contains(string_split(lower(p_type), ' '), (SELECT min(w) FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS w FROM part))))
 SELECT p_partkey, p_size, curated_rank, total FROM f ORDER BY curated_rank IS NULL, curated_rank, p_size DESC, p_partkey LIMIT 25 OFFSET 10""")
 def catalog_search_sort_page(spark, sf_dir):

@@ -221,7 +221,7 @@ def regression_gate(spark, sf_dir):
     return g.select(F.round(F.col("c") - F.col("b"), 6).alias("delta"), (F.col("c") - F.col("b") >= -0.02).alias("gate_passed"), ((F.col("ceiling") >= 0.85) & (F.col("floor") <= 0.20)).alias("verified"))
 
 
-@query("AG28", "AG36", sql=rf"""{BASE}, {CANDIDATES},
+@query("AG28", sql=rf"""{BASE}, {CANDIDATES},
 keys AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(passage), '[a-z0-9]+'), lambda t: length(t) >= 4 AND NOT contains(lower(raw), t))) AS keys FROM items),
 pre AS (SELECT item_id, path FROM cand WHERE source = 'fts' AND rank < 2), every AS (SELECT DISTINCT item_id, path FROM cand),
 met AS (SELECT every.item_id, pre.path IS NOT NULL AS seeded, lower(text) AS t FROM every LEFT JOIN pre USING (item_id, path) JOIN docs ON docs.path = every.path),
@@ -241,7 +241,7 @@ def evidence_tiers(spark, sf_dir):
     return keys.join(wide, "item_id", "left").select("item_id", tier.alias("tier"))
 
 
-@query("AG29", "FI13", "AG37", sql=r"""SELECT role, count(*) AS n, round(avg(CASE WHEN regexp_matches(text, '(?i)\b(?:could not find|no mention|not mentioned|cannot find)\b') OR trim(text) = '' THEN 1.0 ELSE 0 END), 6) AS not_found,
+@query("AG29", "FI13", sql=r"""SELECT role, count(*) AS n, round(avg(CASE WHEN regexp_matches(text, '(?i)\b(?:could not find|no mention|not mentioned|cannot find)\b') OR trim(text) = '' THEN 1.0 ELSE 0 END), 6) AS not_found,
   round(avg(CASE WHEN regexp_matches(text, '\[[0-9]+\]') THEN 1.0 ELSE 0 END), 6) AS cited, round(avg(CASE WHEN regexp_matches(text, '[0-9]+ ?[-+*/=] ?[0-9]+') THEN 1.0 ELSE 0 END), 6) AS arithmetic
 FROM conversations GROUP BY role""")
 def answer_shape_rates(spark, sf_dir):

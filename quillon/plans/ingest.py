@@ -33,7 +33,7 @@ def skip_flag_filter(spark, sf_dir):
     return docs.where((flags.bitwiseAND(T.SKIPPED) == 0) & (F.trim("text") != "")).agg(F.count("*").alias("n"))
 
 
-@query("TX18", "SC1", sql=f"SELECT page_id, {H1} AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query("SC1", sql=f"SELECT page_id, {H1} AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def html_title_headings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("bigint").alias("paragraphs"),
@@ -56,7 +56,7 @@ def sentence_split_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("SC16", "TX32", sql="""SELECT event_type AS mime, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events) GROUP BY event_type""")
+@query("SC16", sql="""SELECT event_type AS mime, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events) GROUP BY event_type""")
 def mime_counter_histogram(spark, sf_dir):
     """Counters written as mime=n;mime=n, read back by the last equals sign and summed."""
     line = F.concat_ws("=", F.col("event_type"), F.get_json_object("props", "$.k"))
@@ -78,7 +78,7 @@ def entry_title_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.title_key(path).alias("title_key"), T.match_path(path).alias("match_path"))
 
 
-@query("SC3", "SC4", sql="SELECT page_id, regexp_replace(url, '#.*$', '') AS path, contains(url, '#') AS had_fragment FROM pages")
+@query(sql="SELECT page_id, regexp_replace(url, '#.*$', '') AS path, contains(url, '#') AS had_fragment FROM pages")
 def point_read(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("path"), F.contains("url", F.lit("#")).alias("had_fragment"))
 

@@ -22,7 +22,7 @@ class Registered:
 
 
 REGISTRY: dict[str, Registered] = {}
-MODULES = ["search", "ranking", "evaluation", "runs", "traces", "catalogue", "vectors", "ingest", "assembly", "storage", "streams"]
+MODULES = ["search", "ranking", "evaluation", "runs", "traces", "catalogue", "vectors", "ingest", "assembly", "storage", "streams", "content"]
 
 
 def query(*operators: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -123,14 +123,14 @@ def reformulation_parse(spark, sf_dir):
     return first.select("conv_id", "turn", "line", nth.alias("nth")).where("nth <= 3")
 
 
-@query("TX23", "AG30", sql=r"""SELECT doc_id, CAST(n AS BIGINT) AS cited, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3}([aeiou]+)[a-z]{3}', 1)) AS v FROM documents), (SELECT 1 AS n) WHERE length(v) = 2 GROUP BY 1, 2""")
+@query(sql=r"""SELECT doc_id, CAST(n AS BIGINT) AS cited, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3}([aeiou]+)[a-z]{3}', 1)) AS v FROM documents), (SELECT 1 AS n) WHERE length(v) = 2 GROUP BY 1, 2""")
 def citation_like_counts(spark, sf_dir):
     """Marked spans per document: counts of a captured group, as citations are counted."""
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3}([aeiou]+)[a-z]{3}"), F.lit(1))).alias("v"))
     return found.where(F.length("v") == 2).groupBy("doc_id").agg(F.lit(1).cast("bigint").alias("cited"), F.count("*").alias("times"))
 
 
-@query("JN15", "JN17", sql="SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) ANTI JOIN (SELECT conv_id FROM conversations WHERE turn >= 4) USING (conv_id)")
+@query("JN15", sql="SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) ANTI JOIN (SELECT conv_id FROM conversations WHERE turn >= 4) USING (conv_id)")
 def snapshot_missing_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id").distinct().join(rows.where("turn >= 4"), "conv_id", "left_anti")
@@ -148,7 +148,7 @@ def window_fit(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("used", used).where("used <= 1500").select("conv_id", "turn")
 
 
-@query("MA11", "MA7", sql="""SELECT doc_id, CAST(ceil(n_chars / 3) AS BIGINT) AS tokens, CASE WHEN ceil(n_chars / 3) <= 512 THEN '8k' WHEN ceil(n_chars / 3) <= 1024 THEN '16k' ELSE 'full' END AS plan FROM documents""")
+@query("MA7", sql="""SELECT doc_id, CAST(ceil(n_chars / 3) AS BIGINT) AS tokens, CASE WHEN ceil(n_chars / 3) <= 512 THEN '8k' WHEN ceil(n_chars / 3) <= 1024 THEN '16k' ELSE 'full' END AS plan FROM documents""")
 def context_plan(spark, sf_dir):
     tokens = F.ceil(F.col("n_chars") / 3)
     return table(spark, sf_dir, "documents").select("doc_id", tokens.cast("bigint").alias("tokens"), F.when(tokens <= 512, "8k").when(tokens <= 1024, "16k").otherwise("full").alias("plan"))
@@ -188,7 +188,7 @@ def byte_ranges(spark, sf_dir):
     return docs.where("r is not null").select("doc_id", "r.first", "r.last")
 
 
-@query("TX37", "TX38", sql="SELECT p_partkey, string_agg(CASE WHEN length(w) = 2 THEN NULL ELSE upper(left(w, 1)) || lower(substr(w, 2)) END, ' ' ORDER BY i) AS title FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part) GROUP BY p_partkey")
+@query("TX37", sql="SELECT p_partkey, string_agg(CASE WHEN length(w) = 2 THEN NULL ELSE upper(left(w, 1)) || lower(substr(w, 2)) END, ' ' ORDER BY i) AS title FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part) GROUP BY p_partkey")
 def humanised_titles(spark, sf_dir):
     words = F.filter(F.split("p_type", " "), lambda w: F.length(w) != 2)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ").alias("title"))

@@ -26,7 +26,7 @@ def stream_incremental_index(spark, sf_dir):
     return jobs.read_index(spark, f"{home}/index").groupBy("zim_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
-@query("ST2", "ST1", sql="""SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant' AND turn > u), '') AS text, CAST(max(u) AS BIGINT) AS cards, 'done' AS status
+@query("ST2", sql="""SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant' AND turn > u), '') AS text, CAST(max(u) AS BIGINT) AS cards, 'done' AS status
 FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS u FROM conversations) GROUP BY conv_id""")
 def stream_event_reducer(spark, sf_dir):
     """Conversations as answer events: a user turn resets and names its number of cards, an assistant turn is a token."""

@@ -87,7 +87,7 @@ def event_reducer_after_reset(spark, sf_dir):
         F.count_if(~F.col("is_reset") & (F.col("event_id") > F.coalesce("last", F.lit(-1)))).alias("kept"), F.count_if("is_reset").alias("resets"), F.count("*").alias("seen"))
 
 
-@query("SK10", "MA10", sql="""SELECT event_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY THEN props END AS props FROM events""")
+@query("MA10", sql="""SELECT event_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY THEN props END AS props FROM events""")
 def trace_retention(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     newest = rows.agg((F.max("ts") - F.expr("interval 10 days")).alias("cutoff"))
