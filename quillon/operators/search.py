@@ -29,7 +29,7 @@ def _runs(rows: DataFrame, every: bool = False) -> DataFrame:
 
 def postings(articles: DataFrame) -> DataFrame:
     """zim_id, path, term, tf and dl (the article's tokens): an inverted index, one row for each term of an article."""
-    sorted_ = articles.select("zim_id", "path", F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    sorted_ = articles.select("zim_id", "path", F.sort_array(T.tokens(F.col("text"))).alias("t"))
     return _runs(sorted_.withColumn("dl", F.size("t"))).select("zim_id", "path", "term", "tf", "dl")
 
 
@@ -50,7 +50,7 @@ class Index:
         toks = spread(articles.select("zim_id", "path", "text")).select("zim_id", "path", T.tokens(F.col("text")).alias("t"))
         few = len(wanted) <= MAX_TERMS
         asked = F.filter("t", lambda t: t.isin(wanted)) if few else F.col("t")
-        docs = toks.select("zim_id", "path", F.size("t").alias("dl"), F.array_sort(asked).alias("t"))
+        docs = toks.select("zim_id", "path", F.size("t").alias("dl"), F.sort_array(asked).alias("t"))
         every = kept(_runs(docs, every=True).select("zim_id", "path", "term", "dl", "tf"))
         rows = every.where("term is not null")
         self.rows = rows if few else rows.join(terms.select("term").distinct(), "term", "left_semi")

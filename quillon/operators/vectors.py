@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 #: Queries in a block and vectors in a part: what one task sees at once.
 QUERY_BLOCK, VECTOR_PART = 1024, 16384
@@ -28,7 +29,7 @@ def normalised(v: Column) -> Column:
 HASHED = 64
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(S.ArrayType(S.DoubleType()))
 def _hashed(texts: pd.Series) -> pd.Series:
     out = []
     for text in texts:
