@@ -331,11 +331,12 @@ def long_lists(long: DataFrame, size: int = LONG) -> DataFrame:
     sums = long.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64({i}, node))").alias(f"x{i}") for i in (0, 1)])
     once = checkpointed(sums.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / size).cast("int").alias("parts")))
     few = once.limit(MAX_KEYS + 1).count() <= MAX_KEYS
-    placed = long.join(F.broadcast(once) if few else once, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # A part beside itself has no task of its own but where it is the only one: it is walked with every other.
-    two = every.where("part <> other or parts = 1")
-    return two.select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    placed = long.join(F.broadcast(once) if few else once, "key")
+    whole = placed.where("parts = 1").select("node", "key")
+    parts = placed.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # A part is walked with every other one, so that it needs no task of its own.
+    every = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
+    return whole.unionAll(every.select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key")))
 
 
 def links(distinct: DataFrame, least: float, size: int = LONG) -> DataFrame:
