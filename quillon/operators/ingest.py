@@ -1,4 +1,4 @@
-"""Ingestion: counters, enrichment, neighbours, durations, IDF scores."""
+"""Ingestion: counters, enrichment, neighbours, durations, seeded samples."""
 
 from __future__ import annotations
 
@@ -38,15 +38,6 @@ def duration_seconds(text: Column) -> Column:
     return F.when(text.rlike(r"^P(?:\d+D)?(?:T(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?)?$") & (total > 0), total)
 
 
-def idf_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """item_id, doc_id and score: the sum of ln(1 + n / (1 + df)) over the asked terms that a chunk holds."""
-    terms = chunks.select("doc_id", F.explode("terms").alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n"))
-    rows = asked.select("item_id", F.explode("terms").alias("term")).join(df, "term").join(terms, "term").join(F.broadcast(n))
-    return rows.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log1p(F.col("n") / (1 + F.col("df")))), 6).alias("score"))
-
-
 def _drawn(rows: DataFrame, group: str, key: str, seed: int, most: int) -> DataFrame:
     """The first `most` rows of each group in the seeded order, numbered (nth). Groups are cut down where their rows lie before these meet."""
     order = W.partitionBy(group).orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from quillon.functions import text as T
@@ -107,3 +109,10 @@ def test_text_functions(spark):
     long = "start " * 60 + "needle " + "end " * 60
     shown = one(T.snippet(F.lit(long), F.array(F.lit("needle"))))
     assert "needle" in shown and shown.startswith("…") and shown.endswith("…") and len(shown) <= 222
+
+
+def test_profiles_of_a_file_are_the_built_in_ones():
+    text = json.dumps({name: [[stage, own, dict(params)] for stage, own, params in p.parts] for name, p in pipeline.PROFILES.items()})
+    assert pipeline.load_profiles(text) == pipeline.PROFILES
+    with pytest.raises(ValueError, match="no parameter"):
+        pipeline.load_profiles('{"x": [["fuser", "rrf", {"kk": 1}]]}')
