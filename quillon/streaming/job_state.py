@@ -78,7 +78,7 @@ class Jobs(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         own, recent = self._load()
-        if own["due"] is not None and own["due"] <= expiredTimerInfo.get_expiry_time_in_ms():
+        if own["due"] is not None and own["due"] <= expiredTimerInfo.getExpiryTimeInMs():
             self._write(own, own["due"])
             self.state.update(tuple(own.values()))
             yield self._out(key, own, recent)

@@ -111,3 +111,29 @@ def test_source_scores(spark):
     summary = metrics.source_summary(metrics.source_scores(got, gold)).first()
     assert summary.n == 3 and summary.recall_5 == round(1 / 3, 6) and summary.recall_1 == 0
     assert metrics.source_summary(metrics.source_scores(got, gold).limit(0)).first().mrr == 0
+
+
+def test_timer_writes_the_progress_that_waits():
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
+
+    from quillon.streaming.job_state import Jobs
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    jobs = Jobs()
+    jobs.state, jobs.recent = Held(("running", 1.0, 7.5, 2000, 1000, 1, 0)), Held([(3,)])
+    assert list(jobs.handleExpiredTimer((5,), None, ExpiredTimerInfo(1999))) == []
+    [out] = jobs.handleExpiredTimer((5,), None, ExpiredTimerInfo(2000))
+    assert out.to_dict("records") == [{"job_id": 5, "status": "running", "progress": 7.5, "writes": 2, "dropped": 0, "recent": [3]}]
+    assert jobs.state.value == ("running", 7.5, None, None, 2000, 2, 0)
