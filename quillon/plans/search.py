@@ -8,7 +8,7 @@ from quillon.functions import spans
 from quillon.functions import text as T
 from quillon.operators import inverted, ranking, search
 from quillon.plans.registry import query
-from quillon.sources.tables import articles, folder, questions
+from quillon.sources.tables import articles, folder, kept, questions
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 INERT = ", ".join(f"'{w}'" for w in T.INERT)
@@ -48,11 +48,14 @@ def asked(spark, sf_dir):
     return questions(spark, sf_dir).withColumn("terms", T.search_terms(F.col("raw")))
 
 
-def candidates(spark, sf_dir):
-    """Two sources of candidates: all terms (40 of each archive) and any term (5)."""
-    found = search.matches(asked(spark, sf_dir), articles(spark, sf_dir), every=False)
-    full = search.ranked(found.where("n_met = n_terms"), 40, "item_id", "zim_id").withColumn("source", F.lit("fts"))
-    some = search.ranked(found, 5, "item_id", "zim_id").withColumn("source", F.lit("any"))
+def candidates(spark, sf_dir, index=None):
+    """Two sources of candidates: all terms (40 of each archive) and any term (5).
+
+    Both are read off the best 40 of the articles with all terms and of the others, so that articles are scored once."""
+    found = search.matches(asked(spark, sf_dir), articles(spark, sf_dir), every=False, index=index)
+    best = kept(search.ranked(found.withColumn("full", F.col("n_met") == F.col("n_terms")), 40, "item_id", "zim_id", "full"))
+    full = best.where("full").withColumn("source", F.lit("fts"))
+    some = search.ranked(best, 5, "item_id", "zim_id").withColumn("source", F.lit("any"))
     return full.unionByName(some).select("item_id", "zim_id", "path", "source", F.col("rank").cast("bigint").alias("rank"))
 
 
