@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from quillon.operators import search
+from quillon.operators import inverted, search
 from quillon.plans import registry
 from tests.test_queries import check
 
@@ -44,3 +46,16 @@ def test_postings_of_an_archive_do_not_meet_in_one_task(spark):
         assert "WindowGroupLimit" in plan, plan
         assert not any(line.split("hashpartitioning(")[1].startswith("zim_id#") and "path#" not in line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line), plan
         assert [r.path for r in found.orderBy("rank").collect()] == ["p102", "p111", "p12", "p120", "p129"]
+
+
+def test_index_is_written_with_one_shuffle_of_texts(spark, tmp_path):
+    docs = spark.range(300).select((F.col("id") % 2).cast("int").alias("zim_id"), F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("alpha beta "), F.col("id") % 9).alias("text"))
+    inverted.write_index(docs, str(tmp_path / "index"), buckets=4, block=16)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    written = next(p for p in reversed(plans) if f"{tmp_path}/index" in p and "sort" in p.lower())
+    dealt = set(re.findall(r"(?:hash|range)partitioning\([^)]*\)", re.sub(r"#\d+L?", "", written)))
+    assert len([d for d in dealt if "ROUND" not in d]) == 1 and "range" in dealt.pop(), dealt
+    asked = spark.createDataFrame([(1, ["alpha", "3"])], "item_id long, terms array<string>")
+    found = inverted.top_k(spark, str(tmp_path / "index"), asked, 3, buckets=4).rows
+    assert sorted((r.zim_id, r["rank"], r.path) for r in found.collect()) == [(0, 0, "p102"), (0, 1, "p12"), (0, 2, "p120"), (1, 0, "p111"), (1, 1, "p129"), (1, 2, "p147")]
