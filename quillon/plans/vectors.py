@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import cells, ranking, vectors
 from quillon.plans.registry import query
-from quillon.sources.tables import folder
+from quillon.sources.tables import folder, small, spread
 from quillon.sources.tables import vectors as vector_table
 
 PAIRS = """q AS (SELECT vec_id AS query_id, label AS q_zim, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
@@ -79,11 +79,12 @@ r AS (SELECT query_id, vec_id, {TOP} AS rank FROM first) SELECT query_id, vec_id
 def static_shortlist(spark, sf_dir):
     """The 20 nearest of each query's first 200 candidates, which are the vectors of its archive in their order."""
     q = asked(spark, sf_dir).select("query_id", "zim_id", F.col("embedding").alias("e"))
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy("vec_id"))
-    first = vector_table(spark, sf_dir).join(q, "zim_id").withColumn("nth", nth).where("nth <= 200")
+    nth = F.row_number().over(W.partitionBy("zim_id").orderBy("vec_id"))
+    first = small(vector_table(spark, sf_dir).select("vec_id", "zim_id", "embedding").withColumn("nth", nth).where("nth <= 200"))  # the same for all queries of an archive
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    scored = first.select("query_id", "vec_id", vectors.dot(F.col("e"), F.col("embedding")).alias("score"))
-    return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where("rank < 20").select("query_id", "vec_id", "rank")
+    scored = spread(q).join(first, "zim_id").select("query_id", "vec_id", vectors.dot(F.col("e"), F.col("embedding")).alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+    return best.select("query_id", "vec_id", (F.col("rank") - 1).cast("bigint").alias("rank"))
 
 
 @query("MA2", "AG38", "CS5")

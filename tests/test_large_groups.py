@@ -59,3 +59,12 @@ def test_index_is_written_with_one_shuffle_of_texts(spark, tmp_path):
     asked = spark.createDataFrame([(1, ["alpha", "3"])], "item_id long, terms array<string>")
     found = inverted.top_k(spark, str(tmp_path / "index"), asked, 3, buckets=4).rows
     assert sorted((r.zim_id, r["rank"], r.path) for r in found.collect()) == [(0, 0, "p102"), (0, 1, "p12"), (0, 2, "p120"), (1, 0, "p111"), (1, 1, "p129"), (1, 2, "p147")]
+
+
+def test_shortlist_of_an_archive_is_made_once(spark, tmp_path):
+    n = 1500
+    rows = [[((i * 7 + k * 3) % 11 - 5) / 7 for k in range(4)] for i in range(n)]
+    written(tmp_path, "embeddings", vec_id=list(range(n)), label=pa.array([i % 2 if i % 97 else None for i in range(n)], pa.int32()), embedding=pa.array(rows, pa.list_(pa.float32())))
+    assert check(spark, registry.queries()["static_shortlist"], registry.oracle_sql()["static_shortlist"], tmp_path) > 500
+    plan = registry.queries()["static_shortlist"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and len(re.findall(r" Window .*windowspecdefinition\(query_id", plan)) == 1, plan  # of the best alone
