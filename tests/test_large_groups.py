@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quillon.operators import inverted, search
-from quillon.plans import registry
+from quillon.plans import pipeline, registry
 from tests.test_queries import check
 
 
@@ -68,3 +68,13 @@ def test_shortlist_of_an_archive_is_made_once(spark, tmp_path):
     assert check(spark, registry.queries()["static_shortlist"], registry.oracle_sql()["static_shortlist"], tmp_path) > 500
     plan = registry.queries()["static_shortlist"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and len(re.findall(r" Window .*windowspecdefinition\(query_id", plan)) == 1, plan  # of the best alone
+
+
+def test_copies_are_told_from_sets_without_moving_them(spark):
+    one, two = [f"a{i} b" for i in range(20)], [f"c{i} d" for i in range(20)]
+    rows = spark.createDataFrame([(0, "s", two), (1, "s", one), (1, "s", two), (2, "s", one[:19] + ["e f"]), (3, "s", one)], "doc_id long, source string, bg array<string>")
+    near, member = pipeline.likely_sets(rows, 0.85)
+    assert sorted((r.ha, r.hb, round(r.likeness, 3)) for r in near.collect()) == [(1, 2, 0.905)]  # a copy under another set's id is no set of its own
+    assert sorted(map(tuple, member.collect())) == [(0, 0), (0, 1), (1, 1), (1, 3), (2, 2)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and "Exchange hashpartitioning(set_key" not in plan
