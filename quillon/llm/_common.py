@@ -28,6 +28,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that grows with the input: joined by a shuffle whatever its size, so that it never passes through the driver, as
+    a broadcast does. Steps that are repeated would broadcast a table each time, each by a thread of its own."""
+    return df.hint("merge")
+
+
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 100_000
+
+
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most so many rows of a few numbers, in no more partitions than these need, or four a core. Steps that are repeated over
+    what is left else have a task for each partition, however little that is, and the driver keeps a record of every task."""
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, packed, without_rows
+from quillon.llm._common import checkpointed, grown, in_few, packed, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -309,7 +309,7 @@ def links_of(table: DataFrame, keys: Column, words: int, radius: int, long: int
     placed = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = placed.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = pairs.select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
-    return edges.union(walked(dealt.join(table.select(*own), "node"), None).select("a", "b")).distinct()
+    return edges.union(walked(dealt.join(grown(table.select(*own)), "node"), None).select("a", "b")).distinct()
 
 
 def links(fps: DataFrame, long: int = LONG) -> DataFrame:
@@ -327,24 +327,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     over what is left.
     """
     edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
-    label = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    left = edges.count()
+    most = 2 * left  # nodes
+    edges = in_few(edges, left)
+    label = checkpointed(in_few(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), most))
     for _ in range(rounds):
-        if edges.isEmpty():
+        if not left:
             return label
         both = edges.union(edges.select("b", "a"))
-        parent = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")))
+        least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
+        parent = checkpointed(in_few(least, 2 * left))
         while True:  # each pass halves the way to the top of a tree
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            higher = checkpointed(parent.join(up, "p").select("v", "p", "q"))
+            higher = checkpointed(in_few(parent.join(grown(up), "p").select("v", "p", "q"), 2 * left))
             parent = higher.select("v", F.col("q").alias("p"))
             if higher.where("p <> q").isEmpty():
                 break
-        label = checkpointed(
-            label.join(parent, F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label"))
-        )
+        named = label.join(grown(parent), F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label"))
+        label = checkpointed(in_few(named, most))
         pa_, pb = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        drawn = edges.join(pa_, "a").join(pb, "b").where("pa <> pb")
-        edges = checkpointed(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        drawn = edges.join(grown(pa_), "a").join(grown(pb), "b").where("pa <> pb")
+        edges = checkpointed(in_few(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), left))
+        left = edges.count()
     raise RuntimeError("groups did not settle")
 
 
@@ -358,12 +362,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, fp and component_id (the smallest doc_id that links lead to) of each row."""
     marked = checkpointed(fingerprints(docs))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = labelled(distinct).join(distinct, "fp")
+    named = labelled(distinct).join(grown(distinct), "fp")
     least = named.groupBy("label").agg(F.min("least").alias("group_least"))
-    grouped = named.join(least, "label").select("fp", "group_least")
+    grouped = named.join(grown(least), "label").select("fp", "group_least")
     # Written out, so that both sides of the last join are shuffled for it and a fingerprint that many rows share can be split.
-    owners = checkpointed(distinct.join(grouped, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
-    return marked.join(owners, "fp").select("doc_id", "row_key", "fp", "component_id")
+    owners = checkpointed(distinct.join(grown(grouped), "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
+    return marked.join(grown(owners), "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
 def meeting_masks(rows: int) -> list[list[int]]:
@@ -394,16 +398,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     by_fp = labelled(marked.select("fp").distinct())
     # One row for each kind of wide fingerprint within a group: groups are joined where they share one, and where two link.
     kinds = marked.groupBy("fp", "node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in [*MEET_LONGS, *WIDE_LONGS]])
-    kinds = checkpointed(kinds.join(by_fp, "fp", "left").withColumn("own", F.coalesce("label", "fp")).drop("label"))
+    kinds = checkpointed(kinds.join(grown(by_fp), "fp", "left").withColumn("own", F.coalesce("label", "fp")).drop("label"))
     nodes = checkpointed(kinds.groupBy("node").agg(F.min("own").alias("first"), *[F.min_by(c, "fp").alias(c) for c in [*MEET_LONGS, *WIDE_LONGS]]))
     ends = nodes.select("node", "first")
-    near_ = wide_links(nodes).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
-    same = kinds.select("node", "own").distinct().join(ends, "node").select(F.col("own").alias("x"), F.col("first").alias("y"))
+    near_ = wide_links(nodes).join(grown(ends.toDF("a", "x")), "a").join(grown(ends.toDF("b", "y")), "b").select("x", "y")
+    same = kinds.select("node", "own").distinct().join(grown(ends), "node").select(F.col("own").alias("x"), F.col("first").alias("y"))
     wider = components(near_.union(same).where("x <> y").toDF("a", "b")).withColumnRenamed("label", "wider")
-    named = kinds.join(wider, kinds.own == wider.node, "left").select("fp", kinds.node, "least", F.coalesce("wider", "own").alias("name"))
+    named = kinds.join(grown(wider), kinds.own == wider.node, "left").select("fp", kinds.node, "least", F.coalesce("wider", "own").alias("name"))
     least = named.groupBy("name").agg(F.min("least").alias("component_id"))
-    owners = checkpointed(named.join(least, "name").select("fp", "node", "component_id"))
-    return marked.join(owners, ["fp", "node"]).select("doc_id", "row_key", "component_id")
+    owners = checkpointed(named.join(grown(least), "name").select("fp", "node", "component_id"))
+    return marked.join(grown(owners), ["fp", "node"]).select("doc_id", "row_key", "component_id")
 
 
 def hex_fingerprint(fp: str) -> Column:

@@ -197,3 +197,26 @@ def test_empty_and_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     label = {r.node: r.label for r in sh.components(chain).collect()}
     assert {label[i] for i in range(201)} == {0} and label[1001] == 1000
+
+
+def test_groups_pass_by_the_driver_and_cost_few_tasks(spark):
+    edges = [(i, i + 1) for i in range(0, 90) if i % 10 != 9] + [(200, i) for i in range(201, 260)]
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsCount()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        label = sh.components(spark.createDataFrame(edges, "a long, b long"))
+        found = {r.node: r.label for r in label.collect()}
+        parts = label.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 10 for i in range(90)} | dict.fromkeys(range(200, 260), 200)
+    assert parts <= 4 * spark.sparkContext.defaultParallelism, parts
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(int(ran), runs.size())]
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
