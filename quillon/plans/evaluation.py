@@ -11,7 +11,7 @@ from quillon.operators import metrics, patterns, ranking, ranks, search
 from quillon.plans.ranking import FUSED
 from quillon.plans.registry import query
 from quillon.plans.search import BASE, CANDIDATES, asked, candidates
-from quillon.sources.tables import articles, questions, table, verdicts
+from quillon.sources.tables import articles, questions, small, table, verdicts
 
 V = """v AS (
   SELECT doc_id AS question_id, CASE lang WHEN 'es' THEN 'out_of_corpus' ELSE lang END AS capability, source AS slice,
@@ -48,7 +48,7 @@ def expected(spark, sf_dir):
     """item_id and path of the articles that hold an item's passage: sought among those that have all of its terms."""
     found = search.matches(asked(spark, sf_dir), articles(spark, sf_dir)).select("item_id", "zim_id", "path")
     passages = questions(spark, sf_dir).select("item_id", "passage")
-    rows = found.join(articles(spark, sf_dir).select("zim_id", "path", "text"), ["zim_id", "path"]).join(passages, "item_id")
+    rows = articles(spark, sf_dir).select("zim_id", "path", "text").join(small(found), ["zim_id", "path"]).join(small(passages), "item_id")
     return rows.where(F.contains("text", F.col("passage"))).select("item_id", "path")
 
 
@@ -234,7 +234,7 @@ def evidence_tiers(spark, sf_dir):
     long = F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), F.lit(0))
     keys = items.select("item_id", F.array_distinct(F.filter(long, lambda t: (F.length(t) >= 4) & ~F.contains(F.lower("raw"), t))).alias("keys"))
     own = candidates(spark, sf_dir).groupBy("item_id", "path").agg(F.bool_or((F.col("source") == "fts") & (F.col("rank") < 2)).alias("seeded"))
-    met = own.join(articles(spark, sf_dir).select("path", F.lower("text").alias("t")), "path").join(keys.where(F.size("keys") > 0), "item_id")
+    met = articles(spark, sf_dir).select("path", F.lower("text").alias("t")).join(small(own), "path").join(small(keys.where(F.size("keys") > 0)), "item_id")
     part = F.size(F.filter("keys", lambda k: F.contains("t", k))) / F.size("keys")
     wide = met.groupBy("item_id").agg(F.max(F.when(F.col("seeded"), part)).alias("pre"), F.max(part).alias("every"))
     tier = F.when(F.size("keys") == 0, None).when(F.col("pre") >= 0.999, "A").when(F.col("every") >= 0.999, "B").when(F.col("every") >= 0.7, "C").otherwise("D")

@@ -78,3 +78,18 @@ def test_copies_are_told_from_sets_without_moving_them(spark):
     assert sorted(map(tuple, member.collect())) == [(0, 0), (0, 1), (1, 1), (1, 3), (2, 2)]
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti, BuildRight" in plan and "Exchange hashpartitioning(set_key" not in plan
+
+
+def test_texts_of_candidates_stay_where_they_are(spark, tmp_path):
+    searched(tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in ("score_lexical_overlap", "snippet_window", "evidence_tiers", "uncovered_spans", "gold_in_top_n"):
+            lines = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+            dealt = [b for a, b in zip(lines[:-1], lines[1:], strict=True) if "hashpartitioning" in a and "Aggregate(" not in b]
+            assert any("text#" in line for line in lines) and not any("text#" in line and "item_id" not in line for line in dealt), (name, dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("score_lexical_overlap", "evidence_tiers", "uncovered_spans", "gold_in_top_n", "ranking_metrics_by_slice"):
+        assert check(spark, registry.queries()[name], registry.oracle_sql()[name], tmp_path) > 0
