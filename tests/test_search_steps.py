@@ -23,6 +23,15 @@ def test_all_terms_or_any(spark):
     assert {r.path for r in search.matches(asked, articles(spark), every=False).collect()} == {"a", "b"}
 
 
+def test_scores_of_a_task_do_not_grow_with_the_archive(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCORES", 100, raising=False)
+    asked = spark.createDataFrame([(i, ["common", f"w{i}"]) for i in range(10)], "item_id long, terms array<string>")
+    for n in (100, 400):
+        docs = spark.range(n).select(F.lit(1).alias("zim_id"), F.concat(F.lit("d"), "id").alias("path"), F.lit("common words").alias("text"))
+        in_tasks = [r["count"] for r in search.matches(asked, docs, every=False).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(in_tasks) == 10 * n and max(in_tasks) <= 300
+
+
 def test_spans_prefer_exact_titles(spark):
     spans = spark.createDataFrame([(7, ["Paris", "Lon"])], "item_id long, spans array<string>")
     assert {(r.path, r["rank"]) for r in search.titles_of_spans(spans, articles(spark)).collect()} == {("b", 4), ("c", 4)}
