@@ -3,9 +3,9 @@
 `slices` reads YAML files, a partition to a file: a slice's name, and entries with an id, a query, a slice of their own where they have one, expected
 paths, an expected fact and their provenance.
 
-`snapshot` reads and writes a folder of JSON files with a manifest. A task writes one file under a temporary name and reports its rows and
-checksum; the commit gives the files their names and writes the manifest last, so that a reader sees a whole snapshot or none. When a write
-fails, what its tasks wrote is removed. A reader takes a partition to a file, and raises where there is no manifest, where its format
+`snapshot` reads and writes a folder of JSON files with a manifest. A task writes one file in a folder of the write's own and reports its rows and
+checksum; the commit moves the files out of it and writes the manifest last, so that a reader sees a whole snapshot or none. When a write
+fails, its folder is removed, so that tasks that are still at work, as killed ones may be, leave nothing either. A reader takes a partition to a file, and raises where there is no manifest, where its format
 is another one or it lists no question, and where a file does not match its checksum.
 
 Both take local or mounted folders that all machines share."""
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,12 +111,13 @@ class SnapshotWriter(DataSourceWriter):
         home = local(path)
         if (home / MANIFEST).exists() and not overwrite:
             raise ValueError(f"there is a snapshot at {home}")
-        home.mkdir(parents=True, exist_ok=True)
+        self._own(home).mkdir(parents=True)
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        """One file, under a name that no reader looks for; a task that is tried again writes another one."""
+        """One file, in the folder of this write, which no reader looks into; a task that is tried again writes another one, and one that
+        begins after the write has ended raises, as the folder is gone."""
         name, digest, n = f"{self.run}-{uuid.uuid4().hex}.json", hashlib.sha256(), 0
-        with (local(self.path) / f".{name}").open("wb") as out:
+        with (self._own(local(self.path)) / name).open("wb") as out:
             for row in rows:
                 line = json.dumps(row.asDict(recursive=True), default=str).encode() + b"\n"
                 out.write(line)
@@ -126,10 +128,10 @@ class SnapshotWriter(DataSourceWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         home, files = local(self.path), [m for m in messages if m]
         for m in files:
-            os.replace(home / f".{m.name}", home / m.name)
+            os.replace(self._own(home) / m.name, home / m.name)
         manifest = {"format": FORMAT, "files": [{"name": m.name, "rows": m.rows, "sha256": m.sha256} for m in files]}
-        (home / f".{self.run}").write_text(json.dumps(manifest))
-        os.replace(home / f".{self.run}", home / MANIFEST)  # from here on readers see the new snapshot
+        (self._own(home) / MANIFEST).write_text(json.dumps(manifest))
+        os.replace(self._own(home) / MANIFEST, home / MANIFEST)  # from here on readers see the new snapshot
         named = {m.name for m in files}
         for old in home.glob("*.json"):
             if old.name != MANIFEST and old.name not in named:
@@ -139,9 +141,14 @@ class SnapshotWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._tidy(local(self.path))
 
+    def _own(self, home: Path) -> Path:
+        return home / f".{self.run}"
+
     def _tidy(self, home: Path) -> None:
-        for left in home.glob(f".{self.run}*"):
-            left.unlink()
+        for _ in range(10):  # a task may make its file while the others are removed
+            shutil.rmtree(self._own(home), ignore_errors=True)
+            if not self._own(home).exists():
+                return
 
 
 class Snapshot(DataSource):

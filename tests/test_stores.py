@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.operators import ingest, metrics
@@ -45,6 +46,26 @@ def test_snapshot_is_whole_or_absent(spark, tmp_path):
         read().collect()
 
 
+def test_a_task_that_outlives_its_write_leaves_nothing(tmp_path):
+    home = tmp_path / "s"
+    kept = snapshots.SnapshotWriter(str(home), False)
+    kept.commit([kept.write(iter([Row(id="1", query="q")]))])
+    before = sorted(os.listdir(home))
+    late, failed = snapshots.SnapshotWriter(str(home), True), snapshots.SnapshotWriter(str(home), True)
+
+    def slow(writer):
+        yield Row(id="2", query="r")
+        writer.abort([])  # the driver gives up while the task is at work
+        yield Row(id="3", query="s")
+
+    failed.write(slow(failed))
+    late.abort([])
+    for writer in (kept, late):  # of a second attempt, after the commit; and of a killed task that only begins after the abort
+        with pytest.raises(FileNotFoundError):
+            writer.write(iter([Row(id="4", query="t")]))
+    assert sorted(os.listdir(home)) == before and len(before) == 2
+
+
 def test_slices_are_read_a_file_to_a_partition(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.yaml").write_text(f"name: s{i}\nentries:\n- {{id: a{i}, query: q}}\n- {{id: b{i}, query: r, slice: own, expected_paths: [A/x]}}\n")
