@@ -98,8 +98,10 @@ JOB_STATES = f"""WITH RECURSIVE ev AS MATERIALIZED (
 def _job_states(spark, sf_dir):
     """The state of every job when all events of the table have been read, at one second for each eight hours."""
     home, events = folder(spark), table(spark, sf_dir, "events")
-    micros = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 30000)
-    rows = events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.timestamp_micros(micros).alias("at"), F.expr(JOB_EVENT).alias("event"), "value")
+    # The clock starts at that day, not at 1970: a stream's first watermark is 1970, and what is not after a watermark is let go as late.
+    start = "CAST('2024-01-01' AS TIMESTAMP)"
+    at = F.expr(f"timestamp_millis(unix_millis({start}) + (unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros({start})) div 30000 div 1000)")
+    rows = events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), at.alias("at"), F.expr(JOB_EVENT).alias("event"), "value")
     rows.write.parquet(f"{home}/in")
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
@@ -114,7 +116,7 @@ def _job_states(spark, sf_dir):
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
     every = spark.read.parquet(f"{home}/out/batch=*")
-    return every.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "writes", "dropped", "recent"), "no").alias("s")).select("job_id", "s.*")
+    return every.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "writes", "dropped", "recent"), F.struct("no", "writes")).alias("s")).select("job_id", "s.*")
 
 
 @query("ST3", "ST4", "ST8", sql=JOB_STATES + """

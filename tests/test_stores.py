@@ -158,3 +158,22 @@ def test_timer_writes_the_progress_that_waits():
     [out] = jobs.handleExpiredTimer((5,), None, ExpiredTimerInfo(2000))
     assert out.to_dict("records") == [{"job_id": 5, "status": "running", "progress": 7.5, "writes": 2, "dropped": 0, "recent": [3]}]
     assert jobs.state.value == ("running", 7.5, None, None, 2000, 2, 0)
+
+
+def test_first_events_of_the_clock_are_not_late(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quillon.plans import registry
+    from tests.test_queries import SQL, check
+
+    names = ["job_progress", "recovered_jobs"]
+    start = datetime(2024, 1, 1)
+    #: Job and milliseconds of the job clock; job 4 has a timer that is due with the last event, job 5 begins before the clock.
+    events = [(5, -40.5), (1, 0.0), (4, 0.0), (2, 0.5), (1, 0.9), (3, 1.0), (4, 300.0), (1, 500.0), (2, 900.0), (5, 959.4), (3, 1000.0)]
+    rows = [(n, start + timedelta(milliseconds=ms * 30000), job, "view", float(n), "{}") for n, (job, ms) in enumerate(events)]
+    columns = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    pq.write_table(pa.table([pa.array(c) for c in zip(*rows, strict=True)], columns), tmp_path / "events.parquet")
+    assert [check(spark, registry.queries()[n], SQL[n], tmp_path) for n in names] == [5, 5]
