@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """`df` by way of a file in `folder`, of which Spark knows the size. A checkpoint keeps the estimate of what it was made from, and that of a join is
+    the product of its sides': over rounds of joins its digits double, until the driver is full of them."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def grown(df: DataFrame) -> DataFrame:
     """`df` as a side of a join that grows with the input: joined by a shuffle whatever its size, so that it never passes through the driver, as
     a broadcast does. Steps that are repeated would broadcast a table each time, each by a thread of its own."""

@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, grown, in_few, packed, without_rows
+from quillon.llm._common import checkpointed, grown, in_few, packed, removed, shared_folder, without_rows, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -326,28 +327,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the edges are drawn anew between the tops, of which there are half as many at most. Every round is a few shuffles
     over what is left.
     """
-    edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    try:
+        return checkpointed(_components(edges, rounds, folder))
+    finally:
+        removed(spark, folder)
+
+
+def _components(edges: DataFrame, rounds: int, folder: str) -> DataFrame:
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), folder)
     left = edges.count()
     most = 2 * left  # nodes
     edges = in_few(edges, left)
-    label = checkpointed(in_few(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), most))
+    label = written(in_few(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), most), folder)
     for _ in range(rounds):
         if not left:
             return label
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        parent = checkpointed(in_few(least, 2 * left))
+        parent = written(in_few(least, 2 * left), folder)
         while True:  # each pass halves the way to the top of a tree
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            higher = checkpointed(in_few(parent.join(grown(up), "p").select("v", "p", "q"), 2 * left))
+            higher = written(in_few(parent.join(grown(up), "p").select("v", "p", "q"), 2 * left), folder)
             parent = higher.select("v", F.col("q").alias("p"))
             if higher.where("p <> q").isEmpty():
                 break
         named = label.join(grown(parent), F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label"))
-        label = checkpointed(in_few(named, most))
+        label = written(in_few(named, most), folder)
         pa_, pb = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         drawn = edges.join(grown(pa_), "a").join(grown(pb), "b").where("pa <> pb")
-        edges = checkpointed(in_few(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), left))
+        edges = written(in_few(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), left), folder)
         left = edges.count()
     raise RuntimeError("groups did not settle")
 

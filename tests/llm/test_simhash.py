@@ -220,3 +220,17 @@ def test_groups_pass_by_the_driver_and_cost_few_tasks(spark):
     runs = store.executionsList()
     plans = [runs.apply(i).physicalPlanDescription() for i in range(int(ran), runs.size())]
     assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_size_estimates_do_not_grow_over_rounds(spark, monkeypatch):
+    sizes, few = [], sh.in_few
+
+    def seen(df, rows):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return few(df, rows)
+
+    monkeypatch.setattr(sh, "in_few", seen)
+    chain = spark.createDataFrame([(hash((i, 7)), hash((i + 1, 7))) for i in range(200)], "a long, b long")
+    label = sh.components(chain)
+    assert label.select("label").distinct().count() == 1 and label.count() == 201
+    assert len(sizes) > 6 and max(sizes) < 200, sizes  # bits; they doubled with each pass
